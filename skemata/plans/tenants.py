@@ -8,11 +8,12 @@ same rows.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemata.functions.rules import classify
-from skemata.schemas import Catalog, Labels
 
 # table, then columns as name:type, a star for a primary key, plus for a foreign key
 BASE = """
@@ -172,194 +173,279 @@ def constraint_name(k: Column, b: Column) -> Column:
 
 
 # -------------------------------------------------------------- literal relations
+#
+# Rows are computed inside the exploded array, so that what reads a relation
+# sees plain attributes and not the arithmetic behind them.
+
+
+def _sql(value) -> str:
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
+
+
+def _structs_text(names: str, rows: list[tuple]) -> str:
+    """SQL text of an array of structs: one expression instead of a call per value."""
+    fields = names.split()
+    return "array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{n}', {_sql(v)}" for n, v in zip(fields, r)) + ")"
+        for r in rows
+    ) + ")"
+
+
+def _structs(names: str, rows: list[tuple]) -> Column:
+    return F.expr(_structs_text(names, rows))
+
+
+COLUMN_FIELDS = "t table p g c type pk is_key is_last"
 
 
 def _column_literals(extra: bool) -> Column:
-    names = ["t", "table", "p", "g", "c", "type", "pk", "is_key", "is_last"]
-    rows = [r for r in base_columns() if (r[3] >= N_BASE) == extra]
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+    return _structs(COLUMN_FIELDS, [r for r in base_columns() if (r[3] >= N_BASE) == extra])
 
 
 def _table_literals() -> Column:
-    return F.array(
-        *[F.struct(F.lit(t).alias("t"), F.lit(n).alias("table")) for t, n, _ in base_tables()]
-    )
+    return _structs("t table", [(t, n) for t, n, _ in base_tables()])
 
 
-def _key_literals() -> Column:
-    names = ["f", "child", "child_column", "parent", "parent_column"]
-    return F.array(
-        *[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in base_keys()]
-    )
+def _key_literals(child: str | None = None) -> Column:
+    rows = [r for r in base_keys() if child in (None, r[1])]
+    return _structs("f child child_column parent parent_column", rows)
+
+
+def _none_of(rows: Column) -> Column:
+    return F.slice(rows, 1, 0)
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    """One row per tenant.  Each will become some 80 rows, so they are spread
+    over all cores before that, while they are still small."""
+    cust = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         F.col("c_custkey").alias("database_id"), F.col("c_mktsegment").alias("segment")
     )
+    return cust.repartition(spark.sparkContext.defaultParallelism, "database_id")
 
 
-def _tables(cust: DataFrame) -> DataFrame:
-    k = F.col("database_id")
-    stub = F.struct(F.lit(len(base_tables())).alias("t"), F.lit(STUB_TABLE).alias("table"))
-    listed = F.concat(
-        _table_literals(), F.when(every(k, 17), F.array(stub)).otherwise(F.slice(_table_literals(), 1, 0))
+def _rows(cust: DataFrame, literals: Column, made, keep=None, *more: str) -> DataFrame:
+    """Explode ``made(b)`` for every kept literal ``b``."""
+    kept = literals if keep is None else F.filter(literals, keep)
+    return (
+        cust.filter(has_tables(F.col("database_id")))
+        .select("database_id", *more, F.explode(F.transform(kept, made)).alias("r"))
+        .select("database_id", "r.*")
     )
-    return cust.filter(has_tables(k)).select("database_id", "segment", F.explode(listed).alias("b"))
 
 
-def _columns(cust: DataFrame) -> DataFrame:
-    k = F.col("database_id")
-    listed = F.concat(
-        _column_literals(False),
-        F.when(every(k, 13), _column_literals(True)).otherwise(
-            F.slice(_column_literals(True), 1, 0)
-        ),
-    )
-    return cust.filter(has_tables(k)).select("database_id", F.explode(listed).alias("b"))
+def _long(c: Column, name: str) -> Column:
+    return c.cast("bigint").alias(name)
 
 
-def _keys(cust: DataFrame) -> DataFrame:
-    k = F.col("database_id")
-    return (
-        cust.filter(has_tables(k))
-        .select("database_id", F.explode(_key_literals()).alias("b"))
-        .filter(has_key(k, F.col("b")))
+def _all_tables(k: Column) -> Column:
+    stub = _structs("t table", [(len(base_tables()), STUB_TABLE)])
+    return F.concat(_table_literals(), F.when(every(k, 17), stub).otherwise(_none_of(stub)))
+
+
+def _all_columns(k: Column) -> Column:
+    extra = _column_literals(True)
+    return F.concat(
+        _column_literals(False), F.when(every(k, 13), extra).otherwise(_none_of(extra))
     )
 
 
-def _ordinal(name: str, alias: str) -> Column:
-    return F.col(f"b.{name}").cast("bigint").alias(alias)
+class TenantCatalog:
+    """The fields of ``Catalog``, each built when first asked for."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.customers = customers(spark, sf_dir)
+        self.k = F.col("database_id")
 
-def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    cust = customers(spark, sf_dir)
-    k, b = F.col("database_id"), F.col("b")
-    keys = _keys(cust)
-    primary = _columns(cust).filter(is_primary(k, b))
-    return Catalog(
-        databases=cust.select(
+    @cached_property
+    def databases(self) -> DataFrame:
+        k = self.k
+        return self.customers.select(
             "database_id",
             F.when(every(k, 23, 5), F.lit("")).otherwise(F.lit("postgresql")).alias("vendor"),
             F.concat(F.lit("tenant_"), k.cast("string")).alias("name"),
-            F.when(every(k, 3), F.lit("15.0")).when(every(k, 3, 1), F.lit("14.2")).alias("version"),
-        ),
-        tables=_tables(cust).select(
-            "database_id",
-            _ordinal("t", "table_ordinal"),
-            table_name(k, b["table"]).alias("table_name"),
-            F.lit("TABLE").alias("table_type"),
-        ),
-        columns=_columns(cust).select(
-            "database_id",
-            _ordinal("g", "column_ordinal"),
-            _ordinal("t", "table_ordinal"),
-            table_name(k, b["table"]).alias("table_name"),
-            _ordinal("p", "position"),
-            column_name(k, b).alias("column_name"),
-            b["type"].alias("data_type"),
-            F.coalesce((k + b["g"]) % 5 != 2, F.lit(True)).alias("is_nullable"),
-            is_primary(k, b).alias("is_primary_key"),
-        ),
-        constraints=primary.select(
-            "database_id",
-            table_name(k, b["table"]).alias("table_name"),
-            F.concat(table_name(k, b["table"]), F.lit("_pkey")).alias("constraint_name"),
-            F.lit("PRIMARY KEY").alias("constraint_type"),
-            column_name(k, b).alias("column_name"),
-        ).unionAll(
-            keys.select(
+            F.when(every(k, 3), F.lit("15.0"))
+            .when(every(k, 3, 1), F.lit("14.2"))
+            .alias("version"),
+        )
+
+    @cached_property
+    def tables(self) -> DataFrame:
+        k = self.k
+        return _rows(
+            self.customers,
+            _all_tables(k),
+            lambda b: F.struct(
+                _long(b["t"], "table_ordinal"),
+                table_name(k, b["table"]).alias("table_name"),
+                F.lit("TABLE").alias("table_type"),
+            ),
+        )
+
+    @cached_property
+    def columns(self) -> DataFrame:
+        k = self.k
+        return _rows(
+            self.customers,
+            _all_columns(k),
+            lambda b: F.struct(
+                _long(b["g"], "column_ordinal"),
+                _long(b["t"], "table_ordinal"),
+                table_name(k, b["table"]).alias("table_name"),
+                _long(b["p"], "position"),
+                column_name(k, b).alias("column_name"),
+                b["type"].alias("data_type"),
+                ((k + b["g"]) % 5 != 2).alias("is_nullable"),
+                is_primary(k, b).alias("is_primary_key"),
+            ),
+        )
+
+    @cached_property
+    def relationships(self) -> DataFrame:
+        k = self.k
+        return _rows(
+            self.customers,
+            _key_literals(),
+            lambda b: F.struct(
+                _long(b["f"], "rel_ordinal"),
+                table_name(k, b["child"]).alias("from_table"),
+                b["child_column"].alias("from_column"),
+                parent_table(k, b).alias("to_table"),
+                b["parent_column"].alias("to_column"),
+                constraint_name(k, b).alias("constraint_name"),
+            ),
+            lambda b: has_key(k, b),
+        )
+
+    @cached_property
+    def constraints(self) -> DataFrame:
+        return (
+            self.columns.filter("is_primary_key")
+            .select(
                 "database_id",
-                table_name(k, b["child"]).alias("table_name"),
-                constraint_name(k, b),
-                F.lit("FOREIGN KEY"),
-                b["child_column"],
+                "table_name",
+                F.concat("table_name", F.lit("_pkey")).alias("constraint_name"),
+                F.lit("PRIMARY KEY").alias("constraint_type"),
+                "column_name",
             )
-        ),
-        relationships=keys.select(
-            "database_id",
-            _ordinal("f", "rel_ordinal"),
-            table_name(k, b["child"]).alias("from_table"),
-            b["child_column"].alias("from_column"),
-            parent_table(k, b).alias("to_table"),
-            b["parent_column"].alias("to_column"),
-            constraint_name(k, b).alias("constraint_name"),
-        ),
-        views=_views(cust).select("database_id", "view_ordinal", "view_name", "definition"),
-        view_columns=_views(cust)
-        .select("database_id", "view_name", F.posexplode("cols").alias("position", "v"))
-        .select(
-            "database_id",
-            "view_name",
-            F.col("position").cast("bigint").alias("position"),
-            F.col("v.column_name").alias("column_name"),
-            F.coalesce("v.data_type", F.lit("unknown")).alias("data_type"),
-            F.col("v.is_nullable").alias("is_nullable"),
-        ),
-    )
+            .unionAll(
+                self.relationships.select(
+                    "database_id",
+                    "from_table",
+                    "constraint_name",
+                    F.lit("FOREIGN KEY"),
+                    "from_column",
+                )
+            )
+        )
 
+    @cached_property
+    def views(self) -> DataFrame:
+        return _views(self.customers).select(
+            "database_id", "view_ordinal", "view_name", "definition"
+        )
 
-ORDER_VIEW = "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"
+    @cached_property
+    def view_columns(self) -> DataFrame:
+        return (
+            _views(self.customers)
+            .select("database_id", "view_name", F.posexplode("cols").alias("position", "v"))
+            .select(
+                "database_id",
+                "view_name",
+                F.col("position").cast("bigint").alias("position"),
+                F.col("v.column_name").alias("column_name"),
+                F.coalesce("v.data_type", F.lit("unknown")).alias("data_type"),
+                F.col("v.is_nullable").alias("is_nullable"),
+            )
+        )
 
 
-def _views(cust: DataFrame) -> DataFrame:
-    k = F.col("database_id")
+def catalog(spark: SparkSession, sf_dir: str) -> TenantCatalog:
+    return TenantCatalog(spark, sf_dir)
 
-    def vcol(name: str, kind: str | None, nullable: bool) -> Column:
-        return F.struct(
-            F.lit(name).alias("column_name"),
-            F.lit(kind).cast("string").alias("data_type"),
-            F.lit(nullable).alias("is_nullable"),
-        )
 
-    def view(when: Column, name: str, text: str, cols: list[Column]) -> Column:
+ORDER_VIEW = "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"
+
+
+def _view_array(k: Column, parts_definition: str | None, made) -> Column:
+    """Views of a tenant; ``made(name, type, nullable)`` shapes a view column."""
+
+    def view(when: Column, name: str, text: str | None, cols: list[Column]) -> Column:
         return F.when(
             when,
             F.struct(
                 F.lit(name).alias("view_name"),
-                F.lit(text).alias("definition"),
+                F.lit(text).cast("string").alias("definition"),
                 F.array(*cols).alias("cols"),
             ),
         )
 
-    both = F.filter(
-        F.array(
-            view(every(k, 2), "v_orders", ORDER_VIEW,
-                 [vcol("o_orderkey", "bigint", False), vcol("c_name", None, True)]),
-            view(every(k, 3), "v_parts", "", [vcol("p_name", "text", True)]),
+    both = F.array(
+        view(
+            every(k, 2),
+            "v_orders",
+            ORDER_VIEW,
+            [made("o_orderkey", "bigint", False), made("c_name", None, None)],
         ),
-        lambda v: v.isNotNull(),
+        view(every(k, 3), "v_parts", parts_definition, [made("p_name", "text", "YES")]),
     )
+    return F.filter(both, lambda v: v.isNotNull())
+
+
+def _views(cust: DataFrame) -> DataFrame:
+    k = F.col("database_id")
+
+    def made(name: str, kind: str | None, nullable) -> Column:
+        return F.struct(
+            F.lit(name).alias("column_name"),
+            F.lit(kind).cast("string").alias("data_type"),
+            F.lit(nullable is not False).alias("is_nullable"),
+        )
+
     return (
         cust.filter(has_tables(k))
-        .select("database_id", F.posexplode(both).alias("view_ordinal", "v"))
+        .select("database_id", F.posexplode(_view_array(k, "", made)).alias("view_ordinal", "v"))
         .select("database_id", F.col("view_ordinal").cast("bigint").alias("view_ordinal"), "v.*")
     )
 
 
 # ------------------------------------------------------------------ raw documents
 
+OF_COLUMNS = "array<struct<column_name:string,data_type:string,nullable:variant>>"
+OF_CONSTRAINTS = "array<struct<constraint_name:string,constraint_type:string,column_name:string>>"
+OF_KEYS = "array<struct<child_column:string,parent_table:string,parent_column:string>>"
+
+
+def _document_literals() -> Column:
+    """Tables with their columns and foreign keys nested inside."""
+    key_fields = "f child child_column parent parent_column"
+    none = {
+        COLUMN_FIELDS: f"slice({_structs_text(COLUMN_FIELDS, base_columns()[:1])}, 1, 0)",
+        key_fields: f"slice({_structs_text(key_fields, base_keys()[:1])}, 1, 0)",
+    }
+
+    def listed(fields: str, rows: list[tuple]) -> str:
+        return _structs_text(fields, rows) if rows else none[fields]
+
+    tables = []
+    for t, name, _ in base_tables():
+        mine = [r for r in base_columns() if r[0] == t]
+        tables.append(
+            f"named_struct('table', '{name}',"
+            f" 'columns', {listed(COLUMN_FIELDS, [r for r in mine if r[3] < N_BASE])},"
+            f" 'more', {listed(COLUMN_FIELDS, [r for r in mine if r[3] >= N_BASE])},"
+            f" 'keys', {listed(key_fields, [r for r in base_keys() if r[1] == name])})"
+        )
+    return F.expr(f"array({', '.join(tables)})")
+
 
 def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same catalog as nested documents, as an extract would write them."""
     cust = customers(spark, sf_dir)
     k = F.col("database_id")
-    lists: dict[int, list[tuple]] = {}
-    for row in base_columns():
-        if row[3] < N_BASE:
-            lists.setdefault(row[0], []).append(row)
-    names = ["t", "table", "p", "g", "c", "type", "pk", "is_key", "is_last"]
-
-    def struct_of(row: tuple) -> dict[str, Column]:
-        return {n: F.lit(v) for n, v in zip(names, row)}
-
-    def doc_column(row: tuple) -> Column:
-        b = struct_of(row)
-        return F.struct(
-            column_name(k, b).alias("column_name"),
-            F.lit(row[5]).alias("data_type"),
-            F.parse_json(nullable_json(k, b)).alias("nullable"),
-        )
 
     def constraint(name: Column, kind: str, column: Column) -> Column:
         kind = F.when(every(k, 2), F.lit(kind.lower())).otherwise(F.lit(kind))
@@ -369,117 +455,74 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             column.alias("column_name"),
         )
 
-    def doc_table(t: int, rows: list[tuple]) -> Column:
-        base = rows[0][1]
-        cols = F.array(*[doc_column(r) for r in rows])
-        if t == EXTRA_TABLE:
-            extra = [r for r in base_columns() if r[3] >= N_BASE]
-            cols = F.when(
-                every(k, 13), F.concat(cols, F.array(*[doc_column(r) for r in extra]))
-            ).otherwise(cols)
-        constraints, rels = [], []
-        for r in rows:
-            b = struct_of(r)
-            if r[6]:
-                constraints.append(
-                    F.when(
-                        is_primary(k, b),
-                        constraint(
-                            F.concat(table_name(k, F.lit(base)), F.lit("_pkey")),
-                            "PRIMARY KEY",
-                            F.lit(r[4]),
-                        ),
-                    )
-                )
-        for f, child, child_column, parent, parent_column in base_keys():
-            if child != base:
-                continue
-            b = {
-                "f": F.lit(f), "child": F.lit(child), "child_column": F.lit(child_column),
-                "parent": F.lit(parent),
-            }
-            name = key_name(k, b)
-            if f == PART_KEY:
-                name = F.when(every(k, 9, 4), F.lit("")).otherwise(name)
-            if f == ORDER_KEY:
-                constraints.append(
-                    F.when(
-                        every(k, 5, 1),
-                        constraint(F.lit("older_name"), "FOREIGN KEY", F.lit(child_column)),
-                    )
-                )
-            present = has_key(k, b)
-            constraints.append(
-                F.when(present, constraint(name, "FOREIGN KEY", F.lit(child_column)))
-            )
-            rels.append(
-                F.when(
-                    present,
-                    F.struct(
-                        F.lit(child_column).alias("child_column"),
-                        parent_table(k, b).alias("parent_table"),
-                        F.lit(parent_column).alias("parent_column"),
-                    ),
-                )
-            )
-
-        def known(items: list[Column], kind: str) -> Column:
-            if not items:
-                return F.lit(None).cast(kind)
-            return F.filter(F.array(*items), lambda x: x.isNotNull())
+    def key_constraints(b: Column) -> Column:
+        """An older name first for some; a blank name for others."""
+        blank = (b["f"] == PART_KEY) & every(k, 9, 4)
+        one = constraint(
+            F.when(blank, F.lit("")).otherwise(key_name(k, b)), "FOREIGN KEY", b["child_column"]
+        )
+        older = constraint(F.lit("older_name"), "FOREIGN KEY", b["child_column"])
+        return F.when((b["f"] == ORDER_KEY) & every(k, 5, 1), F.array(older, one)).otherwise(
+            F.array(one)
+        )
 
+    def document_table(d: Column) -> Column:
+        name = table_name(k, d["table"])
+        columns = F.when(every(k, 13), F.concat(d["columns"], d["more"])).otherwise(d["columns"])
+        keys = F.filter(d["keys"], lambda b: has_key(k, b))
         return F.struct(
-            table_name(k, F.lit(base)).alias("table_name"),
-            cols.alias("columns"),
-            known(
-                constraints,
-                "array<struct<constraint_name:string,constraint_type:string,column_name:string>>",
+            name.alias("table_name"),
+            F.transform(
+                columns,
+                lambda b: F.struct(
+                    column_name(k, b).alias("column_name"),
+                    b["type"].alias("data_type"),
+                    F.parse_json(nullable_json(k, b)).alias("nullable"),
+                ),
+            ).alias("columns"),
+            F.concat(
+                F.transform(
+                    F.filter(columns, lambda b: is_primary(k, b)),
+                    lambda b: constraint(F.concat(name, F.lit("_pkey")), "PRIMARY KEY", b["c"]),
+                ),
+                F.flatten(F.transform(keys, key_constraints)),
             ).alias("constraints"),
-            known(
-                rels,
-                "array<struct<child_column:string,parent_table:string,parent_column:string>>",
+            F.transform(
+                keys,
+                lambda b: F.struct(
+                    b["child_column"].alias("child_column"),
+                    parent_table(k, b).alias("parent_table"),
+                    b["parent_column"].alias("parent_column"),
+                ),
             ).alias("relationships"),
         )
 
-    doc_tables = F.array(*[doc_table(t, rows) for t, rows in sorted(lists.items())])
-    kind = (
-        "struct<table_name:string,columns:array<struct<column_name:string,data_type:string,"
-        "nullable:variant>>,constraints:array<struct<constraint_name:string,"
-        "constraint_type:string,column_name:string>>,relationships:array<struct<"
-        "child_column:string,parent_table:string,parent_column:string>>>"
-    )
-    stub = F.struct(
-        F.lit(STUB_TABLE).alias("table_name"),
-        F.lit(None).cast("array<struct<column_name:string,data_type:string,nullable:variant>>").alias("columns"),
-        F.lit(None).cast("array<struct<constraint_name:string,constraint_type:string,column_name:string>>").alias("constraints"),
-        F.lit(None).cast("array<struct<child_column:string,parent_table:string,parent_column:string>>").alias("relationships"),
-    )
-    listed = F.when(every(k, 17), F.concat(doc_tables.cast(f"array<{kind}>"), F.array(stub))).otherwise(
-        doc_tables.cast(f"array<{kind}>")
+    stub = F.array(
+        F.struct(
+            F.lit(STUB_TABLE).alias("table_name"),
+            F.lit(None).cast(OF_COLUMNS).alias("columns"),
+            F.lit(None).cast(OF_CONSTRAINTS).alias("constraints"),
+            F.lit(None).cast(OF_KEYS).alias("relationships"),
+        )
     )
+    listed = F.transform(_document_literals(), document_table)
+    listed = F.when(every(k, 17), F.concat(listed, stub)).otherwise(listed)
 
-    def view_column(name: str, data_type: str | None, nullable: str | None) -> Column:
+    def view_column(name: str, data_type: str | None, nullable) -> Column:
+        text = {False: "false", "YES": '"YES"', None: None}[nullable]
         return F.struct(
             F.lit(name).alias("column_name"),
             F.lit(data_type).cast("string").alias("data_type"),
-            F.parse_json(F.lit(nullable).cast("string")).alias("nullable"),
+            F.parse_json(F.lit(text).cast("string")).alias("nullable"),
         )
 
-    views = F.filter(
-        F.array(
-            F.when(every(k, 2), F.struct(
-                F.lit("v_orders").alias("view_name"),
-                F.lit(ORDER_VIEW).cast("string").alias("definition"),
-                F.array(view_column("o_orderkey", "bigint", "false"),
-                        view_column("c_name", None, None)).alias("columns"),
-            )),
-            F.when(every(k, 3), F.struct(
-                F.lit("v_parts").alias("view_name"),
-                F.lit(None).cast("string").alias("definition"),
-                F.array(view_column("p_name", "text", '"YES"')).alias("columns"),
-            )),
+    views = F.transform(
+        _view_array(k, None, view_column),
+        lambda v: F.struct(
+            v["view_name"].alias("view_name"),
+            v["definition"].alias("definition"),
+            v["cols"].alias("columns"),
         ),
-        lambda v: v.isNotNull(),
     )
     return cust.select(
         "database_id",
@@ -555,56 +598,93 @@ SAMPLES = [
 
 def _listed(cust: DataFrame, rows: list[tuple], names: list[str], keep=None) -> DataFrame:
     """Literal rows per database, numbered."""
-    items = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r)]) for r in rows])
+    items = _structs(" ".join(names), rows)
     out = cust.filter(has_tables(F.col("database_id"))).select(
         "database_id", F.posexplode(items).alias("ordinal", "i")
     ).select("database_id", F.col("ordinal").cast("bigint").alias("ordinal"), "i.*")
     return out if keep is None else out.filter(keep)
 
 
-def labels(spark: SparkSession, sf_dir: str) -> Labels:
-    cust = customers(spark, sf_dir)
-    k, b = F.col("database_id"), F.col("b")
-    has_pair = (F.col("ordinal") != 1) | (k % 5 != 2)
-    pairs = _listed(cust, PAIRS, ["entity", "related_entities", "business_meaning"], has_pair)
-    return Labels(
-        table_labels=_tables(cust)
-        .filter(b["t"] < len(base_tables()))
-        .select(
-            "database_id",
-            table_name(k, b["table"]).alias("table_name"),
-            _table_description(k, b).alias("description"),
-            _business_role(k, b).alias("business_role"),
-            _domain(k, b, F.col("segment")).alias("domain"),
-        ),
-        column_labels=_columns(cust).select(
+class TenantLabels:
+    """The fields of ``Labels``, each built when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.customers = customers(spark, sf_dir)
+        self.k = F.col("database_id")
+
+    @cached_property
+    def table_labels(self) -> DataFrame:
+        k = self.k
+        return _rows(
+            self.customers,
+            _table_literals(),
+            lambda b: F.struct(
+                table_name(k, b["table"]).alias("table_name"),
+                _table_description(k, b).alias("description"),
+                _business_role(k, b).alias("business_role"),
+                _domain(k, b, F.col("segment")).alias("domain"),
+            ),
+            None,
+            "segment",
+        )
+
+    @cached_property
+    def column_labels(self) -> DataFrame:
+        found = classify(F.col("column_name"))["classification"]
+        return _column_answers(self.customers).select(
             "database_id",
+            "table_name",
+            "column_name",
+            "description",
+            F.coalesce(found, "model_type").alias("semantic_type"),
+        )
+
+    @cached_property
+    def entities(self) -> DataFrame:
+        return _listed(self.customers, [(e,) for e in ENTITIES], ["name"])
+
+    @cached_property
+    def entity_relationships(self) -> DataFrame:
+        has_pair = (F.col("ordinal") != 1) | (self.k % 5 != 2)
+        blank = (F.col("ordinal") == 2) & every(self.k, 3)
+        pairs = _listed(
+            self.customers, PAIRS, ["entity", "related_entities", "business_meaning"], has_pair
+        )
+        return pairs.withColumn(
+            "business_meaning", F.when(blank, F.lit("")).otherwise(F.col("business_meaning"))
+        )
+
+    @cached_property
+    def use_cases(self) -> DataFrame:
+        return _listed(self.customers, CASES, ["name", "description", "involved_tables"])
+
+    @cached_property
+    def sample_queries(self) -> DataFrame:
+        return _listed(self.customers, SAMPLES, ["question", "sql", "category"])
+
+
+def labels(spark: SparkSession, sf_dir: str) -> TenantLabels:
+    return TenantLabels(spark, sf_dir)
+
+
+def _column_answers(cust: DataFrame) -> DataFrame:
+    k = F.col("database_id")
+    return _rows(
+        cust,
+        _all_columns(k),
+        lambda b: F.struct(
+            _long(F.floor(b["t"] / 10), "batch_no"),
             table_name(k, b["table"]).alias("table_name"),
             column_name(k, b).alias("column_name"),
             _column_description(k, b).alias("description"),
-            F.coalesce(
-                classify(column_name(k, b))["classification"], _model_type(k, b)
-            ).alias("semantic_type"),
-        ),
-        entities=_listed(cust, [(e,) for e in ENTITIES], ["name"]),
-        entity_relationships=pairs.withColumn(
-            "business_meaning",
-            F.when((F.col("ordinal") == 2) & every(k, 3), F.lit("")).otherwise(
-                F.col("business_meaning")
-            ),
+            _model_type(k, b).alias("model_type"),
         ),
-        use_cases=_listed(cust, CASES, ["name", "description", "involved_tables"]),
-        sample_queries=_listed(cust, SAMPLES, ["question", "sql", "category"]),
     )
 
 
 def model_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, b = F.col("database_id"), F.col("b")
-    return _columns(customers(spark, sf_dir)).select(
-        "database_id",
-        table_name(k, b["table"]).alias("table_name"),
-        column_name(k, b).alias("column_name"),
-        _model_type(k, b).alias("semantic_type"),
+    return _column_answers(customers(spark, sf_dir)).select(
+        "database_id", "table_name", "column_name", F.col("model_type").alias("semantic_type")
     )
 
 
@@ -660,15 +740,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(body)
         .alias("answer"),
     )
-    b = F.col("b")
-    cols = _columns(cust).select(
-        "database_id",
-        F.floor(b["t"] / 10).cast("bigint").alias("batch_no"),
-        table_name(k, b["table"]).alias("table_name"),
-        column_name(k, b).alias("column_name"),
-        _column_description(k, b).alias("description"),
-        _model_type(k, b).alias("model_type"),
-    )
+    cols = _column_answers(cust)
     per_table = cols.groupBy("database_id", "batch_no", "table_name").agg(
         F.map_from_entries(F.collect_list(F.when(
             F.col("description").isNotNull(),
