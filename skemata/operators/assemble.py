@@ -147,9 +147,10 @@ def business_processes(tables: DataFrame, rows: int = PART_ROWS) -> DataFrame:
     return parts
 
 
-def pattern_section(patterns: DataFrame) -> DataFrame:
+def pattern_section(patterns: DataFrame, *more: str) -> DataFrame:
     return patterns.select(
         "database_id",
+        *more,
         "pattern",
         F.col("table_name").alias("table"),
         F.array_join("evidence", ", ").alias("evidence"),
@@ -157,9 +158,10 @@ def pattern_section(patterns: DataFrame) -> DataFrame:
     )
 
 
-def issue_section(issues: DataFrame) -> DataFrame:
+def issue_section(issues: DataFrame, *more: str) -> DataFrame:
     return issues.select(
         "database_id",
+        *more,
         F.coalesce("severity", F.lit("INFO")).alias("severity"),
         F.coalesce("type", F.lit("")).alias("type"),
         F.coalesce("table_name", F.lit("")).alias("table"),
@@ -210,7 +212,7 @@ def assemble_documents(
 ) -> DataFrame:
     """Nested documents in parts of at most ``rows`` items per section.
 
-    ``sections`` maps a section name to rows of ``(database_id, ordinal, item)``.
+    ``sections`` maps a section name to rows made by ``section``.
     A database of usual size is one document, part 0.  A database that holds a
     large share of all rows becomes many parts, so no task gathers it whole.
     Metadata is in part 0.
@@ -220,7 +222,14 @@ def assemble_documents(
     for name, df in sections.items():
         grouped.append(
             df.groupBy("database_id", part_of("ordinal", rows).alias("part_no"))
-            .agg(F.array_sort(F.collect_list(F.struct("ordinal", "item.*"))).alias(name))
+            .agg(
+                F.transform(
+                    F.array_sort(
+                        F.collect_list(F.struct("lead", F.struct("ordinal", "item.*").alias("row")))
+                    ),
+                    lambda r: r["row"],
+                ).alias(name)
+            )
         )
     parts = metadata.select("database_id", F.lit(0).cast("bigint").alias("part_no"), "metadata")
     for df in grouped:
@@ -233,9 +242,15 @@ def assemble_documents(
     )
 
 
-def section(df: DataFrame, ordinal: str | Column, *fields: str) -> DataFrame:
-    """Shape a relation for ``assemble_documents``."""
-    place = F.col(ordinal) if isinstance(ordinal, str) else ordinal
+def section(df: DataFrame, ordinal: str, *fields: str, lead: str | None = None) -> DataFrame:
+    """Shape a relation for ``assemble_documents``.
+
+    ``ordinal`` places an item, and picks its part; ``lead`` comes before it in
+    the order inside a part.
+    """
     return df.select(
-        "database_id", place.cast("bigint").alias("ordinal"), F.struct(*fields).alias("item")
+        "database_id",
+        F.col(ordinal).cast("bigint").alias("ordinal"),
+        (F.col(lead) if lead else F.lit(0)).cast("bigint").alias("lead"),
+        F.struct(*fields).alias("item"),
     )

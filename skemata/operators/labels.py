@@ -106,7 +106,8 @@ def schema_patterns(columns: DataFrame, patterns: Sequence[Pattern] = PATTERNS)
         F.transform(
             F.array_sort(F.collect_list(F.struct("column_ordinal", "column_name"))),
             lambda c: c["column_name"],
-        ).alias("evidence")
+        ).alias("evidence"),
+        F.min("column_ordinal").alias("ordinal"),
     )
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from skemata.plans.sqltenants import ALL_RULES, rule_case, with_parts
+from skemata.functions.rules import PATTERNS, SEMANTIC_RULES
+from skemata.functions.names import IRREGULAR, PREPOSITIONS, SUPERIORS
+from skemata.operators.quality import ADVICE, NO_ADVICE
+from skemata.plans.sqltenants import ALL_RULES, SNAKE, lit, rule_case, values, with_parts
 
 SQL: dict[str, str] = {}
+NONE = "CAST(NULL AS VARCHAR)"
+
+# ---------------------------------------------------------------- B: canonical
 
 SQL["canonical_columns"] = with_parts("cols") + (
     "SELECT database_id, column_ordinal, table_ordinal, table_name, position, column_name,"
@@ -13,14 +19,243 @@ SQL["canonical_columns"] = with_parts("cols") + (
 SQL["canonical_relationships"] = with_parts("rels") + (
     "SELECT database_id, from_table, from_column, to_table, to_column, constraint_name FROM rels"
 )
+SQL["canonical_tables"] = with_parts("tabs") + (
+    "SELECT database_id, table_ordinal, table_name, 'TABLE' AS table_type FROM tabs"
+)
+VIEW_COLUMNS = (
+    "vcols AS (SELECT * FROM (VALUES ('v_orders', 0, 'o_orderkey', 'bigint', FALSE),"
+    " ('v_orders', 1, 'c_name', 'unknown', TRUE), ('v_parts', 0, 'p_name', 'text', TRUE))"
+    " v(view_name, position, column_name, data_type, is_nullable))"
+)
+SQL["canonical_views"] = with_parts("vws") + f", {VIEW_COLUMNS} " + (
+    "SELECT database_id, view_ordinal, view_name, definition, CAST(position AS BIGINT) AS position,"
+    " column_name, data_type, is_nullable FROM vws JOIN vcols USING (view_name)"
+)
+SQL["database_versions"] = with_parts("dbs") + "SELECT database_id, vendor, name, version FROM dbs"
+ENDS = ["from_table", "from_column", "to_table", "to_column"]
+SQL["relationship_keys"] = with_parts("rels") + (
+    "SELECT database_id, rel_ordinal, " + ", ".join(ENDS) + ", 'truthy' AS mode FROM rels"
+    " UNION ALL SELECT database_id, rel_ordinal, "
+    + ", ".join(f"CASE WHEN k % 4 = 1 THEN '' ELSE {e} END" for e in ENDS)
+    + ", 'present' FROM rels"
+)
+SQL["arrow_relationships"] = with_parts("rels") + (
+    "SELECT database_id, rel_ordinal, from_table || '.' || from_column || ' → ' || to_table || '.'"
+    " || to_column AS description, from_table AS child_table, from_column AS child_column,"
+    " to_table AS parent_table, to_column AS parent_column FROM rels WHERE f % 3 <> 0"
+)
+SQL["document_kinds"] = with_parts("dbs") + (
+    "SELECT database_id, k % 3 = 0 AND has_tables AND vendor = '' AS enriched FROM dbs"
+)
+CONSTRAINTS = (
+    "cons AS (SELECT database_id, table_name, table_name || '_pkey' AS constraint_name,"
+    " 'PRIMARY KEY' AS constraint_type, column_name FROM cols WHERE is_primary_key UNION ALL"
+    " SELECT database_id, from_table, constraint_name, 'FOREIGN KEY', from_column FROM rels)"
+)
+IS_FK = (
+    "EXISTS (SELECT 1 FROM rels r WHERE r.database_id = cols.database_id"
+    " AND r.from_table = cols.table_name AND r.from_column = cols.column_name)"
+)
+SQL["schema_flags"] = with_parts("cols", "rels") + (
+    f"SELECT database_id, table_name, column_name, is_primary_key, {IS_FK} AS is_foreign_key,"
+    f" 'raw' AS source FROM cols UNION ALL SELECT database_id, table_name, column_name,"
+    f" is_primary_key, {IS_FK}, 'enriched' FROM cols"
+)
+SQL["rebuilt_constraints"] = with_parts("cols", "rels") + (
+    "SELECT database_id, table_name, column_name, 'pk_' || table_name || '_' || column_name AS"
+    " constraint_name, 'PRIMARY KEY' AS constraint_type FROM cols WHERE is_primary_key UNION ALL"
+    " SELECT database_id, table_name, column_name, 'fk_' || table_name || '_' || column_name,"
+    f" 'FOREIGN KEY' FROM cols WHERE {IS_FK} UNION ALL"
+    " SELECT database_id, from_table, from_column, coalesce(nullif(constraint_name, ''),"
+    " 'fk_' || from_table || '_' || from_column), 'RELATIONSHIP' FROM rels"
+)
+SQL["inbound_references"] = with_parts("rels") + (
+    "SELECT database_id, to_table AS table_name, from_table AS child_table,"
+    " from_column AS child_column, to_column AS parent_column FROM rels"
+)
+
+# ------------------------------------------------------------------- C: rules
+
 SQL["rule_classify_columns"] = with_parts("cols") + (
     "SELECT database_id, table_name, column_name,"
     f" {rule_case('column_name', 'label', ALL_RULES)} AS classification,"
     f" CAST({rule_case('column_name', 'confidence', ALL_RULES)} AS DOUBLE) AS confidence FROM cols"
 )
+SQL["semantic_classify_columns"] = with_parts("cols") + (
+    "SELECT database_id, table_name, column_name,"
+    f" {rule_case('column_name', 'label', SEMANTIC_RULES)} AS classification,"
+    f" CAST({rule_case('column_name', 'confidence', SEMANTIC_RULES)} AS DOUBLE) AS confidence FROM cols"
+)
+SQL["merged_semantic_types"] = with_parts("ecols") + (
+    "SELECT database_id, table_name, column_name, semantic_type,"
+    f" CASE WHEN ({rule_case('column_name', 'label', ALL_RULES)}) IS NOT NULL THEN 'rule'"
+    " ELSE 'model' END AS source FROM ecols WHERE semantic_type IS NOT NULL"
+)
+INDICATORS = values(
+    "inds", "pattern, description, indicator",
+    [(p.name, p.description, i.lower()) for p in PATTERNS for i in p.indicators],
+)
+SQL["schema_patterns"] = with_parts("cols") + f", {INDICATORS} " + (
+    'SELECT database_id, pattern, table_name AS "table",'
+    " string_agg(column_name, ', ' ORDER BY column_ordinal) AS evidence, description"
+    " FROM cols JOIN inds ON lower(column_name) = indicator GROUP BY ALL"
+)
 
-NONE = "CAST(NULL AS VARCHAR)"
-SQL["validation_issues"] = with_parts("tabs", "cols", "rels", "tlab", "ecols") + f"""
+# ------------------------------------------------------------------- D: batches
+
+TABLE_LINES = (
+    "tlines AS (SELECT tabs.database_id, table_ordinal, '  - ' || tabs.table_name || ': [' ||"
+    " coalesce(l.listed, '') || ']' AS line FROM tabs LEFT JOIN (SELECT database_id, t,"
+    " string_agg(column_name || ' (' || data_type || ')' || CASE WHEN is_primary_key THEN ' PK'"
+    " ELSE '' END, ', ' ORDER BY column_ordinal) AS listed FROM cols GROUP BY ALL) l"
+    " ON l.database_id = tabs.database_id AND l.t = tabs.t)"
+)
+SQL["table_listing"] = with_parts("tabs", "cols") + f", {TABLE_LINES} " + (
+    "SELECT dbs.database_id, CAST(0 AS BIGINT) AS part_no, coalesce(x.text, '(no tables)') AS text"
+    " FROM dbs LEFT JOIN (SELECT database_id, string_agg(line, chr(10) ORDER BY table_ordinal) AS text"
+    " FROM tlines GROUP BY ALL) x USING (database_id)"
+)
+SQL["column_batches"] = with_parts("tabs", "cols") + f", {TABLE_LINES} " + (
+    "SELECT database_id, table_ordinal // 10 AS batch_no, count(*) AS tables_count,"
+    " string_agg(line, chr(10) ORDER BY table_ordinal) AS text FROM tlines GROUP BY ALL"
+)
+SQL["relationship_listing"] = with_parts("rels") + (
+    "SELECT dbs.database_id, CAST(0 AS BIGINT) AS part_no, coalesce(x.text, '(no relationships)') AS text,"
+    " 'Database: ' || name || ' | ' || coalesce(nullif(vendor, ''), '(unknown)') ||"
+    " coalesce(' | Version: ' || version, '') AS context"
+    " FROM dbs LEFT JOIN (SELECT database_id, string_agg('  - ' || from_table || '.' || from_column"
+    " || ' → ' || to_table || '.' || to_column, chr(10) ORDER BY f) AS text FROM rels GROUP BY ALL) x"
+    " USING (database_id)"
+)
+SQL["answer_json"] = with_parts("dbs") + (
+    "SELECT database_id, 1 AS pass_no, CAST(0 AS BIGINT) AS batch_no, k % 29 <> 7 AS parsed FROM dbs WHERE has_tables"
+    " UNION ALL SELECT database_id, 2, b, TRUE FROM dbs CROSS JOIN (VALUES (0), (1)) v(b) WHERE has_tables"
+    " UNION ALL SELECT database_id, 3, 0, TRUE FROM dbs WHERE has_tables"
+)
+SQL["answer_table_labels"] = with_parts("etabs") + (
+    "SELECT database_id, table_name, CASE WHEN k % 29 <> 7 THEN description END AS description,"
+    " CASE WHEN k % 29 <> 7 THEN business_role END AS business_role,"
+    " CASE WHEN k % 29 <> 7 THEN domain END AS domain FROM etabs"
+)
+SQL["answer_column_labels"] = with_parts("ecols") + (
+    "SELECT database_id, table_name, column_name, description,"
+    " CASE (k + g) % 3 WHEN 1 THEN 'ID' WHEN 2 THEN 'NAME' END AS semantic_type FROM ecols"
+    " WHERE (k + g) % 4 <> 0 OR (k + g) % 3 <> 0"
+)
+SQL["answer_entities"] = with_parts("ents") + "SELECT database_id, name, ordinal FROM ents"
+SQL["answer_sections"] = with_parts("pairs", "cases", "samples") + (
+    "SELECT database_id, 'entity_relationships' AS section, row_number() OVER (PARTITION BY database_id ORDER BY ordinal) - 1 AS ordinal,"
+    " entity || '|' || related_entities || '|' || business_meaning AS item FROM pairs UNION ALL"
+    " SELECT database_id, 'use_cases', ordinal, name || '|' || description || '|' || involved_tables FROM cases UNION ALL"
+    " SELECT database_id, 'sample_queries', ordinal, question || '|' || sql || '|' || category FROM samples"
+)
+SQL["physical_relationships"] = with_parts("rels") + (
+    "SELECT database_id, rel_ordinal, from_table, to_table, from_column, to_column FROM rels"
+)
+SQL["section_sizes"] = with_parts("dbs") + (
+    "SELECT database_id, CASE WHEN has_tables THEN 8 ELSE 0 END AS entities,"
+    " CASE WHEN has_tables THEN 5 - CAST(k % 5 = 2 AS INT) ELSE 0 END AS entity_relationships,"
+    " CASE WHEN has_tables THEN 2 ELSE 0 END AS use_cases,"
+    " CASE WHEN has_tables THEN 2 ELSE 0 END AS sample_queries FROM dbs"
+)
+
+# ------------------------------------------------------------------ E: assembly
+
+COUNTS = (
+    "counts AS (SELECT database_id, (SELECT count(*) FROM tabs x WHERE x.database_id = dbs.database_id) AS tables_count,"
+    " (SELECT count(*) FROM cols x WHERE x.database_id = dbs.database_id) AS columns_count,"
+    " (SELECT count(*) FROM vws x WHERE x.database_id = dbs.database_id) AS views_count,"
+    " (SELECT count(*) FROM rels x WHERE x.database_id = dbs.database_id) AS relationships_count FROM dbs)"
+)
+SQL["catalog_counts"] = with_parts("tabs", "cols", "vws", "rels") + f", {COUNTS} SELECT * FROM counts"
+SQL["enriched_tables"] = with_parts("etabs") + (
+    "SELECT database_id, table_name, table_ordinal, description, business_role, domain FROM etabs"
+)
+SQL["enriched_columns"] = with_parts("ecols") + (
+    "SELECT database_id, table_name, column_name, column_ordinal, table_ordinal, position, data_type,"
+    " is_nullable, is_primary_key, description, semantic_type FROM ecols"
+)
+SQL["view_sections"] = with_parts("vws") + f", {VIEW_COLUMNS} " + (
+    "SELECT database_id, view_name, CAST(position AS BIGINT) AS position, column_name, data_type,"
+    " is_nullable FROM vws JOIN vcols USING (view_name)"
+)
+
+
+def singular(x: str) -> str:
+    irregular = " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in IRREGULAR.items())
+    return (
+        f"CASE WHEN lower({x}) IN ({', '.join(lit(a) for a in IRREGULAR)}) THEN CASE lower({x}) {irregular} END"
+        f" WHEN lower({x}) LIKE '%ies' AND length({x}) > 3 THEN {x}[:-4] || 'y'"
+        f" WHEN regexp_matches(lower({x}), '(ss|sh|ch|s)es$') THEN {x}[:-3]"
+        f" WHEN lower({x}) LIKE '%s' AND lower({x}) NOT LIKE '%ss' THEN {x}[:-2] ELSE {x} END"
+    )
+
+
+def compact(x: str) -> str:
+    return f"replace(replace(replace(lower({x}), '_', ''), '-', ''), ' ', '')"
+
+
+def short(sentence: str, entity: str | None = None) -> str:
+    plain = f"regexp_replace({sentence}, '^(each|a|an)\\s+\\w+\\s+', '', 'i')"
+    if entity:
+        named = f"regexp_replace({sentence}, '^(each|a|an)\\s+' || {compact(entity)} || '\\s+', '', 'i')"
+        body = f"CASE WHEN {named} = {sentence} THEN {plain} ELSE {named} END"
+    else:
+        body = plain
+    for pattern, flags in (
+        (r"^(\w+\s+)*?(is|are)\s+", "i"),
+        (r"\s*\([^)]*\)", "g"),
+        (r"\s+(and|or)\s+.*$", "s"),
+        (r",.*$", "s"),
+        (r";.*$", "s"),
+        (r"\s+via\s+\w+(\s+to\s+\w+(\s+\w+)?)?$", ""),
+        (r"\s+(a|an|one|exactly\s+one|another)\s+\w+$", "i"),
+        (r"^(is|are)\s+", ""),
+    ):
+        tail = f", '{flags}'" if flags else ""
+        body = f"regexp_replace({body}, '{pattern}', ''{tail})"
+    preps = ", ".join(lit(p) for p in PREPOSITIONS)
+    words = f"list_filter(string_split_regex({body}, '\\s+'), lambda w: w <> '')"
+    return (
+        f"(SELECT array_to_string(ws[1:greatest(1, coalesce(list_max(list_transform(ws, lambda w, i:"
+        f" CASE WHEN lower(w) IN ({preps}) THEN i ELSE 1 END)), 1))], ' ') FROM (SELECT {words} AS ws))"
+    )
+
+
+CHILD, PARENT = singular("from_table"), singular("to_table")
+NAMED = f"""
+look AS (SELECT database_id, {compact('trim(entity)')} AS ce, {compact('trim(r)')} AS pe,
+    arg_max(business_meaning, ordinal * 1000 + n) AS meaning, arg_max(trim(entity), ordinal * 1000 + n) AS entity
+  FROM (SELECT *, unnest(string_split(related_entities, ',')) AS r, unnest(range(len(string_split(related_entities, ',')))) AS n FROM pairs)
+  WHERE trim(entity) <> '' AND business_meaning <> '' AND trim(r) <> '' GROUP BY 1, 2, 3),
+sing AS (SELECT *, {CHILD} AS child1, {PARENT} AS parent1 FROM rels),
+made AS (SELECT *, CASE
+    WHEN contains(lower(from_column), lower(parent1)) THEN 'each ' || child1 ||
+      CASE WHEN lower(parent1) IN ({', '.join(lit(x) for x in SUPERIORS)}) THEN ' reports to a ' ELSE ' belongs to a ' END || parent1
+    WHEN from_table = to_table AND from_column <> to_column THEN 'each ' || child1 || ' references another ' || child1 || ' via ' || from_column
+    WHEN lower(from_column) IN ('id', from_table || '_id') THEN 'each ' || child1 || ' is associated with one ' || parent1
+    ELSE 'each ' || child1 || ' references ' || parent1 || ' via ' || from_column END AS sentence FROM sing),
+found AS (SELECT made.*, coalesce(a.meaning, b.meaning) AS meaning, CASE WHEN a.meaning IS NOT NULL THEN a.entity ELSE b.entity END AS entity
+  FROM made LEFT JOIN look a ON a.database_id = made.database_id AND a.ce = {compact('child1')} AND a.pe = {compact('parent1')}
+  LEFT JOIN look b ON b.database_id = made.database_id AND b.ce = {compact('parent1')} AND b.pe = {compact('child1')}),
+texts AS (SELECT DISTINCT sentence, meaning, entity FROM found),
+phrases AS (SELECT *, CASE WHEN meaning IS NOT NULL THEN {short('meaning', 'entity')} ELSE {short('sentence')} END AS name FROM texts),
+named AS (SELECT found.*, phrases.name AS name, coalesce(found.meaning, found.sentence) AS description FROM found JOIN phrases
+  ON found.sentence IS NOT DISTINCT FROM phrases.sentence AND found.meaning IS NOT DISTINCT FROM phrases.meaning AND found.entity IS NOT DISTINCT FROM phrases.entity)
+"""
+SQL["relationship_names"] = with_parts("rels", "pairs") + f", {NAMED} " + (
+    "SELECT database_id, from_table, from_column, to_table, to_column, name, description,"
+    " from_table AS child_table, from_column AS child_column, to_table AS parent_table,"
+    " to_column AS parent_column FROM named"
+)
+SQL["business_processes"] = with_parts("etabs") + (
+    "SELECT database_id, domain, CAST(0 AS BIGINT) AS part_no, string_agg(table_name, ', ' ORDER BY table_ordinal) AS tables,"
+    " min(table_ordinal) AS first_seen FROM etabs WHERE domain IS NOT NULL GROUP BY ALL"
+)
+
+# ---------------------------------------------------------------- F: validation
+
+ISSUES = f"""issues AS (
 SELECT database_id, 'WARN' AS severity, 'no_schema' AS type, {NONE} AS table_name, {NONE} AS column_name,
   'canonical_schema is None — no schema to validate' AS message
 FROM dbs WHERE NOT EXISTS (SELECT 1 FROM tabs WHERE tabs.database_id = dbs.database_id)
@@ -36,12 +271,206 @@ UNION ALL
 SELECT database_id, 'WARN', 'empty_table', table_name, NULL, 'Table ''' || table_name || ''' has no columns defined.'
 FROM tabs WHERE NOT EXISTS (SELECT 1 FROM cols WHERE cols.database_id = tabs.database_id AND cols.t = tabs.t)
 UNION ALL
-SELECT database_id, 'INFO', 'missing_description', tabs.table_name, NULL, 'Table ''' || tabs.table_name || ''' has no business description.'
-FROM tabs LEFT JOIN (SELECT database_id, t, description FROM tlab) l USING (database_id, t) WHERE l.description IS NULL
+SELECT database_id, 'INFO', 'missing_description', table_name, NULL, 'Table ''' || table_name || ''' has no business description.'
+FROM etabs WHERE description IS NULL
 UNION ALL
 SELECT database_id, 'INFO', 'missing_description', table_name, column_name, 'Column ''' || table_name || '.' || column_name || ''' has no business description.'
 FROM ecols WHERE description IS NULL
 UNION ALL
 SELECT database_id, 'INFO', 'missing_semantic_type', table_name, column_name, 'Column ''' || table_name || '.' || column_name || ''' has no semantic type label.'
-FROM ecols WHERE semantic_type IS NULL
-"""
+FROM ecols WHERE semantic_type IS NULL)"""
+WITH_ISSUES = with_parts("tabs", "cols", "rels", "etabs", "ecols") + f", {ISSUES} "
+SQL["validation_issues"] = WITH_ISSUES + "SELECT * FROM issues"
+SQL["validation_status"] = WITH_ISSUES + (
+    "SELECT dbs.database_id, CASE WHEN coalesce(bool_or(severity = 'WARN'), FALSE) THEN 'WARN' ELSE 'PASS' END AS status,"
+    " count(severity) AS issues_count FROM dbs LEFT JOIN issues USING (database_id) GROUP BY 1"
+)
+SQL["issue_section"] = WITH_ISSUES + (
+    "SELECT database_id, severity, type, count(*) AS n, count(*) - count(column_name) AS without_column"
+    " FROM issues GROUP BY ALL"
+)
+
+
+def orphans(child: str, key: str, parent: str, pkey: str) -> str:
+    return (
+        f"SELECT '{child}.{key}' AS foreign_key, count(*) AS orphan_rows, count(DISTINCT {key}) AS orphan_keys,"
+        f" min(CAST({key} AS VARCHAR)) AS sample_key FROM {child} WHERE {key} IS NOT NULL"
+        f" AND NOT EXISTS (SELECT 1 FROM {parent} WHERE {pkey} = {child}.{key})"
+    )
+
+
+STAR = [
+    ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+    ("lineitem", "l_partkey", "part", "p_partkey"),
+    ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+    ("orders", "o_custkey", "customer", "c_custkey"),
+    ("customer", "c_nationkey", "nation", "n_nationkey"),
+    ("supplier", "s_nationkey", "nation", "n_nationkey"),
+    ("nation", "n_regionkey", "region", "r_regionkey"),
+    ("labels", "doc_id", "documents", "documents.doc_id"),
+    ("events", "user_id", "supplier", "s_suppkey"),
+    ("conversations", "conv_id", "benchmark", "item_id"),
+]
+SQL["orphan_fk_rows"] = " UNION ALL ".join(orphans(*s) for s in STAR)
+SQL["pk_violations"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, concat_ws('|', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols)}) AS key,"
+    f" count(*) AS rows_count, {' OR '.join(f'{c} IS NULL' for c in cols)} AS has_null FROM {t}"
+    f" GROUP BY {', '.join(cols)} HAVING count(*) > 1 OR {' OR '.join(f'{c} IS NULL' for c in cols)}"
+    for t, cols in (
+        ("lineitem", ["l_orderkey", "l_linenumber"]), ("labels", ["doc_id"]),
+        ("orders", ["o_orderkey"]), ("events", ["user_id"]),
+    )
+)
+
+# ------------------------------------------------------------------- G: quality
+
+FK_NAME = "'^[a-z][a-z0-9]*(_[a-z0-9]+)+_fkey$'"
+OK = "(trim(coalesce({0}, '')) <> '')"
+
+
+def ok(c: str) -> str:
+    return OK.format(c)
+
+
+CANDIDATES = """cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY database_id ORDER BY kind, place) AS candidate_no FROM (
+  SELECT database_id, k, 0 AS kind, table_ordinal AS place, table_name, CAST(NULL AS VARCHAR) AS column_name FROM QT WHERE trim(coalesce(description, '')) <> '' AND length(trim(description)) < 80
+  UNION ALL SELECT database_id, k, 1, column_ordinal, table_name, column_name FROM QC WHERE trim(coalesce(description, '')) <> '' AND length(trim(description)) < 60))
+  WHERE candidate_no <= 15),
+judged AS (SELECT * FROM cand WHERE (k + place) % 3 = 0)"""
+
+
+def scores(tabs: str, cols: str, name_col: str, judged: bool) -> str:
+    bad_t = "(SELECT count(*) FROM judged j WHERE j.database_id = dbs.database_id AND kind = 0)" if judged else "0"
+    bad_c = "(SELECT count(*) FROM judged j WHERE j.database_id = dbs.database_id AND kind = 1)" if judged else "0"
+    return f"""
+per_table AS (SELECT q.database_id, q.t, any_value(q.business_role) AS business_role, count(c.g) AS n, count(*) FILTER (c.is_primary_key) AS keys
+  FROM {tabs} q LEFT JOIN {cols} c ON c.database_id = q.database_id AND c.t = q.t GROUP BY 1, 2),
+mt AS (SELECT database_id, count(*)::DOUBLE AS t, count(*) FILTER ({ok('description')} AND {ok('business_role')} AND {ok('domain')})::DOUBLE AS t_ok,
+  count(*) FILTER ({ok('description')})::DOUBLE AS t_texts, sum(length(trim(coalesce(description, ''))))::DOUBLE AS t_length,
+  count(*) FILTER (regexp_matches(table_name, {SNAKE}))::DOUBLE AS t_snake FROM {tabs} GROUP BY 1),
+mc AS (SELECT database_id, count(*)::DOUBLE AS c, count(*) FILTER ({ok('description')} AND {ok('semantic_type')})::DOUBLE AS c_ok,
+  count(*) FILTER ({ok('description')})::DOUBLE AS c_texts, sum(length(trim(coalesce(description, ''))))::DOUBLE AS c_length,
+  count(*) FILTER (regexp_matches(column_name, {SNAKE}))::DOUBLE AS c_snake FROM {cols} GROUP BY 1),
+mp AS (SELECT database_id, count(*) FILTER (n > 20)::DOUBLE AS wide, count(*) FILTER (keys = 0)::DOUBLE AS keyless,
+  count(*) FILTER (business_role = 'junction' AND keys < 2)::DOUBLE AS junctions FROM per_table GROUP BY 1),
+mr AS (SELECT database_id, count(*)::DOUBLE AS repeated FROM (SELECT database_id, column_name FROM {cols} GROUP BY 1, 2 HAVING count(*) > 5) GROUP BY 1),
+mf AS (SELECT database_id, count(*)::DOUBLE AS fk, count(*) FILTER (regexp_matches(coalesce({name_col}, ''), {FK_NAME}))::DOUBLE AS fk_named FROM named GROUP BY 1),
+me AS (SELECT database_id, avg(CASE WHEN trim(business_meaning) <> '' THEN 1.0 ELSE 0.0 END)::DOUBLE AS er FROM pairs GROUP BY 1),
+m AS (SELECT dbs.database_id, coalesce(t, 0) t, coalesce(t_ok, 0) t_ok, coalesce(t_texts, 0) t_texts, coalesce(t_length, 0) t_length, coalesce(t_snake, 0) t_snake,
+  coalesce(c, 0) c, coalesce(c_ok, 0) c_ok, coalesce(c_texts, 0) c_texts, coalesce(c_length, 0) c_length, coalesce(c_snake, 0) c_snake,
+  coalesce(wide, 0) wide, coalesce(keyless, 0) keyless, coalesce(junctions, 0) junctions, coalesce(repeated, 0) repeated,
+  coalesce(fk, 0) fk, coalesce(fk_named, 0) fk_named, coalesce(er, 1.0) er, {bad_t}::DOUBLE AS t_bad, {bad_c}::DOUBLE AS c_bad
+  FROM dbs LEFT JOIN mt USING (database_id) LEFT JOIN mc USING (database_id) LEFT JOIN mp USING (database_id)
+  LEFT JOIN mr USING (database_id) LEFT JOIN mf USING (database_id) LEFT JOIN me USING (database_id)),
+raw AS (SELECT database_id,
+  CASE WHEN t > 0 THEN 0.4::DOUBLE * (t_ok / greatest(t, 1)) + 0.6::DOUBLE * (c_ok / greatest(c, 1)) ELSE 0 END AS completeness,
+  CASE WHEN t > 0 AND fk > 0 THEN 0.5::DOUBLE * least(fk / greatest(t, 1) / 2.0::DOUBLE, 1) + 0.5::DOUBLE * (fk_named / greatest(fk, 1)) ELSE 0 END AS relationships,
+  CASE WHEN t > 0 THEN (t_snake + c_snake) / greatest(t + c, 1) ELSE 0 END AS naming_convention,
+  CASE WHEN t > 0 THEN 0.3::DOUBLE * (least(t_length / greatest(t_texts, 1) / 100.0::DOUBLE, 1) * (1 - 0.3::DOUBLE * (t_bad / greatest(t, 1))))
+    + 0.4::DOUBLE * (least(c_length / greatest(c_texts, 1) / 60.0::DOUBLE, 1) * (1 - 0.3::DOUBLE * (c_bad / greatest(c, 1)))) + 0.3::DOUBLE * er ELSE 0 END AS documentation,
+  CASE WHEN t > 0 THEN greatest(1 - (0.1::DOUBLE * repeated + 0.2::DOUBLE * wide + 0.3::DOUBLE * keyless + 0.2::DOUBLE * junctions), 0) ELSE 0 END AS normalization FROM m),
+scored AS (SELECT database_id, round_even(completeness * 0.25::DOUBLE + relationships * 0.20::DOUBLE + naming_convention * 0.15::DOUBLE
+  + documentation * 0.25::DOUBLE + normalization * 0.15::DOUBLE, 4) AS overall_score, round_even(completeness, 4) AS completeness,
+  round_even(relationships, 4) AS relationships, round_even(naming_convention, 4) AS naming_convention,
+  round_even(documentation, 4) AS documentation, round_even(normalization, 4) AS normalization FROM raw)"""
+
+
+WITH_QUALITY = with_parts("etabs", "ecols", "rels", "pairs") + f", {NAMED}, "
+PLAIN = WITH_QUALITY + scores("etabs", "ecols", "name", False)
+SQL["quality_scores"] = PLAIN + " SELECT * FROM scored"
+SQL["quality_scores_judged"] = (
+    WITH_QUALITY
+    + CANDIDATES.replace("QT", "etabs").replace("QC", "ecols")
+    + ", "
+    + scores("etabs", "ecols", "constraint_name", True)
+    + " SELECT * FROM scored"
+)
+SQL["quality_of_domain"] = (
+    WITH_QUALITY
+    + "dtabs AS (SELECT * FROM etabs WHERE domain = 'Reference Data'), dcols AS (SELECT ecols.* FROM ecols"
+    " SEMI JOIN dtabs USING (database_id, t)), "
+    + scores("dtabs", "dcols", "name", False)
+    + " SELECT * FROM scored"
+)
+DIMENSIONS = ["completeness", "relationships", "naming_convention", "documentation", "normalization"]
+SQL["score_display"] = PLAIN + " SELECT database_id, " + ", ".join(
+    f"CAST(CAST(trunc({c} * 100) AS INT) AS VARCHAR) || '/100' AS {c}" for c in ["overall_score", *DIMENSIONS]
+) + " FROM scored"
+SQL["recommendations"] = PLAIN + (
+    ", advice AS (SELECT database_id, list_filter(["
+    + ", ".join(f"CASE WHEN {d} < 0.7 THEN {lit(ADVICE[d])} END" for d in DIMENSIONS)
+    + "], lambda x: x IS NOT NULL) AS a FROM scored),"
+    f" full_advice AS (SELECT database_id, CASE WHEN len(a) > 0 THEN a ELSE [{lit(NO_ADVICE)}] END AS a FROM advice)"
+    " SELECT database_id, unnest(range(len(a)))::INT AS ordinal, unnest(a) AS recommendation FROM full_advice"
+)
+
+
+def gap(rel: str, when: str, severity: str, kind: str, message: str, group: int, place: str, nth: int, table="table_name", column="NULL") -> str:
+    return (
+        f"SELECT database_id, '{severity}' AS severity, '{kind}' AS type, {table} AS table_name, CAST({column} AS VARCHAR) AS column_name,"
+        f" {message} AS message, {group} AS group_no, {place} AS place, {nth} AS nth FROM {rel} WHERE {when}"
+    )
+
+
+T_ = "'Table ''' || table_name || '''"
+C_ = "'Column ''' || table_name || '.' || column_name || '''"
+TP, CP = "table_ordinal * 2147483648", "table_ordinal * 2147483648 + 1 + position"
+
+
+def quality_issues(judged: bool) -> str:
+    parts = [
+        gap("etabs", f"NOT {ok('description')}", "WARN", "missing_table_description", f"{T_} has no business description.'", 1, TP, 0),
+        gap("etabs", f"NOT {ok('business_role')}", "WARN", "missing_business_role", f"{T_} has no business_role assigned.'", 1, TP, 1),
+        gap("etabs", f"NOT {ok('domain')}", "WARN", "missing_domain", f"{T_} has no domain assigned.'", 1, TP, 2),
+        gap("ecols", f"NOT {ok('description')}", "INFO", "missing_column_description", f"{C_} has no description.'", 1, CP, 0, column="column_name"),
+        gap("ecols", f"NOT {ok('semantic_type')}", "INFO", "missing_semantic_type", f"{C_} has no semantic_type.'", 1, CP, 1, column="column_name"),
+        gap("rels", f"NOT regexp_matches(coalesce(constraint_name, ''), {FK_NAME})", "WARN", "nonstandard_fk_name",
+            "'FK ''' || coalesce(constraint_name, '') || ''' does not follow the {child_table}_{child_column}_fkey naming convention.'", 2, "rel_ordinal", 0,
+            table="nullif(regexp_extract(coalesce(constraint_name, ''), '^(.*)_[^_]*_[^_]*$', 1), '')"),
+        gap("etabs", f"NOT regexp_matches(table_name, {SNAKE})", "WARN", "non_snake_case",
+            "'Table name ''' || table_name || ''' does not follow snake_case convention.'", 3, TP, 0),
+        gap("ecols", f"NOT regexp_matches(column_name, {SNAKE})", "WARN", "non_snake_case",
+            "'Column name ''' || table_name || '.' || column_name || ''' does not follow snake_case convention.'", 3, CP, 0, column="column_name"),
+        gap("(SELECT database_id, column_name, count(*) AS n, array_to_string((list(table_name ORDER BY g))[1:5], ', ') AS sample, min(g) AS g FROM ecols GROUP BY 1, 2)",
+            "n > 5", "INFO", "redundant_column",
+            "'Column ''' || column_name || ''' appears in ' || n || ' tables (' || sample || ', ...). This may indicate a missing normalization or shared lookup table.'",
+            5, "g", 0, table="CAST(NULL AS VARCHAR)", column="column_name"),
+        gap("sized", "n > 20", "WARN", "wide_table", f"{T_} has ' || n || ' columns (>20). Consider vertical partitioning or normalization.'", 6, "table_ordinal", 0),
+        gap("sized", "keys = 0", "WARN", "missing_pk", f"{T_} has no primary key column.'", 7, "table_ordinal", 0),
+        gap("sized", "business_role = 'junction' AND keys < 2", "WARN", "junction_missing_composite_pk",
+            "'Junction table ''' || table_name || ''' has fewer than 2 primary key columns. Junction tables should have a composite PK on the FK columns.'", 8, "table_ordinal", 0),
+    ]
+    if judged:
+        parts += [
+            gap("judged", "kind = 0", "WARN", "boilerplate_table_description", f"{T_} description may be boilerplate: generic wording'", 4, "candidate_no", 0),
+            gap("judged", "kind = 1", "INFO", "boilerplate_column_description", f"{C_} description may be boilerplate: generic wording'", 4, "candidate_no", 0, column="column_name"),
+        ]
+    return (
+        "sized AS (SELECT q.database_id, q.table_name, q.table_ordinal, q.business_role, count(c.g) AS n, count(*) FILTER (c.is_primary_key) AS keys"
+        " FROM etabs q LEFT JOIN ecols c ON c.database_id = q.database_id AND c.t = q.t GROUP BY ALL), qissues AS ("
+        + " UNION ALL ".join(parts) + ")"
+    )
+
+
+WITH_ROWS = with_parts("etabs", "ecols", "rels")
+SQL["quality_issues"] = (
+    WITH_ROWS + ", " + CANDIDATES.replace("QT", "etabs").replace("QC", "ecols") + ", " + quality_issues(True)
+    + " SELECT database_id, severity, type, table_name, column_name, message FROM qissues"
+)
+SQL["issue_samples"] = (
+    WITH_ROWS + ", " + quality_issues(False)
+    + " SELECT database_id, line_no::INT AS line_no, '- [' || severity || '] ' || message AS line FROM (SELECT *, row_number() OVER"
+    " (PARTITION BY database_id ORDER BY group_no, place, nth) AS line_no FROM qissues) WHERE line_no <= 5"
+)
+SQL["assembled_documents"] = (
+    with_parts("tabs", "cols", "rels", "etabs", "ecols", "vws", "ents", "pairs") + f", {ISSUES}, {COUNTS} " + """
+SELECT dbs.database_id, CAST(0 AS BIGINT) AS part_no, dbs.name AS database_name, columns_count, tables_count::INT AS n_tables,
+ columns_count::INT AS n_columns, relationships_count::INT AS n_relationships,
+ (SELECT count(*) FROM ents x WHERE x.database_id = dbs.database_id)::INT AS n_entities,
+ (SELECT count(*) FROM pairs x WHERE x.database_id = dbs.database_id)::INT AS n_entity_relationships,
+ (SELECT count(DISTINCT domain) FROM etabs x WHERE x.database_id = dbs.database_id)::INT AS n_processes,
+ (SELECT count(*) FROM issues x WHERE x.database_id = dbs.database_id)::INT AS n_issues,
+ (SELECT arg_min(table_name, table_ordinal) FROM tabs x WHERE x.database_id = dbs.database_id) AS first_table,
+ (SELECT arg_max(column_name, column_ordinal) FROM cols x WHERE x.database_id = dbs.database_id) AS last_column
+FROM dbs JOIN counts USING (database_id)"""
+)

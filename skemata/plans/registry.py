@@ -5,10 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from skemata.operators import canonical, labels, validate
-from skemata.plans import tenants as T
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,29 +15,18 @@ def query(fn: Query) -> Query:
     return fn
 
 
-# ---------------------------------------------------------------- B: canonical
-
-
-@query
-def canonical_columns(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns of all raw documents with nullability and key flags."""
-    return canonical.canonicalise(T.raw_documents(spark, sf)).columns
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-@query
-def canonical_relationships(spark: SparkSession, sf: str) -> DataFrame:
-    """Foreign keys with their constraint names."""
-    return canonical.canonicalise(T.raw_documents(spark, sf)).relationships.drop("rel_ordinal")
-
-
-@query
-def rule_classify_columns(spark: SparkSession, sf: str) -> DataFrame:
-    cat = T.catalog(spark, sf)
-    return labels.classify_columns(
-        cat.columns.select("database_id", "table_name", "column_name")
+def load() -> dict[str, Query]:
+    """All queries; importing the modules registers them."""
+    from skemata.plans import (  # noqa: F401
+        catalog_queries,
+        data_queries,
+        graph_queries,
+        source_queries,
+        text_queries,
     )
 
-
-@query
-def validation_issues(spark: SparkSession, sf: str) -> DataFrame:
-    return validate.validation_issues(T.catalog(spark, sf), T.labels(spark, sf))
+    return QUERIES

@@ -499,7 +499,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stub = F.array(
         F.struct(
-            F.lit(STUB_TABLE).alias("table_name"),
+            table_name(k, F.lit(STUB_TABLE)).alias("table_name"),
             F.lit(None).cast(OF_COLUMNS).alias("columns"),
             F.lit(None).cast(OF_CONSTRAINTS).alias("constraints"),
             F.lit(None).cast(OF_KEYS).alias("relationships"),
