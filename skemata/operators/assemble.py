@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skemata.functions.names import describe_relationship, short_name, singular
+from skemata.functions.names import describe_relationship, phrase, phrase_words, singular
 from skemata.functions.text import compact, strip
 from skemata.scale import PART_ROWS, joined_lines, part_of, skew_join
 from skemata.schemas import Catalog
@@ -113,17 +113,34 @@ def name_relationships(relationships: DataFrame, entity_relationships: DataFrame
         )
 
     both = look_up(look_up(ends, "__c", "__p", "f"), "__p", "__c", "b")
-    meaning = F.coalesce("f_meaning", "b_meaning")
-    entity = F.when(F.col("f_meaning").isNotNull(), F.col("f_entity")).otherwise(F.col("b_entity"))
-    made = describe_relationship(
-        F.col("from_table"), F.col("from_column"), F.col("to_table"), F.col("to_column")
+    # staged, so that no sentence is made or taken apart twice
+    staged = (
+        both.withColumns(
+            {
+                "__meaning": F.coalesce("f_meaning", "b_meaning"),
+                "__entity": F.when(F.col("f_meaning").isNotNull(), F.col("f_entity")).otherwise(
+                    F.col("b_entity")
+                ),
+                "__made": describe_relationship(
+                    F.col("from_table"),
+                    F.col("from_column"),
+                    F.col("to_table"),
+                    F.col("to_column"),
+                ),
+            }
+        )
+        .withColumn(
+            "__words",
+            F.when(
+                F.col("__meaning").isNotNull(),
+                phrase_words(F.col("__meaning"), F.col("__entity")),
+            ).otherwise(phrase_words(F.col("__made"))),
+        )
     )
-    return both.select(
+    return staged.select(
         *relationships.columns,
-        F.when(meaning.isNotNull(), short_name(meaning, entity))
-        .otherwise(short_name(made))
-        .alias("name"),
-        F.coalesce(meaning, made).alias("description"),
+        phrase(F.col("__words")).alias("name"),
+        F.coalesce("__meaning", "__made").alias("description"),
         F.col("from_table").alias("child_table"),
         F.col("from_column").alias("child_column"),
         F.col("to_table").alias("parent_table"),

@@ -13,6 +13,7 @@ from skemata.functions.vectors import hash_embedding
 from skemata.operators.graph import ENDS, join_paths, path_pairs
 from skemata.operators.search import top_per_type
 from skemata.scale import joined_lines, part_of, skew_join, whole_text
+from skemata.session import cut_lineage
 
 QUESTION = ["question_id", "database_id"]
 TABLE_KEY = ["database_id", "table_name"]
@@ -269,8 +270,11 @@ def context_from_hits(
     edges: DataFrame,
     hops: int = GRAPH_HOPS,
 ) -> SchemaContext:
-    paths = join_paths(edges, start_tables(matched_tables(hits)), hops)
-    seen = table_context(hits, tables, paths)
+    # hits, paths and tables are read by several sections each, and are small
+    # next to the vectors and catalogs they were found in
+    hits = cut_lineage(hits)
+    paths = cut_lineage(join_paths(edges, start_tables(matched_tables(hits)), hops))
+    seen = cut_lineage(table_context(hits, tables, paths))
     foreign, entity = relationship_hits(hits)
     return SchemaContext(
         tables=seen,
@@ -477,7 +481,7 @@ def topic_questions(requests: DataFrame) -> DataFrame:
 
 def topic_context(requests: DataFrame, objects: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """Text block per request: similar tables, entity relations, neighbours on join paths."""
-    hits = question_hits(topic_questions(requests), objects, TOPIC_LIMITS)
+    hits = cut_lineage(question_hits(topic_questions(requests), objects, TOPIC_LIMITS))
     tables = hits.filter((F.col("object_type") == "table") & (_meta("table_name") != "")).select(
         *QUESTION, "rank", _meta("table_name").alias("table_name")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,8 +155,6 @@ def model_vector(encode: Callable[[Sequence[str]], Sequence[Sequence[float]]]):
 
     Texts reach it in Arrow batches; an empty batch is not sent.
     """
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
         if len(texts) == 0:

@@ -172,8 +172,9 @@ def join_paths(
     """
     keys = [c for c in starts.columns if c != "start_tables"]
     asked = start_pairs(starts)
-    pairs = asked.select("database_id", "src", "tgt").distinct()
-    adj = adjacency(edges).filter(F.col("from_table") != F.col("to_table"))
+    pairs = cut_lineage(asked.select("database_id", "src", "tgt").distinct())
+    # read once per hop and direction, so it is computed once
+    adj = cut_lineage(adjacency(edges).filter(F.col("from_table") != F.col("to_table")))
 
     # tables within h hops of a target, walking backwards
     targets = pairs.select("database_id", "tgt").distinct()
@@ -190,7 +191,7 @@ def join_paths(
             .withColumn("left", F.lit(h))
         )
         near = near.unionByName(ring)
-    near = near.groupBy("database_id", "tgt", "node").agg(F.min("left").alias("left"))
+    near = cut_lineage(near.groupBy("database_id", "tgt", "node").agg(F.min("left").alias("left")))
 
     front = pairs.select(
         "database_id",

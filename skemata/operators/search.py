@@ -185,6 +185,8 @@ def _by_shards(
     )
     blocks = visits.select(*grouped, "__shard", "__block").distinct()
     placed = placed.join(blocks, [*grouped, "__shard"])
+    # both sides may come from one table; a cogroup needs them told apart
+    placed = placed.select(*[F.col(c).alias(c) for c in placed.columns])
 
     def score(asked_rows: pd.DataFrame, stored_rows: pd.DataFrame) -> pd.DataFrame:
         board = _Board(k)

@@ -480,7 +480,9 @@ def _quality_inputs(spark: SparkSession, sf: str):
 @query
 def quality_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Five scores and the total per database."""
-    return quality.quality_scores(*_quality_inputs(spark, sf))
+    return quality.quality_scores(
+        *_quality_inputs(spark, sf), bare_columns=T.catalog(spark, sf).columns
+    )
 
 
 @query

@@ -474,3 +474,165 @@ SELECT dbs.database_id, CAST(0 AS BIGINT) AS part_no, dbs.name AS database_name,
  (SELECT arg_max(column_name, column_ordinal) FROM cols x WHERE x.database_id = dbs.database_id) AS last_column
 FROM dbs JOIN counts USING (database_id)"""
 )
+
+# ------------------------------------------------------------------ H: objects
+
+
+def shown(c: str) -> str:
+    return f"coalesce({c}, 'None')"
+
+
+OBJECTS = f"""
+tobj AS (SELECT q.database_id, 'table' AS object_type, q.table_name AS object_name, 'table:' || q.table_name AS object_key,
+  'Table: ' || q.table_name || chr(10) || 'Description: ' || {shown('q.description')} || chr(10) || 'Business Role: ' || {shown('q.business_role')}
+  || chr(10) || 'Domain: ' || {shown('q.domain')} || chr(10) || 'Columns:' || chr(10) || coalesce(l.listed, '') AS text_content,
+  q.table_name AS table_name, {NONE} AS column_name, CAST(coalesce(l.n, 0) AS VARCHAR) AS column_count, {NONE} AS is_primary_key,
+  {NONE} AS from_table, {NONE} AS relationship_type, {NONE} AS entity
+  FROM etabs q LEFT JOIN (SELECT database_id, t, count(*) AS n, string_agg('  - ' || column_name || ' (' || data_type || ')[' || {shown('semantic_type')} || ']: '
+    || {shown('description')}, chr(10) ORDER BY position) AS listed FROM ecols GROUP BY ALL) l ON l.database_id = q.database_id AND l.t = q.t),
+cobj AS (SELECT database_id, 'column' AS object_type, table_name || '.' || column_name AS object_name, 'column:' || table_name || '.' || column_name AS object_key,
+  'Column: ' || table_name || '.' || column_name || chr(10) || 'Data Type: ' || data_type || chr(10) || 'Semantic Type: ' || {shown('semantic_type')} || chr(10)
+  || 'Description: ' || {shown('description')} || chr(10) || 'Primary Key: ' || CASE WHEN is_primary_key THEN 'True' ELSE 'False' END || chr(10)
+  || 'Nullable: ' || CASE WHEN is_nullable THEN 'True' ELSE 'False' END AS text_content,
+  table_name, column_name, NULL AS column_count, CASE WHEN is_primary_key THEN 'true' ELSE 'false' END AS is_primary_key, NULL AS from_table, NULL AS relationship_type, NULL AS entity FROM ecols),
+robj AS (SELECT database_id, 'relationship' AS object_type, from_table || '.' || from_column || '->' || to_table || '.' || to_column AS object_name,
+  'relationship:' || from_table || '.' || from_column || '->' || to_table || '.' || to_column AS object_key,
+  'Foreign Key: ' || from_table || '.' || from_column || ' -> ' || to_table || '.' || to_column || chr(10) || 'Relationship Type: foreign_key' AS text_content,
+  NULL AS table_name, NULL AS column_name, NULL AS column_count, NULL AS is_primary_key, from_table, 'foreign_key' AS relationship_type, NULL AS entity FROM rels),
+eobj AS (SELECT database_id, 'relationship' AS object_type, entity || '->' || related_entities AS object_name, 'entity_relationship:' || entity || '->' || related_entities AS object_key,
+  'Entity Relationship: ' || entity || ' -> ' || related_entities || chr(10) || 'Business Meaning: ' || business_meaning || chr(10) || 'Relationship Type: entity_relationship' AS text_content,
+  NULL AS table_name, NULL AS column_name, NULL AS column_count, NULL AS is_primary_key, NULL AS from_table, 'entity_relationship' AS relationship_type, entity FROM pairs),
+objects AS (SELECT * FROM tobj UNION ALL SELECT * FROM cobj UNION ALL SELECT * FROM robj UNION ALL SELECT * FROM eobj)
+"""
+WITH_OBJECTS = with_parts("etabs", "ecols", "rels", "pairs") + f", {OBJECTS} "
+SQL["embedding_texts"] = WITH_OBJECTS + (
+    "SELECT database_id, object_type, object_name, object_key, text_content FROM objects"
+)
+SQL["object_metadata"] = WITH_OBJECTS + (
+    "SELECT database_id, object_key, table_name, column_name, column_count, is_primary_key, from_table, relationship_type, entity FROM objects"
+)
+
+
+def digest(text: str) -> str:
+    """16 numbers of an md5 digest, scaled to unit length of 384 dimensions."""
+    raw = (
+        f"list_transform(range(16), lambda i: CAST(('0x' || substr(md5({text}), CAST(i * 2 + 1 AS INT), 2))::INT AS DOUBLE) / 127.5 - 1)"
+    )
+    return f"(SELECT list_transform(r, lambda x: x / sqrt(24 * list_sum(list_transform(r, lambda y: y * y)))) FROM (SELECT {raw} AS r))"
+
+
+SQL["hash_embeddings"] = (
+    f"SELECT doc_id, 384 AS dimensions, 1.0::DOUBLE AS length, round(v[1], 6) AS v0, round(v[2], 6) AS v1, round(v[16], 6) AS v15,"
+    f" round(v[1], 6) AS v16, round(v[16], 6) AS v383 FROM (SELECT doc_id, {digest('text')} AS v FROM documents)"
+)
+SQL["model_embeddings"] = (
+    "SELECT doc_id, length(text)::DOUBLE AS v0, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS v1,"
+    " (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS v2 FROM documents"
+)
+SQL["upsert_latest"] = (
+    "WITH b AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id,"
+    " arg_max(ts, event_id) AS ts FROM events WHERE event_type IN ('view', 'signup') GROUP BY 1),"
+    " n AS (SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id"
+    " FROM events WHERE event_type NOT IN ('view', 'signup') GROUP BY 1)"
+    " SELECT user_id, coalesce(n.event_type, b.event_type) AS event_type, coalesce(n.value, b.value) AS value, coalesce(n.event_id, b.event_id) AS event_id,"
+    " coalesce(b.ts, TIMESTAMP '2030-01-01') AS created_at, CASE WHEN n.user_id IS NOT NULL THEN TIMESTAMP '2030-01-01' ELSE b.ts END AS updated_at"
+    " FROM b FULL JOIN n USING (user_id)"
+)
+
+# ------------------------------------------------------------------- H: search
+
+SIMS = (
+    "WITH sims AS (SELECT q.vec_id AS question_id, v.vec_id AS object_key, v.label,"
+    " round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS s FROM embeddings q CROSS JOIN embeddings v)"
+)
+SQL["knn_topk"] = SIMS + (
+    " SELECT question_id, object_key, round(s, 6) AS similarity, r::INT AS rank FROM (SELECT *, row_number() OVER"
+    " (PARTITION BY question_id ORDER BY s DESC, object_key) AS r FROM sims) WHERE r <= 10"
+)
+SQL["knn_by_label"] = SIMS + (
+    " SELECT question_id, label, object_key, round(s, 6) AS similarity, r::INT AS rank FROM (SELECT *, row_number() OVER"
+    " (PARTITION BY question_id, label ORDER BY s DESC, object_key) AS r FROM sims WHERE label IN (0, 1, 2))"
+    " WHERE r <= CASE label WHEN 1 THEN 6 ELSE 3 END"
+)
+SQL["knn_sharded"] = SIMS + (
+    " SELECT question_id, object_key, round(s, 6) AS similarity, r::INT AS rank FROM (SELECT *, row_number() OVER"
+    " (PARTITION BY question_id ORDER BY s DESC, object_key) AS r FROM sims) WHERE r <= 5"
+)
+
+# -------------------------------------------------------------------- I: graph
+
+SQL["graph_vertices"] = with_parts("etabs", "ecols", "ents") + (
+    "SELECT database_id, 'Table' AS kind, table_name AS name, description FROM etabs UNION ALL"
+    " SELECT database_id, 'Column', table_name || '.' || column_name, description FROM ecols UNION ALL"
+    " SELECT DISTINCT database_id, 'Entity', name, NULL FROM ents"
+)
+FK = (
+    "fks AS (SELECT DISTINCT r.database_id, k, from_table, from_column, to_table, to_column FROM rels r"
+    " SEMI JOIN cols a ON a.database_id = r.database_id AND a.table_name = from_table AND a.column_name = from_column"
+    " SEMI JOIN cols b ON b.database_id = r.database_id AND b.table_name = to_table AND b.column_name = to_column)"
+)
+WITH_FK = with_parts("tabs", "cols", "rels", "ents", "pairs") + f", {FK}"
+SQL["graph_edges"] = WITH_FK + (
+    " SELECT DISTINCT database_id, 'HAS_COLUMN' AS kind, table_name AS start, column_name AS \"end\" FROM cols UNION ALL"
+    " SELECT database_id, 'FK_TO', from_table || '.' || from_column, to_table || '.' || to_column FROM fks UNION ALL"
+    " SELECT t.database_id, 'BELONGS_TO_ENTITY', table_name, arg_max(name, ordinal) FROM tabs t JOIN ents e"
+    " ON e.database_id = t.database_id AND lower(e.name) = lower(table_name) GROUP BY 1, 3 UNION ALL"
+    " SELECT DISTINCT p.database_id, 'RELATED_TO', entity, related_entities FROM pairs p"
+    " SEMI JOIN ents a ON a.database_id = p.database_id AND a.name = entity SEMI JOIN ents b ON b.database_id = p.database_id AND b.name = related_entities"
+)
+SQL["split_entity_edges"] = WITH_FK + (
+    ", sp AS (SELECT database_id, entity, trim(unnest(string_split(related_entities, ','))) AS related, business_meaning FROM pairs)"
+    " SELECT DISTINCT p.* FROM sp p SEMI JOIN ents a ON a.database_id = p.database_id AND a.name = entity"
+    " SEMI JOIN ents b ON b.database_id = p.database_id AND b.name = related"
+)
+SQL["key_clashes"] = with_parts("tabs", "cols") + (
+    "SELECT database_id, 'Table' AS kind, table_name AS key, count(*) AS rows_count FROM tabs GROUP BY ALL HAVING count(*) > 1 UNION ALL"
+    " SELECT database_id, 'Column', lower(column_name), count(*) FROM cols GROUP BY ALL HAVING count(*) > 1"
+)
+ADJ = (
+    "adj AS (SELECT * EXCLUDE (k) FROM fks UNION ALL SELECT database_id, to_table, to_column, from_table, from_column FROM fks)"
+)
+SQL["adjacency"] = WITH_FK + f", {ADJ} SELECT * FROM adj"
+
+
+def paths(hops: int, starts: str) -> str:
+    """Recursive twin of the path search; ``starts``: database_id, i, t rows."""
+    return f""", {ADJ}, starts AS ({starts}),
+paths AS (WITH RECURSIVE p AS (
+  SELECT a.key, a.database_id, a.i AS i, b.i AS j, b.t AS tgt, a.t AS node, [a.t] AS tables, CAST([] AS VARCHAR[]) AS steps FROM starts a JOIN starts b
+    ON a.key = b.key AND a.database_id = b.database_id AND a.i < b.i
+  UNION ALL
+  SELECT p.key, p.database_id, p.i, p.j, p.tgt, e.to_table, list_append(p.tables, e.to_table),
+    list_append(p.steps, e.from_table || '.' || e.from_column || '=' || e.to_table || '.' || e.to_column)
+  FROM p JOIN adj e ON e.database_id = p.database_id AND e.from_table = p.node
+  WHERE p.node <> p.tgt AND len(p.steps) < {hops} AND NOT list_contains(p.tables, e.to_table))
+SELECT key, database_id, i, j, tables, steps, len(steps) AS hops FROM p WHERE node = tgt)"""
+
+
+def cased(x: str) -> str:
+    return f"CASE WHEN k % 7 = 0 THEN upper(substr({x}, 1, 1)) || substr({x}, 2) ELSE {x} END"
+
+
+STARTS = (
+    "SELECT 0 AS key, database_id, i, " + cased("t") + " AS t FROM dbs CROSS JOIN"
+    " (VALUES (0, 'region'), (1, 'part'), (2, 'lineitem'), (3, 'customer')) v(i, t)"
+)
+SQL["join_paths"] = WITH_FK + paths(3, STARTS) + (
+    " SELECT database_id, i::INT AS i, j::INT AS j, array_to_string(tables, '>') AS tables, array_to_string(steps, ';') AS steps, hops::INT AS hops FROM paths"
+)
+SQL["path_pairs"] = WITH_FK + paths(2, STARTS) + (
+    " SELECT DISTINCT database_id, tables[n] AS entity, tables[n + 1] AS related_entities FROM paths, unnest(range(1, len(tables))) u(n)"
+)
+SQL["neighbourhood"] = with_parts("rels") + (
+    ", sel AS (SELECT database_id, " + cased("'orders'") + " AS s FROM dbs), near AS (SELECT database_id, s AS t FROM sel UNION"
+    " SELECT r.database_id, to_table FROM rels r JOIN sel ON sel.database_id = r.database_id AND from_table = s UNION"
+    " SELECT r.database_id, from_table FROM rels r JOIN sel ON sel.database_id = r.database_id AND to_table = s)"
+    " SELECT database_id, 'node' AS kind, t AS name FROM near UNION ALL"
+    " SELECT database_id, 'edge', concat_ws('-', from_table, from_column, to_table, to_column) FROM rels r"
+    " SEMI JOIN near a ON a.database_id = r.database_id AND a.t = from_table SEMI JOIN near b ON b.database_id = r.database_id AND b.t = to_table"
+)
+SQL["diagram"] = with_parts("tabs", "rels") + (
+    "SELECT database_id, concat_ws('-', from_table, from_column, to_table, to_column) AS edge_id, to_table AS source, from_table AS target,"
+    " 'source-' || to_column AS source_handle, 'target-' || from_column AS target_handle FROM rels UNION ALL"
+    " SELECT database_id, table_name, NULL, NULL, NULL, NULL FROM tabs"
+)

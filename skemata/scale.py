@@ -10,54 +10,39 @@ from pyspark.sql.window import Window
 
 from skemata.session import cut_lineage
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows, so there can
-# never be more than HOT_SHARE hot keys: that bounds what is broadcast.
-HOT_SHARE = 1000
-HOT_MIN_ROWS = 100_000
-
 # Rows put into one text part or one document part.
 PART_ROWS = 2000
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], min_rows: int = HOT_MIN_ROWS) -> DataFrame:
-    """Keys holding over 1/HOT_SHARE of the rows, with a salt count for each."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).scalar()
-    return counts.filter((F.col("__n") > min_rows) & (F.col("__n") * HOT_SHARE > total)).select(
-        *[F.col(c).alias(f"__hot_{c}") for c in on],
-        F.least(F.ceil(F.col("__n") * HOT_SHARE / total), F.lit(HOT_SHARE))
-        .cast("int")
-        .alias("__salts"),
-    )
-
-
 def skew_join(
     left: DataFrame,
     right: DataFrame,
     on: Sequence[str],
     how: str,
     salt_by: Sequence[str],
-    min_rows: int = HOT_MIN_ROWS,
+    salts: int = 1,
 ) -> DataFrame:
     """Equi-join whose left side may hold one key in a third of its rows.
 
-    Rows of a hot key are spread over salts taken from ``salt_by`` (columns that
-    tell the rows of one key apart), and the right rows of that key are repeated
-    per salt.  Works for inner, left, left_semi and left_anti joins.
+    By default the split is left to the adaptive skew join (``session`` turns it
+    on, also where it costs one more exchange): it sees real partition sizes,
+    cuts the hot ones and repeats only the right rows that belong to them.
+
+    With ``salts`` > 1 every left key is spread by a hash of ``salt_by`` (columns
+    that tell the rows of one key apart) and the right side is repeated per
+    salt; for a right side known to be small next to the left one.
+
+    Left joins of any kind keep this right: each left row meets every right row
+    of its key exactly once.
     """
-    hot = hot_keys(left, on, min_rows)
-
-    def flag(df: DataFrame) -> DataFrame:
-        same = [F.col(c).eqNullSafe(F.col(f"__hot_{c}")) for c in on]
-        cond = same[0]
-        for term in same[1:]:
-            cond = cond & term
-        return df.join(F.broadcast(hot), cond, "left").drop(*[f"__hot_{c}" for c in on])
-
-    spread = F.pmod(F.xxhash64(*salt_by), F.col("__salts")).cast("int")
-    salted = flag(left).withColumn("__salt", F.coalesce(spread, F.lit(0))).drop("__salts")
-    copies = F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)
-    repeated = flag(right).withColumn("__salt", F.explode(copies)).drop("__salts")
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"the left side cannot be split for a {how} join")
+    if salts == 1:
+        return left.join(right, list(on), how)
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
+    repeated = right.withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
     return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -13,15 +15,27 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a skewed join side even when that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # hash instead of sort-merge where every partition is small at run time
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings; cluster sizing is left to the caller."""
+    """Apply the runtime settings; cluster sizing is left to the caller.
+
+    The package is also sent to the workers, once per context, for the few
+    operators that run Python there.
+    """
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if not any(os.path.basename(p) == "skemata.zip" for p in context._python_includes):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="skemata-code-")
+        archive = shutil.make_archive(os.path.join(folder, "skemata"), "zip", root, "skemata")
+        context.addPyFile(archive)
     return spark
 
 
