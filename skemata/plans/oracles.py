@@ -636,3 +636,352 @@ SQL["diagram"] = with_parts("tabs", "rels") + (
     " 'source-' || to_column AS source_handle, 'target-' || from_column AS target_handle FROM rels UNION ALL"
     " SELECT database_id, table_name, NULL, NULL, NULL, NULL FROM tabs"
 )
+
+# ----------------------------------------------------------------- K: SQL text
+
+
+def log_cte() -> str:
+    from skemata.plans.text_queries import STATEMENTS
+
+    whens = " ".join(
+        f"WHEN {i} THEN replace(replace(replace({lit(s)}, '{{id}}', event_id::VARCHAR), '{{user}}', user_id::VARCHAR), '{{value}}', floor(value)::BIGINT::VARCHAR)"
+        for i, s in enumerate(STATEMENTS)
+    )
+    return f"log AS (SELECT user_id AS database_id, event_id AS query_id, CASE event_id % {len(STATEMENTS)} {whens} END AS sql FROM events)"
+
+
+def answers_cte() -> str:
+    from skemata.plans.text_queries import WRAPPINGS
+
+    whens = " ".join(f"WHEN {i} THEN replace({lit(s)}, '{{sql}}', sql)" for i, s in enumerate(WRAPPINGS))
+    return (
+        f"ans AS (SELECT database_id, query_id, CASE query_id % 37 % {len(WRAPPINGS)} {whens} END AS answer,"
+        " CASE WHEN query_id % 41 = 0 THEN 0 ELSE 3 END AS table_count FROM log)"
+    )
+
+
+REF = r"(?i)\b(?:FROM|JOIN|UPDATE|INTO|TABLE)\s+([A-Za-z_][A-Za-z0-9_]*)"
+STOP = (
+    "['select', 'where', 'set', 'values', 'key', 'index', 'constraint', 'primary', 'foreign', 'unique', 'check', 'default',"
+    " 'null', 'true', 'false', 'on', 'as', 'and', 'or', 'not', 'in', 'is', 'like', 'between', 'exists']"
+)
+
+
+def refs(sql: str, low: bool = True) -> str:
+    got = f"list_filter(regexp_extract_all(coalesce({sql}, ''), '{REF}', 1), lambda n: NOT list_contains({STOP}, lower(n)))"
+    return f"list_distinct(list_transform({got}, lambda n: lower(n)))" if low else f"list_distinct({got})"
+
+
+SQL["sql_table_refs"] = f"WITH {log_cte()} " + (
+    f"SELECT query_id, array_to_string(list_sort({refs('sql')}), ',') AS refs,"
+    f" array_to_string(list_sort(list_filter({refs('sql')}, lambda n: NOT (sql LIKE 'WITH %' AND n = 't'))), ',') AS strict_refs FROM log"
+)
+SQL["text_identifiers"] = (
+    "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_concat("
+    r"regexp_extract_all(x, '\b([a-z]+_[a-z][a-z0-9_]*(?:_[a-z][a-z0-9_]*)*)\b', 1),"
+    r" list_transform(regexp_extract_all(x, '\b([A-Z][A-Z]+(?:_[A-Z][A-Z]+)+)\b', 1), lambda w: lower(w))),"
+    r" list_transform(regexp_extract_all(x, '\b([A-Z][a-z]+[A-Z][a-zA-Z]*)\b', 1), lambda w: lower(w))))), ',') AS tokens"
+    " FROM (SELECT doc_id, 'see order_line, ORDER_LINE and OrderLine: ' || text AS x FROM documents)"
+)
+KPI_ITEMS = (
+    "items AS (SELECT p_partkey % 100 AS database_id, p_partkey AS item_id, 'SELECT count(*) FROM ' || CASE p_partkey % 3 WHEN 0 THEN 'orders'"
+    " WHEN 1 THEN 'Part' ELSE 'part_ledger' END || ' JOIN customer ON 1 = 1' AS sql_query FROM part)"
+)
+SQL["grounded_items"] = with_parts("tabs") + f", {KPI_ITEMS} " + (
+    "SELECT items.* FROM items WHERE item_id % 3 <> 2 OR NOT EXISTS (SELECT 1 FROM tabs WHERE tabs.database_id = items.database_id)"
+)
+SQL["unknown_identifiers"] = with_parts("tabs", "cols") + f", {KPI_ITEMS} " + (
+    "SELECT database_id, item_id, token FROM items CROSS JOIN (VALUES ('o_orderkey'), ('p_size'), ('big_spender')) v(token)"
+    " WHERE NOT EXISTS (SELECT 1 FROM cols WHERE cols.database_id = items.database_id AND lower(column_name) = token)"
+)
+EXTRACT = r"""
+text1 AS (SELECT *, trim(coalesce(answer, '')) AS a FROM ans),
+text2 AS (SELECT *, CASE WHEN contains(a, '```') THEN trim(regexp_extract(a, '(?is)```(?:sql)?\s*\n?(.*?)\n?```', 1)) ELSE a END AS b FROM text1),
+text3 AS (SELECT *, trim(regexp_replace(b, '^(SQL|sql)\s*:\s*', '')) AS c FROM text2),
+got AS (SELECT *, coalesce(nullif(trim(regexp_extract(c, '(?is)\b((?:SELECT|INSERT|UPDATE|DELETE|WITH)\b.*?;)', 1)), ''),
+  CASE WHEN regexp_matches(c, '(?i)^(SELECT|WITH)') THEN c END, '') AS x FROM text3),
+flag AS (SELECT *, regexp_matches(x, '(?i)\bSELECT\s+(0\b|NULL\b|\d+\s+AS\s+)') AS stand_in FROM got)"""
+WITH_ANSWERS = f"WITH {log_cte()}, {answers_cte()}, {EXTRACT} "
+SQL["extracted_sql"] = WITH_ANSWERS + "SELECT query_id, x AS sql, stand_in FROM flag"
+NO_ANSWER = "'Question cannot be answered using the available database schema.'"
+STATUS = f"""status AS (SELECT *, CASE WHEN table_count = 0 THEN 'none' WHEN upper(a) LIKE 'OUT_OF_SCOPE%' THEN 'declined' WHEN x = '' THEN 'nosql' WHEN stand_in THEN 'stand' ELSE 'ok' END AS kind FROM flag),
+gen AS (SELECT database_id, query_id, CASE WHEN kind = 'ok' THEN 'SUCCESS' ELSE 'OUT_OF_SCOPE' END AS status, CASE WHEN kind = 'ok' THEN x ELSE '' END AS sql,
+ CASE kind WHEN 'none' THEN 'Question cannot be answered using the available database schema — no matching tables found.'
+  WHEN 'declined' THEN coalesce(nullif(trim(substr(a, 14)), ''), 'Question cannot be answered using the ') WHEN 'ok' THEN NULL ELSE {NO_ANSWER} END AS reason,
+ CASE kind WHEN 'nosql' THEN 'LLM did not return a valid SQL statement' WHEN 'stand' THEN 'LLM returned placeholder SQL instead of a real query' END AS explanation,
+ CASE WHEN kind = 'ok' THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence FROM status)"""
+SQL["answer_status"] = WITH_ANSWERS + f", {STATUS} SELECT query_id, status, sql, reason, explanation, confidence FROM gen"
+
+
+def audit(source: str, first: bool = True) -> str:
+    keep = "WHERE n = 0" if first else ""
+    return rf"""
+bare1 AS (SELECT database_id, query_id, list_filter(string_split(regexp_replace(coalesce(sql, ''), '''([^'']|'''')*''|--[^\n]*|/\*.*?\*/', '''''', 'g'), ';'), lambda s: trim(s) <> '') AS ps FROM {source}),
+bare2 AS (SELECT database_id, query_id, CASE WHEN len(ps) = 0 THEN [''] ELSE ps END AS ps FROM bare1),
+st AS (SELECT * FROM (SELECT database_id, query_id, unnest(range(len(ps)))::INT AS n, unnest(ps) AS s FROM bare2) {keep}),
+rf AS (SELECT database_id, query_id, n, unnest({refs('s', False)}) AS tb FROM st),
+badt AS (SELECT query_id, n, 0 AS kind, 'Table ''' || tb || ''' not found in enriched metadata' AS m FROM rf WHERE NOT EXISTS
+  (SELECT 1 FROM tabs WHERE tabs.database_id = rf.database_id AND table_name = tb)),
+pr AS (SELECT DISTINCT database_id, query_id, n, unnest(regexp_extract_all(s, '\b([A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*)\b', 1)) AS pair FROM st),
+badc AS (SELECT query_id, n, 1 AS kind, 'Column ''' || split_part(pair, '.', 2) || ''' not found in table ''' || split_part(pair, '.', 1) || '''' AS m FROM pr
+  WHERE EXISTS (SELECT 1 FROM tabs WHERE tabs.database_id = pr.database_id AND table_name = split_part(pair, '.', 1))
+  AND NOT EXISTS (SELECT 1 FROM cols WHERE cols.database_id = pr.database_id AND table_name = split_part(pair, '.', 1) AND column_name = split_part(pair, '.', 2))),
+errs AS (SELECT query_id, n, string_agg(m, '; ' ORDER BY kind, m) AS e FROM (SELECT DISTINCT * FROM (SELECT * FROM badt UNION ALL SELECT * FROM badc)) GROUP BY ALL),
+wd AS (SELECT DISTINCT database_id, query_id, n, unnest(regexp_extract_all(s, '\b([A-Za-z_]\w*)\b', 1)) AS w FROM st),
+us AS (SELECT wd.query_id, wd.n, string_agg(DISTINCT w, ',' ORDER BY w) AS u FROM wd JOIN cols ON cols.database_id = wd.database_id AND column_name = w
+  SEMI JOIN rf ON rf.query_id = wd.query_id AND rf.n = wd.n AND rf.tb = cols.table_name GROUP BY 1, 2),
+kinds AS (SELECT *, upper(regexp_extract(s, '^[\s(]*([A-Za-z]+)', 1)) AS v FROM st),
+dang AS (SELECT *, CASE WHEN v IN ('DROP', 'CREATE', 'ALTER', 'TRUNCATE') THEN 'Dangerous DDL statement detected: ' || v
+  WHEN v IN ('DELETE', 'UPDATE') AND NOT regexp_matches(s, '(?i)\bWHERE\b') THEN v || ' without WHERE clause — unsafe operation' END AS d FROM kinds),
+aud AS (SELECT d.database_id, d.query_id, d.n AS statement_no, s = '' AS blank, e IS NULL AND s <> '' AS is_valid,
+  CASE WHEN s = '' THEN 'Empty or None SQL statement' ELSE concat_ws('; ', e, d) END AS errors,
+  CASE WHEN s = '' OR e IS NOT NULL THEN 0.0 WHEN d IS NOT NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence,
+  CASE WHEN e IS NULL AND s <> '' THEN CASE v WHEN 'WITH' THEN 'SELECT' WHEN 'TRUNCATE' THEN 'TRUNCATETABLE' ELSE v END END AS statement_type,
+  CASE WHEN e IS NULL AND s <> '' THEN array_to_string(list_sort({refs('s', False)}), ',') END AS tables_used,
+  CASE WHEN e IS NULL AND s <> '' THEN coalesce(u, '') END AS columns_used
+  FROM dang d LEFT JOIN errs ON errs.query_id = d.query_id AND errs.n = d.n LEFT JOIN us ON us.query_id = d.query_id AND us.n = d.n)"""
+
+
+WITH_LOG = with_parts("tabs", "cols") + f", {log_cte()}"
+SQL["sql_audit"] = WITH_LOG + f", {audit('log')} SELECT * EXCLUDE (blank) FROM aud"
+SQL["sql_audit_all"] = WITH_LOG + f", {audit('log', False)} SELECT query_id, statement_no, is_valid, confidence FROM aud"
+SQL["final_responses"] = WITH_LOG + f", {answers_cte()}, {EXTRACT}, {STATUS}, {audit('gen')} " + (
+    "SELECT g.query_id, CASE WHEN g.status = 'SUCCESS' AND is_valid THEN 'SUCCESS' ELSE 'OUT_OF_SCOPE' END AS status,"
+    " CASE WHEN g.status = 'SUCCESS' AND is_valid THEN g.sql ELSE '' END AS sql,"
+    " CASE WHEN g.status = 'SUCCESS' AND NOT is_valid THEN 'Question cannot be answered using the available database schema — generated SQL references unknown schema elements.' ELSE g.reason END AS reason,"
+    " CASE WHEN g.status = 'SUCCESS' AND is_valid THEN least(g.confidence, a.confidence) ELSE 0.0 END AS confidence"
+    " FROM gen g JOIN aud a ON a.query_id = g.query_id"
+)
+
+# ----------------------------------------------------------------- L: insights
+
+
+def given(prefix: str, c: str) -> str:
+    return f"CASE WHEN coalesce({c}, '') <> '' THEN {prefix} || {c} ELSE '' END"
+
+
+NL = "chr(10)"
+SQL["schema_context"] = with_parts("etabs", "ecols", "rels", "pairs", "cases", "samples") + f"""
+, lst AS (SELECT database_id, t, string_agg('  - ' || column_name || ' (' || data_type || ')' || CASE WHEN coalesce(semantic_type, '') <> '' THEN '  [' || semantic_type || ']' ELSE '' END
+   || {given("'  '", 'description')} || CASE WHEN is_primary_key THEN '  PK' ELSE '' END, {NL} ORDER BY position) AS l FROM ecols GROUP BY ALL),
+blk AS (SELECT q.database_id, table_ordinal, 'Table: ' || table_name || {given(f"{NL} || '  Description: '", 'description')} || {given(f"{NL} || '  Role: '", 'business_role')}
+   || {given(f"{NL} || '  Domain: '", 'domain')} || coalesce({NL} || l, '') || {NL} AS b FROM etabs q LEFT JOIN lst ON lst.database_id = q.database_id AND lst.t = q.t),
+bp AS (SELECT database_id, domain, string_agg(table_name, ', ' ORDER BY table_ordinal) AS ts, min(table_ordinal) AS o FROM etabs WHERE domain IS NOT NULL GROUP BY 1, 2)
+SELECT database_id, 1 AS section_no, CAST(0 AS BIGINT) AS part_no, string_agg(b, {NL} ORDER BY table_ordinal) AS text FROM blk GROUP BY 1 UNION ALL
+SELECT database_id, 2, 0, '### Foreign Key Relationships' || {NL} || string_agg('  ' || from_table || '.' || from_column || '  ->  ' || to_table || '.' || to_column, {NL} ORDER BY f) FROM rels GROUP BY 1 UNION ALL
+SELECT database_id, 3, 0, '### Entity Relationships' || {NL} || string_agg('  ' || entity || '  ->  ' || related_entities || {given("'  :  '", 'business_meaning')}, {NL} ORDER BY ordinal) FROM pairs GROUP BY 1 UNION ALL
+SELECT database_id, 4, 0, '### Business Processes' || {NL} || string_agg('  ' || domain || ':  ' || ts, {NL} ORDER BY o) FROM bp GROUP BY 1 UNION ALL
+SELECT database_id, 5, 0, '### Use Cases' || {NL} || string_agg('  ' || name || ':  ' || description || {NL} || '    Tables: ' || involved_tables, {NL} ORDER BY ordinal) FROM cases GROUP BY 1 UNION ALL
+SELECT database_id, 6, 0, '### Sample Queries' || {NL} || string_agg('  Question: ' || question || {NL} || '  SQL: ' || sql, {NL} ORDER BY ordinal) FROM samples GROUP BY 1
+"""
+SQL["domain_scope"] = with_parts("etabs", "pairs") + """
+, dt AS (SELECT database_id, lower(domain) AS low, string_agg(table_name, ', ' ORDER BY table_ordinal) AS ts FROM etabs WHERE domain IS NOT NULL GROUP BY 1, 2),
+al AS (SELECT database_id, string_agg(table_name, ', ' ORDER BY table_ordinal) AS ts FROM etabs GROUP BY 1),
+ds AS (SELECT database_id, string_agg(domain, ', ' ORDER BY domain) AS ds FROM (SELECT DISTINCT database_id, domain FROM etabs WHERE trim(coalesce(domain, '')) <> '') GROUP BY 1),
+req AS (SELECT database_id, CASE k % 4 WHEN 0 THEN 'reference data' WHEN 1 THEN 'Astronomy' END AS domain, CASE WHEN k % 3 = 0 THEN 'customer' END AS entity FROM dbs),
+nt AS (SELECT database_id, string_agg('The ''customer'' entity is related to: ' || related_entities || ' (' || business_meaning || ').', ' ' ORDER BY ordinal) AS notes FROM pairs WHERE lower(entity) = 'customer' GROUP BY 1),
+tx AS (SELECT r.database_id, concat_ws(' ',
+  CASE WHEN r.domain IS NOT NULL THEN 'DOMAIN FILTER: Focus on the ''' || r.domain || ''' domain. ' || coalesce('Relevant tables for this domain: ' || dt.ts || '.',
+    'No tables are explicitly tagged with the ''' || r.domain || ''' domain. Choose the most relevant tables from: ' || coalesce(al.ts, '') || '.')
+  ELSE nullif(concat_ws(' ', 'DOMAIN OVERVIEW — The schema contains these actual domains: ' || ds.ds || '.', 'All tables in the schema: ' || al.ts ||
+    '. Generate insights that span these tables and domains — do NOT introduce domains or tables that are not listed above.'), '') END,
+  'ENTITY FOCUS: Prioritize insights related to ''' || entity || '''.', CASE WHEN entity IS NOT NULL THEN notes END) AS x
+  FROM req r LEFT JOIN dt ON dt.database_id = r.database_id AND dt.low = lower(r.domain) LEFT JOIN al ON al.database_id = r.database_id
+  LEFT JOIN ds ON ds.database_id = r.database_id LEFT JOIN nt ON nt.database_id = r.database_id)
+SELECT database_id AS request_id, database_id, CASE WHEN x = '' THEN 'No domain or entity filter — cover all aspects of the business domain reflected in the schema context.' ELSE x END AS text FROM tx
+"""
+CATEGORY = "CASE WHEN c_custkey % 5 = 0 THEN 'Overview' ELSE 'Finance' END"
+SQL["insight_rows"] = f"""
+SELECT c_custkey AS connection_id, {CATEGORY} AS category_name, 'kpis' AS section, CAST(0 AS BIGINT) AS ordinal, 'n' || c_custkey || '||||' AS fields FROM customer UNION ALL
+SELECT c_custkey, {CATEGORY}, 'insights', 0, 'f|||0.5' FROM customer UNION ALL
+SELECT c_custkey, {CATEGORY}, 'insights', 1, '||i|0.0' FROM customer UNION ALL
+SELECT c_custkey, {CATEGORY}, 'art_of_the_possible', 0, 't' || c_custkey || '||||' FROM customer UNION ALL
+SELECT c_custkey, 'Sales', 'insights', 0, 's|||0.0' FROM customer WHERE c_custkey % 5 <> 0
+"""
+SQL["category_runs"] = f"""
+SELECT c_custkey AS connection_id, c AS category, nullif(c, 'Overview') AS domain, CASE WHEN c = {CATEGORY} THEN 1 ELSE 0 END AS kpis,
+ CASE WHEN c = {CATEGORY} THEN 2 WHEN c = 'Sales' AND c_custkey % 5 <> 0 THEN 1 ELSE 0 END AS insights, 0 AS opportunities,
+ CASE WHEN c = {CATEGORY} THEN 1 ELSE 0 END AS art_of_the_possible
+FROM customer CROSS JOIN (VALUES ('Overview'), ('Operations'), ('Finance'), ('Marketing'), ('Sales'), ('Human Resources'), ('IT')) v(c)
+"""
+
+# ---------------------------------------------------------------- M: snapshots
+
+CONN = """WITH conn AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN 'Market ' || c_mktsegment END AS description,
+ CASE c_custkey % 5 WHEN 0 THEN 'postgres' WHEN 1 THEN 'mysql' WHEN 2 THEN 'oracle' WHEN 3 THEN 'sqlite' ELSE 'sqlserver' END AS database_type,
+ CASE WHEN c_custkey % 4 = 0 THEN 'archived' ELSE 'active' END AS status, CASE WHEN c_custkey % 6 = 0 THEN 0 ELSE c_custkey % 4 + 1 END AS table_count,
+ TIMESTAMP '2024-01-01' + to_hours(CAST(c_custkey % 1000 AS INT)) AS created_at, TIMESTAMP '2024-06-01' AS updated_at,
+ CASE WHEN c_custkey % 6 = 0 THEN '{}' ELSE '{"tables": [' || array_to_string(list_transform(range(c_custkey % 4 + 1), lambda i: '{"table_name": "t' || i || '"}'), ', ') || ']}' END AS enriched_schema,
+ '{"b": 1, "a": ' || c_custkey % 10 || '}' AS insights FROM customer) """
+SUMMARY = "id, name, description, database_type, status, table_count::INT AS table_count, 0 AS view_count, created_at, updated_at"
+SQL["new_connections"] = CONN + (
+    f"SELECT id, name, description, database_type, status, {NONE} AS error_message, created_at, 64 AS hash_length FROM conn"
+)
+SQL["connection_page"] = CONN + (
+    f"SELECT {SUMMARY} FROM conn WHERE status = 'active' AND database_type = 'mysql' ORDER BY created_at DESC, id LIMIT 5 OFFSET 5"
+)
+SQL["connection_search"] = CONN + (
+    f"SELECT {SUMMARY} FROM conn WHERE name ILIKE '%Customer#0000000_2%' OR description ILIKE '%Customer#0000000_2%' ORDER BY"
+    " CASE WHEN name ILIKE 'Customer#0000000_2' THEN 0 WHEN name ILIKE 'Customer#0000000_2%' THEN 1 ELSE 2 END, created_at DESC, id LIMIT 15"
+)
+SQL["connection_lookup"] = CONN + (
+    ", gone AS (SELECT DISTINCT s_suppkey * 3 AS id FROM supplier) SELECT id, 'kept' AS state FROM conn WHERE id NOT IN (SELECT id FROM gone)"
+    " UNION ALL SELECT id, CASE WHEN id IN (SELECT id FROM conn) THEN 'deleted' ELSE 'not found' END FROM gone"
+)
+SQL["connection_patches"] = CONN + (
+    "SELECT id, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE name END AS name, CASE WHEN s_suppkey % 3 = 0 THEN 'error' ELSE status END AS status,"
+    " CASE WHEN s_suppkey % 3 = 0 THEN 'lost' END AS error_message,"
+    " CASE WHEN s_suppkey % 2 = 0 OR s_suppkey % 3 = 0 THEN TIMESTAMP '2030-01-01' ELSE updated_at END AS updated_at FROM conn LEFT JOIN supplier ON s_suppkey = id"
+)
+SQL["refreshed_schemas"] = CONN + (
+    "SELECT id, coalesce('{\"tables\": [\"' || s_name || '\"]}', enriched_schema) AS enriched_schema, CASE WHEN s_suppkey IS NULL THEN insights ELSE '{}' END AS insights,"
+    " s_suppkey IS NOT NULL AS no_hash, CASE WHEN s_suppkey IS NULL THEN status ELSE 'active' END AS status,"
+    " CASE WHEN s_suppkey IS NULL THEN updated_at ELSE TIMESTAMP '2030-01-01' END AS updated_at FROM conn LEFT JOIN supplier ON s_suppkey = id"
+)
+SQL["changed_payloads"] = CONN + (
+    "SELECT id, CASE WHEN id % 4 = 0 THEN '{\"a\": 77, \"b\": 1}' ELSE insights END AS insights,"
+    " CASE WHEN id % 4 = 0 THEN TIMESTAMP '2030-01-01' ELSE updated_at END AS updated_at FROM conn"
+)
+ITEMS = """WITH base AS (SELECT p_partkey % 20 AS connection_id, p_type AS category, CASE p_size % 4 WHEN 0 THEN 'kpis' WHEN 1 THEN 'insights' WHEN 2 THEN 'opportunities' ELSE 'art_of_the_possible' END AS section,
+ p_partkey AS ordinal, p_name AS name, p_size AS size FROM part),
+o AS (SELECT * FROM base WHERE ordinal % 5 <> 0), n AS (SELECT * REPLACE (CASE WHEN ordinal % 3 = 0 THEN size + 100 ELSE size END AS size) FROM base WHERE ordinal % 7 <> 0) """
+SAME = "x.connection_id = y.connection_id AND x.category = y.category AND x.section = y.section AND x.name = y.name AND x.size = y.size"
+SQL["snapshot_delta"] = ITEMS + (
+    ", d AS (SELECT connection_id, category, section, ordinal, CASE WHEN EXISTS (SELECT 1 FROM o y WHERE "
+    + SAME + ") THEN 'unchanged' ELSE 'added' END AS change FROM n x UNION ALL"
+    " SELECT DISTINCT ON (connection_id, category, section, name, size) connection_id, category, section, NULL, 'removed' FROM o x WHERE NOT EXISTS (SELECT 1 FROM n y WHERE "
+    + SAME + ")) SELECT connection_id, category, section, change, count(*) AS n, sum(ordinal)::BIGINT AS ordinals FROM d GROUP BY 1, 2, 3, 4"
+)
+SQL["changed_sections"] = ITEMS + (
+    "SELECT connection_id, category, count(*) FILTER (differs) AS changed_sections FROM (SELECT connection_id, category, section,"
+    " bool_or(x.name IS DISTINCT FROM y.name OR x.size IS DISTINCT FROM y.size) AS differs FROM o x FULL JOIN n y USING (connection_id, category, section, ordinal)"
+    " GROUP BY 1, 2, 3) GROUP BY 1, 2"
+)
+SQL["merged_categories"] = ITEMS + (
+    ", s AS (SELECT * FROM n WHERE category IN ('ECONOMY', 'PROMO')) SELECT * FROM s UNION ALL SELECT * FROM o WHERE NOT EXISTS"
+    " (SELECT 1 FROM s WHERE s.connection_id = o.connection_id AND s.category = o.category)"
+)
+SQL["failed_documents"] = (
+    "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN '{\"tables\": [' WHEN 1 THEN ' ' WHEN 2 THEN '{\"tables\": 5}' WHEN 3 THEN '[1]'"
+    " ELSE '{\"tables\": [], \"schema\": \"' || c_name || '\"}' END AS document, CASE WHEN c_custkey % 5 = 4 THEN 'active' ELSE 'error' END AS status,"
+    " CASE c_custkey % 5 WHEN 0 THEN 'document is not valid JSON' WHEN 1 THEN 'document is empty' WHEN 2 THEN 'tables is not a list'"
+    " WHEN 3 THEN 'document is not an object' END AS error_message FROM customer"
+)
+
+# ----------------------------------------------------------------- N: browsing
+
+SQL["browse_stats"] = with_parts("tabs", "cols", "vws", "rels") + f", {CONSTRAINTS}, {COUNTS} " + (
+    "SELECT database_id, tables_count AS total_tables, views_count AS total_views, columns_count AS total_columns, relationships_count AS total_relationships,"
+    " (SELECT count(*) FROM cons x WHERE x.database_id = counts.database_id) AS total_constraints,"
+    " (SELECT count(*) FROM cols x WHERE x.database_id = counts.database_id AND is_primary_key) AS total_pks,"
+    " (SELECT count(*) FROM (SELECT DISTINCT database_id, from_table, from_column FROM rels) x WHERE x.database_id = counts.database_id) AS total_fks FROM counts"
+)
+SQL["name_search"] = with_parts("tabs", "vws") + (
+    "SELECT database_id, 'table' AS kind, table_name AS name FROM tabs WHERE lower(table_name) LIKE '%order%' UNION ALL"
+    " SELECT database_id, 'view', view_name FROM vws WHERE lower(view_name) LIKE '%order%'"
+)
+SQL["connection_filter"] = CONN + (
+    "SELECT id, name, database_type FROM conn WHERE lower(name) LIKE '%sql%' OR lower(coalesce(description, '')) LIKE '%sql%' OR lower(database_type) LIKE '%sql%'"
+)
+SQL["column_details"] = with_parts("cols", "rels") + f", {CONSTRAINTS} " + (
+    ", a AS (SELECT database_id, table_name, column_name, bool_or(constraint_type = 'PRIMARY KEY') AS pk, bool_or(constraint_type = 'FOREIGN KEY') AS fk,"
+    " array_to_string(list_sort(list(coalesce(constraint_name, '') || ':' || constraint_type)), ', ') AS c FROM cons GROUP BY 1, 2, 3),"
+    " b AS (SELECT database_id, from_table AS table_name, from_column AS column_name, array_to_string(list_sort(list(to_table || '.' || to_column)), ', ') AS r FROM rels GROUP BY 1, 2, 3)"
+    " SELECT database_id, table_name, column_name, coalesce(pk, FALSE) AS is_pk, coalesce(fk, FALSE) AS is_fk, coalesce(c, '') AS constraints,"
+    " coalesce(r, '') AS \"references\", c IS NOT NULL OR r IS NOT NULL AS has_details FROM cols LEFT JOIN a USING (database_id, table_name, column_name)"
+    " LEFT JOIN b USING (database_id, table_name, column_name)"
+)
+SQL["log_tail"] = (
+    "SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'WARNING' END AS level, props AS message FROM"
+    " (SELECT * FROM events ORDER BY event_id DESC LIMIT 5000) WHERE event_type IN ('error', 'purchase') ORDER BY event_id DESC LIMIT 50"
+)
+SQL["ready_connections"] = CONN + "SELECT id FROM conn WHERE status = 'active' AND table_count > 0"
+
+# ----------------------------------------------------------------- O: workload
+
+SQL["view_order_places"] = (
+    "SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey"
+    " LEFT JOIN region ON n_regionkey = r_regionkey"
+)
+SQL["view_finished_orders"] = (
+    "SELECT o_orderkey, c_name, o_orderdate, o_totalprice, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'"
+)
+SQL["view_customer_activity"] = (
+    "SELECT c_custkey, c_name, n_name, c_mktsegment, o_orderdate, o_orderstatus FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"
+    " LEFT JOIN orders ON c_custkey = o_custkey"
+)
+SQL["view_order_tracking"] = (
+    "SELECT o_orderkey, c_name, o_orderstatus, l_linenumber, l_shipdate FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey"
+)
+SQL["view_line_details"] = (
+    "SELECT l_orderkey, l_linenumber, o_orderdate, p_name, p_brand, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
+)
+SQL["ask_orders_of_segment"] = (
+    "SELECT o.* FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE c.c_mktsegment = 'BUILDING'"
+)
+SQL["ask_parts_of_type"] = "SELECT p_partkey, p_name, p_type FROM part WHERE p_type = 'ECONOMY'"
+SQL["ask_order_counts"] = (
+    "SELECT c_custkey, c_name, count(o_orderkey) AS order_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2"
+)
+SQL["ask_orders_due"] = (
+    "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate <= DATE '1998-01-01' + INTERVAL '7 days'"
+)
+SQL["ask_kpis"] = (
+    "SELECT 'Open orders' AS kpi, count(*)::DOUBLE AS value FROM orders WHERE o_orderstatus = 'O' UNION ALL"
+    " SELECT 'Revenue', sum(l_extendedprice * (1 - l_discount)) FROM lineitem UNION ALL"
+    " SELECT 'Parts sold', count(DISTINCT l_partkey) FROM lineitem JOIN part ON l_partkey = p_partkey"
+)
+
+# ------------------------------------------------------------------ P: streams
+
+SQL["stream_ingest"] = SQL["canonical_columns"]
+SQL["stream_labels"] = with_parts("cols") + f", {INDICATORS} " + (
+    f"SELECT database_id, table_name, column_name, {rule_case('column_name', 'label', ALL_RULES)} AS classification,"
+    f" CAST({rule_case('column_name', 'confidence', ALL_RULES)} AS DOUBLE) AS confidence, pattern FROM cols LEFT JOIN inds ON lower(column_name) = indicator"
+)
+SQL["stream_upsert"] = (
+    "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1"
+)
+SQL["stream_changes"] = (
+    "SELECT user_id, event_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS was FROM events)"
+    " WHERE event_type IS DISTINCT FROM was"
+)
+SQL["stream_log_tail"] = (
+    "SELECT event_id AS seq, 'ERROR' AS level, props AS message FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 5000)"
+    " WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100"
+)
+SQL["parsed_documents"] = with_parts("cols") + (
+    "SELECT database_id, table_name, column_name, is_nullable, is_primary_key FROM cols"
+)
+
+# ------------------------------------------------------------------ A: sources
+
+# a script says NOT NULL only where the document's flag is a JSON false
+SQL["ddl_columns"] = with_parts("cols") + (
+    "SELECT database_id, column_ordinal, table_name, column_name, data_type, is_nullable, is_primary_key FROM cols"
+)
+SQL["ddl_relationships"] = with_parts("rels") + (
+    "SELECT database_id, from_table, from_column, to_table, to_column, from_table || '_' || from_column || '_fkey' AS constraint_name FROM rels"
+    " UNION ALL SELECT database_id, 'v_lines', c, NULL, NULL, NULL FROM dbs CROSS JOIN (VALUES ('l_orderkey'), ('tax'), ('n')) v(c)"
+)
+KEYS = (
+    "SELECT database_id, from_table, from_column, to_table, to_column FROM rels {where} UNION ALL"
+    " SELECT database_id, table_name, column_name, NULL, NULL FROM cols WHERE is_primary_key"
+)
+for vendor in ("postgres", "mysql", "oracle", "sqlite"):
+    SQL[f"extract_{vendor}"] = with_parts("cols", "rels") + KEYS.format(where="")
+SQL["extract_sqlserver"] = with_parts("cols", "rels") + KEYS.format(where="WHERE to_table <> 'missing_customer'")
+SQL["extract_columns"] = with_parts("cols", "tabs") + (
+    ", tn AS (SELECT database_id, t, row_number() OVER (PARTITION BY database_id ORDER BY table_name) - 1 AS o FROM tabs)"
+    " SELECT database_id, row_number() OVER (PARTITION BY database_id ORDER BY o, position, column_name) - 1 AS column_ordinal, o AS table_ordinal,"
+    " table_name, column_name, data_type, is_nullable FROM cols JOIN tn USING (database_id, t)"
+)
+SQL["document_scan"] = with_parts("dbs", "cols") + (
+    "SELECT dbs.name, dbs.version, n_columns, n_keys FROM dbs LEFT JOIN (SELECT database_id, count(*) AS n_columns,"
+    " count(*) FILTER (is_primary_key) AS n_keys FROM cols GROUP BY 1) USING (database_id)"
+)
+SQL["enriched_roundtrip"] = with_parts("cols", "rels") + (
+    "SELECT database_id, CASE WHEN has_tables THEN 2 ELSE 1 END AS n_parts, (SELECT count(*) FROM cols x WHERE x.database_id = dbs.database_id) AS n_columns,"
+    " (SELECT count(*) FROM rels x WHERE x.database_id = dbs.database_id) AS n_relationships FROM dbs"
+)
+SQL["rule_table_classify"] = SQL["rule_classify_columns"]
