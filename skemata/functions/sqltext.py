@@ -90,29 +90,27 @@ def is_stand_in(sql: Column) -> Column:
     return F.coalesce(sql.rlike(STAND_IN), F.lit(False))
 
 
-def statement_type(sql: Column) -> Column:
-    word = F.upper(F.regexp_extract(bare(sql), r"^[\s(]*([A-Za-z]+)", 1))
+def statement_type(text: Column) -> Column:
+    """Leading verb of a statement without comments; for WITH, the verb it leads to."""
+    word = F.upper(F.regexp_extract(text, r"^[\s(]*([A-Za-z]+)", 1))
     main = F.upper(
-        F.regexp_extract(bare(sql), r"(?is)^[\s(]*WITH\b.*\)\s*(SELECT|INSERT|UPDATE|DELETE)\b", 1)
+        F.regexp_extract(text, r"(?is)^[\s(]*WITH\b.*\)\s*(SELECT|INSERT|UPDATE|DELETE)\b", 1)
     )
     return F.when(word == "WITH", F.coalesce(F.nullif(main, F.lit("")), F.lit("SELECT"))).otherwise(
         word
     )
 
 
-def dangers(sql: Column) -> Column:
-    """Array of messages for statements that change structure or whole tables."""
-    text, kind = bare(sql), statement_type(sql)
-    # Message texts.
-    ddl = [
-        F.when(kind == verb, F.lit(f"Dangerous DDL statement detected: {verb}"))
-        for verb in ("DROP", "CREATE", "ALTER", "TRUNCATE")
-    ]
-    bulk = [
-        F.when(
-            (kind == verb) & ~text.rlike(r"(?i)\bWHERE\b"),
-            F.lit(f"{verb} without WHERE clause — unsafe operation"),
-        )
-        for verb in ("DELETE", "UPDATE")
-    ]
-    return F.filter(F.array(*ddl, *bulk), lambda m: m.isNotNull())
+# Verbs and message texts.
+STRUCTURE_VERBS = ["DROP", "CREATE", "ALTER", "TRUNCATE"]
+BULK_VERBS = ["DELETE", "UPDATE"]
+
+
+def danger(text: Column, verb: Column) -> Column:
+    """Message for a statement that changes structure or whole tables, else null."""
+    return F.when(
+        verb.isin(STRUCTURE_VERBS), F.concat(F.lit("Dangerous DDL statement detected: "), verb)
+    ).when(
+        verb.isin(BULK_VERBS) & ~text.rlike(r"(?i)\bWHERE\b"),
+        F.concat(verb, F.lit(" without WHERE clause — unsafe operation")),
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skemata.functions.sqltext import (
     bare,
-    dangers,
+    danger,
     extract_sql,
     identifier_tokens,
     is_stand_in,
@@ -170,13 +170,16 @@ def audit_statements(
     """
     key = ["database_id", "query_id", "statement_no"]
     kept = [c for c in log.columns if c not in ("database_id", "query_id", "sql")]
-    rows = statements(log, only_first=only_first)
-    refs = rows.select(
-        *key, "statement", F.explode(table_refs(F.col("statement"), keep_case=True)).alias("table_name")
+    rows = statements(log, only_first=only_first).withColumns(
+        {
+            "tables": table_refs(F.col("statement"), keep_case=True),
+            "verb": statement_type(F.col("statement")),
+        }
     )
+    refs = rows.select(*key, F.explode("tables").alias("table_name"))
     known = tables.select(*TABLE_KEY).distinct()
     lost_tables = skew_join(
-        refs.select(*key, "table_name"), known, TABLE_KEY, "left_anti", ["query_id", "statement_no"]
+        refs, known, TABLE_KEY, "left_anti", ["query_id", "statement_no"]
     ).select(
         *key,
         F.lit(0).alias("kind"),
@@ -192,7 +195,7 @@ def audit_statements(
         F.substring_index("pair", ".", -1).alias("column_name"),
     )
     of_tables = skew_join(pairs, known, TABLE_KEY, "left_semi", ["query_id", "statement_no"])
-    names = columns.select(*TABLE_KEY, "column_name").distinct()
+    names = columns.select(*TABLE_KEY, "column_name")
     lost_columns = skew_join(
         of_tables, names, [*TABLE_KEY, "column_name"], "left_anti", ["query_id", "statement_no"]
     ).select(
@@ -213,15 +216,16 @@ def audit_statements(
     )
     words = rows.select(
         *key,
-        table_refs(F.col("statement"), keep_case=True).alias("tables"),
+        "tables",
         F.explode(
             F.array_distinct(
                 F.regexp_extract_all("statement", F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1))
             )
         ).alias("column_name"),
     )
+    # a word counts when a table the statement names has such a column
     used = (
-        skew_join(words, names, ["database_id", "column_name"], "inner", ["query_id", "statement_no"])
+        skew_join(words.filter(F.size("tables") > 0), names, ["database_id", "column_name"], "inner", ["query_id", "statement_no"])
         .filter(F.array_contains(F.col("tables"), F.col("table_name")))
         .groupBy(*key)
         .agg(F.array_join(F.array_sort(F.collect_set("column_name")), ",").alias("columns_used"))
@@ -229,29 +233,26 @@ def audit_statements(
     blank = F.col("statement") == ""
     none = F.array().cast("array<string>")
     found = F.when(blank, F.array(F.lit(EMPTY_STATEMENT))).otherwise(F.coalesce("found", none))
-    risky = F.when(blank, none).otherwise(dangers(F.col("statement")))
-    verb = statement_type(F.col("statement"))
     # the parser's name for this statement
-    verb = F.when(verb == "TRUNCATE", F.lit("TRUNCATETABLE")).otherwise(verb)
+    verb = F.when(F.col("verb") == "TRUNCATE", F.lit("TRUNCATETABLE")).otherwise(F.col("verb"))
     clean = F.size("__e") == 0
     return (
         rows.join(errors, key, "left")
         .join(used, key, "left")
-        .withColumns({"__e": found, "__d": risky})
+        .withColumns({"__e": found, "__d": danger(F.col("statement"), F.col("verb"))})
         .select(
             *key,
             *kept,
             clean.alias("is_valid"),
-            F.array_join(F.concat("__e", "__d"), "; ").alias("errors"),
+            F.concat_ws("; ", "__e", "__d").alias("errors"),
             F.when(~clean, F.lit(0.0))
-            .when(F.size("__d") > 0, F.lit(DANGEROUS_CONFIDENCE))
+            .when(F.col("__d").isNotNull(), F.lit(DANGEROUS_CONFIDENCE))
             .when(F.lit(False) if warned is None else warned, F.lit(WARNED_CONFIDENCE))
             .otherwise(F.lit(1.0))
             .alias("confidence"),
             F.when(clean, verb).alias("statement_type"),
             F.when(
-                clean,
-                F.array_join(F.array_sort(table_refs(F.col("statement"), keep_case=True)), ","),
+                clean, F.array_join(F.array_sort("tables"), ",")
             ).alias("tables_used"),
             F.when(clean, F.coalesce("columns_used", F.lit(""))).alias("columns_used"),
         )

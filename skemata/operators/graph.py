@@ -49,7 +49,7 @@ def has_column_edges(tables: DataFrame, columns: DataFrame) -> DataFrame:
 def foreign_key_edges(relationships: DataFrame, columns: DataFrame) -> DataFrame:
     """Column to column, only where both columns exist; repeats are merged first."""
     edges = relationships.select("database_id", *ENDS).distinct()
-    known = columns.select(*COLUMN_KEY).distinct()
+    known = columns.select(*COLUMN_KEY)
 
     def exists(df: DataFrame, side: str) -> DataFrame:
         ends = [f"{side}_table", f"{side}_column"]

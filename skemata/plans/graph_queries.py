@@ -9,7 +9,7 @@ from skemata.functions.vectors import hash_embedding, norm
 from skemata.operators import context, embed, graph, search
 from skemata.plans import tenants as T
 from skemata.plans.catalog_queries import enriched
-from skemata.plans.registry import query, read
+from skemata.plans.registry import query, read, read_spread
 
 # ------------------------------------------------------------------ H: objects
 
@@ -45,7 +45,7 @@ def object_metadata(spark: SparkSession, sf: str) -> DataFrame:
 def hash_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """H6: hash vectors of whole documents."""
     v = F.col("v")
-    docs = read(spark, sf, "documents").select("doc_id", hash_embedding(F.col("text")).alias("v"))
+    docs = read_spread(spark, sf, "documents", "doc_id").select("doc_id", hash_embedding(F.col("text")).alias("v"))
     return docs.select(
         "doc_id",
         F.size(v).alias("dimensions"),

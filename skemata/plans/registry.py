@@ -19,6 +19,11 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def read_spread(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
+    """A table held in one file, spread over all cores before costly work on its rows."""
+    return read(spark, sf, name).repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def load() -> dict[str, Query]:
     """All queries; importing the modules registers them."""
     from skemata.plans import (  # noqa: F401

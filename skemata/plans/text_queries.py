@@ -9,7 +9,7 @@ from skemata.functions.sqltext import extract_sql, identifier_tokens, is_stand_i
 from skemata.operators import assemble, audit, insights
 from skemata.plans import tenants as T
 from skemata.plans.catalog_queries import enriched
-from skemata.plans.registry import query, read
+from skemata.plans.registry import query, read, read_spread
 
 # Statements of the log; {id} is the event, {user} its user, {value} its value.
 STATEMENTS = [
@@ -49,7 +49,7 @@ def _filled_in(texts: list[str], pick: Column, parts: dict[str, Column]) -> Colu
 
 def sql_log(spark: SparkSession, sf: str) -> DataFrame:
     """One statement per event, of the database with the user's number."""
-    events = read(spark, sf, "events")
+    events = read_spread(spark, sf, "events", "event_id")
     sql = _filled_in(
         STATEMENTS,
         F.col("event_id") % len(STATEMENTS),
@@ -87,7 +87,7 @@ def sql_table_refs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def text_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     """K2: name-like tokens of whole documents, with a few planted ones."""
-    docs = read(spark, sf, "documents")
+    docs = read_spread(spark, sf, "documents", "doc_id")
     text = F.concat(F.lit("see order_line, ORDER_LINE and OrderLine: "), F.col("text"))
     return docs.select("doc_id", F.array_join(F.array_sort(identifier_tokens(text)), ",").alias("tokens"))
 
