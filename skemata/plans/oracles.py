@@ -985,3 +985,59 @@ SQL["enriched_roundtrip"] = with_parts("cols", "rels") + (
     " (SELECT count(*) FROM rels x WHERE x.database_id = dbs.database_id) AS n_relationships FROM dbs"
 )
 SQL["rule_table_classify"] = SQL["rule_classify_columns"]
+
+# ------------------------------------------------------------------ J: context
+
+CONTEXT = f"""
+qs AS (SELECT conv_id * 1000 + turn AS question_id, conv_id AS database_id, {digest('text')} AS q FROM conversations WHERE role = 'user'),
+ov AS (SELECT *, {digest('text_content')} AS v FROM objects WHERE database_id IN (SELECT database_id FROM qs)),
+hits AS (SELECT * FROM (SELECT question_id, qs.database_id, object_type, object_key, table_name, column_name, relationship_type, s AS similarity,
+    row_number() OVER (PARTITION BY question_id, object_type ORDER BY s DESC, object_key) AS rank FROM
+    (SELECT qs.question_id, qs.database_id, ov.* EXCLUDE (database_id), round(24 * list_dot_product(q, v), 9) AS s FROM qs JOIN ov ON ov.database_id = qs.database_id) qs)
+  WHERE rank <= CASE object_type WHEN 'column' THEN 6 ELSE 3 END)"""
+MATCHED = (
+    "SELECT question_id AS key, database_id, table_name AS t, row_number() OVER (PARTITION BY question_id ORDER BY table_name) - 1 AS i"
+    " FROM (SELECT DISTINCT question_id, database_id, table_name FROM hits WHERE object_type IN ('table', 'column'))"
+)
+PIECES = """
+pt AS (SELECT key AS question_id, database_id, t, i, j, hops, tables, nth, row_number() OVER (PARTITION BY key, t ORDER BY i, j, hops, tables, nth) AS r
+  FROM (SELECT *, unnest(tables) AS t, unnest(range(len(tables))) AS nth FROM paths)),
+seen AS (SELECT question_id, database_id, table_name, similarity, rank AS o1, 0 AS o2, '' AS o3 FROM hits WHERE object_type = 'table' UNION ALL
+  SELECT question_id, database_id, t, 0.0, 1048576, i * 1000 + j, concat_ws('/', hops, array_to_string(tables, '/'), lpad(nth::VARCHAR, 4, '0')) FROM pt
+  WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.question_id = pt.question_id AND h.object_type = 'table' AND h.table_name = t)),
+fkh AS (SELECT question_id, h.database_id, from_table, from_column, to_table, to_column, similarity FROM hits h JOIN
+  (SELECT DISTINCT database_id, from_table, from_column, to_table, to_column FROM rels) r ON r.database_id = h.database_id
+  AND object_key = 'relationship:' || from_table || '.' || from_column || '->' || to_table || '.' || to_column),
+fkx AS (SELECT DISTINCT question_id, r.database_id, from_table, from_column, to_table, to_column, 0.0 FROM rels r JOIN seen s
+  ON s.database_id = r.database_id AND (s.table_name = from_table OR s.table_name = to_table)),
+rel AS (SELECT * FROM fkh UNION ALL SELECT * FROM fkx x WHERE NOT EXISTS (SELECT 1 FROM fkh f WHERE f.question_id = x.question_id AND f.from_table = x.from_table
+  AND f.from_column = x.from_column AND f.to_table = x.to_table AND f.to_column = x.to_column)),
+erh AS (SELECT question_id, h.database_id, p.entity, related_entities, business_meaning FROM hits h JOIN pairs p ON p.database_id = h.database_id
+  AND object_key = 'entity_relationship:' || p.entity || '->' || related_entities),
+erx AS (SELECT DISTINCT question_id, p.database_id, p.entity, related_entities, business_meaning FROM pairs p JOIN seen s ON s.database_id = p.database_id
+  AND upper(substr(table_name, 1, 1)) || lower(substr(table_name, 2)) IN (p.entity, related_entities)),
+er AS (SELECT * FROM erh UNION ALL SELECT * FROM erx x WHERE NOT EXISTS (SELECT 1 FROM erh e WHERE e.question_id = x.question_id AND e.entity = x.entity
+  AND e.related_entities = x.related_entities)),
+jp AS (SELECT DISTINCT key AS question_id, tables, hops FROM paths)
+"""
+WITH_HITS = with_parts("tabs", "cols", "etabs", "ecols", "rels", "ents", "pairs") + f", {OBJECTS}, {CONTEXT}"
+SQL["question_hits"] = WITH_HITS + (
+    " SELECT question_id, database_id, object_type, object_key, round(similarity, 6) AS similarity, rank::INT AS rank FROM hits"
+)
+WITH_CONTEXT = WITH_HITS + f", {FK}" + paths(2, MATCHED) + f", {PIECES}"
+SQL["question_context"] = WITH_CONTEXT + """
+SELECT question_id, 'table' AS type, table_name AS name, round(similarity, 6) AS similarity, NULL AS "table", NULL AS "from", NULL AS "to", NULL AS tables,
+  CAST(NULL AS BIGINT) AS hops, NULL AS entity, NULL AS related_entities, NULL AS business_meaning FROM seen UNION ALL
+SELECT question_id, 'column', column_name, round(similarity, 6), table_name, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM hits WHERE object_type = 'column' UNION ALL
+SELECT question_id, 'relationship', NULL, round(similarity, 6), NULL, from_table || '.' || from_column, to_table || '.' || to_column, NULL, NULL, NULL, NULL, NULL FROM rel UNION ALL
+SELECT question_id, 'join_path', NULL, NULL, NULL, NULL, NULL, array_to_string(tables, ','), hops, NULL, NULL, NULL FROM jp UNION ALL
+SELECT question_id, 'entity_relationship', NULL, NULL, NULL, NULL, NULL, NULL, NULL, entity, related_entities, business_meaning FROM er
+"""
+SQL["context_summary"] = WITH_CONTEXT + """
+SELECT question_id, (SELECT count(*) FROM seen x WHERE x.question_id = qs.question_id) AS table_count,
+  (SELECT count(*) FROM hits x WHERE x.question_id = qs.question_id AND object_type = 'column') AS column_count,
+  (SELECT count(*) FROM rel x WHERE x.question_id = qs.question_id) AS relationship_count,
+  (SELECT count(*) FROM jp x WHERE x.question_id = qs.question_id) AS join_path_count,
+  (SELECT count(*) FROM er x WHERE x.question_id = qs.question_id) AS entity_relationship_count,
+  coalesce((SELECT string_agg(table_name, ', ' ORDER BY o1, o2, o3) FROM seen x WHERE x.question_id = qs.question_id), '') AS table_names FROM qs
+"""
