@@ -10,7 +10,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skemata.scale import skew_join, top_rows
@@ -157,34 +157,38 @@ def _collect_bounded(asked: DataFrame, vector: str, entries: int) -> pd.DataFram
     return asked.toPandas() if size <= entries else None
 
 
+def _pieces(df: DataFrame, within: list[str], rows: int, name: str) -> DataFrame | Column:
+    """Number of pieces of about ``rows`` rows: per group, or one number for all."""
+    size = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name)
+    return df.groupBy(*within).agg(size) if within else df.agg(size).scalar()
+
+
 def _by_shards(
     asked, stored, within, key, question_id, schema, shard_rows, k, vector, offer, rows_of
 ) -> DataFrame:
-    grouped = within or ["__all"]
-    if not within:
-        asked = asked.withColumn("__all", F.lit(0))
-        stored = stored.withColumn("__all", F.lit(0))
-    shards = stored.groupBy(*grouped).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).cast("int").alias("__shards")
+    # vectors come in shards and questions in blocks, both of bounded size;
+    # every block visits every shard of its group
+    shards = _pieces(stored, within, shard_rows, "__shards")
+    blocks = _pieces(asked, within, BLOCK_ROWS, "__blocks")
+    if within:
+        plan = shards.join(blocks, within)
+        asked = skew_join(asked, plan, within, "inner", [question_id])
+        stored = skew_join(stored, plan, within, "inner", [key])
+    else:
+        numbers = {"__shards": shards, "__blocks": blocks}
+        asked, stored = asked.withColumns(numbers), stored.withColumns(numbers)
+    pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    visits = (
+        asked.withColumn("__block", pick(question_id, "__blocks"))
+        .withColumn("__shard", every_of("__shards"))
+        .drop("__shards", "__blocks")
     )
     placed = (
-        skew_join(stored, shards, grouped, "inner", [key])
-        .withColumn("__shard", F.pmod(F.xxhash64(key), F.col("__shards")).cast("int"))
-        .drop("__shards")
-    )
-    # the questions of a group come in blocks of bounded size as well
-    asked_sizes = asked.groupBy(*grouped).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int").alias("__blocks")
-    )
-    plan = shards.join(asked_sizes, grouped)
-    visits = (
-        skew_join(asked, plan, grouped, "inner", [question_id])
-        .withColumn("__block", F.pmod(F.xxhash64(question_id), F.col("__blocks")).cast("int"))
-        .withColumn("__shard", F.explode(F.sequence(F.lit(0), F.col("__shards") - 1)))
+        stored.withColumn("__shard", pick(key, "__shards"))
+        .withColumn("__block", every_of("__blocks"))
         .drop("__shards", "__blocks")
     )
-    blocks = visits.select(*grouped, "__shard", "__block").distinct()
-    placed = placed.join(blocks, [*grouped, "__shard"])
     # both sides may come from one table; a cogroup needs them told apart
     placed = placed.select(*[F.col(c).alias(c) for c in placed.columns])
 
@@ -199,7 +203,7 @@ def _by_shards(
             )
         return rows_of(board)
 
-    on = [*grouped, "__shard", "__block"]
+    on = [*within, "__shard", "__block"]
     return visits.groupBy(*on).cogroup(placed.groupBy(*on)).applyInPandas(score, schema)
 
 

@@ -95,3 +95,8 @@ def test_approximate_search_finds_most(spark, sf):
     exact = search.nearest(asked, v, 5)
     near = search.nearest_approximate(asked, v, 5, dimensions=64, planes=2)
     assert search.recall(exact, near, "question_id", "object_key").first().recall > 0.5
+    sharded = search.nearest_approximate(
+        asked, v, 5, dimensions=64, planes=2, broadcast_entries=0, shard_rows=40
+    )
+    rows = lambda df: sorted((r.question_id, r.object_key, r["rank"]) for r in df.collect())
+    assert rows(near) == rows(sharded)
