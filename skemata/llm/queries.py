@@ -6,15 +6,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from public_tokenizers import path as tokenizer_path
+
 from skemata.llm import sql
+from skemata.llm.bpe import decode_texts, encode_texts
+from skemata.llm.chosen_path import near_groups
 from skemata.llm.common import read
 from skemata.llm.decontam import contaminated
 from skemata.llm.line_dedup import dedup_lines
 from skemata.llm.registry import QUERIES, SQL, query
+from skemata.llm.shards import shuffled_shards
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query()
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, shuffled into 40 shards."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return shuffled_shards(docs).select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        "grown_shard",
+    )
+
+
+@query()
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts to token ids and back."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    vocab = tokenizer_path("byte_bpe_50k.json")
+    coded = decode_texts(encode_texts(docs, vocab).drop("text"), vocab)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query(sql.OP5)
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose key at least ten documents hold are dropped everywhere."""
@@ -29,3 +63,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain at least 0.8 of a test item's five-word shingles."""
     found = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "item_copies", "item_shingles", "found", "containment")
+
+
+@query(sql.OP10)
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by at least 0.85 of their five-word shingles."""
+    groups = near_groups(read(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")

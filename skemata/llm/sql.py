@@ -55,3 +55,22 @@ FROM d JOIN wanted USING (s)
 GROUP BY doc_id, item_id, item_copies, item_shingles
 HAVING count(*) * 5 >= item_shingles * 4
 """
+
+
+OP10 = f"""
+WITH RECURSIVE s AS MATERIALIZED ({shingled("documents", "doc_id")}),
+n AS MATERIALIZED (SELECT doc_id, count(s) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+    JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n
+    HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reach AS (
+    SELECT a AS doc_id, a AS r FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.r
+), low AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles,
+       least(d.doc_id, coalesce(low.component_id, d.doc_id)) AS component_id,
+       coalesce(low.component_id, d.doc_id) >= d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
