@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skemata.session import work_folder
 
@@ -44,3 +46,41 @@ def written(df: DataFrame, name: str) -> DataFrame:
     folder = work_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def remainder(id_col: str) -> Column:
+    """crc32 of the id as text, modulo 4; null for a null id."""
+    return (F.crc32(F.col(id_col).cast("string")) % 4).cast("int")
+
+
+def held_out(id_col: str) -> Column:
+    """Rows that no model learns from; a row without id is not one of them."""
+    return F.coalesce(remainder(id_col) == 2, F.lit(False))
+
+
+def per_group_sample(
+    rows: DataFrame, group: str, most: int, max_groups: int, seed: int
+) -> DataFrame:
+    """At most ``most`` rows of each of the ``max_groups`` largest groups.
+
+    A seeded hash of the row key first thins a group to about twice the bound, so
+    that only few rows are ranked; the rank makes the bound strict.
+    """
+    counts = rows.groupBy(group).count().orderBy(F.desc("count"), group).limit(max_groups).collect()
+    if not counts:
+        return rows.limit(0)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "__k1"), F.lit(1 << 30))
+    shares = F.create_map(
+        *chain.from_iterable(
+            (F.lit(r[group]), F.lit(min(1.0, 2 * most / r["count"]))) for r in counts
+        )
+    )
+    thinned = rows.withColumn("__draw", draw).filter(
+        F.col("__draw") < shares[F.col(group)] * (1 << 30)
+    )
+    first = Window.partitionBy(group).orderBy("__draw", "__k1", "__k2")
+    return (
+        thinned.withColumn("__rank", F.row_number().over(first))
+        .filter(F.col("__rank") <= most)
+        .drop("__draw", "__rank")
+    )

@@ -13,13 +13,21 @@ from skemata.llm.bpe import decode_texts, encode_texts
 from skemata.llm.chosen_path import near_groups
 from skemata.llm.common import read
 from skemata.llm.decontam import contaminated
+from skemata.llm.language import predict_languages
 from skemata.llm.line_dedup import dedup_lines
 from skemata.llm.registry import QUERIES, SQL, query
 from skemata.llm.shards import shuffled_shards
+from skemata.llm.toxicity import toxicity_scores
 
 __all__ = ["QUERIES", "SQL"]
 
 
+@query()
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return predict_languages(read(spark, sf_dir, "documents"))
+
+
 @query()
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, shuffled into 40 shards."""
@@ -35,6 +43,14 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = read(spark, sf_dir, "documents")
+    scores = toxicity_scores(docs, read(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "score", "predicted", "rejected")
+
+
 @query()
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts to token ids and back."""

@@ -74,11 +74,15 @@ def byte_view(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (byte positions) of the words; texts border words."""
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (byte positions) of the words; texts border words.
+
+    ``gaps`` flags the byte values that words do not hold."""
     if not len(data):
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    solid = ~_SPACE[data]
+    solid = ~gaps[data]
     before = np.empty(len(data), dtype=bool)
     before[0] = False
     before[1:] = solid[:-1]
