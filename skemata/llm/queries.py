@@ -14,10 +14,13 @@ from skemata.llm.chosen_path import near_groups
 from skemata.llm.common import read
 from skemata.llm.decontam import contaminated
 from skemata.llm.language import predict_languages
+from skemata.llm.licenses import scan
 from skemata.llm.line_dedup import dedup_lines
+from skemata.llm.quality_rules import judged
 from skemata.llm.registry import QUERIES, SQL, query
 from skemata.llm.shards import shuffled_shards
 from skemata.llm.toxicity import toxicity_scores
+from skemata.llm.warc import round_trip
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -74,6 +77,35 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts and notices found in the documents."""
+    return scan(read(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and verdict of every document."""
+    rows = judged(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "rule",
+    )
+
+
+@query(sql.OP8)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    records = round_trip(read(spark, sf_dir, "pages"))
+    return records.filter("kind <> 'gap'").select(
+        F.col("id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("kind").alias("record_type"),
+        "refers_to",
+    )
+
+
 @query(sql.OP9)
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain at least 0.8 of a test item's five-word shingles."""

@@ -31,6 +31,19 @@ FROM m GROUP BY rid, doc_id
 """
 
 
+OP8 = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages
+), f AS (
+    SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p
+)
+SELECT page_id, n AS payload_bytes, sha256(h) AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def shingled(table: str, key: str) -> str:
     """Distinct five-word shingles (as texts) per row of a table."""
     return f"""
