@@ -42,6 +42,8 @@ from skemata.llm.components import components
 from skemata.llm.wordhash import mix, text_shingles, text_slices, text_words, unique_per_text
 
 TOKENS = 64
+# shingles of the full sets in a block, 8 bytes each
+BLOCK_VALUES = 2 << 20
 _RNG = np.random.default_rng(97)
 MULTIPLIERS = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
 PLACES = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
@@ -130,19 +132,26 @@ def _branch(nodes: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return members.select("path", "name", "sketch").mapInArrow(rows, "path long, name binary")
 
 
-def _in_blocks(members: DataFrame, key: str, salt: str, block: int) -> DataFrame:
-    """``members`` with a column ``task``: groups of at most ``block`` rows are one task;
+def _in_blocks(
+    members: DataFrame, key: str, salt: str, block: int, block_values: int | None = None
+) -> DataFrame:
+    """``members`` with a column ``task``: a group of at most ``block`` rows is one task;
     a larger group is dealt into B hashed blocks, and each pair of blocks is a task.
 
-    A row goes to B tasks, so a task holds two blocks and every pair of rows of a
-    group meets in one task at least.
+    A row goes to B - 1 tasks, so a task holds two blocks and every pair of rows of a
+    group meets in one task at least.  ``block_values`` bounds the sum of ``size`` of a
+    block likewise.
     """
-    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    blocks = F.ceil(F.col("__n") / block).cast("int")
+    sizes = members.groupBy(key).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__values")
+    )
+    blocks = F.ceil(F.col("__n") / block)
+    if block_values is not None:
+        blocks = F.greatest(blocks, F.ceil(F.col("__values") / block_values))
     mine = F.pmod(F.xxhash64(salt), F.col("__b")).cast("int")
     return (
         members.join(sizes, key)
-        .withColumn("__b", blocks)
+        .withColumn("__b", blocks.cast("int"))
         .withColumn("__mine", mine)
         .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
         .filter((F.col("__b") == 1) | (F.col("__mine") != F.col("__other")))
@@ -150,7 +159,7 @@ def _in_blocks(members: DataFrame, key: str, salt: str, block: int) -> DataFrame
             "task",
             F.xxhash64(key, F.least("__mine", "__other"), F.greatest("__mine", "__other")),
         )
-        .drop("__n", "__b", "__mine", "__other")
+        .drop("__n", "__values", "__b", "__mine", "__other")
     )
 
 
@@ -277,7 +286,7 @@ def _per_task(frame: DataFrame, forest_of) -> DataFrame:
 
 
 def candidate_edges(
-    classes: DataFrame, paths: DataFrame, threshold: float, leaf: int, depth: int
+    classes: DataFrame, paths: DataFrame, threshold: float, leaf: int, depth: int, block: int
 ) -> DataFrame:
     """Forest edges over the leaves of all trees."""
     leaves = None
@@ -307,7 +316,7 @@ def candidate_edges(
         return _sketch_forest(tokens, np.array(sizes, dtype=np.int64), threshold)
 
     return _per_task(
-        _in_blocks(members, "path", "name", leaf).select("task", "name", "size", "content"), forest
+        _in_blocks(members, "path", "name", block).select("task", "name", "size", "content"), forest
     )
 
 
@@ -341,7 +350,10 @@ def confirmed_edges(
         return _set_forest([np.frombuffer(c, dtype=np.uint64) for c in contents], percent)
 
     return _per_task(
-        _in_blocks(sets, "group", "name", block).select("task", "name", "size", "content"), forest
+        _in_blocks(sets, "group", "name", block, BLOCK_VALUES).select(
+            "task", "name", "size", "content"
+        ),
+        forest,
     )
 
 
@@ -354,7 +366,7 @@ def near_groups(
     trees: int = 20,
     leaf: int = 256,
     depth: int = 6,
-    block: int = 128,
+    block: int = 1024,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` and the row keys ``__k1, __k2``, per row."""
     threshold = percent / 100
@@ -377,7 +389,7 @@ def near_groups(
         "near-classes",
     )
     paths = classes.select(F.explode("paths").alias("path"), "name")
-    maybe = components(candidate_edges(classes, paths, threshold, leaf, depth))
+    maybe = components(candidate_edges(classes, paths, threshold, leaf, depth, block))
     groups = written(
         maybe.withColumnsRenamed({"vertex": "name", "component": "group"})
         .join(classes.select("name", "key"), "name")

@@ -43,7 +43,6 @@ def components(edges: DataFrame) -> DataFrame:
                 )
                 .select("vertex", F.coalesce("parent", "component").alias("component"))
             )
-        labels = written(labels, "labels")
         ends = left.filter("a < b")
         for end in ("a", "b"):
             ends = ends.join(

@@ -35,6 +35,8 @@ from skemata.llm.common import written
 from skemata.session import work_folder
 
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", VERSION)
+MANDATORY = ("warc-type", "warc-record-id", "warc-date", "content-length")
 MEMBER = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 NAME = "urn:page:"
@@ -163,6 +165,8 @@ def parse_record(data: bytes | memoryview, begin: int) -> Record:
     if head_end < 0:
         raise Damage("headers do not end")
     lines = data[begin:head_end].split(b"\r\n")
+    if lines[0] not in VERSIONS:
+        raise Damage("bad version line")
     headers = {}
     for line in lines[1:]:
         name, colon, value = line.partition(b":")
@@ -172,9 +176,12 @@ def parse_record(data: bytes | memoryview, begin: int) -> Record:
             headers[name.strip().lower().decode()] = value.strip().decode()
         except UnicodeDecodeError:
             raise Damage("bad header text") from None
-    length = headers.get("content-length", "")
+    missing = [name for name in MANDATORY if name not in headers]
+    if missing:
+        raise Damage(f"no {missing[0]}")
+    length = headers["content-length"]
     if not (length.isascii() and length.isdigit()):
-        raise Damage("no content length")
+        raise Damage("bad content-length")
     start = head_end + 4
     end = start + int(length)
     if end > len(data):
