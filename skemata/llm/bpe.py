@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 from skemata.llm.common import without
 from skemata.llm.wordhash import text_slices
@@ -198,6 +198,10 @@ class Vocabulary:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def extended(df: DataFrame, name: str, kind: DataType) -> StructType:
+    return StructType([*df.schema.fields, StructField(name, kind)])
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     """One per worker process and file."""
@@ -221,7 +225,7 @@ def encode_texts(docs: DataFrame, vocab_path: str, text: str = "text", ids: str
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=names)
 
-    return docs.mapInArrow(rows, docs.schema.add(ids, ArrayType(IntegerType())))
+    return docs.mapInArrow(rows, extended(docs, ids, ArrayType(IntegerType())))
 
 
 def decode_texts(
@@ -249,4 +253,4 @@ def decode_texts(
                     [*part.columns, pa.array(texts, pa.string())], names=names
                 )
 
-    return docs.mapInArrow(rows, docs.schema.add(decoded, "string"))
+    return docs.mapInArrow(rows, extended(docs, decoded, StringType()))

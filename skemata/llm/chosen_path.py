@@ -6,8 +6,8 @@ of ``trees`` independent trees a node branches a class into the children of thos
 of its tokens whose hash, seeded by the path so far, falls under
 1 / (threshold * TOKENS): a pair at the threshold shares one child on average, a
 dissimilar pair almost none.  A node of at most ``leaf`` classes is compared
-exhaustively on sketches; a larger one branches on, ``depth`` times at most, and
-what is still larger then is compared block against block.
+exhaustively on sketches; a larger one branches on, ``depth`` times at most.  Nodes of
+more than ``leaf_block`` classes are compared block against block, in several tasks.
 
 A node returns a spanning forest of the pairs that may reach the threshold, so its
 output is linear in its size.  The forests' components are the groups within which
@@ -37,13 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skemata.llm.common import keyed, without, written
+from skemata.llm.common import in_bitmap, key_bitmap, keyed, without, written
 from skemata.llm.components import components
 from skemata.llm.wordhash import mix, text_shingles, text_slices, text_words, unique_per_text
 
 TOKENS = 64
 # shingles of the full sets in a block, 8 bytes each
 BLOCK_VALUES = 2 << 20
+# of the bitmap by which texts to be confirmed are picked: 16 MB
+MOST_BITS = 27
 _RNG = np.random.default_rng(97)
 MULTIPLIERS = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
 PLACES = _RNG.integers(1, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
@@ -326,24 +328,28 @@ def confirmed_edges(
     """Forest edges of links confirmed on full sets.  ``groups``: (name, group, k1, k2),
     where k1, k2 is the key of one row that has the class's set."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, 2, 1 << 20):
-            values, offsets = unique_per_text(*text_shingles(*text_words(part.column(2)), width))
-            sets = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[:2], pa.array(np.diff(offsets)), pa.array(sets, pa.binary())],
-                names=["group", "name", "size", "content"],
-            )
+    # texts of other documents are passed over where they are read, by a bitmap of the
+    # wanted keys whose size is bounded; what it lets through too much the join drops
+    wanted = groups.count()
+    bits = min(MOST_BITS, max(16, wanted.bit_length() + 5))
+    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(groups.select("k1"), bits))
 
-    texts = docs.join(
-        groups.select("name", "group", F.col("k1").alias("__k1"), F.col("k2").alias("__k2")),
-        ["__k1", "__k2"],
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            maybe = in_bitmap(shared.value, np.asarray(whole.column(0)).view(np.uint64))
+            for part in text_slices([whole.filter(pa.array(maybe))], 2, 1 << 20):
+                values, offsets = unique_per_text(*text_shingles(*text_words(part.column(2)), width))
+                sets = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.array(np.diff(offsets)), pa.array(sets, pa.binary())],
+                    names=["k1", "k2", "size", "content"],
+                )
+
+    read = docs.select("__k1", "__k2", F.col(text)).mapInArrow(
+        rows, "k1 long, k2 long, size long, content binary"
     )
     sets = written(
-        texts.select("group", "name", F.col(text)).mapInArrow(
-            rows, "group binary, name binary, size long, content binary"
-        ),
-        "full-sets",
+        read.join(groups, ["k1", "k2"]).select("group", "name", "size", "content"), "full-sets"
     )
 
     def forest(_: list, contents: list) -> list:
@@ -364,8 +370,9 @@ def near_groups(
     percent: int = 85,
     width: int = 5,
     trees: int = 20,
-    leaf: int = 256,
+    leaf: int = 2048,
     depth: int = 6,
+    leaf_block: int = 512,
     block: int = 1024,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` and the row keys ``__k1, __k2``, per row."""
@@ -389,7 +396,7 @@ def near_groups(
         "near-classes",
     )
     paths = classes.select(F.explode("paths").alias("path"), "name")
-    maybe = components(candidate_edges(classes, paths, threshold, leaf, depth, block))
+    maybe = components(candidate_edges(classes, paths, threshold, leaf, depth, leaf_block))
     groups = written(
         maybe.withColumnsRenamed({"vertex": "name", "component": "group"})
         .join(classes.select("name", "key"), "name")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +14,7 @@ from skemata.session import work_folder
 
 # Rows handed to Python at once; texts are cut further by their bytes there.
 ARROW_ROWS = 1000
+ROWS_PER_FILE = 50_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -41,13 +43,41 @@ def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in taken])
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends, and its size is known."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends, and its size is known.
+
+    ``rows``, where the caller knows how many there are at most, keeps a small table
+    from becoming hundreds of tiny files."""
     folder = work_folder(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, rows // ROWS_PER_FILE))
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def key_bitmap(keys: DataFrame, bits: int) -> np.ndarray:
+    """2^bits flags of which leading bits occur in the one long column of ``keys``.
+
+    It reaches the driver in words of 64 flags, so as at most 2^bits / 64 short rows
+    however many keys there are; a full bitmap lets everything through."""
+    slot = F.shiftrightunsigned(F.col(keys.columns[0]), 64 - bits)
+    words = (
+        keys.select(slot.alias("slot"))
+        .groupBy((F.col("slot") / 64).cast("int").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("flags"))
+        .toPandas()
+    )
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[words["word"].to_numpy(dtype=np.int64)] = words["flags"].to_numpy(dtype=np.int64)
+    return out.view(np.uint64)
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the (unsigned) keys may be among those of the bitmap."""
+    slot = keys >> np.uint64(64 - (len(bitmap).bit_length() + 5))
+    return (bitmap[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
 def remainder(id_col: str) -> Column:
     """crc32 of the id as text, modulo 4; null for a null id."""
     return (F.crc32(F.col(id_col).cast("string")) % 4).cast("int")

@@ -28,11 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
         "edges",
     )
     labels = None
-    while True:
+    while n := left.count():
         parents = written(
             left.groupBy("a").agg(F.min("b").alias("low"))
             .select(F.col("a").alias("vertex"), F.least("a", "low").alias("parent")),
             "parents",
+            n,
         )
         if labels is None:
             labels = parents.select("vertex", F.col("parent").alias("component"))
@@ -53,6 +54,6 @@ def components(edges: DataFrame) -> DataFrame:
         left = written(
             ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
             "edges",
+            n,
         )
-        if left.isEmpty():
-            return labels
+    return left.toDF("vertex", "component") if labels is None else labels

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skemata.llm.common import keyed, written
+from skemata.llm.common import in_bitmap, key_bitmap, keyed, written
 from skemata.llm.wordhash import mix, text_shingles, text_slices, text_words, unique_per_text
 
 BITMAP_BITS = 24
@@ -103,35 +103,15 @@ def signatures(classes: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _bitmap(shingles: DataFrame, bits: int) -> np.ndarray:
-    """2^bits flags of which shingles occur.  It reaches the driver in words of 64
-    flags, so at most 2^bits / 64 short rows, however many items there are."""
-    slot = F.shiftrightunsigned(F.col("shingle"), 64 - bits)
-    words = (
-        shingles.select(slot.alias("slot"))
-        .groupBy((F.col("slot") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("flags"))
-        .toPandas()
-    )
-    out = np.zeros(1 << (bits - 6), dtype=np.int64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["flags"].to_numpy(dtype=np.int64)
-    return out.view(np.uint64)
-
-
 def document_hits(docs: DataFrame, text: str, width: int, bitmap: np.ndarray) -> DataFrame:
     """(k1, k2, id, n_shingles, hits) of the documents with a shingle in the bitmap."""
-    shift = np.uint64(64 - (len(bitmap).bit_length() + 5))
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = shared.value
         for part in text_slices(batches, 3, 2 << 20):
             values, offsets = text_shingles(*text_words(part.column(3)), width)
-            slot = values >> shift
-            passed = np.flatnonzero(
-                (flags[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)))
-                & np.uint64(1)
-            )
+            passed = np.flatnonzero(in_bitmap(flags, values))
             found, bounds = unique_per_text(values[passed], np.searchsorted(passed, offsets))
             some = np.flatnonzero(np.diff(bounds))
             lists = pa.ListArray.from_arrays(
@@ -175,7 +155,7 @@ def contaminated(
         F.size("shingles").alias("item_shingles"),
     )
     hits = written(
-        document_hits(slim, text, width, _bitmap(shingles, bitmap_bits)), "bench-hits"
+        document_hits(slim, text, width, key_bitmap(shingles.select("shingle"), bitmap_bits)), "bench-hits"
     ).dropDuplicates(["k1", "k2"])
     probes = hits.select("k1", "k2", F.explode("hits").alias("shingle"))
     candidates = (

@@ -7,13 +7,14 @@ common beginning and end.  Coverage is the share of the template's words that ar
 aligned; a match needs ``coverage`` or more.
 
 Where to align is found first, over all words of the whole text: places where, within
-twice a template's length, enough distinct template words occur.  That many are
+one and a half times a template's length, enough of the template's words occur.  That many are
 needed for the coverage, so no match is passed over.  Each copy in a text is a row.
 
-Words are runs of letters, digits and bytes above ASCII, A-Z lower-cased.  Defined cases: null and
-empty texts have no match; equal rows have equal matches; templates without words
-are never found; templates that cover the same place are all reported; an empty
-table gives an empty result; extra columns are ignored.
+Words are runs of letters, digits and bytes above ASCII, A-Z lower-cased.
+
+Defined cases: null and empty texts have no match; equal rows have equal matches;
+templates without words are never found; templates that cover the same place are all
+reported; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,7 +74,7 @@ Public License for more details.""",
 _GAPS = np.ones(256, dtype=bool)
 _GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 # how much longer than its template a match may be
-STRETCH = 2
+STRETCH = 1.5
 
 
 def scan_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +143,7 @@ class Template:
         self.distinct = np.unique(np.array(self.words, dtype=np.uint64))
         self.counts = Counter(self.words)
         self.least = ceil(coverage * len(self.words) - 1e-9)
-        self.reach = STRETCH * len(self.words)
+        self.reach = int(STRETCH * len(self.words))
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(aligned words, first word, end word) of each match; ``at``: the positions
@@ -166,7 +167,7 @@ class Template:
             best: list[tuple[int, int]] = []
             # a copy next to another one would take away what is unique, so the
             # template's own length is tried before longer stretches
-            for length in (size, size + size // 2, self.reach):
+            for length in (size, (size + self.reach) // 2, self.reach):
                 pairs = align(window[:length], self.words)
                 if len(pairs) > len(best):
                     best = pairs
