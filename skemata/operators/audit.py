@@ -15,8 +15,11 @@ from skemata.functions.sqltext import (
     extract_sql,
     identifier_tokens,
     is_stand_in,
+    named_tables,
+    no_statement,
     qualified_refs,
     statement_type,
+    summary_type,
     table_refs,
 )
 from skemata.functions.text import filled, strip
@@ -36,6 +39,7 @@ UNKNOWN_PARTS = (
     "unknown schema elements."
 )
 EMPTY_STATEMENT = "Empty or None SQL statement"
+BAD_STATEMENT = "SQL syntax error: not a statement"
 
 
 def statement_refs(log: DataFrame, sql: str = "sql", strict: bool = False) -> DataFrame:
@@ -172,9 +176,12 @@ def audit_statements(
     kept = [c for c in log.columns if c not in ("database_id", "query_id", "sql")]
     rows = statements(log, only_first=only_first).withColumns(
         {
-            "tables": table_refs(F.col("statement"), keep_case=True),
+            "tables": named_tables(F.col("statement")),
             "verb": statement_type(F.col("statement")),
         }
+    ).withColumn(
+        "broken",
+        (F.col("statement") != "") & no_statement(F.col("statement"), F.col("verb")),
     )
     refs = rows.select(*key, F.explode("tables").alias("table_name"))
     known = tables.select(*TABLE_KEY).distinct()
@@ -214,32 +221,41 @@ def audit_statements(
             ).alias("found")
         )
     )
+    # a word counts when a table the statement names has such a column; it is paired with
+    # the statement's own tables, and an alias after AS is no use of a column
+    unaliased = F.regexp_replace("statement", r"(?i)\bAS\s+[A-Za-z_]\w*", " ")
     words = rows.select(
         *key,
         "tables",
         F.explode(
-            F.array_distinct(
-                F.regexp_extract_all("statement", F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1))
-            )
+            F.array_distinct(F.regexp_extract_all(unaliased, F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1)))
         ).alias("column_name"),
-    )
-    # a word counts when a table the statement names has such a column
+    ).select(*key, "column_name", F.explode("tables").alias("table_name"))
     used = (
-        skew_join(words.filter(F.size("tables") > 0), names, ["database_id", "column_name"], "inner", ["query_id", "statement_no"])
-        .filter(F.array_contains(F.col("tables"), F.col("table_name")))
+        skew_join(
+            words, names, [*TABLE_KEY, "column_name"], "left_semi", ["query_id", "statement_no"]
+        )
         .groupBy(*key)
         .agg(F.array_join(F.array_sort(F.collect_set("column_name")), ",").alias("columns_used"))
     )
     blank = F.col("statement") == ""
     none = F.array().cast("array<string>")
-    found = F.when(blank, F.array(F.lit(EMPTY_STATEMENT))).otherwise(F.coalesce("found", none))
-    # the parser's name for this statement
-    verb = F.when(F.col("verb") == "TRUNCATE", F.lit("TRUNCATETABLE")).otherwise(F.col("verb"))
+    found = (
+        F.when(blank, F.array(F.lit(EMPTY_STATEMENT)))
+        .when(F.col("broken"), F.array(F.lit(BAD_STATEMENT)))
+        .otherwise(F.coalesce("found", none))
+    )
+    verb = summary_type(F.col("statement"), F.col("verb"))
     clean = F.size("__e") == 0
     return (
         rows.join(errors, key, "left")
         .join(used, key, "left")
-        .withColumns({"__e": found, "__d": danger(F.col("statement"), F.col("verb"))})
+        .withColumns(
+            {
+                "__e": found,
+                "__d": F.when(~F.col("broken"), danger(F.col("statement"), F.col("verb"))),
+            }
+        )
         .select(
             *key,
             *kept,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Log levels by rank.
 LEVELS = {"NOTSET": 0, "DEBUG": 10, "INFO": 20, "WARNING": 30, "WARN": 30, "ERROR": 40, "CRITICAL": 50}
-LOG_CAPACITY, LOG_LINES = 5000, 200
+LOG_LINES = 200
 
 
 def overview(
@@ -97,12 +97,12 @@ def column_details(columns: DataFrame, constraints: DataFrame, relationships: Da
 
 
 def log_tail(
-    log: DataFrame, lines: int = LOG_LINES, level: str = "DEBUG", capacity: int | None = LOG_CAPACITY
+    log: DataFrame, lines: int = LOG_LINES, level: str = "DEBUG", capacity: int | None = None
 ) -> DataFrame:
-    """Last lines at or above a level, of the last ``capacity`` entries.
+    """Last lines at or above a level, of the whole log.
 
-    ``log``: seq, level, message.  Both limits are top-k plans.  ``capacity``
-    is the size of the rolling buffer; None reads the whole log.
+    ``log``: seq, level, message.  ``capacity``, if given, looks at that many last
+    entries only, as a rolling buffer of that size does.  Both limits are top-k plans.
     """
     least = LEVELS.get(level.upper(), LEVELS["DEBUG"])
     ranks = F.create_map(*[F.lit(x) for pair in LEVELS.items() for x in pair])

@@ -98,7 +98,7 @@ def table_context(hits: DataFrame, tables: DataFrame, paths: DataFrame) -> DataF
             *QUESTION, "table_name", F.lit(0.0).alias("similarity"),
             F.lit(None).cast("map<string,string>").alias("metadata"),
             F.lit(1 << 20).cast("bigint").alias("o1"),
-            (F.col("seen.i") * 1000 + F.col("seen.j")).cast("bigint").alias("o2"),
+            _pair_order("seen").alias("o2"),
             F.concat_ws("/", F.col("seen.hops").cast("string"), F.array_join("seen.tables", "/"),
                         F.lpad(F.col("seen.nth").cast("string"), 4, "0")).alias("o3"),
         )
@@ -226,6 +226,11 @@ def entity_context(entity: DataFrame, seen: DataFrame, entity_relationships: Dat
     )
 
 
+def _pair_order(pair: str) -> Column:
+    """Order of a pair (i, j) of start tables as one number."""
+    return F.shiftleft(F.col(f"{pair}.i").cast("bigint"), 31) + F.col(f"{pair}.j")
+
+
 def path_context(paths: DataFrame, distinct_steps: bool = False) -> DataFrame:
     """One path per sequence of tables; parallel keys give the first of them."""
     steps = F.to_json("path")
@@ -237,7 +242,7 @@ def path_context(paths: DataFrame, distinct_steps: bool = False) -> DataFrame:
              F.min(F.struct("i", "j")).alias("p"), F.min("hops").alias("hops"))
         .select(
             *QUESTION, "tables", "path", "hops",
-            (F.col("p.i") * 1000 + F.col("p.j")).cast("bigint").alias("o1"),
+            _pair_order("p").alias("o1"),
             F.col("hops").cast("bigint").alias("o2"),
             F.array_join("tables", "/").alias("o3"),
         )
@@ -337,8 +342,9 @@ def _path_lines(step_from: str = "    ") -> Column:
     return F.array_join(F.concat(F.array(head), steps), "\n")
 
 
-def full_prompt(context: SchemaContext, columns: DataFrame) -> DataFrame:
-    """Five sections per question; a section without rows is left out."""
+def full_prompt(questions: DataFrame, context: SchemaContext, columns: DataFrame) -> DataFrame:
+    """Five sections per question; a section without rows is left out, and a question
+    without any has an empty text."""
     described = F.coalesce(F.col("description"), F.lit(""))
     flags = F.concat_ws(
         " ", F.when(F.col("is_primary_key"), F.lit("PK")), F.when(~F.col("is_nullable"), F.lit("NOT NULL"))
@@ -387,7 +393,10 @@ def full_prompt(context: SchemaContext, columns: DataFrame) -> DataFrame:
     }
     # every section ends with an empty line; blocks of sections 1 and 4 carry their own
     ends = {1: "", 2: "\n", 3: "\n", 4: "", 5: "\n"}
-    return _sections(rows, heads, ends, "\n")
+    text = _sections(rows, heads, ends, "\n")
+    return questions.select("question_id").join(text, "question_id", "left").select(
+        "question_id", F.coalesce("prompt", F.lit("")).alias("prompt")
+    )
 
 
 def compact_prompt(questions: DataFrame, context: SchemaContext, columns: DataFrame) -> DataFrame:

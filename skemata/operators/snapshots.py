@@ -136,10 +136,31 @@ def delete_report(connections: DataFrame, deleted: DataFrame) -> DataFrame:
 PATCHABLE = ["name", "description", "status", "error_message"]
 
 
-def patch(connections: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
-    """Partial update: given fields replace, null fields leave as is, empty patches do nothing."""
+def one_per_id(rows: DataFrame, fields: Sequence[str], order: str | None) -> DataFrame:
+    """Last given value of each field per id.
+
+    Several rows of an id count in the order of ``order``, of equal or no order in that
+    of their values; a null field leaves what an earlier row gave.
+    """
+    place = F.col(order) if order else F.lit(0)
+    last = [
+        F.max(F.when(F.col(c).isNotNull(), F.struct(place.alias("o"), F.col(c).alias("v"))))["v"].alias(c)
+        for c in fields
+    ]
+    return rows.groupBy("id").agg(*last)
+
+
+def patch(
+    connections: DataFrame, patches: DataFrame, now: Column, order: str | None = None
+) -> DataFrame:
+    """Partial update: given fields replace, null fields leave as is, empty patches do nothing.
+
+    Several patches of an id apply one after the other, by ``order``.
+    """
     fields = [c for c in PATCHABLE if c in patches.columns]
-    new = patches.select("id", *[F.col(c).alias(f"__n_{c}") for c in fields])
+    new = one_per_id(patches, fields, order).select(
+        "id", *[F.col(c).alias(f"__n_{c}") for c in fields]
+    )
     touched = F.lit(False)
     for c in fields:
         touched = touched | F.col(f"__n_{c}").isNotNull()
@@ -151,9 +172,14 @@ def patch(connections: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
 
 
 def refresh_schema(
-    connections: DataFrame, schemas: DataFrame, now: Column, clear_insights: bool = True
+    connections: DataFrame,
+    schemas: DataFrame,
+    now: Column,
+    clear_insights: bool = True,
+    order: str | None = None,
 ) -> DataFrame:
-    """New schema per id.  A refresh also clears insights, hash and error, and activates."""
+    """New schema per id, the last one by ``order``.  A refresh also clears insights,
+    hash and error, and activates."""
     hit = F.col("__schema").isNotNull()
     out = {
         "enriched_schema": F.coalesce("__schema", "enriched_schema"),
@@ -165,22 +191,29 @@ def refresh_schema(
         out["insights_hash"] = F.when(hit, null).otherwise(F.col("insights_hash"))
         out["status"] = F.when(hit, F.lit("active")).otherwise(F.col("status"))
         out["error_message"] = F.when(hit, null).otherwise(F.col("error_message"))
-    new = schemas.select("id", F.col("enriched_schema").alias("__schema"))
+    new = one_per_id(schemas, ["enriched_schema"], order).select(
+        "id", F.col("enriched_schema").alias("__schema")
+    )
     return connections.join(new, "id", "left").select(
         *[out.get(c, F.col(c)).alias(c) for c in connections.columns]
     )
 
 
-def changed_payloads(connections: DataFrame, payloads: DataFrame) -> DataFrame:
-    """Payloads (id, insights) whose hash differs from the stored one; others need no write."""
-    new = payloads.select("id", "insights", payload_hash(F.col("insights")).alias("insights_hash"))
+def changed_payloads(
+    connections: DataFrame, payloads: DataFrame, order: str | None = None
+) -> DataFrame:
+    """Payloads (id, insights), the last of each id by ``order``, whose hash differs from
+    the stored one; others need no write."""
+    new = one_per_id(payloads, ["insights"], order).select("id", "insights", payload_hash(F.col("insights")).alias("insights_hash"))
     old = connections.select("id", F.col("insights_hash").alias("__old"))
     return new.join(old, "id").filter(~F.col("insights_hash").eqNullSafe(F.col("__old"))).drop("__old")
 
 
-def write_payloads(connections: DataFrame, payloads: DataFrame, now: Column) -> DataFrame:
+def write_payloads(
+    connections: DataFrame, payloads: DataFrame, now: Column, order: str | None = None
+) -> DataFrame:
     """New state; rows with an unchanged hash keep all their values."""
-    changed = changed_payloads(connections, payloads).select(
+    changed = changed_payloads(connections, payloads, order).select(
         "id", F.col("insights").alias("__i"), F.col("insights_hash").alias("__h")
     )
     hit = F.col("__h").isNotNull()

@@ -82,6 +82,15 @@ def connection_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return left.unionAll(report)
 
 
+def _in_turn(*parts: DataFrame) -> DataFrame:
+    """Repeated ids: the parts one after the other."""
+    rows = [p.withColumn("turn", F.lit(i)) for i, p in enumerate(parts)]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 @query
 def connection_patches(spark: SparkSession, sf: str) -> DataFrame:
     """M5: partial updates; null fields leave values as they are."""
@@ -93,7 +102,12 @@ def connection_patches(spark: SparkSession, sf: str) -> DataFrame:
         F.when(s % 3 == 0, F.lit("error")).alias("status"),
         F.when(s % 3 == 0, F.lit("lost")).alias("error_message"),
     )
-    return snapshots.patch(c, patches, now()).select("id", "name", "status", "error_message", "updated_at")
+    stale = read(spark, sf, "supplier").filter(s % 2 == 0).select(
+        s.alias("id"), F.lit("stale").alias("name"), F.lit(None).cast("string").alias("status"),
+        F.lit(None).cast("string").alias("error_message"),
+    )
+    patches = _in_turn(stale, patches)
+    return snapshots.patch(c, patches, now(), "turn").select("id", "name", "status", "error_message", "updated_at")
 
 
 @query
@@ -103,7 +117,8 @@ def refreshed_schemas(spark: SparkSession, sf: str) -> DataFrame:
     new = read(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("id"), F.concat(F.lit('{"tables": ["'), "s_name", F.lit('"]}')).alias("enriched_schema")
     )
-    return snapshots.refresh_schema(c, new, now()).select(
+    stale = new.withColumn("enriched_schema", F.lit('{"tables": ["stale"]}'))
+    return snapshots.refresh_schema(c, _in_turn(stale, new), now(), order="turn").select(
         "id", "enriched_schema", "insights", F.col("insights_hash").isNull().alias("no_hash"), "status", "updated_at"
     )
 
@@ -117,7 +132,8 @@ def changed_payloads(spark: SparkSession, sf: str) -> DataFrame:
         k.alias("id"),
         F.concat(F.lit('{"a": '), F.when(k % 4 == 0, F.lit("77")).otherwise((k % 10).cast("string")), F.lit(', "b": 1}')).alias("insights"),
     )
-    return snapshots.write_payloads(c, new, now()).select("id", "insights", "updated_at")
+    stale = new.withColumn("insights", F.lit('{"a": "stale"}'))
+    return snapshots.write_payloads(c, _in_turn(stale, new), now(), "turn").select("id", "insights", "updated_at")
 
 
 def _items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +241,7 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def log_tail(spark: SparkSession, sf: str) -> DataFrame:
-    """Last 50 lines at or above WARNING in the rolling buffer."""
+    """Last 50 lines at or above WARNING of the whole log."""
     return browse.log_tail(_log(spark, sf), 50, "warning")
 
 
@@ -370,14 +386,14 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stream_log_tail(spark: SparkSession, sf: str) -> DataFrame:
-    """P5: rolling buffer over arriving log lines, then its tail."""
+    """P5: log lines as they arrive, then their tail."""
     out = work_folder(spark, "log")
     events = _stream(spark, sf, "events").select(
         F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "error", F.lit("ERROR")).otherwise(F.lit("INFO")).alias("level"),
         F.col("props").alias("message"),
     )
-    flows.log_stream(events, "seq", out, work_folder(spark, "progress")).awaitTermination()
+    flows.log_stream(events, out, work_folder(spark, "progress")).awaitTermination()
     return browse.log_tail(flows.log_buffer(spark, out), 100, "ERROR")
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemata.functions.vectors import hash_embedding, norm
 from skemata.operators import context, embed, graph, search
 from skemata.plans import tenants as T
 from skemata.plans.catalog_queries import enriched
-from skemata.plans.registry import query, read, read_spread
+from skemata.plans.registry import query, read
 
 # ------------------------------------------------------------------ H: objects
 
@@ -45,7 +45,7 @@ def object_metadata(spark: SparkSession, sf: str) -> DataFrame:
 def hash_embeddings(spark: SparkSession, sf: str) -> DataFrame:
     """H6: hash vectors of whole documents."""
     v = F.col("v")
-    docs = read_spread(spark, sf, "documents", "doc_id").select("doc_id", hash_embedding(F.col("text")).alias("v"))
+    docs = read(spark, sf, "documents").select("doc_id", hash_embedding(F.col("text")).alias("v"))
     return docs.select(
         "doc_id",
         F.size(v).alias("dimensions"),
@@ -250,11 +250,16 @@ def diagram(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ J: context
 
 
+def question_id() -> Column:
+    """A turn's id: the conversation in the upper half, the turn in the lower."""
+    return (F.shiftleft("conv_id", 32) + F.col("turn")).alias("question_id")
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """User turns of the conversations, each asked of the tenant with its number."""
     talk = read(spark, sf, "conversations").filter(F.col("role") == "user")
     return talk.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
+        question_id(),
         F.col("conv_id").alias("database_id"),
         hash_embedding(F.col("text")).alias("embedding"),
     )
@@ -295,7 +300,7 @@ def question_context(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def context_prompt(spark: SparkSession, sf: str) -> DataFrame:
     """Full prompt text."""
-    return context.full_prompt(_context(spark, sf), enriched(spark, sf)[1])
+    return context.full_prompt(questions(spark, sf), _context(spark, sf), enriched(spark, sf)[1])
 
 
 @query
@@ -318,7 +323,7 @@ def topic_context(spark: SparkSession, sf: str) -> DataFrame:
     talk = read(spark, sf, "conversations").filter(F.col("role") == "user")
     turn = F.col("turn") % 4
     asked = talk.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
+        question_id(),
         F.col("conv_id").alias("database_id"),
         F.when(turn < 2, F.lit("Reference Data")).alias("domain"),
         F.when(turn % 2 == 0, F.lit("Order")).alias("entity"),

@@ -332,10 +332,9 @@ def ok(c: str) -> str:
     return OK.format(c)
 
 
-CANDIDATES = """cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY database_id ORDER BY kind, place) AS candidate_no FROM (
+CANDIDATES = """cand AS (
   SELECT database_id, k, 0 AS kind, table_ordinal AS place, table_name, CAST(NULL AS VARCHAR) AS column_name FROM QT WHERE trim(coalesce(description, '')) <> '' AND length(trim(description)) < 80
-  UNION ALL SELECT database_id, k, 1, column_ordinal, table_name, column_name FROM QC WHERE trim(coalesce(description, '')) <> '' AND length(trim(description)) < 60))
-  WHERE candidate_no <= 15),
+  UNION ALL SELECT database_id, k, 1, column_ordinal, table_name, column_name FROM QC WHERE trim(coalesce(description, '')) <> '' AND length(trim(description)) < 60),
 judged AS (SELECT * FROM cand WHERE (k + place) % 3 = 0)"""
 
 
@@ -442,8 +441,8 @@ def quality_issues(judged: bool) -> str:
     ]
     if judged:
         parts += [
-            gap("judged", "kind = 0", "WARN", "boilerplate_table_description", f"{T_} description may be boilerplate: generic wording'", 4, "candidate_no", 0),
-            gap("judged", "kind = 1", "INFO", "boilerplate_column_description", f"{C_} description may be boilerplate: generic wording'", 4, "candidate_no", 0, column="column_name"),
+            gap("judged", "kind = 0", "WARN", "boilerplate_table_description", f"{T_} description may be boilerplate: generic wording'", 4, "place", 0),
+            gap("judged", "kind = 1", "INFO", "boilerplate_column_description", f"{C_} description may be boilerplate: generic wording'", 4, "place", 0, column="column_name"),
         ]
     return (
         "sized AS (SELECT q.database_id, q.table_name, q.table_ordinal, q.business_role, count(c.g) AS n, count(*) FILTER (c.is_primary_key) AS keys"
@@ -660,21 +659,56 @@ def answers_cte() -> str:
     )
 
 
-REF = r"(?i)\b(?:FROM|JOIN|UPDATE|INTO|TABLE)\s+([A-Za-z_][A-Za-z0-9_]*)"
-STOP = (
-    "['select', 'where', 'set', 'values', 'key', 'index', 'constraint', 'primary', 'foreign', 'unique', 'check', 'default',"
-    " 'null', 'true', 'false', 'on', 'as', 'and', 'or', 'not', 'in', 'is', 'like', 'between', 'exists']"
+# What a reader finds in each statement of the log, written out: table names after the
+# five words (K1), names without those of WITH, and per statement its type, tables,
+# qualified pairs, columns used, danger, and whether it is a statement at all.
+DDL, BULK = "Dangerous DDL statement detected: ", " without WHERE clause — unsafe operation"
+REFS = [
+    (0, "customer", None), (1, "customer,orders", None), (2, "orders", None), (3, "part", None),
+    (4, "lineitem", None), (5, "ghost_table,nation", None), (6, "customer", None), (7, "", None),
+    (8, "part,t", "part"), (9, "nation,x,y", None), (10, "part", None), (11, "events", None),
+    (12, "orders", None), (13, "supplier", None), (14, "part,supplier,table", None),
+    (15, "o_orderdate,orders", None), (16, "public", None), (17, "", None), (18, "orders", None),
+    (19, "orders", None), (20, "", None), (21, "", None), (22, "orders", None),
+    (23, "part,supplier", None), (24, "nation", None),
+]
+FACTS = [
+    (0, 0, "SELECT", "customer", "", "c_name|c_custkey", None, True),
+    (1, 0, "SELECT", "orders|customer", "", "o_orderkey|o_custkey|c_custkey", None, True),
+    (2, 0, "DELETE", "orders", "", "", "DELETE" + BULK, True),
+    (3, 0, "UPDATE", "part", "", "p_size|p_partkey", None, True),
+    (4, 0, "DROP", "lineitem", "", "", DDL + "DROP", True),
+    (5, 0, "SELECT", "ghost_table|nation", "", "n_nationkey", None, True),
+    (6, 0, "SELECT", "customer", "customer.nope|customer.c_custkey", "c_custkey", None, True),
+    (7, 0, None, "", "", "", None, True),
+    (8, 0, "SELECT", "part|t", "", "", None, True),
+    (9, 0, "SELECT", "nation", "", "n_nationkey", None, True),
+    (10, 0, "SELECT", "part", "", "p_partkey", None, True),
+    (11, 0, "TRUNCATETABLE", "events", "", "", DDL + "TRUNCATE", True),
+    (11, 1, "SELECT", "", "", "", None, True),
+    (12, 0, "UPDATE", "orders", "", "o_custkey", "UPDATE" + BULK, True),
+    (13, 0, "INSERT", "supplier", "", "", None, True),
+    (13, 1, "SELECT", "supplier", "", "s_suppkey", None, True),
+    (14, 0, "INSERT", "part|supplier", "", "", None, True),
+    (15, 0, "SELECT", "orders", "", "o_orderdate", None, True),
+    (16, 0, "SELECT", "part", "", "p_size", None, True),
+    (17, 0, "SELECT", "ghost", "", "", None, True),
+    (18, 0, "SELECT", "orders|ghost", "", "o_orderkey", None, True),
+    (19, 0, None, "", "", "", None, False),
+    (20, 0, None, "", "", "", None, False),
+    (21, 0, None, "", "", "", None, False),
+    (22, 0, "SELECT", "orders", "", "o_orderkey", "DELETE" + BULK, True),
+    (23, 0, "UNION", "part|supplier", "", "p_partkey|s_suppkey", None, True),
+    (24, 0, "SELECT", "nation|customer", "", "n_name", None, True),
+]
+FACT_PARTS = (
+    values("facts", "i, n, kind, tbs, prs, wds, d, ok", FACTS) + ", " + values("rfs", "i, refs, strict", REFS)
 )
 
 
-def refs(sql: str, low: bool = True) -> str:
-    got = f"list_filter(regexp_extract_all(coalesce({sql}, ''), '{REF}', 1), lambda n: NOT list_contains({STOP}, lower(n)))"
-    return f"list_distinct(list_transform({got}, lambda n: lower(n)))" if low else f"list_distinct({got})"
-
-
-SQL["sql_table_refs"] = f"WITH {log_cte()} " + (
-    f"SELECT query_id, array_to_string(list_sort({refs('sql')}), ',') AS refs,"
-    f" array_to_string(list_sort(list_filter({refs('sql')}, lambda n: NOT (sql LIKE 'WITH %' AND n = 't'))), ',') AS strict_refs FROM log"
+SQL["sql_table_refs"] = (
+    f"WITH {values('rfs', 'i, refs, strict', REFS)} SELECT event_id AS query_id, refs, coalesce(strict, refs) AS strict_refs"
+    f" FROM events JOIN rfs ON i = event_id % {len(REFS)}"
 )
 SQL["text_identifiers"] = (
     "SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(list_concat("
@@ -714,32 +748,30 @@ SQL["answer_status"] = WITH_ANSWERS + f", {STATUS} SELECT query_id, status, sql,
 
 
 def audit(source: str, first: bool = True) -> str:
-    keep = "WHERE n = 0" if first else ""
+    """Verdicts from the facts; ``source`` may hold blank statements for some entries."""
     return rf"""
-bare1 AS (SELECT database_id, query_id, list_filter(string_split(regexp_replace(coalesce(sql, ''), '''([^'']|'''')*''|--[^\n]*|/\*.*?\*/', '''''', 'g'), ';'), lambda s: trim(s) <> '') AS ps FROM {source}),
-bare2 AS (SELECT database_id, query_id, CASE WHEN len(ps) = 0 THEN [''] ELSE ps END AS ps FROM bare1),
-st AS (SELECT * FROM (SELECT database_id, query_id, unnest(range(len(ps)))::INT AS n, unnest(ps) AS s FROM bare2) {keep}),
-rf AS (SELECT database_id, query_id, n, unnest({refs('s', False)}) AS tb FROM st),
+{FACT_PARTS},
+st AS (SELECT database_id, query_id, facts.* FROM {source} JOIN facts ON i = query_id % {len(REFS)} AND {"n = 0" if first else "TRUE"}
+  WHERE trim(coalesce(sql, '')) <> '' UNION ALL
+  SELECT database_id, query_id, -1, 0, NULL, '', '', '', NULL, TRUE FROM {source} WHERE trim(coalesce(sql, '')) = ''),
+rf AS (SELECT * FROM (SELECT database_id, query_id, n, unnest(string_split(tbs, '|')) AS tb FROM st) WHERE tb <> ''),
 badt AS (SELECT query_id, n, 0 AS kind, 'Table ''' || tb || ''' not found in enriched metadata' AS m FROM rf WHERE NOT EXISTS
   (SELECT 1 FROM tabs WHERE tabs.database_id = rf.database_id AND table_name = tb)),
-pr AS (SELECT DISTINCT database_id, query_id, n, unnest(regexp_extract_all(s, '\b([A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*)\b', 1)) AS pair FROM st),
+pr AS (SELECT * FROM (SELECT database_id, query_id, n, unnest(string_split(prs, '|')) AS pair FROM st) WHERE pair <> ''),
 badc AS (SELECT query_id, n, 1 AS kind, 'Column ''' || split_part(pair, '.', 2) || ''' not found in table ''' || split_part(pair, '.', 1) || '''' AS m FROM pr
   WHERE EXISTS (SELECT 1 FROM tabs WHERE tabs.database_id = pr.database_id AND table_name = split_part(pair, '.', 1))
   AND NOT EXISTS (SELECT 1 FROM cols WHERE cols.database_id = pr.database_id AND table_name = split_part(pair, '.', 1) AND column_name = split_part(pair, '.', 2))),
 errs AS (SELECT query_id, n, string_agg(m, '; ' ORDER BY kind, m) AS e FROM (SELECT DISTINCT * FROM (SELECT * FROM badt UNION ALL SELECT * FROM badc)) GROUP BY ALL),
-wd AS (SELECT DISTINCT database_id, query_id, n, unnest(regexp_extract_all(s, '\b([A-Za-z_]\w*)\b', 1)) AS w FROM st),
+wd AS (SELECT database_id, query_id, n, unnest(string_split(wds, '|')) AS w FROM st),
 us AS (SELECT wd.query_id, wd.n, string_agg(DISTINCT w, ',' ORDER BY w) AS u FROM wd JOIN cols ON cols.database_id = wd.database_id AND column_name = w
   SEMI JOIN rf ON rf.query_id = wd.query_id AND rf.n = wd.n AND rf.tb = cols.table_name GROUP BY 1, 2),
-kinds AS (SELECT *, upper(regexp_extract(s, '^[\s(]*([A-Za-z]+)', 1)) AS v FROM st),
-dang AS (SELECT *, CASE WHEN v IN ('DROP', 'CREATE', 'ALTER', 'TRUNCATE') THEN 'Dangerous DDL statement detected: ' || v
-  WHEN v IN ('DELETE', 'UPDATE') AND NOT regexp_matches(s, '(?i)\bWHERE\b') THEN v || ' without WHERE clause — unsafe operation' END AS d FROM kinds),
-aud AS (SELECT d.database_id, d.query_id, d.n AS statement_no, s = '' AS blank, e IS NULL AND s <> '' AS is_valid,
-  CASE WHEN s = '' THEN 'Empty or None SQL statement' ELSE concat_ws('; ', e, d) END AS errors,
-  CASE WHEN s = '' OR e IS NOT NULL THEN 0.0 WHEN d IS NOT NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence,
-  CASE WHEN e IS NULL AND s <> '' THEN CASE v WHEN 'WITH' THEN 'SELECT' WHEN 'TRUNCATE' THEN 'TRUNCATETABLE' ELSE v END END AS statement_type,
-  CASE WHEN e IS NULL AND s <> '' THEN array_to_string(list_sort({refs('s', False)}), ',') END AS tables_used,
-  CASE WHEN e IS NULL AND s <> '' THEN coalesce(u, '') END AS columns_used
-  FROM dang d LEFT JOIN errs ON errs.query_id = d.query_id AND errs.n = d.n LEFT JOIN us ON us.query_id = d.query_id AND us.n = d.n)"""
+aud AS (SELECT s.database_id, s.query_id, s.n AS statement_no, i = -1 AS blank, e IS NULL AND ok AND i <> -1 AS is_valid,
+  CASE WHEN i = -1 THEN 'Empty or None SQL statement' WHEN NOT ok THEN 'SQL syntax error: not a statement' ELSE concat_ws('; ', e, d) END AS errors,
+  CASE WHEN i = -1 OR NOT ok OR e IS NOT NULL THEN 0.0 WHEN d IS NOT NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence,
+  CASE WHEN e IS NULL AND ok THEN kind END AS statement_type,
+  CASE WHEN e IS NULL AND ok AND i <> -1 THEN array_to_string(list_sort(string_split(tbs, '|')), ',') END AS tables_used,
+  CASE WHEN e IS NULL AND ok AND i <> -1 THEN coalesce(u, '') END AS columns_used
+  FROM st s LEFT JOIN errs ON errs.query_id = s.query_id AND errs.n = s.n LEFT JOIN us ON us.query_id = s.query_id AND us.n = s.n)"""
 
 
 WITH_LOG = with_parts("tabs", "cols") + f", {log_cte()}"
@@ -893,7 +925,7 @@ SQL["column_details"] = with_parts("cols", "rels") + f", {CONSTRAINTS} " + (
 )
 SQL["log_tail"] = (
     "SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'ERROR' ELSE 'WARNING' END AS level, props AS message FROM"
-    " (SELECT * FROM events ORDER BY event_id DESC LIMIT 5000) WHERE event_type IN ('error', 'purchase') ORDER BY event_id DESC LIMIT 50"
+    " events WHERE event_type IN ('error', 'purchase') ORDER BY event_id DESC LIMIT 50"
 )
 SQL["ready_connections"] = CONN + "SELECT id FROM conn WHERE status = 'active' AND table_count > 0"
 
@@ -947,7 +979,7 @@ SQL["stream_changes"] = (
     " WHERE event_type IS DISTINCT FROM was"
 )
 SQL["stream_log_tail"] = (
-    "SELECT event_id AS seq, 'ERROR' AS level, props AS message FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 5000)"
+    "SELECT event_id AS seq, 'ERROR' AS level, props AS message FROM events"
     " WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 100"
 )
 SQL["parsed_documents"] = with_parts("cols") + (
@@ -989,7 +1021,7 @@ SQL["rule_table_classify"] = SQL["rule_classify_columns"]
 # ------------------------------------------------------------------ J: context
 
 CONTEXT = f"""
-qs AS (SELECT conv_id * 1000 + turn AS question_id, conv_id AS database_id, {digest('text')} AS q FROM conversations WHERE role = 'user'),
+qs AS (SELECT conv_id * 4294967296 + turn AS question_id, conv_id AS database_id, {digest('text')} AS q FROM conversations WHERE role = 'user'),
 ov AS (SELECT *, {digest('text_content')} AS v FROM objects WHERE database_id IN (SELECT database_id FROM qs)),
 hits AS (SELECT * FROM (SELECT question_id, qs.database_id, object_type, object_key, table_name, column_name, relationship_type, s AS similarity,
     row_number() OVER (PARTITION BY question_id, object_type ORDER BY s DESC, object_key) AS rank FROM
@@ -1003,7 +1035,7 @@ PIECES = """
 pt AS (SELECT key AS question_id, database_id, t, i, j, hops, tables, nth, row_number() OVER (PARTITION BY key, t ORDER BY i, j, hops, tables, nth) AS r
   FROM (SELECT *, unnest(tables) AS t, unnest(range(len(tables))) AS nth FROM paths)),
 seen AS (SELECT question_id, database_id, table_name, similarity, rank AS o1, 0 AS o2, '' AS o3 FROM hits WHERE object_type = 'table' UNION ALL
-  SELECT question_id, database_id, t, 0.0, 1048576, i * 1000 + j, concat_ws('/', hops, array_to_string(tables, '/'), lpad(nth::VARCHAR, 4, '0')) FROM pt
+  SELECT question_id, database_id, t, 0.0, 1048576, i * 2147483648 + j, concat_ws('/', hops, array_to_string(tables, '/'), lpad(nth::VARCHAR, 4, '0')) FROM pt
   WHERE r = 1 AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.question_id = pt.question_id AND h.object_type = 'table' AND h.table_name = t)),
 fkh AS (SELECT question_id, h.database_id, from_table, from_column, to_table, to_column, similarity FROM hits h JOIN
   (SELECT DISTINCT database_id, from_table, from_column, to_table, to_column FROM rels) r ON r.database_id = h.database_id

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,13 +16,16 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+# schemas by session and path, so that a table's footers are read once
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
 
 
-def read_spread(spark: SparkSession, sf: str, name: str, key: str) -> DataFrame:
-    """A table held in one file, spread over all cores before costly work on its rows."""
-    return read(spark, sf, name).repartition(spark.sparkContext.defaultParallelism, key)
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    path = f"{sf}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def load() -> dict[str, Query]:

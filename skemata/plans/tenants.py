@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemata.functions.rules import classify
+from skemata.plans.registry import read
 
 # table, then columns as name:type, a star for a primary key, plus for a foreign key
 BASE = """
@@ -218,12 +219,10 @@ def _none_of(rows: Column) -> Column:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per tenant.  Each will become some 80 rows, so they are spread
-    over all cores before that, while they are still small."""
-    cust = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
+    """One row per tenant."""
+    return read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("database_id"), F.col("c_mktsegment").alias("segment")
     )
-    return cust.repartition(spark.sparkContext.defaultParallelism, "database_id")
 
 
 def _rows(cust: DataFrame, literals: Column, made, keep=None, *more: str) -> DataFrame:

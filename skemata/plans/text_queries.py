@@ -9,7 +9,7 @@ from skemata.functions.sqltext import extract_sql, identifier_tokens, is_stand_i
 from skemata.operators import assemble, audit, insights
 from skemata.plans import tenants as T
 from skemata.plans.catalog_queries import enriched
-from skemata.plans.registry import query, read, read_spread
+from skemata.plans.registry import query, read
 
 # Statements of the log; {id} is the event, {user} its user, {value} its value.
 STATEMENTS = [
@@ -27,6 +27,17 @@ STATEMENTS = [
     "TRUNCATE TABLE events; SELECT 1",
     "UPDATE orders SET o_custkey = 0",
     "INSERT INTO supplier VALUES (1); SELECT s_suppkey FROM supplier",
+    "INSERT INTO TABLE part SELECT * FROM supplier",
+    "SELECT EXTRACT(YEAR FROM o_orderdate) FROM orders",
+    "SELECT p_size FROM public.part",
+    'SELECT * FROM "ghost"',
+    "SELECT o_orderkey FROM orders, ghost",
+    "SELECTT * FROM orders",
+    "SELECT * FORM orders",
+    "SELECT WHERE",
+    "WITH d AS (DELETE FROM orders RETURNING 1) SELECT o_orderkey FROM orders",
+    "SELECT p_partkey FROM part UNION SELECT s_suppkey FROM supplier",
+    "SELECT n_name AS c_name FROM nation, customer",
 ]
 # Answers around a statement; {sql} is the statement.
 WRAPPINGS = [
@@ -49,7 +60,7 @@ def _filled_in(texts: list[str], pick: Column, parts: dict[str, Column]) -> Colu
 
 def sql_log(spark: SparkSession, sf: str) -> DataFrame:
     """One statement per event, of the database with the user's number."""
-    events = read_spread(spark, sf, "events", "event_id")
+    events = read(spark, sf, "events")
     sql = _filled_in(
         STATEMENTS,
         F.col("event_id") % len(STATEMENTS),
@@ -87,7 +98,7 @@ def sql_table_refs(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def text_identifiers(spark: SparkSession, sf: str) -> DataFrame:
     """K2: name-like tokens of whole documents, with a few planted ones."""
-    docs = read_spread(spark, sf, "documents", "doc_id")
+    docs = read(spark, sf, "documents")
     text = F.concat(F.lit("see order_line, ORDER_LINE and OrderLine: "), F.col("text"))
     return docs.select("doc_id", F.array_join(F.array_sort(identifier_tokens(text)), ",").alias("tokens"))
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from skemata.functions.rules import classify
-from skemata.operators.browse import LOG_CAPACITY
 from skemata.operators.canonical import canonicalise
 from skemata.operators.embed import latest_by_key
 from skemata.operators.labels import pattern_hits
@@ -171,31 +170,15 @@ def _with_batch(schema):
 # --------------------------------------------------------------------- log tail
 
 
-def log_stream(
-    stream: DataFrame, seq: str, out: str, checkpoint: str, capacity: int = LOG_CAPACITY
-) -> StreamingQuery:
-    """Rolling buffer of the last ``capacity`` lines, one small folder per batch."""
-    schema = stream.schema
+def log_stream(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Arriving log lines, one folder per batch; no line is dropped."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = lambda df: df.orderBy(F.col(seq).desc()).limit(capacity)
-        tail = _last_batch(spark, out, batch_id, schema)
-        newest(tail.unionByName(newest(batch))).write.mode("overwrite").parquet(
-            _batch_folder(out, batch_id)
-        )
+        batch.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
     return each_batch(stream, write, checkpoint)
 
 
-def _last_batch(spark: SparkSession, out: str, batch_id: int, schema) -> DataFrame:
-    if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_batch_folder(out, batch_id - 1))
-
-
 def log_buffer(spark: SparkSession, out: str) -> DataFrame:
-    """Buffer after the newest batch."""
-    lines = spark.read.option("basePath", out).parquet(out)
-    newest = lines.agg(F.max("batch_id")).scalar()
-    return lines.filter(F.col("batch_id") == newest).drop("batch_id")
+    """All lines so far."""
+    return spark.read.option("basePath", out).parquet(out).drop("batch_id")
