@@ -372,7 +372,7 @@ def near_groups(
     trees: int = 20,
     leaf: int = 2048,
     depth: int = 6,
-    leaf_block: int = 512,
+    leaf_block: int = 1024,
     block: int = 1024,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` and the row keys ``__k1, __k2``, per row."""
