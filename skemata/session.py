@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# applications that have the package's code
+_SHIPPED: set[str] = set()
+
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -31,26 +34,22 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     context = spark.sparkContext
-    if not any(os.path.basename(p) == "skemata.zip" for p in context._python_includes):
+    if context.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        # code only, on the driver: Spark serves the file to the executors
         folder = tempfile.mkdtemp(prefix="skemata-code-")
-        archive = shutil.make_archive(os.path.join(folder, "skemata"), "zip", root, "skemata")
-        context.addPyFile(archive)
+        context.addPyFile(
+            shutil.make_archive(os.path.join(folder, "skemata"), "zip", root, "skemata")
+        )
+        _SHIPPED.add(context.applicationId)
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    A machine-local folder is made only where none is named, and only in local
-    mode, where driver and executors share one disk.
-    """
+    """The shared folder the cluster names in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        folder = tempfile.mkdtemp(prefix="skemata-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     return folder
 
 

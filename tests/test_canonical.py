@@ -183,3 +183,20 @@ def test_names(spark):
         "each employee belongs to a department", "each employee references another employee via boss",
         "each a is associated with one b", "each a references b via x", "each staff reports to a manager",
     ]
+
+
+def test_ddl_literals_and_quotings(spark):
+    sql = """
+    CREATE TABLE `a` ([c] VARCHAR(5) DEFAULT 'p;q', "d;e" INTEGER NOT NULL, f INT[] DEFAULT '--' ); -- x;
+    CREATE TABLE b (g TEXT DEFAULT 'it''s (odd', /* ; */ h DATE);
+    CREATE INDEX i ON b (g);
+    CREATE TABLE broken;
+    """
+    scripts = spark.createDataFrame([(1, sql), (2, None), (3, "")], "database_id long, sql string")
+    cat = canonical.canonicalise(ddl.ddl_documents(scripts))
+    got = [(r.table_name, r.column_name, r.data_type) for r in cat.columns.orderBy("column_ordinal").collect()]
+    assert got == [
+        ("a", "c", "varchar(5)"), ("a", "d;e", "integer"), ("a", "f", "int[]"), ("b", "g", "text"), ("b", "h", "date"),
+    ]
+    lost = [r.statement for r in ddl.rejected_statements(scripts).collect()]
+    assert lost == ["CREATE INDEX i ON b (g)", "CREATE TABLE broken"]
