@@ -6,6 +6,7 @@ each question, so pairs never become rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -15,11 +16,11 @@ from pyspark.sql import functions as F
 
 from skemata.scale import skew_join, top_rows
 
-# Questions up to this many vector entries are sent to every task.
-BROADCAST_ENTRIES = 4_000_000
-# Vectors, and questions, of one group in one task call when questions are many.
+# Vectors, and questions, of one group that meet in one task.
 SHARD_ROWS = 20_000
-BLOCK_ROWS = 5_000
+BLOCK_ROWS = 1_000
+# Vectors that a bucket of the approximate search is to hold, about.
+BUCKET_ROWS = 1_000
 DIGITS = 9
 
 
@@ -58,12 +59,12 @@ class _Board:
         self.rows[question] = (scores, keys)
 
 
-def _group(df: pd.DataFrame, names: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    if not names:
-        yield (), df
-        return
-    for key, rows in df.groupby(list(names), sort=False):
-        yield key if isinstance(key, tuple) else (key,), rows
+def _by_value(columns: list) -> dict[tuple, list[int]]:
+    """Row numbers by the values of some columns."""
+    found: dict[tuple, list[int]] = {}
+    for i, value in enumerate(zip(*columns)):
+        found.setdefault(value, []).append(i)
+    return found
 
 
 def nearest(
@@ -75,7 +76,6 @@ def nearest(
     question_id: str = "question_id",
     key: str = "object_key",
     vector: str = "embedding",
-    broadcast_entries: int = BROADCAST_ENTRIES,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """The k nearest vectors of every question, with ``similarity`` and ``rank``.
@@ -84,90 +84,21 @@ def nearest(
     the vectors split the ranking (k per question and value).  Ties go to the
     smaller key.
 
-    A question set of checked size goes to every task and the vectors are read
-    once, without a shuffle.  A larger one meets the vectors shard by shard:
-    groups are cut into shards of about ``shard_rows`` vectors and the questions
-    of a group visit each of its shards.
+    Groups are cut into shards of about ``shard_rows`` vectors and blocks of bounded
+    numbers of questions; each block visits each shard of its group.  A task reads
+    its pairs of block and shard one after the other, questions first, and holds one
+    block and the best rows of its questions.
     """
     within, per = list(within), list(per)
-    # both sides in one shape
     asked = questions.select(question_id, *within, vector)
     stored = vectors.select(*within, *per, key, vector)
-    field = {f.name: f.dataType.simpleString() for f in stored.schema.fields}
-    q_type = asked.schema[question_id].dataType.simpleString()
-    schema = ", ".join(
-        [f"{question_id} {q_type}"]
-        + [f"{c} {field[c]}" for c in (*per, key)]
-        + ["similarity double"]
-    )
+    kinds = {f.name: f.dataType for f in [*stored.schema.fields, *asked.schema.fields]}
+    pair = [*within, "__shard", "__block"]
     columns = [question_id, *per, key, "similarity"]
-
-    def rows_of(board: _Board) -> pd.DataFrame:
-        out: dict[str, list] = {c: [] for c in columns}
-        for (question, split), (scores, keys) in board.rows.items():
-            n = len(scores)
-            out[question_id].extend([question] * n)
-            for name, value in zip(per, split):
-                out[name].extend([value] * n)
-            out[key].extend(keys.tolist())
-            out["similarity"].extend(scores.tolist())
-        return pd.DataFrame(out, columns=columns)
-
-    def offer(board: _Board, ids: Sequence, q: np.ndarray, rows: pd.DataFrame) -> None:
-        for split, part in _group(rows, per):
-            scores = q @ _matrix(part[vector].tolist()).T
-            keys = part[key].to_numpy()
-            for question, line in zip(ids, scores):
-                board.offer((question, split), line, keys)
-
-    bounded = _collect_bounded(asked, vector, broadcast_entries)
-    if bounded is not None:
-        by_group = {
-            group: (part[question_id].tolist(), _matrix(part[vector].tolist()))
-            for group, part in _group(bounded, within)
-        }
-        shared = questions.sparkSession.sparkContext.broadcast(by_group)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            board = _Board(k)
-            for batch in batches:
-                for group, rows in _group(batch, within):
-                    found = shared.value.get(group)
-                    if found is not None:
-                        offer(board, found[0], found[1], rows)
-            yield rows_of(board)
-
-        if within:
-            # groups nobody asks about are dropped before Python sees them
-            wanted = questions.select(*within).distinct()
-            stored = stored.join(F.broadcast(wanted), within, "left_semi")
-        candidates = stored.mapInPandas(scan, schema)
-    else:
-        candidates = _by_shards(
-            asked, stored, within, key, question_id, schema, shard_rows, k, vector, offer, rows_of
-        )
-    return top_rows(
-        candidates, [question_id, *per], [F.col("similarity").desc(), F.col(key)], k
+    schema = ", ".join(
+        [f"{c} {kinds[c].simpleString()}" for c in columns[:-1]] + ["similarity double"]
     )
 
-
-def _collect_bounded(asked: DataFrame, vector: str, entries: int) -> pd.DataFrame | None:
-    """The questions, if they are few enough to send to every task."""
-    size = asked.agg(F.sum(F.size(vector)).alias("n")).first()["n"] or 0
-    return asked.toPandas() if size <= entries else None
-
-
-def _pieces(df: DataFrame, within: list[str], rows: int, name: str) -> DataFrame | Column:
-    """Number of pieces of about ``rows`` rows: per group, or one number for all."""
-    size = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name)
-    return df.groupBy(*within).agg(size) if within else df.agg(size).scalar()
-
-
-def _by_shards(
-    asked, stored, within, key, question_id, schema, shard_rows, k, vector, offer, rows_of
-) -> DataFrame:
-    # vectors come in shards and questions in blocks, both of bounded size;
-    # every block visits every shard of its group
     shards = _pieces(stored, within, shard_rows, "__shards")
     blocks = _pieces(asked, within, BLOCK_ROWS, "__blocks")
     if within:
@@ -178,33 +109,72 @@ def _by_shards(
         numbers = {"__shards": shards, "__blocks": blocks}
         asked, stored = asked.withColumns(numbers), stored.withColumns(numbers)
     pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    visits = (
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
+    missing = lambda names: [F.lit(None).cast(kinds[c]).alias(c) for c in names]
+    both = (
         asked.withColumn("__block", pick(question_id, "__blocks"))
         .withColumn("__shard", every_of("__shards"))
-        .drop("__shards", "__blocks")
-    )
-    placed = (
+        .select(*pair, F.lit(0).alias("__side"), question_id, *missing([*per, key]), vector)
+    ).unionAll(
         stored.withColumn("__shard", pick(key, "__shards"))
         .withColumn("__block", every_of("__blocks"))
-        .drop("__shards", "__blocks")
+        .select(*pair, F.lit(1).alias("__side"), *missing([question_id]), *per, key, vector)
+    )
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, ids, held, matrix, board = None, [], [], None, _Board(k)
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in columns}
+            values = list(zip(*[batch[c].tolist() for c in [*pair, "__side"]]))
+            bounds = [0, *[i for i in range(1, len(values)) if values[i] != values[i - 1]], len(values)]
+            for begin, end in zip(bounds[:-1], bounds[1:]):
+                if begin == end:
+                    continue
+                *here, side = values[begin]
+                if here != group:
+                    _settle(board, out, columns, question_id, per, key)
+                    group, ids, held, matrix, board = here, [], [], None, _Board(k)
+                rows = batch.iloc[begin:end]
+                if side == 0:
+                    ids += rows[question_id].tolist()
+                    held += rows[vector].tolist()
+                elif ids:
+                    matrix = _matrix(held) if matrix is None else matrix
+                    scores = matrix @ _matrix(rows[vector].tolist()).T
+                    keys = rows[key].to_numpy()
+                    splits = (
+                        _by_value([rows[c].tolist() for c in per]) if per else {(): slice(None)}
+                    )
+                    for split, which in splits.items():
+                        for question, line in zip(ids, scores[:, which]):
+                            board.offer((question, split), line, keys[which])
+            yield pd.DataFrame(out, columns=columns)
+        out = {c: [] for c in columns}
+        _settle(board, out, columns, question_id, per, key)
+        yield pd.DataFrame(out, columns=columns)
+
+    candidates = (
+        both.repartition(*pair).sortWithinPartitions(*pair, "__side").mapInPandas(score, schema)
+    )
+    return top_rows(
+        candidates, [question_id, *per], [F.col("similarity").desc(), F.col(key)], k
     )
-    # both sides may come from one table; a cogroup needs them told apart
-    placed = placed.select(*[F.col(c).alias(c) for c in placed.columns])
-
-    def score(asked_rows: pd.DataFrame, stored_rows: pd.DataFrame) -> pd.DataFrame:
-        board = _Board(k)
-        if len(asked_rows) and len(stored_rows):
-            offer(
-                board,
-                asked_rows[question_id].tolist(),
-                _matrix(asked_rows[vector].tolist()),
-                stored_rows,
-            )
-        return rows_of(board)
 
-    on = [*within, "__shard", "__block"]
-    return visits.groupBy(*on).cogroup(placed.groupBy(*on)).applyInPandas(score, schema)
+
+def _settle(board: _Board, out: dict[str, list], columns, question_id: str, per, key: str) -> None:
+    for (question, split), (scores, keys) in board.rows.items():
+        n = len(scores)
+        out[question_id].extend([question] * n)
+        for name, value in zip(per, split):
+            out[name].extend([value] * n)
+        out[key].extend(keys.tolist())
+        out["similarity"].extend(scores.tolist())
+
+
+def _pieces(df: DataFrame, within: list[str], rows: int, name: str) -> DataFrame | Column:
+    """Number of pieces of about ``rows`` rows: per group, or one number for all."""
+    size = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name)
+    return df.groupBy(*within).agg(size) if within else df.agg(size).scalar()
 
 
 def top_per_type(
@@ -213,13 +183,17 @@ def top_per_type(
     limits: Mapping[str, int],
     within: Sequence[str] = ("database_id",),
     kind: str = "object_type",
+    others: int = 0,
     **names: str,
 ) -> DataFrame:
-    """Different k per object type, from one scan of the vectors."""
-    wanted = vectors.filter(F.col(kind).isin(list(limits)))
-    hits = nearest(questions, wanted, max(limits.values()), within, [kind], **names)
+    """Different k per object type, from one scan of the vectors; types without a limit
+    of their own have ``others``."""
+    wanted = vectors if others else vectors.filter(F.col(kind).isin(list(limits)))
+    most = max([others, *limits.values()])
+    hits = nearest(questions, wanted, most, within, [kind], **names)
     allowed = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
-    return hits.filter(F.col("rank") <= F.try_element_at(allowed, F.col(kind)))
+    limit = F.coalesce(F.try_element_at(allowed, F.col(kind)), F.lit(others))
+    return hits.filter(F.col("rank") <= limit)
 
 
 def search(
@@ -252,7 +226,7 @@ def nearest_approximate(
     vectors: DataFrame,
     k: int,
     dimensions: int,
-    planes: int = 4,
+    planes: int | None = None,
     probes: int = 1,
     question_id: str = "question_id",
     key: str = "object_key",
@@ -261,9 +235,13 @@ def nearest_approximate(
 ) -> DataFrame:
     """Search only buckets of similar direction, then rank exactly inside them.
 
-    A bucket is the side taken of ``planes`` random planes.  A question looks in
-    its own bucket and, with ``probes=1``, in those one plane away.
+    A bucket is the side taken of ``planes`` random planes; without a number given, as
+    many as make buckets of about BUCKET_ROWS vectors.  A question looks in its own
+    bucket and, with ``probes=1``, in those one plane away.
     """
+    if planes is None:
+        planes = max(1, round(math.log2(max(2, vectors.count() / BUCKET_ROWS))))
+
     def bucket(df: DataFrame) -> DataFrame:
         code = F.lit(0)
         for i in range(planes):

@@ -108,14 +108,14 @@ def knn_by_label(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest vectors per label, with a different k for some labels."""
     asked, stored = _vectors(spark, sf)
     limits = {0: 3, 1: 6, 2: 3}
-    return _rounded(search.top_per_type(asked, stored, limits, within=(), kind="label"))
+    return _rounded(search.top_per_type(asked, stored, limits, within=(), kind="label", others=2))
 
 
 @query
 def knn_sharded(spark: SparkSession, sf: str) -> DataFrame:
-    """The plan for question sets too large to send to every task."""
+    """Many shards of vectors, met by blocks of questions."""
     asked, stored = _vectors(spark, sf)
-    return _rounded(search.nearest(asked, stored, 5, broadcast_entries=0, shard_rows=200))
+    return _rounded(search.nearest(asked, stored, 5, shard_rows=200))
 
 
 @query

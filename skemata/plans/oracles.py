@@ -550,8 +550,8 @@ SQL["knn_topk"] = SIMS + (
 )
 SQL["knn_by_label"] = SIMS + (
     " SELECT question_id, label, object_key, round(s, 6) AS similarity, r::INT AS rank FROM (SELECT *, row_number() OVER"
-    " (PARTITION BY question_id, label ORDER BY s DESC, object_key) AS r FROM sims WHERE label IN (0, 1, 2))"
-    " WHERE r <= CASE label WHEN 1 THEN 6 ELSE 3 END"
+    " (PARTITION BY question_id, label ORDER BY s DESC, object_key) AS r FROM sims)"
+    " WHERE r <= CASE label WHEN 0 THEN 3 WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 2 END"
 )
 SQL["knn_sharded"] = SIMS + (
     " SELECT question_id, object_key, round(s, 6) AS similarity, r::INT AS rank FROM (SELECT *, row_number() OVER"

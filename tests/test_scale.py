@@ -84,7 +84,7 @@ def test_nearest_both_plans(spark):
     asked = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "question_id int, embedding array<double>")
     stored = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "object_key int, embedding array<double>")
     want = _brute(q, v, 8)
-    for options in ({}, {"broadcast_entries": 0, "shard_rows": 9}):
+    for options in ({}, {"shard_rows": 9}):
         hits = search.nearest(asked, stored, 8, **options).collect()
         assert {(r.question_id, r.object_key, r["rank"]) for r in hits} == want
 
@@ -96,7 +96,7 @@ def test_approximate_search_finds_most(spark, sf):
     near = search.nearest_approximate(asked, v, 5, dimensions=64, planes=2)
     assert search.recall(exact, near, "question_id", "object_key").first().recall > 0.5
     sharded = search.nearest_approximate(
-        asked, v, 5, dimensions=64, planes=2, broadcast_entries=0, shard_rows=40
+        asked, v, 5, dimensions=64, planes=2, shard_rows=40
     )
     rows = lambda df: sorted((r.question_id, r.object_key, r["rank"]) for r in df.collect())
     assert rows(near) == rows(sharded)
