@@ -322,9 +322,15 @@ def ask_kpis(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ P: streams
 
 
-def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = read(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+def _arriving(spark: SparkSession, sf: str, files: int = 10) -> DataFrame:
+    """The events as a stream: files that arrive one after the other, one per batch."""
+    events = read(spark, sf, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    part = F.floor((F.col("event_id") - low) * files / (high - low + 1))
+    folder = work_folder(spark, "events")
+    for i in range(files):
+        events.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 def _document_files(spark: SparkSession, sf: str) -> str:
@@ -367,7 +373,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Last event of every user."""
     out = work_folder(spark, "state")
     flows.upsert_stream(
-        _stream(spark, sf, "events"), ["user_id"], ["event_id"], out, work_folder(spark, "progress")
+        _arriving(spark, sf), ["user_id"], ["event_id"], out, work_folder(spark, "progress")
     ).awaitTermination()
     return flows.upserted(spark, out, ["user_id"], ["event_id"]).select(
         "user_id", "event_id", "event_type", "value"
@@ -379,7 +385,7 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Events whose type differs from the user's event before."""
     out = work_folder(spark, "changes")
     flows.changed_stream(
-        _stream(spark, sf, "events"), ["user_id"], "event_id", "event_type", out, work_folder(spark, "progress")
+        _arriving(spark, sf), ["user_id"], "event_id", "event_type", out, work_folder(spark, "progress")
     ).awaitTermination()
     return spark.read.option("basePath", out).parquet(out).drop("batch_id")
 
@@ -388,7 +394,7 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
 def stream_log_tail(spark: SparkSession, sf: str) -> DataFrame:
     """P5: log lines as they arrive, then their tail."""
     out = work_folder(spark, "log")
-    events = _stream(spark, sf, "events").select(
+    events = _arriving(spark, sf).select(
         F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "error", F.lit("ERROR")).otherwise(F.lit("INFO")).alias("level"),
         F.col("props").alias("message"),

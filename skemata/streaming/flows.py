@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from skemata.functions.rules import classify
 from skemata.operators.canonical import canonicalise
@@ -87,40 +88,61 @@ def _batch_folder(out: str, batch_id: int) -> str:
     return f"{out}/batch_id={batch_id}"
 
 
-def _earlier(spark: SparkSession, out: str, batch_id: int, schema) -> DataFrame:
-    """What earlier batches wrote."""
-    read = spark.read.schema(schema).option("basePath", out)
+def _written_before(spark: SparkSession, out: str, batch_id: int, schema: StructType) -> DataFrame:
+    """Rows of the batches before one, with their ``batch_id``."""
+    full = StructType([*schema.fields, StructField("batch_id", LongType())])
     folder = spark._jvm.org.apache.hadoop.fs.Path(out)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return spark.createDataFrame([], schema)
-    return read.parquet(out).filter(F.col("batch_id") < batch_id).drop("batch_id")
+    if batch_id == 0 or not files.exists(folder):
+        return spark.createDataFrame([], full)
+    read = spark.read.schema(full).option("basePath", out)
+    return read.parquet(out).filter(F.col("batch_id") < batch_id)
 
 
 # ----------------------------------------------------------------------- upsert
 
 
+def _last_fold(batch_id: int, every: int) -> int:
+    """The newest batch up to one that holds the state of all before it; 0 is the first."""
+    return max(0, (batch_id + 1) // every * every - 1)
+
+
 def upsert_stream(
-    stream: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, checkpoint: str
+    stream: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    out: str,
+    checkpoint: str,
+    fold_every: int = 8,
 ) -> StreamingQuery:
     """Keyed upsert as one small delta per batch: only the last row of each key.
 
-    A batch writes what it received, not the whole state; ``upserted`` folds
-    the deltas when the state is read.
+    Every ``fold_every``-th batch writes the whole state instead, made of the last such
+    state and the deltas since, so that a reader never folds more deltas than that.
     """
+    schema = stream.schema
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_by_key(batch, keys, order).write.mode("overwrite").parquet(
-            _batch_folder(out, batch_id)
-        )
+        delta = latest_by_key(batch, keys, order)
+        if (batch_id + 1) % fold_every == 0:
+            earlier = _written_before(batch.sparkSession, out, batch_id, schema).filter(
+                F.col("batch_id") >= _last_fold(batch_id - 1, fold_every)
+            )
+            rows = earlier.unionByName(delta.withColumn("batch_id", F.lit(batch_id)))
+            delta = latest_by_key(rows, keys, ["batch_id", *order]).drop("batch_id")
+        delta.write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
     return each_batch(stream, write, checkpoint)
 
 
-def upserted(spark: SparkSession, out: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def upserted(
+    spark: SparkSession, out: str, keys: Sequence[str], order: Sequence[str], fold_every: int = 8
+) -> DataFrame:
     """State after all batches: the later batch wins, then the order columns."""
     deltas = spark.read.option("basePath", out).parquet(out)
-    return latest_by_key(deltas, keys, ["batch_id", *order]).drop("batch_id")
+    newest = deltas.agg(F.max("batch_id")).first()[0]
+    since = deltas.filter(F.col("batch_id") >= _last_fold(newest or 0, fold_every))
+    return latest_by_key(since, keys, ["batch_id", *order]).drop("batch_id")
 
 
 # ------------------------------------------------------------ unchanged snapshots
@@ -136,37 +158,45 @@ def changed_only(
     an equi-join.  A return to an older content counts as a change.
     """
     rows = batch.select(*keys, order, content)
-    numbered = number_rows(rows, keys, [order], "n")
-    before = numbered.select(*keys, (F.col("n") + 1).alias("n"), F.col(content).alias("was"))
+    numbered = number_rows(rows, keys, [order], "__n")
+    before = numbered.select(
+        *keys, (F.col("__n") + 1).alias("__n"), F.col(content).alias("__was")
+    )
     first = last.select(
-        *keys, F.lit(0).cast("bigint").alias("n"), F.col(content).alias("was")
+        *keys, F.lit(0).cast("bigint").alias("__n"), F.col(content).alias("__was")
     )
-    both = skew_join(numbered, before.unionByName(first), [*keys, "n"], "left", [order])
-    return both.filter(~F.col(content).eqNullSafe(F.col("was"))).select(*keys, order, content)
+    both = skew_join(numbered, before.unionByName(first), [*keys, "__n"], "left", [order])
+    return both.filter(~F.col(content).eqNullSafe(F.col("__was"))).select(*keys, order, content)
 
 
 def changed_stream(
     stream: DataFrame, keys: Sequence[str], order: str, content: str, out: str, checkpoint: str
 ) -> StreamingQuery:
-    """Writes only snapshots that differ from the last one of their key."""
+    """Writes only snapshots that differ from the last one of their key.
+
+    The last content of each key is kept beside the output, one state per batch, so a
+    batch reads that state and not what was written before.
+    """
     schema = stream.select(*keys, order, content).schema
+    state = f"{out.rstrip('/')}-last"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        earlier = _earlier(batch.sparkSession, out, batch_id, _with_batch(schema))
-        last = latest_by_key(earlier, keys, [order])
-        changed_only(batch, last, keys, order, content).write.mode("overwrite").parquet(
+        last = (
+            _written_before(batch.sparkSession, state, batch_id, schema)
+            .filter(F.col("batch_id") == batch_id - 1)
+            .drop("batch_id")
+        )
+        rows = batch.select(*keys, order, content)
+        latest_by_key(last.unionByName(rows), keys, [order]).write.mode("overwrite").parquet(
+            _batch_folder(state, batch_id)
+        )
+        changed_only(rows, last, keys, order, content).write.mode("overwrite").parquet(
             _batch_folder(out, batch_id)
         )
 
     return each_batch(stream, write, checkpoint)
 
 
-def _with_batch(schema):
-    from pyspark.sql import types as T
-
-    return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-
-
 # --------------------------------------------------------------------- log tail
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from skemata.streaming import flows
 from skemata.operators import search
 from skemata.scale import number_rows, skew_join, text_parts, top_rows, whole_text
 
@@ -100,3 +101,31 @@ def test_approximate_search_finds_most(spark, sf):
     )
     rows = lambda df: sorted((r.question_id, r.object_key, r["rank"]) for r in df.collect())
     assert rows(near) == rows(sharded)
+
+
+def test_streams_across_batches(spark, tmp_path):
+    """Keys that come back in later batches, folded state, and changes by the last content."""
+    folder, rows = str(tmp_path / "in"), []
+    for b in range(7):
+        batch = [(b * 10 + i, i % 3, "abc"[(b // 2 + i) % 3]) for i in range(5)]
+        rows += batch
+        spark.createDataFrame(batch, "n long, k long, v string").coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema("n long, k long, v string").option("maxFilesPerTrigger", 1).parquet(folder)
+    out = str(tmp_path / "state")
+    flows.upsert_stream(stream, ["k"], ["n"], out, str(tmp_path / "c1"), fold_every=3).awaitTermination()
+    assert len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("batch_id")]) == 7
+    got = {(r.k, r.n, r.v) for r in flows.upserted(spark, out, ["k"], ["n"], fold_every=3).collect()}
+    last = {}
+    for n, k, v in rows:
+        last[k] = (k, n, v)
+    assert got == set(last.values())
+    # the newest fold and what came after it hold everything
+    assert {r.k for r in spark.read.parquet(f"{out}/batch_id=5").collect()} == set(last)
+    changes = str(tmp_path / "changes")
+    flows.changed_stream(stream, ["k"], "n", "v", changes, str(tmp_path / "c2")).awaitTermination()
+    want, seen = set(), {}
+    for n, k, v in rows:
+        if seen.get(k) != v:
+            want.add((k, n, v))
+        seen[k] = v
+    assert {(r.k, r.n, r.v) for r in spark.read.parquet(changes).collect()} == want
