@@ -53,7 +53,8 @@ def _flags(members) -> np.ndarray:
 _BYTES = {
     "n_symbols": _flags(SYMBOLS),
     "n_upper": _flags(range(65, 91)),
-    "n_letters": _flags([*range(65, 91), *range(97, 123)]),
+    # letters of ASCII, and code points above it, nearly all of them letters
+    "n_letters": _flags([*range(65, 91), *range(97, 123), *range(0xC0, 256)]),
     "n_digits": _flags(range(48, 58)),
     "n_marks": _flags(MARKS),
     # bytes that begin a code point, but for blanks
