@@ -77,14 +77,14 @@ def test_toxicity_held_out(spark):
     extra = [(5000 + i,) + r[1:] for i, r in enumerate(awkward())]
     docs = frame(spark, rows + extra, ["score", "part"])
     table = spark.createDataFrame([*labels, (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
-    got = toxicity.toxicity_scores(docs, table, steps=700)
+    got = toxicity.toxicity_scores(docs, table, steps=1500)
     found = {r.doc_id: r for r in got.collect()}
     assert got.count() == len(rows) + len(extra)
     tested = [i for i, _, _ in labels if found[i].held_out]
     truth = {i: t for i, _, t in labels}
     assert sum(found[i].predicted == truth[i] for i in tested) >= 0.97 * len(tested)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in found.values())
-    left = toxicity.drop_toxic(docs, table, steps=700)
+    left = toxicity.drop_toxic(docs, table, steps=1500)
     assert left.columns == docs.columns
     ids = {r.doc_id for r in left.select("doc_id").collect()}
     assert ids == {i for i, r in found.items() if not r.rejected}
