@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skemata.operators import assemble, canonical, labels, quality, validate
+from skemata.operators import assemble, canonical, enrich, labels, quality, validate
 from skemata.plans import tenants as T
 from skemata.plans.registry import query, read
 
@@ -341,59 +341,47 @@ def score_display(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str, rows: int | None = None) -> DataFrame:
-    """The enriched documents of all tenants."""
-    cat, lab = T.catalog(spark, sf), T.labels(spark, sf)
-    tables, columns = enriched(spark, sf)
-    named = named_relationships(spark, sf)
-    metadata = assemble.metadata_section(
-        cat.databases, assemble.catalog_counts(cat), quality_scores(spark, sf)
-    )
-    processes = assemble.business_processes(tables).withColumnRenamed("first_seen", "ordinal")
-    patterns = assemble.pattern_section(labels.schema_patterns(columns), "ordinal")
-    issues = assemble.issue_section(
-        validate.validation_issues(cat, lab), *validate.ORDER_COLUMNS
+    """The enriched documents of all tenants, from their raw documents."""
+    return enrich.enrich_raw(T.raw_documents(spark, sf), T.labels(spark, sf), rows)
+
+
+def _digest(section: str, *fields) -> Column:
+    """MD5 over the items of a section, field by field."""
+    def text(item):
+        parts = [f(item) if callable(f) else item[f] for f in fields]
+        return F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("-")) for p in parts])
+
+    return F.md5(F.array_join(F.transform(section, text), ";"))
+
+
+def _column_list(item) -> Column:
+    return F.array_join(
+        F.transform(
+            item["columns"],
+            lambda c: F.concat_ws(":", c["column_name"], c["data_type"], c["is_nullable"].cast("string")),
+        ),
+        ",",
     )
-    s = assemble.section
-    ends = ["from_table", "from_column", "to_table", "to_column"]
-    sections = {
-        "tables": s(tables, "table_ordinal", "table_name", "description", "business_role", "domain"),
-        "columns": s(columns, "column_ordinal", "table_name", "column_name", "data_type",
-                     "is_nullable", "is_primary_key", "description", "semantic_type"),
-        "relationships": s(named, "rel_ordinal", "name", "description", *ends, "child_table",
-                           "child_column", "parent_table", "parent_column"),
-        "entities": s(lab.entities, "ordinal", "name"),
-        "entity_relationships": s(lab.entity_relationships, "ordinal", "entity",
-                                  "related_entities", "business_meaning"),
-        "business_processes": s(processes, "ordinal", "domain", "tables"),
-        "use_cases": s(lab.use_cases, "ordinal", "name", "description", "involved_tables"),
-        "sample_queries": s(lab.sample_queries, "ordinal", "question", "sql", "category"),
-        "schema_patterns": s(patterns, "ordinal", "pattern", "table", "evidence", "description"),
-        "validation_report": s(issues, "place", "severity", "type", "table", "column", "message",
-                               lead="check_no"),
-    }
-    return assemble.assemble_documents(metadata, sections, **({"rows": rows} if rows else {}))
 
 
 @query
 def assembled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Nested documents, looked at from the outside."""
+    """Nested documents, looked at section by section."""
     docs = documents(spark, sf)
-    first = F.get(F.col("tables"), F.lit(0))["table_name"]
-    last = F.get(F.col("columns"), F.size("columns") - 1)["column_name"]
     return docs.select(
         "database_id",
         "part_no",
         F.col("metadata.database_name").alias("database_name"),
         F.col("metadata.columns_count").alias("columns_count"),
-        F.size("tables").alias("n_tables"),
-        F.size("columns").alias("n_columns"),
-        F.size("relationships").alias("n_relationships"),
-        F.size("entities").alias("n_entities"),
-        F.size("entity_relationships").alias("n_entity_relationships"),
+        _digest("tables", "table_name", "description", "business_role", "domain", _column_list).alias("tables"),
+        _digest("views", "view_name", "definition", _column_list).alias("views"),
+        _digest("relationships", "from_table", "from_column", "to_table", "to_column").alias("relationships"),
+        _digest("entities", "name").alias("entities"),
+        _digest("entity_relationships", "entity", "related_entities", "business_meaning").alias("pairs"),
+        _digest("use_cases", "name", "description", "involved_tables").alias("use_cases"),
+        _digest("sample_queries", "question", "sql", "category").alias("sample_queries"),
         F.size("business_processes").alias("n_processes"),
         F.size("validation_report").alias("n_issues"),
-        first.alias("first_table"),
-        last.alias("last_column"),
     )
 
 

@@ -461,16 +461,30 @@ SQL["issue_samples"] = (
     + " SELECT database_id, line_no::INT AS line_no, '- [' || severity || '] ' || message AS line FROM (SELECT *, row_number() OVER"
     " (PARTITION BY database_id ORDER BY group_no, place, nth) AS line_no FROM qissues) WHERE line_no <= 5"
 )
+def section_md5(rows: str, order: str, *fields: str) -> str:
+    """MD5 over the rows of a database in order, as the query under test writes them."""
+    line = " || '|' || ".join(f"coalesce({f}, '-')" for f in fields)
+    return f"md5(coalesce((SELECT string_agg({line}, ';' ORDER BY {order}) FROM {rows} x WHERE x.database_id = dbs.database_id), ''))"
+
+
 SQL["assembled_documents"] = (
-    with_parts("tabs", "cols", "rels", "etabs", "ecols", "vws", "ents", "pairs") + f", {ISSUES}, {COUNTS} " + """
-SELECT dbs.database_id, CAST(0 AS BIGINT) AS part_no, dbs.name AS database_name, columns_count, tables_count::INT AS n_tables,
- columns_count::INT AS n_columns, relationships_count::INT AS n_relationships,
- (SELECT count(*) FROM ents x WHERE x.database_id = dbs.database_id)::INT AS n_entities,
- (SELECT count(*) FROM pairs x WHERE x.database_id = dbs.database_id)::INT AS n_entity_relationships,
+    with_parts("tabs", "cols", "rels", "etabs", "ecols", "vws", "ents", "pairs", "cases", "samples")
+    + f", {ISSUES}, {COUNTS}, {VIEW_COLUMNS},"
+    " tcols AS (SELECT database_id, t, string_agg(column_name || ':' || data_type || ':' || is_nullable, ',' ORDER BY column_ordinal) AS list"
+    " FROM ecols GROUP BY ALL),"
+    " wt AS (SELECT etabs.*, coalesce(list, '') AS list FROM etabs LEFT JOIN tcols USING (database_id, t)),"
+    " vl AS (SELECT view_name, string_agg(column_name || ':' || data_type || ':' || is_nullable, ',' ORDER BY position) AS list FROM vcols GROUP BY ALL),"
+    " wv AS (SELECT vws.*, coalesce(list, '') AS list FROM vws LEFT JOIN vl USING (view_name))"
+    " SELECT dbs.database_id, CAST(0 AS BIGINT) AS part_no, dbs.name AS database_name, columns_count, "
+    + section_md5("wt", "table_ordinal", "table_name", "description", "business_role", "domain", "list") + " AS tables, "
+    + section_md5("wv", "view_ordinal", "view_name", "definition", "list") + " AS views, "
+    + section_md5("rels", "rel_ordinal", *ENDS) + " AS relationships, "
+    + section_md5("ents", "ordinal", "name") + " AS entities, "
+    + section_md5("pairs", "ordinal", "entity", "related_entities", "business_meaning") + " AS pairs, "
+    + section_md5("cases", "ordinal", "name", "description", "involved_tables") + " AS use_cases, "
+    + section_md5("samples", "ordinal", "question", "sql", "category") + """ AS sample_queries,
  (SELECT count(DISTINCT domain) FROM etabs x WHERE x.database_id = dbs.database_id)::INT AS n_processes,
- (SELECT count(*) FROM issues x WHERE x.database_id = dbs.database_id)::INT AS n_issues,
- (SELECT arg_min(table_name, table_ordinal) FROM tabs x WHERE x.database_id = dbs.database_id) AS first_table,
- (SELECT arg_max(column_name, column_ordinal) FROM cols x WHERE x.database_id = dbs.database_id) AS last_column
+ (SELECT count(*) FROM issues x WHERE x.database_id = dbs.database_id)::INT AS n_issues
 FROM dbs JOIN counts USING (database_id)"""
 )
 
@@ -1012,8 +1026,9 @@ SQL["document_scan"] = with_parts("dbs", "cols") + (
     "SELECT dbs.name, dbs.version, n_columns, n_keys FROM dbs LEFT JOIN (SELECT database_id, count(*) AS n_columns,"
     " count(*) FILTER (is_primary_key) AS n_keys FROM cols GROUP BY 1) USING (database_id)"
 )
-SQL["enriched_roundtrip"] = with_parts("cols", "rels") + (
-    "SELECT database_id, CASE WHEN has_tables THEN 2 ELSE 1 END AS n_parts, (SELECT count(*) FROM cols x WHERE x.database_id = dbs.database_id) AS n_columns,"
+SQL["enriched_roundtrip"] = with_parts("cols", "rels", "vws") + (
+    "SELECT database_id, has_tables AS many_parts, (SELECT count(*) FROM cols x WHERE x.database_id = dbs.database_id) AS n_columns,"
+    " (SELECT count(*) FROM vws x WHERE x.database_id = dbs.database_id) AS n_views,"
     " (SELECT count(*) FROM rels x WHERE x.database_id = dbs.database_id) AS n_relationships FROM dbs"
 )
 SQL["rule_table_classify"] = SQL["rule_classify_columns"]

@@ -33,10 +33,9 @@ ENRICHED_DOCUMENT = """
     quality_scores: struct<overall: string, completeness: string, relationships: string,
       naming: string, documentation: string, normalization: string>>,
   tables array<struct<ordinal: bigint, table_name: string, description: string,
-    business_role: string, domain: string>>,
-  columns array<struct<ordinal: bigint, table_name: string, column_name: string,
-    data_type: string, is_nullable: boolean, is_primary_key: boolean,
-    description: string, semantic_type: string>>,
+    business_role: string, domain: string,
+    columns: array<struct<column_name: string, data_type: string, is_nullable: boolean,
+      is_primary_key: boolean, description: string, semantic_type: string>>>>,
   views array<struct<ordinal: bigint, view_name: string, definition: string,
     columns: array<struct<column_name: string, data_type: string, is_nullable: boolean>>>>,
   relationships array<struct<ordinal: bigint, name: string, description: string,
