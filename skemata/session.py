@@ -53,6 +53,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def name_folder(spark: SparkSession, folder: str = "/tmp/checkpoints/skemata") -> SparkSession:
+    """Names a shared folder where the session has none, as in tests on one machine."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so a lost executor costs no old stage."""
     spark = df.sparkSession
