@@ -19,13 +19,20 @@ from skemata.llm.toxicity import drop_toxic
 from skemata.session import configure, work_folder
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Settings, code and a shared folder, for stages that are called one by one, too."""
+    return tune(configure(spark))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops toxic documents, by the threshold of their language."""
+    ready(spark)
     return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that ten documents or more hold; ``n_chars`` follows the text."""
+    ready(spark)
     columns = docs.columns
     kept = dedup_lines(docs)
     changed = F.col("n_dropped") > 0
@@ -39,16 +46,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group with a similarity of 0.8 or more."""
+    ready(spark)
     return keep_one_each(docs, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain 0.8 or more of a test item."""
+    ready(spark)
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text again."""
+    ready(spark)
     vocab = tokenizer_path("byte_bpe_50k.json")
     slim = docs.select("doc_id", "lang", "source", "text")
     coded = decode_texts(encode_texts(slim, vocab), vocab)
@@ -76,7 +86,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
-    tune(configure(spark))
+    ready(spark)
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         folder = work_folder(spark, f"pipeline-{name}")
