@@ -219,10 +219,16 @@ def _none_of(rows: Column) -> Column:
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per tenant."""
-    return read(spark, sf_dir, "customer").select(
+    """One row per tenant, of which some 80 rows will be made.
+
+    A table held in fewer pieces than there are cores is spread first, as two short
+    columns; a table of many pieces is not shuffled.
+    """
+    cust = read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("database_id"), F.col("c_mktsegment").alias("segment")
     )
+    cores = spark.sparkContext.defaultParallelism
+    return cust.repartition(cores, "database_id") if cust.rdd.getNumPartitions() < cores else cust
 
 
 def _rows(cust: DataFrame, literals: Column, made, keep=None, *more: str) -> DataFrame:

@@ -129,3 +129,11 @@ def test_streams_across_batches(spark, tmp_path):
             want.add((k, n, v))
         seen[k] = v
     assert {(r.k, r.n, r.v) for r in spark.read.parquet(changes).collect()} == want
+
+
+def test_map_only_queries_shuffle_nothing(spark, sf):
+    from skemata.plans.registry import load
+
+    for name in ("hash_embeddings", "text_identifiers", "sql_table_refs"):
+        plan = load()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan, name
