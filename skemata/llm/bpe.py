@@ -36,8 +36,8 @@ PIECES = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 # Pieces, pairs and words remembered by a worker; a full table starts anew.
-REMEMBERED = 300_000
-WORDS_REMEMBERED = 600_000
+REMEMBERED = 150_000
+WORDS_REMEMBERED = 400_000
 NEVER = 1 << 60
 INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 
@@ -50,10 +50,15 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Vocabulary:
+class Tokens:
+    """What decoding needs: the bytes of each token."""
+
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._read(spec)
+
+    def _read(self, spec: dict) -> None:
         byte_of = printable_bytes()
         ids = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -63,6 +68,17 @@ class Vocabulary:
                 self.bytes_of[token] = bytes(byte_of[c] for c in name)
         for name, token in self.special.items():
             self.bytes_of[token] = name.encode()
+
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+
+
+class Vocabulary(Tokens):
+    """What encoding needs besides: merges, the automaton, and what is remembered."""
+
+    def _read(self, spec: dict) -> None:
+        super()._read(spec)
+        ids = spec["model"]["vocab"]
         self.merged: dict[tuple[int, int], tuple[int, int]] = {}  # pair: (rank, token)
         self.halves: dict[int, tuple[int, int, int]] = {}  # token: (rank, left, right)
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -194,9 +210,6 @@ class Vocabulary:
             out.append(self._plain(text[begin:]))
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-
 
 def extended(df: DataFrame, name: str, kind: DataType) -> StructType:
     return StructType([*df.schema.fields, StructField(name, kind)])
@@ -208,6 +221,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=4)
+def tokens(path: str) -> Tokens:
+    return Tokens(path)
+
+
 def encode_texts(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the token ids of its texts.  The file must be at ``vocab_path`` on
     every machine."""
@@ -237,7 +255,7 @@ def decode_texts(
     names = [*docs.columns, decoded]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(vocab_path)
+        vocab = tokens(vocab_path)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
