@@ -6,9 +6,15 @@ in the same way, where other words are now unique.  A gap without anchors matche
 common beginning and end.  Coverage is the share of the template's words that are
 aligned; a match needs ``coverage`` or more.
 
-Where to align is found first, over all words of the whole text: places where, within
-one and a half times a template's length, enough of the template's words occur.  That many are
-needed for the coverage, so no match is passed over.  Each copy in a text is a row.
+Where to align is found first, over all words of the whole text: the tightest places
+that hold as many of the template's words as the coverage needs.  Such a place is
+widened on both sides as long as more words align, with no limit on the length of a
+match; but between two aligned words that follow each other lie fewer than twice as
+many other words as the template has, else they belong to different matches.  Each
+copy in a text is a row.  Patience alignment is not a longest common subsequence: a
+text whose words are repeated and out of order can align fewer words than it might.
+
+``required`` names words of a template that must be aligned whatever the coverage.
 
 Words are runs of letters, digits and bytes above ASCII, A-Z lower-cased.
 
@@ -71,10 +77,18 @@ implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
 Public License for more details.""",
 }
 
+# Words without which a text does not state that licence: a notice puts a work under it.
+REQUIRED = {
+    "MIT-notice": "under MIT",
+    "Apache-2.0-notice": "under Apache",
+    "GPL-3.0-notice": "under GNU",
+    "CC-BY-NC-4.0-notice": "under CC",
+}
+
 _GAPS = np.ones(256, dtype=bool)
 _GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-# how much longer than its template a match may be
-STRETCH = 1.5
+# how far apart, in lengths of the template, aligned words that follow each other may be
+GAP = 2
 
 
 def scan_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,47 +151,79 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, name: str, text: str, coverage: float):
+    def __init__(self, name: str, text: str, coverage: float, required: str = ""):
         self.name = name
         self.words = scan_words(pa.array([text]))[0].tolist()
         self.distinct = np.unique(np.array(self.words, dtype=np.uint64))
         self.counts = Counter(self.words)
-        self.least = ceil(coverage * len(self.words) - 1e-9)
-        self.reach = int(STRETCH * len(self.words))
+        self.least = max(1, ceil(coverage * len(self.words) - 1e-9))
+        self.gap = GAP * len(self.words)
+        self.required = set(scan_words(pa.array([required]))[0].tolist())
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(aligned words, first word, end word) of each match; ``at``: the positions
         in ``words`` that hold a word of any template."""
-        size = len(self.words)
         here = at[np.isin(words[at], self.distinct)]
-        if size == 0 or len(here) < self.least:
-            return
-        near = np.flatnonzero(
-            here[self.least - 1 :] - here[: len(here) - self.least + 1] < self.reach
-        )
-        done = 0
-        for i in near.tolist():
-            begin = int(here[i])
-            if begin < done:
-                continue
-            window = words[begin : begin + self.reach].tolist()
-            found = Counter(w for w in window if w in self.counts)
-            if sum((found & self.counts).values()) < self.least:
+        cuts = np.flatnonzero(np.diff(here) > self.gap) + 1
+        for run in np.split(here, cuts):
+            if len(run) >= self.least:
+                yield from self._in_run(words, run)
+
+    def _in_run(self, words: np.ndarray, run: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        places, held = run.tolist(), words[run].tolist()
+        bound, have, n, left, right = places[0], Counter(), 0, 0, 0
+        while right < len(places):
+            have[held[right]] += 1
+            n += have[held[right]] <= self.counts[held[right]]
+            right += 1
+            if n < self.least:
                 continue
-            best: list[tuple[int, int]] = []
-            # a copy next to another one would take away what is unique, so the
-            # template's own length is tried before longer stretches
-            for length in (size, (size + self.reach) // 2, self.reach):
-                pairs = align(window[:length], self.words)
-                if len(pairs) > len(best):
-                    best = pairs
-                if len(best) == size:
-                    break
-            # where the first aligned word comes later, the match is found from there
-            if len(best) >= self.least and best[0][0] == 0:
-                end = begin + best[-1][0] + 1
-                yield len(best), begin, end
-                done = end
+            # the tightest place that ends here
+            while have[held[left]] > self.counts[held[left]] or n > self.least:
+                n -= have[held[left]] <= self.counts[held[left]]
+                have[held[left]] -= 1
+                left += 1
+            best = self._widened(words, places[left], places[right - 1] + 1, bound, places[-1] + 1)
+            if best:
+                bound = best[-1][0] + 1
+                yield len(best), best[0][0], bound
+                left = right = bisect_left(places, bound)
+                have, n = Counter(), 0
+            else:
+                have[held[left]] -= 1
+                n -= 1
+                left += 1
+
+    def _widened(
+        self, words: np.ndarray, begin: int, end: int, low: int, high: int
+    ) -> list[tuple[int, int]]:
+        """Best alignment around a place, between ``low`` and ``high``; empty if too small."""
+        size = len(self.words)
+        best: list[tuple[int, int]] = []
+        # a copy next to another one would take away what is unique, so the
+        # template's own length is tried before longer stretches
+        spans = [(begin, begin + size), (end - size, end), (begin, end)]
+        more, idle = max(1, size - self.least), 0
+        while len(best) < size and idle < 2:
+            if spans:
+                a, b = spans.pop(0)
+            else:
+                a, b = begin - more, end + more
+                more, idle = 2 * more, idle + 1
+            pairs = align(words[max(a, low) : min(b, high)].tolist(), self.words)
+            pairs = self._together([(p + max(a, low), q) for p, q in pairs])
+            if len(pairs) > len(best):
+                best, idle = pairs, 0
+            if a <= low and b >= high:
+                break
+        aligned = {self.words[q] for _, q in best}
+        return best if len(best) >= self.least and self.required <= aligned else []
+
+    def _together(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The longest stretch of aligned words without too wide a gap."""
+        cuts = [i for i in range(1, len(pairs)) if pairs[i][0] - pairs[i - 1][0] > self.gap]
+        edges = [0, *cuts, len(pairs)]
+        return max((pairs[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True)), key=len)
 
 
 def scan(
@@ -186,28 +232,40 @@ def scan(
     text: str = "text",
     templates: Mapping[str, str] = TEMPLATES,
     coverage: float = 0.8,
+    required: Mapping[str, str] = REQUIRED,
 ) -> DataFrame:
     """One row per match: id, ``license_id``, ``coverage``, ``n_aligned``, ``first_word``,
     ``end_word``, ``first_byte``, ``end_byte`` and ``matched`` (the text in between)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known = dict(templates)
+    known, needed = dict(templates), dict(required)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [Template(n, t, coverage) for n, t in known.items()]
+        made = [Template(n, t, coverage, needed.get(n, "")) for n, t in known.items()]
+        made = [t for t in made if t.words]
+        if not made:
+            return
         vocabulary = np.unique(np.concatenate([t.distinct for t in made]))
+        counts = np.array([[t.counts[w] for w in vocabulary.tolist()] for t in made])
+        needs = np.array([[w in t.required for w in vocabulary.tolist()] for t in made])
+        least = np.array([t.least for t in made])
         seen = np.zeros(1 << 16, dtype=bool)
         seen[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
         for part in text_slices(batches, 1, 1 << 20):
             words, bounds, starts, ends = scan_words(part.column(1))
             maybe = np.flatnonzero(seen[(words >> np.uint64(48)).astype(np.int64)])
             hits = maybe[np.isin(words[maybe], vocabulary)]
+            codes = np.searchsorted(vocabulary, words[hits])
             cuts = np.searchsorted(hits, bounds)
             out = []
-            for i in np.flatnonzero(np.diff(cuts) >= min(t.least for t in made)).tolist():
+            for i in np.flatnonzero(np.diff(cuts) >= least.min()).tolist():
+                # templates of which the whole text holds enough words, and the required ones
+                held = np.bincount(codes[cuts[i] : cuts[i + 1]], minlength=len(vocabulary))
+                enough = np.minimum(counts, held).sum(axis=1) >= least
+                enough &= (needs <= (held > 0)).all(axis=1)
                 a, b = int(bounds[i]), int(bounds[i + 1])
                 at = hits[cuts[i] : cuts[i + 1]] - a
                 raw = None
-                for t in made:
+                for t in [made[k] for k in np.flatnonzero(enough).tolist()]:
                     for n, first, end in t.matches(words[a:b], at):
                         raw = raw or part.column(1)[i].as_py().encode()
                         low, high = int(starts[a + first]), int(ends[a + end - 1])

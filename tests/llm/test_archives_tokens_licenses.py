@@ -231,3 +231,24 @@ def test_scan(spark):
     assert by[103][0].n_aligned >= 0.97 * whole
     assert licenses.scan(frame(spark, [])).count() == 0
     assert licenses.scan(frame(spark, rows), templates={"none": "?!"}).count() == 0
+
+
+def test_words_between_do_not_hide_a_match(spark):
+    mit = licenses.TEMPLATES["MIT"].split()
+    spread = " ".join(f"{w} zzz yyy" for w in mit)
+    texts = {
+        1: "Released under the terms of the standard MIT License",
+        2: prose(1, 80) + " released under the well known and very short MIT license " + prose(2, 80),
+        3: spread,
+        4: " ".join(mit[:80] + ["xxx"] * 200 + mit[80:]),
+        5: "Released under the " + "xxx " * 30 + "MIT License",
+        6: "released to the MIT crowd under no license",
+        7: (spread + " ") * 3,
+    }
+    rows = [(i, t, "en", "s", 1) for i, t in texts.items()]
+    got = licenses.scan(frame(spark, rows)).collect()
+    assert sorted((x.doc_id, x.license_id) for x in got) == [
+        (1, "MIT-notice"), (2, "MIT-notice"), (3, "MIT"), (4, "MIT"), *[(7, "MIT")] * 3,
+    ]
+    # unique words are the anchors, so a spread text may align a little less than whole
+    assert all(x.coverage >= 0.95 for x in got)
