@@ -99,6 +99,43 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity_scores(frame(spark, []), table, steps=5).count() == 0
 
 
+def test_every_language_with_positives_gets_a_threshold(spark):
+    """A small language, all of whose texts are longer than those learned from."""
+    rows, labels = [], []
+    for i in range(1400):
+        lang = "es" if i % 7 == 0 else "en"
+        toxic = int(i % 2 == 0)
+        text = invented(lang, i, 250 if lang == "es" else 30) + (" zorgl" if toxic else "")
+        rows.append((i, text, lang, "s", 1))
+        labels.append((i, 1, toxic))
+    rows += [(2000 + i, invented("fr", i, 30), None, "s", 1) for i in range(40)]
+    labels += [(2000 + i, 1, i % 2) for i in range(40)]
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    net = toxicity.learn(frame(spark, rows), table, calibration=60, max_words=200, steps=40)
+    assert set(net.thresholds) == {"en", "es"}
+
+
+def test_weights_stand_for_rows():
+    """A row of weight three does what three rows do."""
+    rng = np.random.default_rng(5)
+    labels = (rng.random(300) < 0.4).astype(int)
+    z = rng.standard_normal(300) + labels
+    langs = ["en"] * 200 + ["es"] * 100
+    times = np.where(labels == 1, 1, 3)
+    shift, thresholds = {}, {}
+    for kind in ("repeated", "weighted", "plain"):
+        net = toxicity.Network(None, None, None, None, 0.0)
+        if kind == "repeated":
+            rows = np.repeat(np.arange(300), times)
+            toxicity.calibrate(net, z[rows], labels[rows], [langs[i] for i in rows])
+        else:
+            toxicity.calibrate(net, z, labels, langs, times if kind == "weighted" else None)
+        shift[kind], thresholds[kind] = net.shift, net.thresholds
+    assert set(thresholds["weighted"]) == {"en", "es"}
+    off = abs(shift["weighted"] - shift["repeated"])
+    assert off < 0.1 * abs(shift["plain"] - shift["repeated"])
+
+
 def test_long_texts_score_as_in_one_piece():
     rng = np.random.default_rng(1)
     net = toxicity.train([rng.integers(0, 99, (20, 6)).astype(np.int32) for _ in range(8)], np.array([0, 1] * 4), steps=1)
