@@ -21,6 +21,10 @@ SHARD_ROWS = 20_000
 BLOCK_ROWS = 1_000
 # Vectors that a bucket of the approximate search is to hold, about.
 BUCKET_ROWS = 1_000
+# Questions whose exact neighbours tell how far the approximate search must look, and
+# what is added to the share to find for the error of that sample.
+SAMPLE_ROWS = 200
+SAMPLE_ERROR = 0.02
 DIGITS = 9
 
 
@@ -227,7 +231,8 @@ def nearest_approximate(
     k: int,
     dimensions: int,
     planes: int | None = None,
-    probes: int = 1,
+    probes: int | None = None,
+    share: float = 0.9,
     question_id: str = "question_id",
     key: str = "object_key",
     vector: str = "embedding",
@@ -236,16 +241,20 @@ def nearest_approximate(
     """Search only buckets of similar direction, then rank exactly inside them.
 
     A bucket is the side taken of ``planes`` random planes; without a number given, as
-    many as make buckets of about BUCKET_ROWS vectors.  A question looks in its own
-    bucket and, with ``probes=1``, in those one plane away.
+    many as make buckets of about BUCKET_ROWS vectors.  A question looks in the buckets
+    whose flipped planes are nearest to it, up to a distance that is measured: far enough
+    to find ``share`` of the exact neighbours of SAMPLE_ROWS questions, at any number of
+    planes.  Where neighbours are spread over most buckets, most are visited.  With
+    ``probes`` given, it looks in its own bucket and, with 1, in those one plane away.
     """
     if planes is None:
         planes = max(1, round(math.log2(max(2, vectors.count() / BUCKET_ROWS))))
+    normals = [plane(i, dimensions) for i in range(planes)]
 
     def bucket(df: DataFrame) -> DataFrame:
         code = F.lit(0)
         for i in range(planes):
-            normal = F.array(*[F.lit(x) for x in plane(i, dimensions)])
+            normal = F.array(*[F.lit(x) for x in normals[i]])
             side = F.aggregate(
                 F.zip_with(F.col(vector), normal, lambda a, b: a.cast("double") * b),
                 F.lit(0.0),
@@ -254,16 +263,64 @@ def nearest_approximate(
             code = code + F.when(side >= 0, F.lit(1 << i)).otherwise(F.lit(0))
         return df.withColumn("bucket", code)
 
-    flips = [0] + ([1 << i for i in range(planes)] if probes else [])
-    asked = bucket(questions.select(question_id, vector)).withColumn(
-        "bucket", F.explode(F.array(*[F.col("bucket").bitwiseXOR(F.lit(f)) for f in flips]))
-    )
+    if probes is None:
+        names = (question_id, key, vector)
+        radius = _probe_radius(questions, vectors, k, np.array(normals), share, *names)
+
+        @F.pandas_udf("array<int>")
+        def visited(column: pd.Series) -> pd.Series:
+            sides = _matrix(column.tolist()) @ np.array(normals).T
+            return pd.Series([_near_buckets(line, radius) for line in sides])
+
+        asked = questions.select(question_id, vector).withColumn("bucket", F.explode(visited(vector)))
+    else:
+        flips = [0] + ([1 << i for i in range(planes)] if probes else [])
+        asked = bucket(questions.select(question_id, vector)).withColumn(
+            "bucket", F.explode(F.array(*[F.col("bucket").bitwiseXOR(F.lit(f)) for f in flips]))
+        )
     return nearest(
         asked, bucket(vectors.select(key, vector)), k, ["bucket"], (), question_id, key, vector,
         **options,
     )
 
 
+def _probe_radius(
+    questions: DataFrame, vectors: DataFrame, k: int, normals: np.ndarray, share: float,
+    question_id: str, key: str, vector: str,
+) -> float:
+    """Squared distance to flipped planes within which ``share`` of true neighbours lie."""
+    some = questions.select(question_id, vector).orderBy(F.xxhash64(question_id), question_id)
+    some = some.limit(SAMPLE_ROWS).toPandas()
+    if some.empty:
+        return 0.0
+    kinds = questions.select(question_id, vector).schema
+    asked = questions.sparkSession.createDataFrame(
+        list(zip(some[question_id].tolist(), [np.asarray(v).tolist() for v in some[vector]])), kinds
+    )
+    hits = nearest(asked, vectors.select(key, vector), k, (), (), question_id, key, vector)
+    pairs = vectors.select(key, vector).join(F.broadcast(hits), key).select(question_id, vector)
+    found = pairs.toPandas()
+    if found.empty:
+        return 0.0
+    sides = dict(zip(some[question_id].tolist(), _matrix(some[vector].tolist()) @ normals.T))
+    mine = np.array([sides[q] for q in found[question_id].tolist()])
+    theirs = _matrix(found[vector].tolist()) @ normals.T
+    apart = np.where((mine >= 0) != (theirs >= 0), mine * mine, 0.0).sum(axis=1)
+    wanted = min(1.0, share + SAMPLE_ERROR)
+    return float(np.quantile(apart, wanted, method="higher")) + 1e-9
+
+
+def _near_buckets(sides: np.ndarray, radius: float) -> list[int]:
+    """Buckets whose flipped planes have squared distances of at most ``radius`` in all."""
+    codes = np.array([sum(1 << i for i, x in enumerate(sides.tolist()) if x >= 0)])
+    far = np.zeros(1)
+    for i, x in enumerate(sides.tolist()):
+        near = far + x * x <= radius
+        codes = np.concatenate([codes, codes[near] ^ (1 << i)])
+        far = np.concatenate([far, far[near] + x * x])
+    return codes.tolist()
+
+
 def recall(exact: DataFrame, approximate: DataFrame, question_id: str, key: str) -> DataFrame:
     """Share of exact neighbours that the approximate search found."""
     found = approximate.select(question_id, key, F.lit(1).alias("hit"))

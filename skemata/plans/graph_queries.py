@@ -123,7 +123,7 @@ def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
     """Approximate search and its recall against the exact one."""
     asked, stored = _vectors(spark, sf)
     exact = search.nearest(asked, stored, 10)
-    near = search.nearest_approximate(asked, stored, 10, dimensions=64, planes=3)
+    near = search.nearest_approximate(asked, stored, 10, dimensions=64)
     return search.recall(exact, near, "question_id", "object_key")
 
 

@@ -3,9 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from skemata.streaming import flows
 from skemata.operators import search
+from skemata.plans.graph_queries import ann_recall
 from skemata.scale import number_rows, skew_join, text_parts, top_rows, whole_text
+from skemata.streaming import flows
 
 
 def hot_rows(spark, n=3000):
@@ -103,6 +104,18 @@ def test_approximate_search_finds_most(spark, sf):
     assert rows(near) == rows(sharded)
 
 
+def test_approximate_search_finds_the_share_at_any_number_of_planes(spark):
+    """Vectors without any clusters, the hardest case; and the registered query."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    v = v.select(F.col("vec_id").alias("object_key"), "embedding").cache()
+    asked = v.withColumnRenamed("object_key", "question_id").filter("question_id % 4 = 0")
+    exact = search.nearest(asked, v, 10).cache()
+    for planes in (None, 3, 8):
+        near = search.nearest_approximate(asked, v, 10, dimensions=64, planes=planes)
+        assert search.recall(exact, near, "question_id", "object_key").first().recall >= 0.9
+    assert ann_recall(spark, "/root/testdata/sf0.1").first().recall >= 0.9
+
+
 def test_streams_across_batches(spark, tmp_path):
     """Keys that come back in later batches, folded state, and changes by the last content."""
     folder, rows = str(tmp_path / "in"), []
