@@ -14,7 +14,8 @@ many other words as the template has, else they belong to different matches.  Ea
 copy in a text is a row.  Patience alignment is not a longest common subsequence: a
 text whose words are repeated and out of order can align fewer words than it might.
 
-``required`` names words of a template that must be aligned whatever the coverage.
+``required`` names words of a template that must be aligned whatever the coverage,
+``excluded`` words that must not lie in a match: they tell variants of a licence apart.
 
 Words are runs of letters, digits and bytes above ASCII, A-Z lower-cased.
 
@@ -77,13 +78,66 @@ implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
 Public License for more details.""",
 }
 
-# Words without which a text does not state that licence: a notice puts a work under it.
+_GNU = TEMPLATES["GPL-3.0-header"]
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are
+permitted provided that the following conditions are met: Redistributions of source code must
+retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the
+distribution."""
+TEMPLATES |= {
+    f"CC-{kind}-4.0-notice": f"Licensed under CC {kind} 4.0."
+    for kind in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")
+} | {
+    "CC0-1.0-notice": "Licensed under CC0 1.0.",
+    "BSD-2-Clause-notice": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause-notice": "Released under the BSD 3-Clause License.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, Version 2.0.",
+    "GPL-2.0-header": _GNU.replace("version 3", "version 2"),
+    "LGPL-3.0-header": _GNU.replace("GNU General", "GNU Lesser General"),
+    "AGPL-3.0-header": _GNU.replace("GNU General", "GNU Affero General"),
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License,
+v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+http://mozilla.org/MPL/2.0/.""",
+    "BSD-2-Clause": _BSD,
+    "BSD-3-Clause": _BSD + """ Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific
+prior written permission.""",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is
+free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+}
+# Words without which a text does not state that licence: those that tell it from its
+# variants, and of a notice that it puts a work under it.
 REQUIRED = {
     "MIT-notice": "under MIT",
-    "Apache-2.0-notice": "under Apache",
-    "GPL-3.0-notice": "under GNU",
-    "CC-BY-NC-4.0-notice": "under CC",
-}
+    "Apache-2.0-notice": "under Apache 2",
+    "Apache-2.0-header": "Apache 2",
+    "GPL-3.0-notice": "under GNU 3",
+    "GPL-2.0-notice": "under GNU 2",
+    "LGPL-2.1-notice": "under GNU Lesser 2 1",
+    "LGPL-3.0-notice": "under GNU Lesser 3",
+    "AGPL-3.0-notice": "under GNU Affero 3",
+    "GPL-3.0-header": "GNU 3",
+    "GPL-2.0-header": "GNU 2",
+    "LGPL-3.0-header": "GNU Lesser 3",
+    "AGPL-3.0-header": "GNU Affero 3",
+    "MPL-2.0-notice": "under Mozilla 2",
+    "MPL-2.0-header": "Mozilla 2",
+    "BSD-2-Clause-notice": "under BSD 2",
+    "BSD-3-Clause-notice": "under BSD 3",
+    "BSD-3-Clause": "neither endorse promote",
+    "CC0-1.0-notice": "under CC0",
+    "Unlicense": "unencumbered",
+} | {n: f"under {n[:-11]} 4" for n in TEMPLATES if n.startswith("CC-")}
+# Words that between the first and the last aligned word make it another variant.
+EXCLUDED = {
+    n: " ".join({"NC", "SA", "ND"} - set(n.split("-"))) for n in TEMPLATES if n.startswith("CC-")
+} | {n: "Lesser Affero Library" for n in TEMPLATES if n.startswith("GPL-")}
 
 _GAPS = np.ones(256, dtype=bool)
 _GAPS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -151,7 +205,7 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, name: str, text: str, coverage: float, required: str = ""):
+    def __init__(self, name: str, text: str, coverage: float, required: str = "", excluded: str = ""):
         self.name = name
         self.words = scan_words(pa.array([text]))[0].tolist()
         self.distinct = np.unique(np.array(self.words, dtype=np.uint64))
@@ -159,6 +213,7 @@ class Template:
         self.least = max(1, ceil(coverage * len(self.words) - 1e-9))
         self.gap = GAP * len(self.words)
         self.required = set(scan_words(pa.array([required]))[0].tolist())
+        self.excluded = set(scan_words(pa.array([excluded]))[0].tolist())
 
     def matches(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(aligned words, first word, end word) of each match; ``at``: the positions
@@ -217,7 +272,10 @@ class Template:
             if a <= low and b >= high:
                 break
         aligned = {self.words[q] for _, q in best}
-        return best if len(best) >= self.least and self.required <= aligned else []
+        if len(best) < self.least or not self.required <= aligned:
+            return []
+        inside = words[best[0][0] : best[-1][0] + 1].tolist() if self.excluded else []
+        return [] if self.excluded.intersection(inside) else best
 
     def _together(self, pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """The longest stretch of aligned words without too wide a gap."""
@@ -233,14 +291,17 @@ def scan(
     templates: Mapping[str, str] = TEMPLATES,
     coverage: float = 0.8,
     required: Mapping[str, str] = REQUIRED,
+    excluded: Mapping[str, str] = EXCLUDED,
 ) -> DataFrame:
     """One row per match: id, ``license_id``, ``coverage``, ``n_aligned``, ``first_word``,
     ``end_word``, ``first_byte``, ``end_byte`` and ``matched`` (the text in between)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    known, needed = dict(templates), dict(required)
+    known, needed, barred = dict(templates), dict(required), dict(excluded)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = [Template(n, t, coverage, needed.get(n, "")) for n, t in known.items()]
+        made = [
+            Template(n, t, coverage, needed.get(n, ""), barred.get(n, "")) for n, t in known.items()
+        ]
         made = [t for t in made if t.words]
         if not made:
             return

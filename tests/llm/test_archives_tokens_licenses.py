@@ -252,3 +252,13 @@ def test_words_between_do_not_hide_a_match(spark):
     ]
     # unique words are the anchors, so a spread text may align a little less than whole
     assert all(x.coverage >= 0.95 for x in got)
+
+
+def test_variants_are_told_apart(spark):
+    names = sorted(n for n in licenses.TEMPLATES if n != "BSD-3-Clause")
+    rows = [(i, licenses.TEMPLATES[n], "en", "s", 1) for i, n in enumerate(names)]
+    got = licenses.scan(frame(spark, rows)).collect()
+    bare = lambda n: n.removesuffix("-notice").removesuffix("-header")
+    for i, n in enumerate(names):
+        # a header may also be found by its licence's notice
+        assert {bare(x.license_id) for x in got if x.doc_id == i} == {bare(n)}, n
