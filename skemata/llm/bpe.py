@@ -142,7 +142,9 @@ class Vocabulary(Tokens):
         self.pair_fits[left, right] = fits
         return fits
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def _last_tokens(self, piece: bytes) -> tuple[list[int], list[int]]:
+        """The last token of every prefix, and its length; 0 for a prefix inside a character
+        or token that no encoding ends at."""
         last = [-1] * (len(piece) + 1)
         size = [0] * (len(piece) + 1)
         fits = self.pair_fits.get
@@ -159,6 +161,16 @@ class Vocabulary(Tokens):
                 if not (self.compatible(before, token) if known is None else known):
                     continue
             last[at], size[at] = token, length
+        return last, size
+
+    def count_piece(self, piece: bytes) -> int:
+        size, n, at = self._last_tokens(piece)[1], 0, len(piece)
+        while at:
+            n, at = n + 1, at - size[at]
+        return n
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        last, size = self._last_tokens(piece)
         out, at = [], len(piece)
         while at:
             out.append(last[at])

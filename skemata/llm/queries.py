@@ -19,6 +19,7 @@ from skemata.llm.line_dedup import dedup_lines
 from skemata.llm.quality_rules import judged
 from skemata.llm.registry import QUERIES, SQL, query
 from skemata.llm.shards import shuffled_shards
+from skemata.llm.token_counts import count_tokens
 from skemata.llm.toxicity import toxicity_scores
 from skemata.llm.warc import round_trip
 
@@ -118,3 +119,16 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by at least 0.85 of their five-word shingles."""
     groups = near_groups(read(spark, sf_dir, "documents"))
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+# Texts of more tokens than this are over the limit.
+TOKEN_LIMIT = 512
+
+
+@query()
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).withColumn(
+        "over_limit", F.col("n_tokens") > TOKEN_LIMIT
+    )
