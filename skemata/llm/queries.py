@@ -14,6 +14,7 @@ from skemata.llm.chosen_path import near_groups
 from skemata.llm.common import read
 from skemata.llm.decontam import contaminated
 from skemata.llm.language import predict_languages
+from skemata.llm.lexical import search
 from skemata.llm.licenses import scan
 from skemata.llm.line_dedup import dedup_lines
 from skemata.llm.quality_rules import judged
@@ -132,3 +133,9 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, tokenizer_path("byte_bpe_50k.json")).withColumn(
         "over_limit", F.col("n_tokens") > TOKEN_LIMIT
     )
+
+
+@query(sql.OP13)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents that rank highest for each benchmark item."""
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -87,3 +87,37 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles,
        coalesce(low.component_id, d.doc_id) >= d.doc_id AS kept
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 """
+
+
+def terms(column: str) -> str:
+    gaps = "\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F"
+    return f"regexp_extract_all(coalesce({folded(column)}, ''), '[^{gaps}]+')"
+
+
+OP13 = f"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS rid, doc_id, {terms("text")} AS w FROM documents
+), c AS (
+    SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d
+), i AS (
+    SELECT iid, item_id, t, count(*) AS times FROM (
+        SELECT row_number() OVER () AS iid, item_id, unnest({terms("text")}) AS t FROM benchmark
+    ) GROUP BY ALL
+), p AS MATERIALIZED (
+    SELECT rid, doc_id, size, t, count(*) AS tf
+    FROM (SELECT rid, doc_id, len(w) AS size, unnest(w) AS t FROM d)
+    WHERE t IN (SELECT t FROM i) GROUP BY ALL
+), f AS (
+    SELECT t, CAST(floor(1000 * ln((2 * any_value(c.n) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM p, c GROUP BY t
+), x AS (
+    SELECT rid, doc_id, t, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * size * n) // l)) AS impact
+    FROM p, c
+), s AS (
+    SELECT iid, item_id, doc_id, CAST(sum(w * times * impact) AS BIGINT) AS score
+    FROM i JOIN f USING (t) JOIN x USING (t) GROUP BY iid, item_id, rid, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+) WHERE rank <= 20
+"""

@@ -1,14 +1,18 @@
 """Token counts against the library, the conversation trie and the lexical search against
 plain Python."""
 
+import math
 import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from helpers import awkward, frame, prose
 from public_tokenizers import path as tokenizer_path
 from tokenizers import Tokenizer
 
-from skemata.llm import pretokens
+from skemata.llm import lexical, pretokens
 from skemata.llm.token_counts import count_tokens
 
 FILE = tokenizer_path("byte_bpe_50k.json")
@@ -48,3 +52,89 @@ def test_token_counts_equal_the_library(spark, most):
 
 def test_token_counts_of_an_empty_table(spark):
     assert count_tokens(frame(spark, []), FILE).collect() == []
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def plain_terms(text):
+    return TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain_search(docs, items, k):
+    """Every item against every document, as the contract words it."""
+    bags = [(i, plain_terms(t)) for i, t in docs]
+    n, total = sum(bool(b) for _, b in bags), sum(len(b) for _, b in bags)
+    holders = Counter(t for _, b in bags for t in set(b))
+    out = []
+    for item, text in items:
+        scores = []
+        for doc, bag in bags:
+            if not bag:
+                continue
+            tf, m = Counter(bag), 100 - 25 + 25 * len(bag) * n // total
+            score = sum(
+                math.floor(1000 * math.log((2 * n + 2) / (2 * holders[t] + 1)))
+                * (1_000_000_000 * tf[t] // (1000 * tf[t] + 12 * m))
+                for t in plain_terms(text) if t in tf
+            )
+            if score > 0:
+                scores.append((-score, doc is None, doc or 0))
+        out += [(item, r, None if none else d, -s) for r, (s, none, d) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=str)
+
+
+def search_rows():
+    r = random.Random(4)
+    words = [f"w{int(r.paretovariate(0.6)) % 900}" for _ in range(60_000)]
+    docs = [(i, " ".join(words[r.randrange(59_000) :][: r.randrange(1, 90)])) for i in range(700)]
+    docs += [(i, t) for i, t, *_ in awkward()]
+    docs += [(2000 + i, "the hot PASSAGE, w1-w2;w3 w899") for i in range(90)]  # ties
+    items = [(i, " ".join(words[i * 40 : i * 40 + 25])) for i in range(60)]
+    items += [(100, None), (101, ""), (102, "?! .."), (103, "unheard-of zzz"), (None, "w5 w6 w7"), (104, "one two")]
+    items += [(105, "hot passage hot"), (105, "w899 w899 Straße"), (106, prose(1, 3000)), (107, "w1")]
+    return docs, items
+
+
+@pytest.mark.parametrize("block, tree", [(1024, 4096), (7, 100)])
+def test_lexical_search_equals_scoring_all(spark, monkeypatch, block, tree):
+    monkeypatch.setattr(lexical, "BLOCK_ITEMS", block)
+    monkeypatch.setattr(lexical, "TREE_DOCS", tree)
+    monkeypatch.setattr(lexical, "SEED_DOCS", 50)
+    docs, items = search_rows()
+    got = lexical.search(
+        spark.createDataFrame([(d, t, 1, "x") for d, t in docs], "doc_id long, text string, score int, rank string").repartition(3),
+        spark.createDataFrame([(i, t, "y") for i, t in items], "item_id long, text string, item string").coalesce(1),
+    ).collect()
+    assert sorted([tuple(x) for x in got], key=str) == plain_search(docs, items, 20)
+
+
+def test_lexical_search_of_empty_tables(spark):
+    docs, items = search_rows()
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    for a, b in ((docs.limit(0), items), (docs, items.limit(0)), (docs.filter("text is null"), items)):
+        found = lexical.search(a, b)
+        assert found.collect() == [] and found.columns == ["item_id", "rank", "doc_id", "score"]
+    text_ids = lexical.search(docs.withColumn("doc_id", docs.doc_id.cast("string")), items)
+    assert dict(text_ids.dtypes)["doc_id"] == "string" and text_ids.count() > 100
+
+
+def test_the_tree_prunes_and_loses_nothing():
+    r = np.random.default_rng(2)
+    n_terms = 3000
+    topic = r.permutation(np.repeat(np.arange(10), 300))  # 3,000 documents on ten topics
+    rows = [np.unique(t * 300 + r.integers(0, 60, 25)) for t in topic]
+    ptr = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    docs = lexical.Vectors(ptr, np.concatenate(rows), r.integers(1, 1000, ptr[-1]))
+    items = docs.taken(np.arange(0, 3000, 50))
+    k = 5
+    found = lexical.Items(items, n_terms, k, np.zeros(60, dtype=np.int64))
+    scored, all_pairs = lexical.search_tree(found, lexical.Tree(docs, np.ones(n_terms), lexical.DOC_LEAF), list(range(3000)))
+    assert scored < all_pairs / 2
+    dense = np.zeros((3000, n_terms), dtype=np.int64)
+    dense[np.repeat(np.arange(3000), np.diff(ptr)), docs.terms] = docs.values
+    scores = dense[::50] @ dense.T
+    for at, item in enumerate(found.tree.order):
+        want = sorted((-s, d) for d, s in enumerate(scores[item].tolist()))[:k]
+        assert [(a, d) for a, _, d in found.best[at]] == want
