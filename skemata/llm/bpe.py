@@ -17,29 +17,25 @@ other columns pass through, and one named like an output is replaced.
 from __future__ import annotations
 
 import json
-import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 from skemata.llm.common import without
+from skemata.llm.pretokens import Classes, Cutter, Remembered, letter_classes, special_pattern
 from skemata.llm.wordhash import text_slices
 
-# Fixed value: how this kind of vocabulary cuts a text before it merges.
-PIECES = (
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-)
-# Pieces, pairs and words remembered by a worker; a full table starts anew.
-REMEMBERED = 150_000
-WORDS_REMEMBERED = 400_000
+# Pairs, pieces and words remembered by a worker.
+PAIRS_REMEMBERED = 300_000
+PIECES_REMEMBERED = 100_000
+WORDS_REMEMBERED = 300_000
 NEVER = 1 << 60
-INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 
 
 def printable_bytes() -> dict[str, int]:
@@ -69,8 +65,30 @@ class Tokens:
         for name, token in self.special.items():
             self.bytes_of[token] = name.encode()
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        self.sizes = np.array([len(b) for b in self.bytes_of], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(self.bytes_of), dtype=np.uint8)
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Texts of the ids between each two bounds; bytes that are no UTF-8 are replaced."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        data = self.joined[at]
+        offsets = np.concatenate([[0], ends])[bounds]
+        raw = data.tobytes()
+        heads = data[offsets[:-1][offsets[:-1] < offsets[1:]]]
+        try:
+            raw.decode()  # whole, and every text begins with a character
+            whole = not np.any((heads & 0xC0) == 0x80)
+        except UnicodeDecodeError:
+            whole = False
+        if whole:
+            buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]
+            return pa.Array.from_buffers(pa.string(), len(bounds) - 1, buffers)
+        cuts = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in cuts], pa.string())
 
 
 class Vocabulary(Tokens):
@@ -90,17 +108,10 @@ class Vocabulary(Tokens):
         for name, token in ids.items():
             if name not in self.special and (token in self.halves or len(name) == 1):
                 text = self.bytes_of[token].decode("latin-1")
-                self.automaton.add_word(text, (len(text), token))
+                self.automaton.add_word(text, token)
         self.automaton.make_automaton()
-        self.pieces = regex.compile(PIECES)
-        self.cut = (
-            regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
-            if self.special
-            else None
-        )
-        self.pair_fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}  # by piece
-        self.words: dict[str, bytes] = {}  # by word after a space
+        self.lengths = self.sizes.tolist()
+        self.fits = Remembered(self._compatible, PAIRS_REMEMBERED)
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The tokens at one edge while ``token`` is built, bytes first, each with the
@@ -113,113 +124,101 @@ class Vocabulary(Tokens):
             rank, token = self.halves[token][0], self.halves[token][side]
 
     def compatible(self, left: int, right: int) -> bool:
+        return self.fits[left, right]
+
+    def _compatible(self, pair: tuple[int, int]) -> bool:
         """Whether the bytes of both, encoded together, stay these two tokens.
 
         Walks through the merges of both sides in rank order and looks whether the
         pair at the seam would be merged before either of its halves is consumed.  Of
         equal ranks the one further left goes first.
         """
-        known = self.pair_fits.get((left, right))
-        if known is not None:
-            return known
-        a, b = self._edge(left, 2), self._edge(right, 1)
+        a, b = self._edge(pair[0], 2), self._edge(pair[1], 1)
         i = j = 0
-        fits = True
         while True:
             (x, x_rank), (y, y_rank) = a[i], b[j]
             seam = self.merged.get((x, y), (NEVER,))[0]
             if seam < x_rank and seam <= y_rank and seam != NEVER:
-                fits = False
-                break
+                return False
             if x_rank == y_rank == NEVER:
-                break
+                return True
             if x_rank <= y_rank:
                 i += 1
             else:
                 j += 1
-        if len(self.pair_fits) >= REMEMBERED:
-            self.pair_fits.clear()
-        self.pair_fits[left, right] = fits
-        return fits
-
-    def _last_tokens(self, piece: bytes) -> tuple[list[int], list[int]]:
-        """The last token of every prefix, and its length; 0 for a prefix inside a character
-        or token that no encoding ends at."""
-        last = [-1] * (len(piece) + 1)
-        size = [0] * (len(piece) + 1)
-        fits = self.pair_fits.get
-        for at, (length, token) in self.automaton.iter(piece.decode("latin-1")):
-            at += 1
-            if size[at]:
+
+    def _last_tokens(self, piece: bytes) -> list[int]:
+        """The last token of every prefix, in the order of their ends; -1 for a prefix that
+        no encoding ends at."""
+        last = [-1] * len(piece)
+        fits, sizes, done = self.fits, self.lengths, -1
+        for at, token in self.automaton.iter(piece.decode("latin-1")):
+            if at == done:
                 continue  # a prefix has one last token only
-            start = at - length
-            if start:
+            start = at - sizes[token]
+            if start >= 0:
                 before = last[start]
-                if before < 0:
+                if before < 0 or not fits[before, token]:
                     continue
-                known = fits((before, token))
-                if not (self.compatible(before, token) if known is None else known):
-                    continue
-            last[at], size[at] = token, length
-        return last, size
+            last[at] = token
+            done = at
+        return last
 
     def count_piece(self, piece: bytes) -> int:
-        size, n, at = self._last_tokens(piece)[1], 0, len(piece)
-        while at:
-            n, at = n + 1, at - size[at]
+        last, n, at = self._last_tokens(piece), 0, len(piece) - 1
+        while at >= 0:
+            n, at = n + 1, at - self.lengths[last[at]]
         return n
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        last, size = self._last_tokens(piece)
-        out, at = [], len(piece)
-        while at:
+        last, out, at = self._last_tokens(piece), [], len(piece) - 1
+        while at >= 0:
             out.append(last[at])
-            at -= size[at]
-        return out[::-1]
+            at -= self.lengths[last[at]]
+        out.reverse()
+        return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        """Ids of a stretch of text without special tokens, as int32 bytes."""
-        known, out = self.known, []
-        for piece in self.pieces.findall(chunk):
-            found = known.get(piece)
-            if found is None:
-                found = np.array(self.encode_piece(piece.encode()), dtype=np.int32).tobytes()
-                if len(piece) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[piece] = found
-            out.append(found)
-        return b"".join(out)
+
+class Encoder:
+    """Texts to ids: special tokens first, then words and pieces, each remembered."""
+
+    def __init__(self, path: str, classes: Classes):
+        self.vocabulary = vocabulary(path)
+        self.cut = Cutter(classes)
+        self.special = self.vocabulary.special
+        self.pattern = special_pattern(self.special)
+        self.pieces = Remembered(self._piece, PIECES_REMEMBERED)
+        self.words = Remembered(self._word, WORDS_REMEMBERED)
+
+    def _piece(self, piece: str) -> bytes:
+        return array("i", self.vocabulary.encode_piece(piece.encode())).tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self._chunk(" " + word)
-        if len(word) <= 64:
-            if len(self.words) >= WORDS_REMEMBERED:
-                self.words.clear()
-            self.words[word] = found
-        return found
-
-    def _plain(self, text: str) -> bytes:
-        # No piece reaches over a space, but for a space inside a longer run of blanks:
-        # elsewhere a text may be cut before each space, and its words looked up whole.
-        if INNER_SPACE.search(text):
-            return self._chunk(text)
-        first, *words = text.split(" ")
-        known, word = self.words.get, self._word
-        return self._chunk(first) + b"".join([known(w) or word(w) for w in words])
+        pieces = self.cut.word(word)
+        if len(pieces) == 1:  # the word itself is remembered
+            return self._piece(pieces[0])
+        return b"".join(map(self.pieces.__getitem__, pieces))
+
+    def _chunk(self, chunk: str) -> bytes:
+        """Ids of a stretch of text, as int32 bytes."""
+        return b"".join(map(self.pieces.__getitem__, self.cut(chunk)))
+
+    def _plain(self, text: str, out: list[bytes]) -> None:
+        word = self.words.__getitem__
+        for first, rest in self.cut.stretches(text):
+            if first:
+                out.append(self._chunk(first))
+            out.extend(map(word, rest))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as int32 bytes."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return self._plain(text)
         out, begin = [], 0
-        for match in self.cut.finditer(text):
-            if match.start() > begin:
-                out.append(self._plain(text[begin : match.start()]))
-            out.append(np.array([self.special[match.group()]], dtype=np.int32).tobytes())
-            begin = match.end()
-        if begin < len(text):
-            out.append(self._plain(text[begin:]))
+        if self.pattern is not None:
+            for match in self.pattern.finditer(text):
+                self._plain(text[begin : match.start()], out)
+                out.append(array("i", [self.special[match.group()]]).tobytes())
+                begin = match.end()
+        self._plain(text[begin:] if begin else text, out)
         return b"".join(out)
 
 
@@ -238,24 +237,35 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def encode_texts(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of its texts.  The file must be at ``vocab_path`` on
-    every machine."""
-    docs = without(docs, [ids])
+@lru_cache(maxsize=4)
+def encoder(path: str, classes: Classes) -> Encoder:
+    return Encoder(path, classes)
+
+
+def encode_texts(
+    docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """``docs`` with the token ids of its texts, and with ``decoded``, if named, the texts
+    that these ids stand for.  The file must be at ``vocab_path`` on every machine."""
+    docs = without(docs, [ids] if decoded is None else [ids, decoded])
     at = docs.columns.index(text)
-    names = [*docs.columns, ids]
+    names = [*docs.columns, ids] + ([] if decoded is None else [decoded])
+    classes = letter_classes()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(vocab_path)
+        codes = encoder(vocab_path, classes)
         for part in text_slices(batches, at, 1 << 20):
-            found = [vocab.encode(t) if t else b"" for t in part.column(at).to_pylist()]
-            offsets = np.zeros(len(found) + 1, dtype=np.int32)
-            np.cumsum([len(f) // 4 for f in found], out=offsets[1:])
+            found = [codes.encode(t) if t else b"" for t in part.column(at).to_pylist()]
+            bounds = np.zeros(len(found) + 1, dtype=np.int32)
+            np.cumsum([len(f) // 4 for f in found], out=bounds[1:])
             flat = np.frombuffer(b"".join(found), dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=names)
+            columns = [*part.columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))]
+            if decoded is not None:
+                columns.append(codes.vocabulary.decode(flat, bounds))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(rows, extended(docs, ids, ArrayType(IntegerType())))
+    schema = extended(docs, ids, ArrayType(IntegerType()))
+    return docs.mapInArrow(rows, schema if decoded is None else schema.add(decoded, StringType()))
 
 
 def decode_texts(
@@ -267,20 +277,15 @@ def decode_texts(
     names = [*docs.columns, decoded]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = tokens(vocab_path)
+        codes = tokens(vocab_path)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)
                 lists = part.column(at)
-                flat = lists.flatten().to_pylist()
-                bounds = np.concatenate(
-                    [[0], np.cumsum(np.asarray(lists.value_lengths().fill_null(0)))]
-                ).tolist()
-                texts = [
-                    vocab.decode(flat[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(texts, pa.string())], names=names
-                )
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                sizes = lists.value_lengths().fill_null(0)
+                bounds = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))])
+                texts = codes.decode(flat, bounds.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=names)
 
     return docs.mapInArrow(rows, extended(docs, decoded, StringType()))

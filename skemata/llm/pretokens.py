@@ -90,12 +90,61 @@ class Cutter:
             f"'s|'t|'re|'ve|'m|'ll|'d| ?[{l}]+| ?[{n}]+| ?[^{s}{l}{n}]+|[{s}]+(?![^{s}])|[{s}]+"
         ).findall
         self._disputed = re.compile(f"[{disputed}]").search if disputed else lambda text: None
+        self._runs = re.compile(f"[{s}]{{2,}}[^{s}]*").finditer
+        # a space inside a run of blanks, or at its end where the text ends
+        self._inner = re.compile(f" (?<=[{s}] )(?:[{s}]|\\Z)").search
 
     def __call__(self, text: str) -> list[str]:
         if text.isascii() or not self._disputed(text):
             return self._plain(text)
         return self._ranged(text)
 
+    def word(self, word: str) -> list[str]:
+        """The pieces of a space and the word after it."""
+        if word.isascii() and word.isalpha():
+            return [" " + word]
+        return self(" " + word)
+
+    def stretches(self, text: str) -> list[tuple[str, list[str]]]:
+        """The text as pairs of a stretch to cut and the words that follow it, each after
+        one space.  No piece reaches over the place before a space, but for a space inside
+        a run of blanks, so words may be cut, and remembered, one by one."""
+        if not self._inner(text):
+            first, *words = text.split(" ")
+            return [(first, words)]
+        out, begin = [], 0
+        for run in self._runs(text):
+            if run.start() > begin:
+                first, *words = text[begin : run.start()].split(" ")
+                out.append((first, words))
+            out.append((run.group(), []))
+            begin = run.end()
+        if begin < len(text):
+            first, *words = text[begin:].split(" ")
+            out.append((first, words))
+        return out
+
+
+class Remembered(dict):
+    """Remembers what ``make`` gave for a key.  A full table becomes the old one, whose
+    keys move back when they are met again, so what is in use stays."""
+
+    def __init__(self, make, most: int, longest: int = 64):
+        super().__init__()
+        self._make, self._most, self._longest, self._old = make, most, longest, {}
+
+    def __missing__(self, key):
+        found = self._old.get(key)
+        if found is None:
+            found = self._make(key)
+        if len(key) > self._longest:
+            return found
+        if len(self) >= self._most:
+            self._old = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
 
 def special_tokens(vocab_path: str) -> dict[str, int]:
     """The strings that a vocabulary file takes for single tokens, with their ids."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
 from skemata.llm import sql
-from skemata.llm.bpe import decode_texts, encode_texts
+from skemata.llm.bpe import encode_texts
 from skemata.llm.chosen_path import near_groups
 from skemata.llm.common import read
 from skemata.llm.decontam import contaminated
@@ -61,7 +61,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts to token ids and back."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     vocab = tokenizer_path("byte_bpe_50k.json")
-    coded = decode_texts(encode_texts(docs, vocab).drop("text"), vocab)
+    coded = encode_texts(docs, vocab, decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -26,38 +26,65 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 
 from skemata.llm.bpe import vocabulary
 from skemata.llm.common import without, written
-from skemata.llm.pretokens import Cutter, letter_classes, special_pattern, special_tokens
+from skemata.llm.pretokens import (
+    Classes,
+    Cutter,
+    Remembered,
+    letter_classes,
+    special_pattern,
+    special_tokens,
+)
 from skemata.llm.wordhash import text_slices
 
 # Pre-tokens that every task gets; about 25 MB in a worker.
 BROADCAST_PIECES = 200_000
-# Distinct pre-tokens that a task gathers before it sends them on.
+# Words whose number of tokens a worker remembers.
+WORDS_REMEMBERED = 150_000
+# Distinct words and pre-tokens that a task gathers before it sends them on.
 GATHERED = 400_000
 # Frequencies above this share one step of the histogram that sets the broadcast part.
 FREQUENT = 20_000
 
 
-def _frequencies(text: str, cut: Cutter, special) -> tuple[Counter, int]:
-    """A text's pre-token frequencies, and its number of special tokens."""
-    if special is None or not special.search(text):
-        return Counter(cut(text)), 0
-    out, n = Counter(), 0
-    begin = 0
-    for match in special.finditer(text):
-        out.update(cut(text[begin : match.start()]))
-        n, begin = n + 1, match.end()
-    out.update(cut(text[begin:]))
-    return out, n
+class Frequencies:
+    """A text's pre-token frequencies as those of its words, cut one by one, and those of
+    the pieces between words."""
+
+    def __init__(self, classes: Classes, special: dict[str, int]):
+        self.cut = Cutter(classes)
+        self._special = special_pattern(special)
+
+    def of(self, text: str, words: Counter, pieces: Counter) -> int:
+        """Adds to both counters; returns the number of special tokens."""
+        if self._special is None or not self._special.search(text):
+            self._add(text, words, pieces)
+            return 0
+        n, begin = 0, 0
+        for match in self._special.finditer(text):
+            self._add(text[begin : match.start()], words, pieces)
+            n, begin = n + 1, match.end()
+        self._add(text[begin:], words, pieces)
+        return n
+
+    def _add(self, text: str, words: Counter, pieces: Counter) -> None:
+        for first, rest in self.cut.stretches(text):
+            if first:
+                pieces.update(self.cut(first))
+            words.update(rest)
 
 
 def piece_frequencies(docs: DataFrame, vocab_path: str, text: str = "text") -> DataFrame:
     """``piece, n``: the distinct pre-tokens of all texts and how often each occurs."""
-    classes, special = letter_classes(), special_pattern(special_tokens(vocab_path))
+    classes, special = letter_classes(), special_tokens(vocab_path)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = Cutter(classes), Counter()
+        frequencies, words, seen = Frequencies(classes, special), Counter(), Counter()
 
         def gathered() -> Iterator[pa.RecordBatch]:
+            for word, times in words.items():
+                for piece in frequencies.cut.word(word):
+                    seen[piece] += times
+            words.clear()
             names, counts = list(seen), list(seen.values())
             for i in range(0, len(names), 20_000):
                 yield pa.RecordBatch.from_arrays(
@@ -69,10 +96,10 @@ def piece_frequencies(docs: DataFrame, vocab_path: str, text: str = "text") -> D
         for part in text_slices(batches, 0, 1 << 20):
             for t in part.column(0).to_pylist():
                 if t:
-                    seen.update(_frequencies(t, cut, special)[0])
-            if len(seen) >= GATHERED:
+                    frequencies.of(t, words, seen)
+            if len(words) + len(seen) >= GATHERED:
                 yield from gathered()
-        if seen:
+        if words or seen:
             yield from gathered()
 
     found = docs.select(text).mapInArrow(rows, "piece string, n long")
@@ -111,7 +138,7 @@ def count_tokens(
 ) -> DataFrame:
     """``docs`` without its texts, with ``n_bytes`` (UTF-8) and ``n_tokens``."""
     spark = docs.sparkSession
-    classes, special = letter_classes(), special_pattern(special_tokens(vocab_path))
+    classes, special = letter_classes(), special_tokens(vocab_path)
     pieces = written(counted_pieces(piece_frequencies(docs, vocab_path, text), vocab_path), "pieces")
     least = frequent_from(pieces, most)
     table = pieces.filter(F.col("n") >= least).select("piece", "tokens").toArrow()
@@ -129,19 +156,35 @@ def count_tokens(
     schema = schema.add("n_bytes", LongType()).add("known", LongType()).add("rare", rare_kind)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known = Cutter(classes), frequent.value.get
+        frequencies, known = Frequencies(classes, special), frequent.value.get
+
+        def word_tokens(word: str) -> int:
+            """Tokens of a word after a space; -1 if one of its pieces is not at hand."""
+            counts = [known(piece) for piece in frequencies.cut.word(word)]
+            return -1 if None in counts else sum(counts)
+
+        tokens_of = Remembered(word_tokens, WORDS_REMEMBERED)
         kind = pa.list_(pa.struct([("piece", pa.string()), ("times", pa.int64())]))
         for part in text_slices(batches, 0, 1 << 20):
             sizes, sums, rares = [], [], []
             for t in part.column(0).to_pylist():
-                found, total = _frequencies(t, cut, special) if t else ((), 0)
+                words, pieces, total = Counter(), Counter(), 0
+                if t:
+                    total = frequencies.of(t, words, pieces)
+                for word, times in words.items():
+                    tokens = tokens_of[word]
+                    if tokens >= 0:
+                        total += tokens * times
+                    else:
+                        for piece in frequencies.cut.word(word):
+                            pieces[piece] += times
                 rare = []
-                for piece in found:
+                for piece, times in pieces.items():
                     tokens = known(piece)
                     if tokens is None:
-                        rare.append({"piece": piece, "times": found[piece]})
+                        rare.append({"piece": piece, "times": times})
                     else:
-                        total += tokens * found[piece]
+                        total += tokens * times
                 sizes.append(len(t.encode()) if t else 0)
                 sums.append(total)
                 rares.append(rare)
