@@ -10,7 +10,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skemata.llm.bpe import decode_texts, encode_texts
+from skemata.llm.bpe import encode_texts
 from skemata.llm.chosen_path import keep_one_each
 from skemata.llm.common import read, tune
 from skemata.llm.decontam import drop_contaminated
@@ -61,7 +61,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ready(spark)
     vocab = tokenizer_path("byte_bpe_50k.json")
     slim = docs.select("doc_id", "lang", "source", "text")
-    coded = decode_texts(encode_texts(slim, vocab), vocab)
+    coded = encode_texts(slim, vocab, decoded="decoded")
     return coded.select(
         "doc_id",
         "lang",
