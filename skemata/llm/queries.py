@@ -17,6 +17,7 @@ from skemata.llm.language import predict_languages
 from skemata.llm.lexical import search
 from skemata.llm.licenses import scan
 from skemata.llm.line_dedup import dedup_lines
+from skemata.llm.prefix_trie import conversation_trie
 from skemata.llm.quality_rules import judged
 from skemata.llm.registry import QUERIES, SQL, query
 from skemata.llm.shards import shuffled_shards
@@ -122,6 +123,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@query(sql.OP11)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    return conversation_trie(read(spark, sf_dir, "conversations"))
+
+
 # Texts of more tokens than this are over the limit.
 TOKEN_LIMIT = 512
 

@@ -121,3 +121,43 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
 ) WHERE rank <= 20
 """
+
+
+# crc32 of the decimal id, bit by bit
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+    string_split(CAST(c AS VARCHAR), ''), lambda ch: list_transform(range(8), lambda i: (ord(ch) >> i) & 1)))),
+    lambda x, b: xor(x >> 1, 3988292384 * (xor(x, b) & 1))))"""
+
+OP11 = f"""
+WITH t AS MATERIALIZED (
+    SELECT conv_id AS c, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+           length(coalesce(text, '')) AS size,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p
+    FROM conversations WHERE conv_id IS NOT NULL
+), ids AS MATERIALIZED (
+    SELECT c, {CRC32} % 6 AS h FROM (SELECT DISTINCT c FROM t)
+), b AS (
+    SELECT ids.c, t.p, t.key, t.size FROM ids JOIN t ON t.c = ids.c - ids.c % 100 AND t.p <= ids.h
+    UNION ALL SELECT ids.c, t.p, t.key, t.size FROM ids JOIN t ON t.c = ids.c AND t.p > ids.h
+), m AS MATERIALIZED (
+    SELECT c, row_number() OVER w AS d, string_agg(key, '') OVER (w ROWS UNBOUNDED PRECEDING) AS k, size
+    FROM b WINDOW w AS (PARTITION BY c ORDER BY p)
+    UNION ALL SELECT c, 0, '', 0 FROM ids
+), n AS MATERIALIZED (
+    SELECT k, d, min(c) AS conv_id, count(*) AS n, any_value(size) AS size FROM m GROUP BY k, d
+), ch AS (
+    SELECT left(k, 32 * (d - 1)) AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL
+), e AS (
+    SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends
+    FROM (SELECT c, arg_max(k, d) AS k FROM m GROUP BY c) GROUP BY k
+), sub AS (
+    SELECT m.k, CAST(sum((n.n - 1) * n.size) AS BIGINT) AS saved_tokens,
+           count(*) FILTER (ch.n_children IS NULL) AS n_leaves
+    FROM n JOIN m ON m.c = n.conv_id AND m.d <= n.d LEFT JOIN ch ON ch.k = n.k GROUP BY m.k
+)
+SELECT n.conv_id, n.d AS depth, CASE WHEN n.d > 0 THEN up.conv_id END AS parent_conv_id, n.n AS n_convs,
+       coalesce(ch.n_children, 0) AS n_children, sub.n_leaves, sub.saved_tokens,
+       sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM n JOIN sub ON sub.k = n.k LEFT JOIN ch ON ch.k = n.k LEFT JOIN e ON e.k = n.k
+LEFT JOIN n AS up ON up.k = left(n.k, 32 * greatest(n.d - 1, 0))
+"""

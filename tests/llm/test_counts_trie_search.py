@@ -1,9 +1,11 @@
 """Token counts against the library, the conversation trie and the lexical search against
 plain Python."""
 
+import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,7 +14,7 @@ from helpers import awkward, frame, prose
 from public_tokenizers import path as tokenizer_path
 from tokenizers import Tokenizer
 
-from skemata.llm import lexical, pretokens
+from skemata.llm import lexical, prefix_trie, pretokens
 from skemata.llm.token_counts import count_tokens
 
 FILE = tokenizer_path("byte_bpe_50k.json")
@@ -138,3 +140,68 @@ def test_the_tree_prunes_and_loses_nothing():
     for at, item in enumerate(found.tree.order):
         want = sorted((-s, d) for d, s in enumerate(scores[item].tolist()))[:k]
         assert [(a, d) for a, _, d in found.best[at]] == want
+
+
+CONVERSATIONS = "conv_id long, turn long, role string, text string, path string, depth int"
+
+
+def plain_trie(rows):
+    """Nodes by dictionary, as the contract words them; turns have distinct numbers."""
+    own = {}
+    for conv, turn, role, text, *_ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        if conv is not None:
+            own.setdefault(conv, []).append((role or "", text or ""))
+    seqs = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        seqs[c] = tuple(own.get(c - int(math.fmod(c, 100)), [])[:h] + turns[h:])
+    members, below = {}, {}
+    for c, seq in seqs.items():
+        for d in range(len(seq) + 1):
+            members.setdefault(seq[:d], []).append(c)
+    for node in members:
+        for d in range(len(node) + 1):
+            below.setdefault(node[:d], []).append(node)
+    parents = {node[:-1] for node in members if node}
+    out = []
+    for node, convs in members.items():
+        ends = ",".join(str(c) for c in sorted(c for c in convs if len(seqs[c]) == len(node)))
+        out.append((
+            min(convs), len(node), min(members[node[:-1]]) if node else None, len(convs),
+            sum(x[:-1] == node for x in below[node] if len(x) == len(node) + 1),
+            sum(x not in parents for x in below[node]),
+            sum((len(members[x]) - 1) * len(x[-1][1]) for x in below[node] if x),
+            hashlib.sha256(ends.encode()).hexdigest(),
+        ))
+    return sorted(out, key=str)
+
+
+def trie_rows():
+    r = random.Random(9)
+    rows = []
+    for c in [*range(0, 330), *range(-5, 0), 700, 701, 799]:
+        if c % 37 == 5:
+            continue
+        for turn in range(r.choice([1, 2, 3, 5, 8])):
+            rows.append((c, turn, r.choice(["user", None, "u"]), r.choice(["hi", "", None, "é😀", "long " * 9])))
+    rows += [(900 + c, t, "user", "the same") for c in range(60) for t in range(7)]  # copies
+    rows += [(1000, t, "user", f"t{t}") for t in range(400)] + [(1001, t, "user", f"t{t}") for t in range(390)]
+    rows += [(1100, None, "x", "first"), (1100, 4, "x", "last"), (None, 1, "a", "nobody"), (1200, 1, None, None)]
+    return [(*x, "clash", 1) for x in rows]
+
+
+@pytest.mark.parametrize("shards, piece", [(1, 1 << 20), (7, 1 << 20), (60, 30), (8, 1)])
+def test_trie_equals_dictionaries(spark, monkeypatch, shards, piece):
+    monkeypatch.setattr(prefix_trie, "PIECE", piece)
+    rows = trie_rows()
+    random.Random(1).shuffle(rows)
+    got = prefix_trie.conversation_trie(spark.createDataFrame(rows, CONVERSATIONS).repartition(4), shards)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == plain_trie(rows)
+
+
+def test_trie_of_ties_and_empty_tables(spark):
+    none = spark.createDataFrame([], CONVERSATIONS)
+    assert prefix_trie.conversation_trie(none, 4).collect() == []
+    rows = [(7, 1, "a", "b", "", 0)] * 3 + [(7, 1, "c", "d", "", 0), (None, None, None, None, None, None)]
+    got = prefix_trie.conversation_trie(spark.createDataFrame(rows, CONVERSATIONS), 4).collect()
+    assert all(x.n_convs == 1 for x in got) and {x.conv_id for x in got} == {7}
