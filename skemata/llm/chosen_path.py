@@ -11,10 +11,11 @@ more than ``leaf_block`` classes are compared block against block, in several ta
 
 A node returns a spanning forest of the pairs that may reach the threshold, so its
 output is linear in its size.  The forests' components are the groups within which
-links are confirmed: every pair of a group is compared on its full shingle sets,
-again block against block in matrix products, and again only a spanning forest of
-the confirmed links leaves the task.  No pair list exists anywhere, and no link
-between classes of one group is lost.
+links are confirmed.  First each class is compared with its smallest neighbour on full
+shingle sets, which is linear and joins most of a group; then the members of parts that
+are still apart are compared with each other, block against block in matrix products,
+and again only a spanning forest of the confirmed links leaves a task.  No pair list
+exists anywhere, and no link between classes of one group is lost.
 
 Recall: a pair at the threshold survives one level of a tree with probability
 1 - 1/e, two with 0.47, five with 0.28; with 20 trees a pair is missed with
@@ -134,22 +135,15 @@ def _branch(nodes: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return members.select("path", "name", "sketch").mapInArrow(rows, "path long, name binary")
 
 
-def _in_blocks(
-    members: DataFrame, key: str, salt: str, block: int, block_values: int | None = None
-) -> DataFrame:
+def _in_blocks(members: DataFrame, key: str, salt: str, block: int) -> DataFrame:
     """``members`` with a column ``task``: a group of at most ``block`` rows is one task;
     a larger group is dealt into B hashed blocks, and each pair of blocks is a task.
 
     A row goes to B - 1 tasks, so a task holds two blocks and every pair of rows of a
-    group meets in one task at least.  ``block_values`` bounds the sum of ``size`` of a
-    block likewise.
+    group meets in one task at least.
     """
-    sizes = members.groupBy(key).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__values")
-    )
+    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     blocks = F.ceil(F.col("__n") / block)
-    if block_values is not None:
-        blocks = F.greatest(blocks, F.ceil(F.col("__values") / block_values))
     mine = F.pmod(F.xxhash64(salt), F.col("__b")).cast("int")
     return (
         members.join(sizes, key)
@@ -161,7 +155,7 @@ def _in_blocks(
             "task",
             F.xxhash64(key, F.least("__mine", "__other"), F.greatest("__mine", "__other")),
         )
-        .drop("__n", "__values", "__b", "__mine", "__other")
+        .drop("__n", "__b", "__mine", "__other")
     )
 
 
@@ -322,17 +316,15 @@ def candidate_edges(
     )
 
 
-def confirmed_edges(
-    docs: DataFrame, text: str, groups: DataFrame, percent: int, width: int, block: int
-) -> DataFrame:
-    """Forest edges of links confirmed on full sets.  ``groups``: (name, group, k1, k2),
-    where k1, k2 is the key of one row that has the class's set."""
+def _with_sets(docs: DataFrame, text: str, roles: DataFrame, width: int) -> DataFrame:
+    """``task, first, name, size, content``: ``roles`` (k1, k2, task, first, name) with the
+    full set of the row that the key stands for."""
 
     # texts of other documents are passed over where they are read, by a bitmap of the
     # wanted keys whose size is bounded; what it lets through too much the join drops
-    wanted = groups.count()
-    bits = min(MOST_BITS, max(16, wanted.bit_length() + 5))
-    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(groups.select("k1"), bits))
+    wanted = roles.select("k1").distinct()
+    bits = min(MOST_BITS, max(16, wanted.count().bit_length() + 5))
+    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(wanted, bits))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -348,19 +340,104 @@ def confirmed_edges(
     read = docs.select("__k1", "__k2", F.col(text)).mapInArrow(
         rows, "k1 long, k2 long, size long, content binary"
     )
-    sets = written(
-        read.join(groups, ["k1", "k2"]).select("group", "name", "size", "content"), "full-sets"
+    return read.join(roles, ["k1", "k2"]).select("task", "first", "name", "size", "content")
+
+
+def _star_roles(groups: DataFrame, edges: DataFrame, block: int) -> DataFrame:
+    """Every class with a smaller neighbour meets the smallest one, its hub: a class is sent
+    once, a hub once for ``block`` of its classes, so the rows are linear in the classes."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    stars = both.groupBy("a").agg(F.min("b").alias("hub")).filter("hub < a")
+    slots = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).alias("slots"))
+    placed = stars.join(slots, "hub").select(
+        F.xxhash64("hub", F.pmod(F.xxhash64("a"), "slots")).alias("task"), "hub", F.col("a").alias("name")
     )
+    hubs = placed.select("task", F.lit(0).alias("first"), F.col("hub").alias("name")).distinct()
+    roles = placed.select("task", F.lit(1).alias("first"), "name").unionByName(hubs)
+    return roles.join(groups.select("name", "k1", "k2"), "name")
+
+
+def _star_edges(sets: DataFrame, percent: int) -> DataFrame:
+    """The links of each star that hold on full sets; the hub is the first of its task."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, hub, name = None, None, None
+        for batch in batches:
+            out = ([], [])
+            columns = [batch.column(c).to_pylist() for c in range(4)]
+            for at, first, one, content in zip(*columns, strict=True):
+                values = np.frombuffer(content, dtype=np.uint64)
+                if first == 0:
+                    task, hub, name = at, values, one
+                elif at == task:
+                    place = np.minimum(np.searchsorted(hub, values), len(hub) - 1)
+                    both = int(np.count_nonzero(hub[place] == values))
+                    if 100 * both >= percent * (len(hub) + len(values) - both):
+                        out[0].append(name), out[1].append(one)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+
+    placed = sets.repartition("task").sortWithinPartitions("task", "first")
+    return placed.select("task", "first", "name", "content").mapInArrow(rows, "a binary, b binary")
+
+
+def _apart_roles(groups: DataFrame, parts: DataFrame, block: int, block_values: int) -> DataFrame:
+    """Members of groups that are still in several parts, dealt so that every two members
+    of different parts meet in a task.
+
+    A part of half a block or more has blocks of its own, which meet the blocks of other
+    parts only; all smaller parts of a group share blocks.  So a group of one part is sent
+    nowhere, and one large part beside small ones once per block of the small ones."""
+    members = groups.join(parts, "name", "left").withColumn("part", F.coalesce("part", "name"))
+    sizes = members.groupBy("group", "part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("values")
+    )
+    open_groups = sizes.groupBy("group").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    large = (F.col("n") * 2 >= block) | (F.col("values") * 2 >= block_values)
+    sizes = sizes.join(open_groups.select("group"), "group").withColumn("own", F.when(large, F.col("part")))
+    families = (
+        sizes.groupBy("group", "own")
+        .agg(F.sum("n").alias("n"), F.sum("values").alias("values"))
+        .withColumn("blocks", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("values") / block_values)))
+    )
+    numbered = families.select(
+        "group", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")
+    ).withColumn("id", F.xxhash64("group", "own", "i"))
+    other = numbered.select("group", F.col("own").alias("own2"), F.col("id").alias("id2"))
+    pairs = numbered.join(other, "group").filter(
+        (F.col("id") < F.col("id2")) & ~(F.col("own").isNotNull() & F.col("own").eqNullSafe(F.col("own2")))
+        | (F.col("id") == F.col("id2")) & F.col("own").isNull()
+    )
+    pairs = pairs.select(F.xxhash64("id", "id2").alias("task"), F.explode(F.array_distinct(F.array("id", "id2"))).alias("id"))
+    placed = (
+        members.join(sizes.select("group", "part", "own"), ["group", "part"])
+        .withColumn("family", F.coalesce("own", F.lit(b"")))
+        .join(families.select("group", F.coalesce("own", F.lit(b"")).alias("family"), "blocks"), ["group", "family"])
+        .withColumn("id", F.xxhash64("group", "own", F.pmod(F.xxhash64("name"), "blocks")))
+    )
+    return placed.join(pairs, "id").select("k1", "k2", "task", F.lit(0).alias("first"), "name")
+
+
+def confirmed_edges(
+    docs: DataFrame, text: str, groups: DataFrame, edges: DataFrame, percent: int, width: int, block: int
+) -> DataFrame:
+    """Edges of links confirmed on full sets.  ``groups``: (name, size, group, k1, k2),
+    where k1, k2 is the key of one row that has the class's set; ``edges`` are the
+    candidates' own.
+
+    First one candidate edge per class is confirmed, which is linear in the classes and
+    joins most of a group of copies; then members of parts that are still apart meet."""
+    stars = _with_sets(docs, text, written(_star_roles(groups, edges, block), "stars"), width)
+    direct = written(_star_edges(stars, percent), "direct-edges")
+    parts = components(direct).toDF("name", "part")
+    roles = written(_apart_roles(groups, parts, block, BLOCK_VALUES), "apart")
+    if roles.isEmpty():
+        return direct
 
     def forest(_: list, contents: list) -> list:
         return _set_forest([np.frombuffer(c, dtype=np.uint64) for c in contents], percent)
 
-    return _per_task(
-        _in_blocks(sets, "group", "name", block, BLOCK_VALUES).select(
-            "task", "name", "size", "content"
-        ),
-        forest,
-    )
+    sets = _with_sets(docs, text, roles, width)
+    return direct.unionByName(_per_task(sets.select("task", "name", "size", "content"), forest))
 
 
 def near_groups(
@@ -396,14 +473,16 @@ def near_groups(
         "near-classes",
     )
     paths = classes.select(F.explode("paths").alias("path"), "name")
-    maybe = components(candidate_edges(classes, paths, threshold, leaf, depth, leaf_block))
+    edges = written(
+        candidate_edges(classes, paths, threshold, leaf, depth, leaf_block).distinct(), "near-edges"
+    )
     groups = written(
-        maybe.withColumnsRenamed({"vertex": "name", "component": "group"})
-        .join(classes.select("name", "key"), "name")
-        .select("name", "group", "key.k1", "key.k2"),
+        components(edges).withColumnsRenamed({"vertex": "name", "component": "group"})
+        .join(classes.select("name", "size", "key"), "name")
+        .select("name", "size", "group", "key.k1", "key.k2"),
         "near-candidates",
     )
-    links = components(confirmed_edges(slim, "text", groups, percent, width, block))
+    links = components(confirmed_edges(slim, "text", groups, edges, percent, width, block))
     labelled = classes.select("name", "low").join(
         links.withColumnRenamed("vertex", "name"), "name", "left"
     )
