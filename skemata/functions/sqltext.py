@@ -1,4 +1,4 @@
-"""Expressions over SQL text: references, statement class, safety."""
+"""Expressions over SQL text and answers: references, name-like words, wrappings."""
 
 from __future__ import annotations
 
@@ -19,23 +19,15 @@ TABLE_WORDS = ["FROM", "JOIN", "UPDATE", "INTO", "TABLE"]
 SNAKE_NAME = r"\b([a-z]+_[a-z][a-z0-9_]*(?:_[a-z][a-z0-9_]*)*)\b"
 UPPER_NAME = r"\b([A-Z][A-Z]+(?:_[A-Z][A-Z]+)+)\b"
 CAMEL_NAME = r"\b([A-Z][a-z]+[A-Z][a-zA-Z]*)\b"
-QUALIFIED = r"\b([A-Za-z_][A-Za-z0-9_]*\.[A-Za-z_][A-Za-z0-9_]*)\b"
 STAND_IN = r"(?i)\bSELECT\s+(?:0\b|NULL\b|\d+\s+AS\s+)"
 FENCED_SQL = r"(?is)```(?:sql)?\s*\n?(.*?)\n?```"
 STATEMENT = r"(?is)\b((?:SELECT|INSERT|UPDATE|DELETE|WITH)\b.*?;)"
 
-COMMENT_OR_LITERAL = r"(?s)'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/"
-
 
 def _all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
-def bare(sql: Column) -> Column:
-    """SQL with comments and string literals blanked out."""
-    return F.regexp_replace(sql, COMMENT_OR_LITERAL, "''")
-
-
 def table_refs(sql: Column, keep_case: bool = False, strict: bool = False) -> Column:
     """Distinct table names after FROM, JOIN, UPDATE, INTO and TABLE.
 
@@ -60,42 +52,6 @@ def table_refs(sql: Column, keep_case: bool = False, strict: bool = False) -> Co
     return names
 
 
-# a name, plain or quoted, and a dotted path of names
-_PART = r'(?:"[^"]+"|[A-Za-z_][A-Za-z0-9_]*)'
-_PATH = rf"{_PART}(?:\s*\.\s*{_PART})*"
-_NO_ALIAS = (
-    r"(?!(?:AS|CROSS|EXCEPT|FETCH|FOR|FULL|GROUP|HAVING|INNER|INTERSECT|JOIN|LATERAL|LEFT|LIMIT|NATURAL|"
-    r"OFFSET|ON|ORDER|RETURNING|RIGHT|SELECT|SET|UNION|USING|VALUES|WHERE|WINDOW)\b)"
-)
-_ITEM = rf"{_PATH}(?:\s+(?:AS\s+)?{_NO_ALIAS}{_PART})?"
-_FROM_LIST = rf"(?i)\bFROM\s+(?:ONLY\s+)?({_ITEM}(?:\s*,\s*{_ITEM})*)"
-_ONE_TABLE = [
-    rf"(?i)\bJOIN\s+({_PATH})",
-    rf"(?i)\bUPDATE\s+(?:ONLY\s+)?({_PATH})",
-    rf"(?i)\bINTO\s+(?!TABLE\b)({_PATH})",
-    rf"(?i)\bTABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?({_PATH})",
-]
-_INNER_FROM = r"(?i)\b(EXTRACT|TRIM|SUBSTRING|OVERLAY)\s*\([^()]*\bFROM\b"
-_DISTINCT_FROM = r"(?i)\bIS\s+(?:NOT\s+)?DISTINCT\s+FROM\b"
-
-
-def named_tables(masked: Column) -> Column:
-    """Distinct tables that a statement (literals and comments blanked) reads or writes.
-
-    Comma lists count, of a dotted name the last part does, and quotes go; a FROM
-    inside a function call names no table.
-    """
-    text = F.regexp_replace(F.regexp_replace(masked, _DISTINCT_FROM, "="), _INNER_FROM, "$1(")
-    listed = F.flatten(
-        F.transform(_all(text, _FROM_LIST), lambda x: _all(x, rf"(?:^|,)\s*({_PATH})"))
-    )
-    names = F.concat(listed, *[_all(text, pattern) for pattern in _ONE_TABLE])
-    last = F.transform(names, lambda n: F.regexp_extract(n, rf"({_PART})\s*$", 1))
-    stop = F.array(*[F.lit(w) for w in NOT_TABLES])
-    last = F.filter(last, lambda n: ~F.array_contains(stop, F.lower(n)))
-    return F.array_distinct(F.transform(last, lambda n: F.replace(n, F.lit('"'), F.lit(""))))
-
-
 def identifier_tokens(text: Column) -> Column:
     """Distinct lower-case tokens that look like table or column names."""
     text = F.coalesce(text, F.lit(""))
@@ -108,11 +64,6 @@ def identifier_tokens(text: Column) -> Column:
     )
 
 
-def qualified_refs(sql: Column) -> Column:
-    """Distinct ``qualifier.column`` pairs outside literals and comments."""
-    return F.array_distinct(_all(bare(F.coalesce(sql, F.lit(""))), QUALIFIED))
-
-
 def extract_sql(answer: Column) -> Column:
     """Statement inside a model answer; empty text when there is none."""
     text = strip(F.coalesce(answer, F.lit("")))
@@ -128,70 +79,3 @@ def extract_sql(answer: Column) -> Column:
 
 def is_stand_in(sql: Column) -> Column:
     return F.coalesce(sql.rlike(STAND_IN), F.lit(False))
-
-
-def statement_type(text: Column) -> Column:
-    """Leading verb of a statement without comments; for WITH, the verb it leads to."""
-    word = F.upper(F.regexp_extract(text, r"^[\s(]*([A-Za-z]+)", 1))
-    main = F.upper(
-        F.regexp_extract(text, r"(?is)^[\s(]*WITH\b.*\)\s*(SELECT|INSERT|UPDATE|DELETE)\b", 1)
-    )
-    return F.when(word == "WITH", F.coalesce(F.nullif(main, F.lit("")), F.lit("SELECT"))).otherwise(
-        word
-    )
-
-
-def summary_type(text: Column, verb: Column) -> Column:
-    """Type of the whole statement: a set operation at its top level goes before the verb."""
-    flat = text
-    for _ in range(4):
-        flat = F.regexp_replace(flat, r"\([^()]*\)", " ")
-    found = F.upper(F.regexp_extract(flat, r"(?i)\b(UNION|INTERSECT|EXCEPT)\b", 1))
-    return F.when(
-        (verb == "SELECT") & (found != ""), found
-    ).otherwise(F.when(verb == "TRUNCATE", F.lit("TRUNCATETABLE")).otherwise(verb))
-
-
-KNOWN_VERBS = [
-    "SELECT", "INSERT", "UPDATE", "DELETE", "MERGE", "VALUES", "DROP", "CREATE", "ALTER", "TRUNCATE",
-    "EXPLAIN", "GRANT", "REVOKE", "SET", "SHOW", "CALL", "COPY", "ANALYZE", "BEGIN", "COMMIT",
-    "ROLLBACK",
-]
-_CLAUSES = "FROM|INTO|WHERE|UNION|EXCEPT|INTERSECT|EXCLUDE|LIMIT|ORDER|GROUP|HAVING|OFFSET|FETCH"
-
-
-def no_statement(text: Column, verb: Column) -> Column:
-    """Whether a text begins with no known verb or lacks what its verb needs."""
-    return (
-        ~verb.isin(KNOWN_VERBS)
-        | text.rlike(r"(?i)\bSELECT\s+(?:DISTINCT\s+)?(?:WHERE|GROUP|ORDER|HAVING|LIMIT)\b")
-        | text.rlike(rf"(?i)\bSELECT\s+(?:DISTINCT\s+)?\*\s+(?!(?:{_CLAUSES})\b)[A-Za-z_]")
-        | ((verb == "INSERT") & ~text.rlike(r"(?i)\bINTO\b"))
-        | ((verb == "UPDATE") & ~text.rlike(r"(?i)\bSET\b"))
-        | ((verb == "DELETE") & ~text.rlike(r"(?i)\bFROM\b"))
-    )
-
-
-# Verbs and message texts.
-STRUCTURE_VERBS = ["DROP", "CREATE", "ALTER", "TRUNCATE"]
-BULK_VERBS = ["DELETE", "UPDATE"]
-
-
-def danger(text: Column, verb: Column) -> Column:
-    """Message for a statement that changes structure or whole tables, else null.
-
-    A DELETE or UPDATE in parentheses, as in a WITH clause, counts with the WHERE
-    that its own parentheses hold.
-    """
-    unsafe = " without WHERE clause — unsafe operation"
-    leading = F.when(
-        verb.isin(STRUCTURE_VERBS), F.concat(F.lit("Dangerous DDL statement detected: "), verb)
-    ).when(verb.isin(BULK_VERBS) & ~text.rlike(r"(?i)\bWHERE\b"), F.concat(verb, F.lit(unsafe)))
-    inner = [
-        F.when(
-            text.rlike(rf"(?i)\(\s*{word}\b(?:(?!\bWHERE\b)(?:[^()]|\([^()]*\)))*\)"),
-            F.lit(word + unsafe),
-        )
-        for word in BULK_VERBS
-    ]
-    return F.nullif(F.concat_ws("; ", leading, *inner), F.lit(""))

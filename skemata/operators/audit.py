@@ -1,7 +1,8 @@
 """Audit of SQL text against the catalog.
 
-A log of statements is exploded to references, and references are checked by
-anti joins; nothing is parsed beyond the patterns of ``functions.sqltext``.
+A log of statements is exploded to references, and references are checked by joins.
+Whole statements are scanned by ``functions.sqltokens``; answers, references of items and
+name-like words go by the patterns of ``functions.sqltext``.
 """
 
 from __future__ import annotations
@@ -9,20 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skemata.functions.sqltext import (
-    bare,
-    danger,
-    extract_sql,
-    identifier_tokens,
-    is_stand_in,
-    named_tables,
-    no_statement,
-    qualified_refs,
-    statement_type,
-    summary_type,
-    table_refs,
+from skemata.functions.sqltext import extract_sql, identifier_tokens, is_stand_in, table_refs
+from skemata.functions.sqltokens import (
+    in_context,
+    qualified_names,
+    scanned,
+    split_statements,
+    sql_tokens,
+    statement_bounds,
+    used_names,
 )
-from skemata.functions.text import filled, strip
+from skemata.functions.text import strip
 from skemata.scale import skew_join
 
 TABLE_KEY = ["database_id", "table_name"]
@@ -147,17 +145,24 @@ def answer_status(answers: DataFrame) -> DataFrame:
 
 
 def statements(log: DataFrame, sql: str = "sql", only_first: bool = True) -> DataFrame:
-    """Statements of each log entry, literals and comments blanked.
+    """Statements of each log entry as token arrays, cut at semicolons outside literals,
+    quoted names and comments.
 
     The first one only, as a validator sees it, or all of them.  Blank entries
-    stay as one blank statement.
+    stay as one statement without tokens.
     """
-    pieces = F.filter(F.split(bare(F.coalesce(sql, F.lit(""))), ";"), lambda s: filled(s))
-    pieces = F.when(F.size(pieces) == 0, F.array(F.lit(""))).otherwise(pieces)
+    others = [c for c in log.columns if c != sql]
+    rows = log.select(*others, sql_tokens(F.col(sql)).alias("all"))
+    rows = rows.withColumn("bounds", statement_bounds(F.col("all")))
+    pieces = split_statements(F.col("all"), F.col("bounds"))
     if only_first:
         pieces = F.slice(pieces, 1, 1)
-    others = [c for c in log.columns if c != sql]
-    return log.select(*others, F.posexplode(pieces).alias("statement_no", "statement"))
+    rows = rows.select(*others, F.posexplode_outer(pieces).alias("statement_no", "tokens"))
+    return rows.select(
+        *others,
+        F.coalesce("statement_no", F.lit(0)).alias("statement_no"),
+        in_context(F.coalesce("tokens", F.array().cast(rows.schema["tokens"].dataType))).alias("tokens"),
+    )
 
 
 def audit_statements(
@@ -166,96 +171,83 @@ def audit_statements(
     columns: DataFrame,
     only_first: bool = True,
     warned: Column | None = None,
+    with_names: bool = True,
 ) -> DataFrame:
     """Errors, dangers, confidence and a summary for every statement.
 
     ``log``: database_id, query_id, sql.  ``warned`` flags statements another
-    dialect would spell differently.
+    dialect would spell differently.  A name that a WITH defines counts as a table, as a
+    validator without scopes has it, unless ``with_names`` is False.
+
+    A statement is scanned once; its tables, qualified names and words then meet the
+    catalog in one pass of joins.
     """
     key = ["database_id", "query_id", "statement_no"]
     kept = [c for c in log.columns if c not in ("database_id", "query_id", "sql")]
-    rows = statements(log, only_first=only_first).withColumns(
-        {
-            "tables": named_tables(F.col("statement")),
-            "verb": statement_type(F.col("statement")),
-        }
-    ).withColumn(
-        "broken",
-        (F.col("statement") != "") & no_statement(F.col("statement"), F.col("verb")),
-    )
-    refs = rows.select(*key, F.explode("tables").alias("table_name"))
-    known = tables.select(*TABLE_KEY).distinct()
-    lost_tables = skew_join(
-        refs, known, TABLE_KEY, "left_anti", ["query_id", "statement_no"]
-    ).select(
+    rows = statements(log, only_first=only_first).withColumn("found", scanned(F.col("tokens")))
+    rows = rows.select(
         *key,
-        F.lit(0).alias("kind"),
-        F.concat(
-            F.lit("Table '"), "table_name", F.lit("' not found in enriched metadata")
-        ).alias("message"),
+        *kept,
+        (F.size("tokens") == 0).alias("blank"),
+        "found.broken",
+        "found.kind",
+        "found.danger",
+        F.col("found.tables" if with_names else "found.own_tables").alias("tables"),
+        qualified_names(F.col("tokens")).alias("pairs"),
+        used_names(F.col("tokens")).alias("words"),
     )
-    pairs = rows.select(
-        *key, F.explode(qualified_refs(F.col("statement"))).alias("pair")
-    ).select(
-        *key,
-        F.substring_index("pair", ".", 1).alias("table_name"),
-        F.substring_index("pair", ".", -1).alias("column_name"),
+    text = F.lit(None).cast("string")
+    # tables, qualified names, words with each table of their statement, and one row that
+    # keeps a statement without any of these
+    refs = F.concat(
+        F.array(F.struct(F.lit("statement").alias("use"), text.alias("owner"), text.alias("name"))),
+        F.transform("tables", lambda t: F.struct(F.lit("table").alias("use"), t.alias("owner"), text.alias("name"))),
+        F.transform("pairs", lambda p: F.struct(F.lit("pair").alias("use"), p["owner"].alias("owner"), p["name"].alias("name"))),
+        F.flatten(
+            F.transform(
+                "tables",
+                lambda t: F.transform(
+                    "words", lambda w: F.struct(F.lit("word").alias("use"), t.alias("owner"), w.alias("name"))
+                ),
+            )
+        ),
     )
-    of_tables = skew_join(pairs, known, TABLE_KEY, "left_semi", ["query_id", "statement_no"])
-    names = columns.select(*TABLE_KEY, "column_name")
-    lost_columns = skew_join(
-        of_tables, names, [*TABLE_KEY, "column_name"], "left_anti", ["query_id", "statement_no"]
-    ).select(
-        *key,
-        F.lit(1).alias("kind"),
-        F.concat(
-            F.lit("Column '"), "column_name", F.lit("' not found in table '"), "table_name", F.lit("'")
-        ).alias("message"),
+    facts = [*kept, "blank", "broken", "kind", "danger", "tables"]
+    uses = rows.select(*key, F.struct(*facts).alias("fact"), F.explode(refs).alias("ref")).select(
+        *key, F.when(F.col("ref.use") == "statement", F.col("fact")).alias("fact"), "ref.*"
     )
-    errors = (
-        lost_tables.unionAll(lost_columns)
-        .groupBy(*key)
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_set(F.struct("kind", "message"))), lambda m: m["message"]
-            ).alias("found")
-        )
+    known = tables.select("database_id", F.col("table_name").alias("owner"), F.lit(True).alias("known")).distinct()
+    names = columns.select(
+        "database_id", F.col("table_name").alias("owner"), F.col("column_name").alias("name"), F.lit(True).alias("held")
+    ).distinct()
+    spread = ["query_id", "statement_no"]
+    met = skew_join(uses, known, ["database_id", "owner"], "left", spread)
+    met = skew_join(met, names, ["database_id", "owner", "name"], "left", spread)
+    use, no_table, no_column = F.col("use"), F.col("known").isNull(), F.col("held").isNull()
+    message = F.when(
+        (use == "table") & no_table,
+        F.struct(F.lit(0).alias("order"), F.concat(F.lit("Table '"), "owner", F.lit("' not found in enriched metadata")).alias("text")),
+    ).when(
+        (use == "pair") & ~no_table & no_column,
+        F.struct(F.lit(1).alias("order"), F.concat(F.lit("Column '"), "name", F.lit("' not found in table '"), "owner", F.lit("'")).alias("text")),
     )
-    # a word counts when a table the statement names has such a column; it is paired with
-    # the statement's own tables, and an alias after AS is no use of a column
-    unaliased = F.regexp_replace("statement", r"(?i)\bAS\s+[A-Za-z_]\w*", " ")
-    words = rows.select(
-        *key,
-        "tables",
-        F.explode(
-            F.array_distinct(F.regexp_extract_all(unaliased, F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1)))
-        ).alias("column_name"),
-    ).select(*key, "column_name", F.explode("tables").alias("table_name"))
-    used = (
-        skew_join(
-            words, names, [*TABLE_KEY, "column_name"], "left_semi", ["query_id", "statement_no"]
-        )
-        .groupBy(*key)
-        .agg(F.array_join(F.array_sort(F.collect_set("column_name")), ",").alias("columns_used"))
+    used = F.collect_set(F.when((use == "word") & ~no_column, F.col("name")))
+    judged = met.groupBy(*key).agg(
+        F.first("fact", ignorenulls=True).alias("fact"),
+        F.transform(F.array_sort(F.collect_set(message)), lambda m: m["text"]).alias("lost"),
+        F.array_join(F.array_sort(used), ",").alias("used"),
     )
-    blank = F.col("statement") == ""
-    none = F.array().cast("array<string>")
-    found = (
-        F.when(blank, F.array(F.lit(EMPTY_STATEMENT)))
-        .when(F.col("broken"), F.array(F.lit(BAD_STATEMENT)))
-        .otherwise(F.coalesce("found", none))
+    errors = (
+        F.when(F.col("fact.blank"), F.array(F.lit(EMPTY_STATEMENT)))
+        .when(F.col("fact.broken"), F.array(F.lit(BAD_STATEMENT)))
+        .otherwise(F.col("lost"))
     )
-    verb = summary_type(F.col("statement"), F.col("verb"))
     clean = F.size("__e") == 0
     return (
-        rows.join(errors, key, "left")
-        .join(used, key, "left")
-        .withColumns(
-            {
-                "__e": found,
-                "__d": F.when(~F.col("broken"), danger(F.col("statement"), F.col("verb"))),
-            }
+        judged.withColumns(
+            {"__e": errors, "__d": F.when(~F.col("fact.broken"), F.col("fact.danger"))}
         )
+        .select(*judged.columns, "__e", "__d", *[F.col(f"fact.{c}").alias(c) for c in kept])
         .select(
             *key,
             *kept,
@@ -266,11 +258,9 @@ def audit_statements(
             .when(F.lit(False) if warned is None else warned, F.lit(WARNED_CONFIDENCE))
             .otherwise(F.lit(1.0))
             .alias("confidence"),
-            F.when(clean, verb).alias("statement_type"),
-            F.when(
-                clean, F.array_join(F.array_sort("tables"), ",")
-            ).alias("tables_used"),
-            F.when(clean, F.coalesce("columns_used", F.lit(""))).alias("columns_used"),
+            F.when(clean, F.col("fact.kind")).alias("statement_type"),
+            F.when(clean, F.array_join(F.array_sort("fact.tables"), ",")).alias("tables_used"),
+            F.when(clean, F.col("used")).alias("columns_used"),
         )
     )
 

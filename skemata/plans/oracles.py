@@ -684,7 +684,11 @@ REFS = [
     (12, "orders", None), (13, "supplier", None), (14, "part,supplier,table", None),
     (15, "o_orderdate,orders", None), (16, "public", None), (17, "", None), (18, "orders", None),
     (19, "orders", None), (20, "", None), (21, "", None), (22, "orders", None),
-    (23, "part,supplier", None), (24, "nation", None),
+    (23, "part,supplier", None), (24, "nation", None), (25, "orders", None), (26, "orders", None),
+    (27, "", None), (28, "", None), (29, "orders", None), (30, "orders", None), (31, "orders", None),
+    (32, "orders", None), (33, "orders", None), (34, "orders", None), (35, "ghost,orders", None),
+    (36, "ghost,orders", None), (37, "generate_series", None), (38, "orders,r", "orders"),
+    (39, "orders", None), (40, "ghost", None), (41, "ghost,part", None),
 ]
 FACTS = [
     (0, 0, "SELECT", "customer", "", "c_name|c_custkey", None, True),
@@ -714,10 +718,31 @@ FACTS = [
     (22, 0, "SELECT", "orders", "", "o_orderkey", "DELETE" + BULK, True),
     (23, 0, "UNION", "part|supplier", "", "p_partkey|s_suppkey", None, True),
     (24, 0, "SELECT", "nation|customer", "", "n_name", None, True),
+    (25, 0, "SELECT", "orders|ghost", "", "o_orderkey", None, True),
+    (26, 0, "MERGE", "orders|ghost", "", "o_orderkey", None, True),
+    (27, 0, "SELECT", "ghost", "", "", None, True),
+    (28, 0, "SELECT", "ghost", "", "", None, True),
+    (29, 0, "DELETE", "orders|ghost", "", "o_orderkey", None, True),
+    (30, 0, None, "", "", "", None, False),
+    (31, 0, None, "", "", "", None, False),
+    (32, 0, None, "", "", "", None, False),
+    (33, 0, None, "", "", "", None, False),
+    (34, 0, None, "", "", "", None, False),
+    (35, 0, "SELECT", "orders", "", "", None, True),
+    (36, 0, "SELECT", "orders", "", "", None, True),
+    (37, 0, "SELECT", "", "", "", None, True),
+    (38, 0, "SELECT", "r|orders", "", "o_orderkey", None, True),
+    (39, 0, None, "", "", "", None, False),
+    (40, 0, "SELECT", "orders|ghost", "o.o_orderkey|g.id", "o_orderkey", None, True),
+    (41, 0, "UPDATE", "part|ghost", "", "p_size", "UPDATE" + BULK, True),
 ]
-FACT_PARTS = (
-    values("facts", "i, n, kind, tbs, prs, wds, d, ok", FACTS) + ", " + values("rfs", "i, refs, strict", REFS)
-)
+# The tables without names of WITH, where there are any.
+OWN_TABLES = {8: "part", 38: "orders"}
+
+
+def fact_parts(scoped: bool) -> str:
+    facts = [(*f[:3], OWN_TABLES.get(f[0], f[3]) if scoped else f[3], *f[4:]) for f in FACTS]
+    return values("facts", "i, n, kind, tbs, prs, wds, d, ok", facts) + ", " + values("rfs", "i, refs, strict", REFS)
 
 
 SQL["sql_table_refs"] = (
@@ -761,10 +786,10 @@ gen AS (SELECT database_id, query_id, CASE WHEN kind = 'ok' THEN 'SUCCESS' ELSE
 SQL["answer_status"] = WITH_ANSWERS + f", {STATUS} SELECT query_id, status, sql, reason, explanation, confidence FROM gen"
 
 
-def audit(source: str, first: bool = True) -> str:
+def audit(source: str, first: bool = True, scoped: bool = False) -> str:
     """Verdicts from the facts; ``source`` may hold blank statements for some entries."""
     return rf"""
-{FACT_PARTS},
+{fact_parts(scoped)},
 st AS (SELECT database_id, query_id, facts.* FROM {source} JOIN facts ON i = query_id % {len(REFS)} AND {"n = 0" if first else "TRUE"}
   WHERE trim(coalesce(sql, '')) <> '' UNION ALL
   SELECT database_id, query_id, -1, 0, NULL, '', '', '', NULL, TRUE FROM {source} WHERE trim(coalesce(sql, '')) = ''),
@@ -790,6 +815,7 @@ aud AS (SELECT s.database_id, s.query_id, s.n AS statement_no, i = -1 AS blank,
 
 WITH_LOG = with_parts("tabs", "cols") + f", {log_cte()}"
 SQL["sql_audit"] = WITH_LOG + f", {audit('log')} SELECT * EXCLUDE (blank) FROM aud"
+SQL["sql_audit_scoped"] = WITH_LOG + f", {audit('log', scoped=True)} SELECT * EXCLUDE (blank) FROM aud"
 SQL["sql_audit_all"] = WITH_LOG + f", {audit('log', False)} SELECT query_id, statement_no, is_valid, confidence FROM aud"
 SQL["final_responses"] = WITH_LOG + f", {answers_cte()}, {EXTRACT}, {STATUS}, {audit('gen')} " + (
     "SELECT g.query_id, CASE WHEN g.status = 'SUCCESS' AND is_valid THEN 'SUCCESS' ELSE 'OUT_OF_SCOPE' END AS status,"

@@ -38,6 +38,23 @@ STATEMENTS = [
     "WITH d AS (DELETE FROM orders RETURNING 1) SELECT o_orderkey FROM orders",
     "SELECT p_partkey FROM part UNION SELECT s_suppkey FROM supplier",
     "SELECT n_name AS c_name FROM nation, customer",
+    "SELECT a FROM (SELECT o_orderkey AS a FROM orders) x, ghost",
+    "MERGE INTO orders USING ghost ON o_orderkey = id WHEN MATCHED THEN DELETE",
+    "SELECT * FROM `ghost`",
+    "SELECT * FROM [ghost]",
+    "DELETE FROM orders USING ghost WHERE o_orderkey = 1",
+    "SELECT 1 FROM orders WHERE",
+    "SELECT * FROM orders JOIN",
+    "SELECT * FROM orders,",
+    "SELECT COUNT( FROM orders",
+    "SELECT 1 FROM orders WHERE (o_orderkey = 1",
+    'SELECT "a from ghost" FROM orders',
+    "SELECT $$ from ghost $$ FROM orders",
+    "SELECT g FROM generate_series(1, 10) AS t (g)",
+    "WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r) SELECT n FROM r JOIN orders ON n = o_orderkey",
+    "SELECT o_orderkey FROM orders WHERE o_orderkey = AND 1 = 1",
+    "SELECT o.o_orderkey FROM (orders o JOIN ghost g ON g.id = o.o_orderkey)",
+    "UPDATE part SET p_size = (SELECT 1 FROM ghost)",
 ]
 # Answers around a statement; {sql} is the statement.
 WRAPPINGS = [
@@ -164,6 +181,13 @@ def sql_audit_all(spark: SparkSession, sf: str) -> DataFrame:
     ).select("query_id", "statement_no", "is_valid", "confidence")
 
 
+@query
+def sql_audit_scoped(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, where names that a WITH defines are no tables."""
+    cat = T.catalog(spark, sf)
+    return audit.audit_statements(sql_log(spark, sf), cat.tables, cat.columns, with_names=False)
+
+
 @query
 def final_responses(spark: SparkSession, sf: str) -> DataFrame:
     """Last word on every answer."""

@@ -77,6 +77,56 @@ def test_sql_cases(spark):
     assert "nonexistent_table" in got[6].errors and "nope" in got[7].errors
 
 
+def test_statement_scan(spark):
+    """Hand-written verdicts: broken, tables, tables but names of WITH."""
+    from skemata.functions.sqltokens import scanned
+
+    cases = [
+        ("SELECT a FROM (SELECT x FROM t1 WHERE y = 1) x, t2", False, "t1,t2", "t1,t2"),
+        ("SELECT * FROM a LEFT JOIN (b JOIN c ON b.x = c.y) ON a.x = b.x, d", False, "a,b,c,d", "a,b,c,d"),
+        ("SELECT (SELECT max(y) FROM b WHERE b.k = c.k) m FROM c WHERE EXISTS (SELECT 1 FROM d)", False, "b,c,d", "b,c,d"),
+        ("WITH t AS (SELECT 1 FROM a) SELECT * FROM t, (WITH u AS (SELECT 2) SELECT * FROM u) v", False, "a,t,u", "a"),
+        ("SELECT * FROM u WHERE x IN (WITH u AS (SELECT 1) SELECT * FROM u)", False, "u", "u"),
+        ("(SELECT a FROM x) UNION ALL (SELECT b FROM y) ORDER BY 1", False, "x,y", "x,y"),
+        ("INSERT INTO a (x, y) SELECT x, y FROM b ON CONFLICT (x) DO UPDATE SET y = 1", False, "a,b", "a,b"),
+        ("INSERT INTO TABLE a VALUES (1)", False, "a", "a"),
+        ("DROP TABLE IF EXISTS a, b", False, "a,b", "a,b"),
+        ("EXPLAIN ANALYZE SELECT * FROM a", False, "a", "a"),
+        ("SELECT a IS NOT DISTINCT FROM b, EXTRACT(YEAR FROM c), TRIM(BOTH 'x' FROM d) FROM e", False, "e", "e"),
+        ("SELECT 'it''s; from ghost', $x$ from $$ ghost $x$, E'from g' FROM a -- , ghost", False, "a", "a"),
+        ("SELECT * FROM public.a, \"My Table\" m, f(1) g, LATERAL (SELECT 1 FROM b) l", False, "My Table,a,b", "My Table,a,b"),
+        ("SELECT CASE WHEN a THEN 1 ELSE LEFT(b, 2) END FROM a WHERE id = ? FOR UPDATE", False, "a", "a"),
+        ("SELECT count(*) FILTER (WHERE a > 1) OVER (PARTITION BY b ORDER BY c) FROM a GROUP BY b, c LIMIT 5", False, "a", "a"),
+        ("UPDATE a SET x = 1, y = 2 FROM b, c WHERE a.i = b.i", False, "a,b,c", "a,b,c"),
+        ("SELECT a, FROM t", True, None, None),
+        ("SELECT a FROM t WHERE x = AND y = 1", True, None, None),
+        ("SELECT a FROM t ORDER BY", True, None, None),
+        ("SELECT a FROM t)", True, None, None),
+        ("SELECT a FROM WHERE x = 1", True, None, None),
+        ("SELECT \"open FROM t", True, None, None),
+        ("WITH t AS SELECT 1", True, None, None),
+        ("WITH t AS (SELECT 1)", True, None, None),
+        ("UPDATE t WHERE x = 1", True, None, None),
+        ("DELETE t WHERE x = 1", True, None, None),
+        ("", True, None, None),
+    ]
+    log = spark.createDataFrame([(1, i, c[0]) for i, c in enumerate(cases)], "database_id bigint, query_id int, sql string")
+    got = audit.statements(log).select("query_id", scanned(F.col("tokens")).alias("f")).collect()
+    assert len(got) == len(cases)
+    for r in got:
+        text, broken, tables, own = cases[r.query_id]
+        assert r.f.broken == broken, text
+        if not broken:
+            assert (",".join(sorted(r.f.tables)), ",".join(sorted(r.f.own_tables))) == (tables, own), text
+
+
+def test_statements_are_cut_outside_literals(spark):
+    text = "SELECT 'a;b' FROM x; ; SELECT \";\" FROM y -- ;\n; /* ; */"
+    log = spark.createDataFrame([(1, 1, text), (1, 2, " ; "), (1, 3, None)], "database_id bigint, query_id int, sql string")
+    got = audit.statements(log, only_first=False).select("query_id", "statement_no", F.size("tokens").alias("n")).collect()
+    assert sorted((r.query_id, r.statement_no, r.n) for r in got) == [(1, 0, 4), (1, 1, 4), (2, 0, 0), (3, 0, 0)]
+
+
 def test_semantic_rules_only(spark):
     df = spark.createDataFrame([("company_city",)], "c string")
     assert df.select(classify_semantic(F.col("c"))["classification"]).first()[0] == "CITY"
