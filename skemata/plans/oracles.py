@@ -1032,6 +1032,7 @@ SQL["parsed_documents"] = with_parts("cols") + (
 SQL["ddl_columns"] = with_parts("cols") + (
     "SELECT database_id, column_ordinal, table_name, column_name, data_type, is_nullable, is_primary_key FROM cols"
 )
+SQL["ddl_pieces_columns"] = SQL["ddl_columns"]
 SQL["ddl_relationships"] = with_parts("rels") + (
     "SELECT database_id, from_table, from_column, to_table, to_column, from_table || '_' || from_column || '_fkey' AS constraint_name FROM rels"
     " UNION ALL SELECT database_id, 'v_lines', c, NULL, NULL, NULL FROM dbs CROSS JOIN (VALUES ('l_orderkey'), ('tax'), ('n')) v(c)"

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skemata.operators import canonical
 from skemata.schemas import ENRICHED_DOCUMENT
-from skemata.sources import ddl, documents, dumps, rule_files
+from skemata.sources import ddl, ddl_pieces, documents, dumps, rule_files
 
 
 def catalog_of(spark, *docs):
@@ -200,3 +200,29 @@ def test_ddl_literals_and_quotings(spark):
     ]
     lost = [r.statement for r in ddl.rejected_statements(scripts).collect()]
     assert lost == ["CREATE INDEX i ON b (g)", "CREATE TABLE broken"]
+
+
+def test_ddl_pieces_give_what_the_whole_script_gives(spark):
+    sql = (
+        "CREATE TABLE `a;` ([c] VARCHAR(5) DEFAULT 'p;q''', d INTEGER NOT NULL, f INT[] DEFAULT '--' ); -- x;\n"
+        "CREATE TABLE b (g TEXT DEFAULT 'it''s; (odd', /* ; **/ h DATE, \"i-;\" INT DEFAULT 4 - 3 / 1);"
+        "INSERT INTO b VALUES ('CREATE TABLE no (a int);');CREATE INDEX i ON b (g);\nCREATE TABLE broken;/*/ ; */"
+        "CREATE VIEW v AS SELECT g, '' AS e, ';' AS s FROM b"
+    )
+    cut = [[sql[:i], sql[i:]] for i in range(len(sql) + 1)]
+    cut += [[sql[j : j + n] for j in range(0, len(sql), n)] for n in (1, 2, 3, 7)]
+    cut += [[sql[:9], "", "", sql[9:14], "", sql[14:]], [sql], [None], [""]]
+    rows = [(i, no, p) for i, parts in enumerate(cut) for no, p in enumerate(parts)]
+    pieces = spark.createDataFrame(rows, "database_id long, piece_no int, sql string").repartition(5)
+    whole = spark.createDataFrame(
+        [(i, "".join(p or "" for p in parts)) for i, parts in enumerate(cut)], "database_id long, sql string"
+    )
+    for made, want in (
+        (ddl_pieces.ddl_documents(pieces), ddl.ddl_documents(whole)),
+        (ddl_pieces.rejected_statements(pieces, width=4), ddl.rejected_statements(whole)),
+    ):
+        text = F.to_json(F.struct(*want.columns)).alias("row")
+        got, expected = (sorted((r.database_id, r.row) for r in d.select("database_id", text).collect()) for d in (made, want))
+        assert len(got) == len(expected)
+        for a, b in zip(got, expected, strict=True):
+            assert a == b, cut[a[0]]
