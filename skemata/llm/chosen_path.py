@@ -7,7 +7,8 @@ of its tokens whose hash, seeded by the path so far, falls under
 1 / (threshold * TOKENS): a pair at the threshold shares one child on average, a
 dissimilar pair almost none.  A node of at most ``leaf`` classes is compared
 exhaustively on sketches; a larger one branches on, ``depth`` times at most.  Nodes of
-more than ``leaf_block`` classes are compared block against block, in several tasks.
+more than ``leaf_block`` classes are compared block against block, in several tasks;
+classes that are already joined in a task are not compared again.
 
 A node returns a spanning forest of the pairs that may reach the threshold, so its
 output is linear in its size.  The forests' components are the groups within which
@@ -186,15 +187,25 @@ def _sketch_forest(tokens: np.ndarray, sizes: np.ndarray, threshold: float) -> l
     allow the threshold at all."""
     spread = 4 * (threshold * (1 - threshold) / TOKENS) ** 0.5
     least = int(np.floor((threshold - spread) * TOKENS))
-    forest = _Forest(len(tokens))
+    label = np.arange(len(tokens))
+    trees, edges = len(tokens), []
     for x in range(len(tokens) - 1):
-        close = sizes[x + 1 :] * threshold <= sizes[x] + 1e-9
+        if trees == 1:
+            break
+        # rows of the same tree need no comparison, so copies cost one pass
+        close = label[x + 1 :] != label[x]
+        close &= sizes[x + 1 :] * threshold <= sizes[x] + 1e-9
         close &= sizes[x] * threshold <= sizes[x + 1 :] + 1e-9
         others = np.flatnonzero(close) + x + 1
+        if not len(others):
+            continue
+        others = others[(tokens[others] == tokens[x]).sum(axis=1) >= least]
         if len(others):
-            agree = (tokens[others] == tokens[x]).sum(axis=1)
-            forest.join(x, others[agree >= least])
-    return forest.edges
+            joined, first = np.unique(label[others], return_index=True)
+            edges += [(x, y) for y in others[first].tolist()]
+            label[np.isin(label, joined)] = label[x]
+            trees -= len(joined)
+    return edges
 
 
 def _set_forest(sets: list[np.ndarray], percent: int) -> list:
@@ -449,7 +460,7 @@ def near_groups(
     trees: int = 20,
     leaf: int = 2048,
     depth: int = 6,
-    leaf_block: int = 1024,
+    leaf_block: int = 16384,
     block: int = 1024,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` and the row keys ``__k1, __k2``, per row."""
