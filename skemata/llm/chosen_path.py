@@ -34,6 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -525,8 +526,19 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *
         groups.filter("kept").groupBy(*keys).count().filter("count > 1").select(*keys),
         "near-repeated",
     )
-    rows = keyed(without(docs, keys), F.col(id_col).cast("long"), F.col(text))
-    left = rows.join(dropped, keys, "left_anti")
+    rows = keyed(without(docs, [*keys, "__maybe"]), F.col(id_col).cast("long"), F.col(text))
+    # only rows whose key may be among the dropped ones are shuffled with their texts
+    bits = min(MOST_BITS, max(16, dropped.count().bit_length() + 5))
+    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(dropped.select("__k1"), bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(shared.value, key.to_numpy(dtype=np.int64).view(np.uint64)))
+
+    flagged = rows.withColumn("__maybe", maybe("__k1"))
+    left = flagged.filter(~F.col("__maybe")).unionByName(
+        flagged.filter("__maybe").join(dropped, keys, "left_anti")
+    ).drop("__maybe")
     if not repeated.isEmpty():
         left = left.join(repeated, keys, "left_anti").unionByName(
             left.join(repeated, keys, "left_semi").dropDuplicates(keys)
