@@ -16,8 +16,9 @@ array per document.
 Defined cases: null or empty texts, of items or documents, match nothing; an item
 or document with fewer words than a shingle has its whole sequence as its one
 shingle; equal rows give one row; items with equal shingle sets are searched once
-and reported under their smallest id, with their number (``item_classes`` lists
-the members); empty tables give an empty result; extra columns are ignored.
+and reported under their smallest id (null if all are null), with their number and all
+their ids; ids of items and documents are whole numbers; empty tables give an empty
+result; extra columns, also such as are named like an output, are ignored.
 """
 
 from __future__ import annotations
@@ -55,21 +56,26 @@ def shingle_sets(docs: DataFrame, text: str, width: int) -> DataFrame:
 
 
 def item_classes(items: DataFrame, item_id: str, text: str, width: int) -> DataFrame:
-    """(item_id, copies, members, shingles): items with equal shingle sets as one."""
+    """(item, item_id, copies, members, shingles): items with equal shingle sets as one,
+    named ``item`` by a hash of the set."""
     rows = shingle_sets(
         keyed(items.select(F.col(item_id).cast("long").alias("id"), F.col(text)), F.col(text)),
         text,
         width,
     ).filter(F.size("shingles") > 0)
-    return rows.groupBy("shingles").agg(
-        F.min("id").alias("item_id"),
-        F.count(F.lit(1)).alias("copies"),
-        F.sort_array(F.collect_set("id")).alias("members"),
+    return (
+        rows.groupBy("shingles")
+        .agg(
+            F.min("id").alias("item_id"),
+            F.count(F.lit(1)).alias("copies"),
+            F.sort_array(F.collect_set("id")).alias("members"),
+        )
+        .withColumn("item", F.xxhash64("shingles"))
     )
 
 
 def signatures(classes: DataFrame, threshold: float) -> DataFrame:
-    """(shingle, item_id, size_class): the minwise shingles of each item.
+    """(shingle, item, size_class): the minwise shingles of each item.
 
     Size classes double: items of 2^c to 2^(c+1) - 1 shingles are class c.
     """
@@ -95,11 +101,11 @@ def signatures(classes: DataFrame, threshold: float) -> DataFrame:
                     pa.array(ids, pa.int64()),
                     pa.array(classes_out, pa.int32()),
                 ],
-                names=["shingle", "item_id", "size_class"],
+                names=["shingle", "item", "size_class"],
             )
 
-    return classes.select("item_id", "shingles").mapInArrow(
-        rows, "shingle long, item_id long, size_class int"
+    return classes.select("item", "shingles").mapInArrow(
+        rows, "shingle long, item long, size_class int"
     )
 
 
@@ -140,8 +146,8 @@ def contaminated(
     bitmap_bits: int = BITMAP_BITS,
 ) -> DataFrame:
     """One row per document and item class with containment of ``threshold`` or more:
-    ``doc_id, item_id, item_copies, item_shingles, found, containment`` and the
-    document's row key ``__k1, __k2``."""
+    ``doc_id, item_id, item_copies, item_shingles, found, containment``, the class's
+    ``members`` and the document's row key ``__k1, __k2``."""
     slim = keyed(
         docs.select(F.col(id_col).cast("long").alias("id"), F.col(text)),
         F.col("id"),
@@ -150,9 +156,6 @@ def contaminated(
     classes = written(item_classes(items, item_id, item_text, width), "bench-items")
     shingles = classes.select(
         F.explode("shingles").alias("shingle"),
-        "item_id",
-        "copies",
-        F.size("shingles").alias("item_shingles"),
     )
     hits = written(
         document_hits(slim, text, width, key_bitmap(shingles.select("shingle"), bitmap_bits)), "bench-hits"
@@ -160,12 +163,12 @@ def contaminated(
     probes = hits.select("k1", "k2", F.explode("hits").alias("shingle"))
     candidates = (
         probes.join(signatures(classes, threshold), "shingle")
-        .groupBy("k1", "k2", "item_id")
+        .groupBy("k1", "k2", "item")
         .agg(F.count(F.lit(1)).alias("signature_hits"))
     )
     # candidates meet their item's whole set and their document's hits in the row
     verified = (
-        candidates.join(classes.select("item_id", "copies", "shingles"), "item_id")
+        candidates.join(classes.select("item", "item_id", "copies", "members", "shingles"), "item")
         .join(hits, ["k1", "k2"])
         .withColumn("found", F.size(F.array_intersect("shingles", "hits")))
         .withColumn("item_shingles", F.size("shingles"))
@@ -178,6 +181,7 @@ def contaminated(
         F.col("item_shingles").cast("long"),
         F.col("found").cast("long"),
         (F.col("found") / F.col("item_shingles")).alias("containment"),
+        "members",
         F.col("k1").alias("__k1"),
         F.col("k2").alias("__k2"),
     )
@@ -189,6 +193,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame
     found = written(
         contaminated(docs, items, **options).select("__k1", "__k2").distinct(), "leaks"
     )
-    columns = docs.columns
-    rows = keyed(docs, F.col(id_col).cast("long"), F.col(text))
-    return rows.join(found, ["__k1", "__k2"], "left_anti").select(*[rows[f"`{c}`"] for c in columns])
+    # other columns go by numbers meanwhile: they may be named like a key
+    names = [c if c in (id_col, text) else f"other{i}" for i, c in enumerate(docs.columns)]
+    rows = keyed(docs.toDF(*names), F.col(id_col).cast("long"), F.col(text))
+    left = rows.join(found, ["__k1", "__k2"], "left_anti").select(*names)
+    return left.toDF(*docs.columns)

@@ -113,7 +113,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain at least 0.8 of a test item's five-word shingles."""
     found = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", "item_copies", "item_shingles", "found", "containment")
+    return found.select(
+        "doc_id", "item_id", "item_copies", "item_shingles", "found", "containment",
+        F.array_join("members", ",").alias("members"),
+    )
 
 
 @query(sql.OP10)

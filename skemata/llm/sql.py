@@ -56,16 +56,17 @@ def shingled(table: str, key: str) -> str:
 OP9 = f"""
 WITH i AS ({shingled("benchmark", "item_id")}),
 classes AS (
-    SELECT min(item_id) AS item_id, count(*) AS item_copies, any_value(n) AS item_shingles
+    SELECT min(item_id) AS item_id, count(*) AS item_copies, any_value(n) AS item_shingles,
+           string_agg(item_id, ',' ORDER BY item_id) AS members
     FROM (SELECT item_id, count(*) AS n, list_sort(list(s)) AS ss FROM i GROUP BY item_id)
     GROUP BY ss
 ), wanted AS (
     SELECT c.*, i.s FROM classes c JOIN i USING (item_id)
 ), d AS ({shingled("documents", "doc_id")})
 SELECT doc_id, item_id, item_copies, item_shingles, count(*) AS found,
-       count(*) / item_shingles AS containment
+       count(*) / item_shingles AS containment, members
 FROM d JOIN wanted USING (s)
-GROUP BY doc_id, item_id, item_copies, item_shingles
+GROUP BY doc_id, item_id, item_copies, item_shingles, members
 HAVING count(*) * 5 >= item_shingles * 4
 """
 

@@ -264,3 +264,14 @@ def test_query_digests(spark, sf):
         n, gone, text = plain[str(x.doc_id)]
         assert (x.n_lines, x.n_dropped) == (n, gone)
         assert x.kept_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_items_without_an_id_are_found(spark):
+    from skemata.llm import decontam
+
+    passage = prose(5, 30)
+    docs = frame(spark, [(1, "x " + passage + " y", "en", "s", 1), (2, prose(6, 30), "en", "s", 1)])
+    items = spark.createDataFrame([(None, passage), (None, passage), (7, prose(6, 30)), (8, prose(6, 30))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.item_copies, tuple(r.members)) for r in decontam.contaminated(docs, items).collect()}
+    assert got == {(1, None, 2, ()), (2, 7, 2, (7, 8))}
+    assert decontam.drop_contaminated(docs, items).count() == 0
