@@ -6,6 +6,8 @@ predecessor kept.  Stages return the columns of ``documents``, the last one toke
 
 from __future__ import annotations
 
+import functools
+
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,40 +26,68 @@ def ready(spark: SparkSession) -> SparkSession:
     return tune(configure(spark))
 
 
+# The columns that stages work with; all others pass through under other names.
+USED = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def whole_rows(stage):
+    """A stage for documents with any other columns, whatever their names: they are
+    numbered while the stage works, and come back as they were.  Nulls in them stay."""
+
+    @functools.wraps(stage)
+    def shielded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        plain = docs.toDF(*[c if c in USED else f"passed{i}" for i, c in enumerate(names)])
+        return stage(spark, plain, sf_dir).toDF(*names)
+
+    return shielded
+
+
+@whole_rows
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops toxic documents, by the threshold of their language."""
+    """Drops toxic documents, by the threshold of their language (0.3 where it is null or
+    too few of its documents are labelled); null and empty texts are scored like others,
+    equal rows alike."""
     ready(spark)
     return drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
+@whole_rows
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that ten documents or more hold; ``n_chars`` follows the text."""
+    """Drops lines that ten documents or more hold; ``n_chars``, where there is one, follows
+    the text.  No row goes: a text that loses all its lines is empty, a null text stays
+    null, and equal rows count as documents of their own."""
     ready(spark)
     columns = docs.columns
     kept = dedup_lines(docs)
     changed = F.col("n_dropped") > 0
-    return (
-        kept.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
-        .withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-        .drop(*OUTPUTS)
-        .select(*columns)
-    )
+    kept = kept.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
+    if "n_chars" in columns:
+        length = F.length("text").cast("long")
+        kept = kept.withColumn("n_chars", F.when(changed, length).otherwise(F.col("n_chars")))
+    return kept.drop(*OUTPUTS).select(*columns)
 
 
+@whole_rows
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group with a similarity of 0.8 or more."""
+    """Keeps one document of each group with a similarity of 0.8 or more, that with the
+    smallest id; texts without words are no copies of each other, of rows equal in id and
+    text one stays."""
     ready(spark)
     return keep_one_each(docs, percent=80)
 
 
+@whole_rows
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain 0.8 or more of a test item."""
+    """Drops documents that contain 0.8 or more of a test item's shingles; texts without
+    words contain none."""
     ready(spark)
     return drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, and whether they decode to the text again."""
+    """Token ids, and whether they decode to the text again; a null text has no ids and
+    is exact.  Returns ids, not the columns of documents."""
     ready(spark)
     vocab = tokenizer_path("byte_bpe_50k.json")
     slim = docs.select("doc_id", "lang", "source", "text")
