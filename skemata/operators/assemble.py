@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skemata.functions.names import describe_relationship, phrase, phrase_words, singular
 from skemata.functions.text import compact, strip
-from skemata.scale import PART_ROWS, joined_lines, part_of, skew_join
+from skemata.scale import skew_join, whole_text
 from skemata.schemas import Catalog
 
 TABLE_KEY = ["database_id", "table_name"]
@@ -151,17 +151,23 @@ def name_relationships(relationships: DataFrame, entity_relationships: DataFrame
 # -------------------------------------------------------------------- sections
 
 
-def business_processes(tables: DataFrame, rows: int = PART_ROWS) -> DataFrame:
-    """Tables of each domain in table order, in parts of bounded length.
+DOMAIN_KEY = ["database_id", "domain"]
+
+
+def business_processes(tables: DataFrame) -> DataFrame:
+    """The tables of each domain, one row per table.
 
     ``first_seen`` keeps the order in which domains appear.
     """
-    inside = tables.filter(F.col("domain").isNotNull())
-    parts = inside.groupBy("database_id", "domain", part_of("table_ordinal", rows).alias("part_no")).agg(
-        joined_lines(["table_ordinal"], F.col("table_name"), ", ").alias("tables"),
-        F.min("table_ordinal").alias("first_seen"),
-    )
-    return parts
+    inside = tables.filter(F.col("domain").isNotNull()).select(*DOMAIN_KEY, "table_ordinal", "table_name")
+    seen = inside.groupBy(*DOMAIN_KEY).agg(F.min("table_ordinal").alias("first_seen"))
+    return skew_join(inside, seen, DOMAIN_KEY, "inner", ["table_ordinal"])
+
+
+def process_texts(processes: DataFrame) -> DataFrame:
+    """One text per domain of ``business_processes``, as a document and a prompt hold it."""
+    texts = whole_text(processes, [*DOMAIN_KEY, "first_seen"], "table_ordinal", F.col("table_name"), ", ")
+    return texts.select(*DOMAIN_KEY, F.col("first_seen").alias("ordinal"), F.col("text").alias("tables"))
 
 
 def pattern_section(patterns: DataFrame, *more: str) -> DataFrame:
@@ -224,46 +230,47 @@ def metadata_section(databases: DataFrame, counts: DataFrame, scores: DataFrame)
     )
 
 
-def assemble_documents(
-    metadata: DataFrame, sections: Mapping[str, DataFrame], rows: int = PART_ROWS
-) -> DataFrame:
-    """Nested documents in parts of at most ``rows`` items per section.
+def document_items(metadata: DataFrame, sections: Mapping[str, DataFrame]) -> DataFrame:
+    """Enriched documents as rows at any size: one per item of a section, and one for the
+    metadata.
 
-    ``sections`` maps a section name to rows made by ``section``.
-    A database of usual size is one document, part 0.  A database that holds a
-    large share of all rows becomes many parts, so no task gathers it whole.
-    Metadata is in part 0.
+    ``sections`` maps a section name to rows made by ``section``.  A row has the place of
+    its item (``section, lead, ordinal``) and the item in the column of its section.
     """
-    names = list(sections)
-    grouped = []
+    zero = F.lit(0).cast("bigint")
+    rows = metadata.select(
+        "database_id", F.lit("metadata").alias("section"), zero.alias("lead"), zero.alias("ordinal"), "metadata"
+    )
     for name, df in sections.items():
-        grouped.append(
-            df.groupBy("database_id", part_of("ordinal", rows).alias("part_no"))
-            .agg(
-                F.transform(
-                    F.array_sort(
-                        F.collect_list(F.struct("lead", F.struct("ordinal", "item.*").alias("row")))
-                    ),
-                    lambda r: r["row"],
-                ).alias(name)
-            )
+        item = F.struct("ordinal", "item.*").alias(name)
+        rows = rows.unionByName(
+            df.select("database_id", F.lit(name).alias("section"), "lead", "ordinal", item),
+            allowMissingColumns=True,
         )
-    parts = metadata.select("database_id", F.lit(0).cast("bigint").alias("part_no"), "metadata")
-    for df in grouped:
-        parts = parts.join(df, ["database_id", "part_no"], "full")
-    return parts.select(
-        "database_id",
-        "part_no",
-        "metadata",
-        *[F.coalesce(n, F.array().cast(parts.schema[n].dataType)).alias(n) for n in names],
+    return rows
+
+
+def assemble_documents(items: DataFrame) -> DataFrame:
+    """One nested document per database from ``document_items``, by one grouping.
+
+    A document is one value, so this is for databases whose catalog fits a row; items
+    serve those of any size.
+    """
+    names = items.columns[5:]
+
+    def listed(name: str) -> Column:
+        mine = F.when(F.col("section") == name, F.struct("lead", F.col(name).alias("row")))
+        return F.transform(F.array_sort(F.collect_list(mine)), lambda r: r["row"]).alias(name)
+
+    return items.groupBy("database_id").agg(
+        F.first("metadata", ignorenulls=True).alias("metadata"), *[listed(n) for n in names]
     )
 
 
 def section(df: DataFrame, ordinal: str, *fields: str, lead: str | None = None) -> DataFrame:
-    """Shape a relation for ``assemble_documents``.
+    """Shape a relation for ``document_items``.
 
-    ``ordinal`` places an item, and picks its part; ``lead`` comes before it in
-    the order inside a part.
+    ``ordinal`` places an item; ``lead`` comes before it in the order.
     """
     return df.select(
         "database_id",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skemata.functions.text import filled
-from skemata.scale import joined_lines, part_of, whole_text
+from skemata.scale import joined_lines, whole_text
 
 TABLE_KEY = ["database_id", "table_name"]
 
@@ -44,10 +44,11 @@ def schema_context(
     use_cases: DataFrame,
     sample_queries: DataFrame,
 ) -> DataFrame:
-    """Context text by section and part, in that order; empty sections have no row.
+    """Context text, one row per item in the order of section and line; empty sections have
+    no row, the head of a section is line -1.
 
-    Sections are separated by an empty line, parts by a line end.  A database
-    of usual size has one part per section.
+    Sections are separated by an empty line, items by a line end.  ``processes``: the
+    texts of ``assemble.process_texts``.
     """
     key = F.when(F.col("is_primary_key"), F.lit("  PK")).otherwise(F.lit(""))
     semantic = F.when(_text("semantic_type") != "", _t("  [", F.col("semantic_type"), "]")).otherwise(F.lit(""))
@@ -64,29 +65,30 @@ def schema_context(
     ends = [_t(F.col(f"{s}_table"), ".", F.col(f"{s}_column")) for s in ("from", "to")]
     sections = [
         (tables.join(listed, TABLE_KEY, "left"), "table_ordinal", "", block),
-        (relationships, "rel_ordinal", "### Foreign Key Relationships\n", _t("  ", ends[0], "  ->  ", ends[1])),
+        (relationships, "rel_ordinal", "### Foreign Key Relationships", _t("  ", ends[0], "  ->  ", ends[1])),
         (
-            entity_relationships, "ordinal", "### Entity Relationships\n",
+            entity_relationships, "ordinal", "### Entity Relationships",
             _t("  ", _text("entity"), "  ->  ", _text("related_entities"), _given("  :  ", "business_meaning")),
         ),
-        (processes, "ordinal", "### Business Processes\n", _t("  ", _text("domain"), ":  ", _text("tables"))),
+        (processes, "ordinal", "### Business Processes", _t("  ", _text("domain"), ":  ", _text("tables"))),
         (
-            use_cases, "ordinal", "### Use Cases\n",
+            use_cases, "ordinal", "### Use Cases",
             _t("  ", _text("name"), ":  ", _text("description"), "\n    Tables: ", _text("involved_tables")),
         ),
         (
-            sample_queries, "ordinal", "### Sample Queries\n",
+            sample_queries, "ordinal", "### Sample Queries",
             _t("  Question: ", _text("question"), "\n  SQL: ", _text("sql")),
         ),
     ]
     out = None
     for number, (df, ordinal, head, line) in enumerate(sections, 1):
-        first = F.when(F.col("part_no") == 0, F.lit(head)).otherwise(F.lit(""))
-        rows = (
-            df.groupBy("database_id", part_of(ordinal).alias("part_no"))
-            .agg(joined_lines([ordinal], line, "\n").alias("text"))
-            .select("database_id", F.lit(number).alias("section_no"), "part_no", _t(first, F.col("text")).alias("text"))
-        )
+        place = ["database_id", F.lit(number).alias("section_no")]
+        rows = df.select(*place, F.col(ordinal).cast("bigint").alias("line_no"), line.alias("text"))
+        if head:
+            heads = df.select("database_id").distinct()
+            rows = rows.unionAll(
+                heads.select(*place, F.lit(-1).cast("bigint").alias("line_no"), F.lit(head).alias("text"))
+            )
         out = rows if out is None else out.unionAll(rows)
     return out
 
@@ -231,8 +233,3 @@ def category_runs(connections: DataFrame, results: DataFrame) -> DataFrame:
     return wanted.join(sizes, ["connection_id", "category"], "left").select(
         "connection_id", "category", "domain", *[F.coalesce(s, F.lit(0)).alias(s) for s in SECTIONS]
     )
-
-
-def business_process_rows(parts: DataFrame) -> DataFrame:
-    """Processes with an order: by the first table of the domain."""
-    return parts.select("database_id", F.col("first_seen").alias("ordinal"), "domain", "tables")

@@ -163,7 +163,7 @@ def schema_patterns(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def table_listing(spark: SparkSession, sf: str) -> DataFrame:
-    """Listing text of every database."""
+    """Listing of every database, line by line."""
     cat = T.catalog(spark, sf)
     return labels.table_listing(cat.databases, cat.tables, cat.columns)
 
@@ -309,7 +309,7 @@ def relationship_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def business_processes(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables of each domain."""
+    """Tables of each domain, one row each."""
     return assemble.business_processes(enriched(spark, sf)[0])
 
 
@@ -340,9 +340,9 @@ def score_display(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def documents(spark: SparkSession, sf: str, rows: int | None = None) -> DataFrame:
+def documents(spark: SparkSession, sf: str) -> DataFrame:
     """The enriched documents of all tenants, from their raw documents."""
-    return enrich.enrich_raw(T.raw_documents(spark, sf), T.labels(spark, sf), rows)
+    return enrich.enrich_raw(T.raw_documents(spark, sf), T.labels(spark, sf))
 
 
 def _digest(section: str, *fields) -> Column:
@@ -370,7 +370,6 @@ def assembled_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     return docs.select(
         "database_id",
-        "part_no",
         F.col("metadata.database_name").alias("database_name"),
         F.col("metadata.columns_count").alias("columns_count"),
         _digest("tables", "table_name", "description", "business_role", "domain", _column_list).alias("tables"),

@@ -322,14 +322,25 @@ def ask_kpis(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------ P: streams
 
 
+# Events of one arriving file at most, where their ids are spread evenly.
+EVENTS_PER_FILE = 1_000_000
+
+
 def _arriving(spark: SparkSession, sf: str, files: int = 10) -> DataFrame:
-    """The events as a stream: files that arrive one after the other, one per batch."""
+    """The events as a stream: files that arrive one after the other, one per batch, in
+    the order of their ids; events without an id come first.
+
+    The table is read once and dealt into slices; each slice is then one file."""
     events = read(spark, sf, "events")
-    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
-    part = F.floor((F.col("event_id") - low) * files / (high - low + 1))
-    folder = work_folder(spark, "events")
+    low, high, n = events.agg(F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first()
+    files = max(files, -(-n // EVENTS_PER_FILE))
+    part = F.floor((F.col("event_id") - F.lit(low)) * files / F.lit((high or 0) - (low or 0) + 1))
+    staged, folder = work_folder(spark, "slices"), work_folder(spark, "events")
+    sliced = events.withColumn("slice", F.coalesce(part.cast("int"), F.lit(0)))
+    sliced.repartition("slice").write.partitionBy("slice").parquet(staged)
+    slices = spark.read.schema(sliced.schema).parquet(staged)
     for i in range(files):
-        events.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
+        slices.filter(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 

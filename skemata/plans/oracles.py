@@ -111,20 +111,19 @@ TABLE_LINES = (
     " ON l.database_id = tabs.database_id AND l.t = tabs.t)"
 )
 SQL["table_listing"] = with_parts("tabs", "cols") + f", {TABLE_LINES} " + (
-    "SELECT dbs.database_id, CAST(0 AS BIGINT) AS part_no, coalesce(x.text, '(no tables)') AS text"
-    " FROM dbs LEFT JOIN (SELECT database_id, string_agg(line, chr(10) ORDER BY table_ordinal) AS text"
-    " FROM tlines GROUP BY ALL) x USING (database_id)"
+    "SELECT dbs.database_id, coalesce(table_ordinal, 0) AS line_no, coalesce(line, '(no tables)') AS line"
+    " FROM dbs LEFT JOIN tlines USING (database_id)"
 )
 SQL["column_batches"] = with_parts("tabs", "cols") + f", {TABLE_LINES} " + (
     "SELECT database_id, table_ordinal // 10 AS batch_no, count(*) AS tables_count,"
     " string_agg(line, chr(10) ORDER BY table_ordinal) AS text FROM tlines GROUP BY ALL"
 )
 SQL["relationship_listing"] = with_parts("rels") + (
-    "SELECT dbs.database_id, CAST(0 AS BIGINT) AS part_no, coalesce(x.text, '(no relationships)') AS text,"
+    "SELECT dbs.database_id, coalesce(x.rel_ordinal, 0) AS line_no, coalesce(x.line, '(no relationships)') AS line,"
     " 'Database: ' || name || ' | ' || coalesce(nullif(vendor, ''), '(unknown)') ||"
     " coalesce(' | Version: ' || version, '') AS context"
-    " FROM dbs LEFT JOIN (SELECT database_id, string_agg('  - ' || from_table || '.' || from_column"
-    " || ' → ' || to_table || '.' || to_column, chr(10) ORDER BY f) AS text FROM rels GROUP BY ALL) x"
+    " FROM dbs LEFT JOIN (SELECT database_id, rel_ordinal, '  - ' || from_table || '.' || from_column"
+    " || ' → ' || to_table || '.' || to_column AS line FROM rels) x"
     " USING (database_id)"
 )
 SQL["answer_json"] = with_parts("dbs") + (
@@ -249,8 +248,8 @@ SQL["relationship_names"] = with_parts("rels", "pairs") + f", {NAMED} " + (
     " to_column AS parent_column FROM named"
 )
 SQL["business_processes"] = with_parts("etabs") + (
-    "SELECT database_id, domain, CAST(0 AS BIGINT) AS part_no, string_agg(table_name, ', ' ORDER BY table_ordinal) AS tables,"
-    " min(table_ordinal) AS first_seen FROM etabs WHERE domain IS NOT NULL GROUP BY ALL"
+    "SELECT database_id, domain, table_ordinal, table_name, min(table_ordinal) OVER (PARTITION BY database_id, domain) AS first_seen"
+    " FROM etabs WHERE domain IS NOT NULL"
 )
 
 # ---------------------------------------------------------------- F: validation
@@ -475,7 +474,7 @@ SQL["assembled_documents"] = (
     " wt AS (SELECT etabs.*, coalesce(list, '') AS list FROM etabs LEFT JOIN tcols USING (database_id, t)),"
     " vl AS (SELECT view_name, string_agg(column_name || ':' || data_type || ':' || is_nullable, ',' ORDER BY position) AS list FROM vcols GROUP BY ALL),"
     " wv AS (SELECT vws.*, coalesce(list, '') AS list FROM vws LEFT JOIN vl USING (view_name))"
-    " SELECT dbs.database_id, CAST(0 AS BIGINT) AS part_no, dbs.name AS database_name, columns_count, "
+    " SELECT dbs.database_id, dbs.name AS database_name, columns_count, "
     + section_md5("wt", "table_ordinal", "table_name", "description", "business_role", "domain", "list") + " AS tables, "
     + section_md5("wv", "view_ordinal", "view_name", "definition", "list") + " AS views, "
     + section_md5("rels", "rel_ordinal", *ENDS) + " AS relationships, "
@@ -839,12 +838,17 @@ SQL["schema_context"] = with_parts("etabs", "ecols", "rels", "pairs", "cases", "
 blk AS (SELECT q.database_id, table_ordinal, 'Table: ' || table_name || {given(f"{NL} || '  Description: '", 'description')} || {given(f"{NL} || '  Role: '", 'business_role')}
    || {given(f"{NL} || '  Domain: '", 'domain')} || coalesce({NL} || l, '') || {NL} AS b FROM etabs q LEFT JOIN lst ON lst.database_id = q.database_id AND lst.t = q.t),
 bp AS (SELECT database_id, domain, string_agg(table_name, ', ' ORDER BY table_ordinal) AS ts, min(table_ordinal) AS o FROM etabs WHERE domain IS NOT NULL GROUP BY 1, 2)
-SELECT database_id, 1 AS section_no, CAST(0 AS BIGINT) AS part_no, string_agg(b, {NL} ORDER BY table_ordinal) AS text FROM blk GROUP BY 1 UNION ALL
-SELECT database_id, 2, 0, '### Foreign Key Relationships' || {NL} || string_agg('  ' || from_table || '.' || from_column || '  ->  ' || to_table || '.' || to_column, {NL} ORDER BY f) FROM rels GROUP BY 1 UNION ALL
-SELECT database_id, 3, 0, '### Entity Relationships' || {NL} || string_agg('  ' || entity || '  ->  ' || related_entities || {given("'  :  '", 'business_meaning')}, {NL} ORDER BY ordinal) FROM pairs GROUP BY 1 UNION ALL
-SELECT database_id, 4, 0, '### Business Processes' || {NL} || string_agg('  ' || domain || ':  ' || ts, {NL} ORDER BY o) FROM bp GROUP BY 1 UNION ALL
-SELECT database_id, 5, 0, '### Use Cases' || {NL} || string_agg('  ' || name || ':  ' || description || {NL} || '    Tables: ' || involved_tables, {NL} ORDER BY ordinal) FROM cases GROUP BY 1 UNION ALL
-SELECT database_id, 6, 0, '### Sample Queries' || {NL} || string_agg('  Question: ' || question || {NL} || '  SQL: ' || sql, {NL} ORDER BY ordinal) FROM samples GROUP BY 1
+SELECT database_id, 1 AS section_no, table_ordinal AS line_no, b AS text FROM blk UNION ALL
+SELECT database_id, 2, rel_ordinal, '  ' || from_table || '.' || from_column || '  ->  ' || to_table || '.' || to_column FROM rels UNION ALL
+SELECT database_id, 3, ordinal, '  ' || entity || '  ->  ' || related_entities || {given("'  :  '", 'business_meaning')} FROM pairs UNION ALL
+SELECT database_id, 4, o, '  ' || domain || ':  ' || ts FROM bp UNION ALL
+SELECT database_id, 5, ordinal, '  ' || name || ':  ' || description || {NL} || '    Tables: ' || involved_tables FROM cases UNION ALL
+SELECT database_id, 6, ordinal, '  Question: ' || question || {NL} || '  SQL: ' || sql FROM samples UNION ALL
+SELECT DISTINCT database_id, 2, -1, '### Foreign Key Relationships' FROM rels UNION ALL
+SELECT DISTINCT database_id, 3, -1, '### Entity Relationships' FROM pairs UNION ALL
+SELECT DISTINCT database_id, 4, -1, '### Business Processes' FROM bp UNION ALL
+SELECT DISTINCT database_id, 5, -1, '### Use Cases' FROM cases UNION ALL
+SELECT DISTINCT database_id, 6, -1, '### Sample Queries' FROM samples
 """
 SQL["domain_scope"] = with_parts("etabs", "pairs") + """
 , dt AS (SELECT database_id, lower(domain) AS low, string_agg(table_name, ', ' ORDER BY table_ordinal) AS ts FROM etabs WHERE domain IS NOT NULL GROUP BY 1, 2),
@@ -1053,10 +1057,17 @@ SQL["document_scan"] = with_parts("dbs", "cols") + (
     "SELECT dbs.name, dbs.version, n_columns, n_keys FROM dbs LEFT JOIN (SELECT database_id, count(*) AS n_columns,"
     " count(*) FILTER (is_primary_key) AS n_keys FROM cols GROUP BY 1) USING (database_id)"
 )
-SQL["enriched_roundtrip"] = with_parts("cols", "rels", "vws") + (
-    "SELECT database_id, has_tables AS many_parts, (SELECT count(*) FROM cols x WHERE x.database_id = dbs.database_id) AS n_columns,"
-    " (SELECT count(*) FROM vws x WHERE x.database_id = dbs.database_id) AS n_views,"
-    " (SELECT count(*) FROM rels x WHERE x.database_id = dbs.database_id) AS n_relationships FROM dbs"
+def n_of(rows: str, what: str = "count(*)") -> str:
+    return f"(SELECT CAST({what} AS BIGINT) FROM {rows} x WHERE x.database_id = dbs.database_id)"
+
+
+SQL["enriched_roundtrip"] = with_parts("tabs", "cols", "rels", "etabs", "ecols", "vws", "ents", "pairs", "cases", "samples") + f", {ISSUES}" + (
+    " SELECT database_id, " + ", ".join(
+        f"{n_of(rows)} AS {name}" for name, rows in (
+            ("n_tables", "etabs"), ("n_columns", "ecols"), ("n_nested_columns", "ecols"), ("n_views", "vws"),
+            ("n_relationships", "rels"), ("n_pairs", "pairs"), ("n_use_cases", "cases"), ("n_issues", "issues"),
+        )
+    ) + f", {n_of('etabs', 'sum(table_ordinal)')} AS table_places FROM dbs"
 )
 SQL["rule_table_classify"] = SQL["rule_classify_columns"]
 

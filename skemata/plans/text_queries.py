@@ -204,12 +204,12 @@ def final_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def schema_context(spark: SparkSession, sf: str) -> DataFrame:
-    """L1: context text of every database, by section."""
+    """L1: context text of every database, by section and line."""
     tables, columns = enriched(spark, sf)
     lab = T.labels(spark, sf)
     return insights.schema_context(
         tables, columns, T.catalog(spark, sf).relationships, lab.entity_relationships,
-        insights.business_process_rows(assemble.business_processes(tables)),
+        assemble.process_texts(assemble.business_processes(tables)),
         lab.use_cases, lab.sample_queries,
     )
 

@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from skemata.session import cut_lineage
 
-# Rows put into one text part or one document part.
-PART_ROWS = 2000
+# Lines strung together in the first of two steps of a long text.
+LINES_PER_STEP = 2000
 
 
 def skew_join(
@@ -46,7 +46,7 @@ def skew_join(
     return salted.join(repeated, [*on, "__salt"], how).drop("__salt")
 
 
-def part_of(ordinal: str | Column, rows: int = PART_ROWS) -> Column:
+def part_of(ordinal: str | Column, rows: int = LINES_PER_STEP) -> Column:
     ordinal = F.col(ordinal) if isinstance(ordinal, str) else ordinal
     return F.floor(ordinal / F.lit(rows)).cast("bigint")
 
@@ -65,7 +65,7 @@ def text_parts(
     ordinal: str,
     line: Column,
     sep: str = "\n",
-    rows: int = PART_ROWS,
+    rows: int = LINES_PER_STEP,
 ) -> DataFrame:
     """One text per ``rows`` lines of a key; small groups give one part 0."""
     return df.groupBy(*keys, part_of(ordinal, rows).alias("part_no")).agg(
@@ -79,7 +79,7 @@ def whole_text(
     ordinal: str,
     line: Column,
     sep: str = "\n",
-    rows: int = PART_ROWS,
+    rows: int = LINES_PER_STEP,
 ) -> DataFrame:
     """One text per key where the result must be whole (it gets hashed).
 

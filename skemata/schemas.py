@@ -24,9 +24,9 @@ RAW_DOCUMENT = """
     columns: array<struct<column_name: string, data_type: string, nullable: variant>>>>
 """
 
-# One enriched catalog document, or one part of it.
+# One enriched catalog document.
 ENRICHED_DOCUMENT = """
-  database_id bigint, part_no bigint,
+  database_id bigint,
   metadata struct<source: string, database_type: string, database_name: string,
     database_version: string, tables_count: bigint, columns_count: bigint,
     views_count: bigint, relationships_count: bigint,

@@ -1,9 +1,10 @@
 """Hot keys, long groups and lost lineage."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from skemata.operators import search
+from skemata.operators import search, vector_index
 from skemata.plans.graph_queries import ann_recall
 from skemata.scale import number_rows, skew_join, text_parts, top_rows, whole_text
 from skemata.streaming import flows
@@ -150,3 +151,29 @@ def test_map_only_queries_shuffle_nothing(spark, sf):
     for name in ("hash_embeddings", "text_identifiers", "sql_table_refs"):
         plan = load()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan, name
+
+
+def clustered(spark, n=6000, centres=60, spread=0.25, seed=5):
+    r = np.random.default_rng(seed)
+    middle = r.standard_normal((centres, 32)) if centres else np.zeros((1, 32))
+    rows = middle[r.integers(0, len(middle), n)] + spread * r.standard_normal((n, 32))
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "object_key long, embedding array<double>")
+
+
+@pytest.mark.parametrize("centres, most", [(60, 0.2), (0, 1.0)])
+def test_trained_index_finds_its_share_and_scores_few(spark, tmp_path, centres, most):
+    vectors = clustered(spark, centres=centres, spread=0.25 if centres else 1.0).repartition(4)
+    asked = vectors.filter("object_key % 40 = 3").withColumnRenamed("object_key", "question_id")
+    index = vector_index.build_index(vectors, str(tmp_path / "index"))
+    assert index.sizes.sum() == 6000
+    exact = search.nearest(asked, vectors, 10)
+    near = vector_index.search_index(index, asked, vectors, 10)
+    assert search.recall(exact, near, "question_id", "object_key").first().recall >= 0.9
+    share = vector_index.scored_share(index, asked)
+    print("scored", share, "cells visited", index.probes, "of", len(index.centroids))
+    assert share <= most
+    # with every cell visited and every vector a candidate, the exact search
+    few = asked.limit(5)
+    all_ = vector_index.search_index(index, few, vectors, 10, probes=len(index.centroids), candidates=6000)
+    same = lambda df: sorted((r.question_id, r["rank"], r.object_key) for r in df.collect())
+    assert same(all_) == same(search.nearest(few, vectors, 10))
