@@ -238,6 +238,117 @@ def join_paths(
     )
 
 
+def _rings(roots: DataFrame, hop: DataFrame, most: int) -> DataFrame:
+    """``database_id, root, node, steps``: what lies within ``most`` hops of each root."""
+    near = ring = roots.select("database_id", "root", F.col("root").alias("node"), F.lit(0).alias("steps"))
+    for h in range(1, most + 1):
+        ring = (
+            ring.join(hop, ["database_id", "node"])
+            .select("database_id", "root", F.col("next").alias("node"))
+            .distinct()
+            .withColumn("steps", F.lit(h))
+        )
+        near = near.unionByName(ring)
+    return near.groupBy("database_id", "root", "node").agg(F.min("steps").alias("steps"))
+
+
+def _halves(roots: DataFrame, step: DataFrame, reach: DataFrame, hops: int, max_hops: int, ahead: bool) -> DataFrame:
+    """Simple paths of at most ``hops`` from each root, in both cases written from source to
+    target, that can still be part of a whole path: ``reach`` tells how far the other end is."""
+    front = roots.select(
+        "database_id", "root", F.col("root").alias("node"), F.array("root").alias("tables"),
+        F.array().cast(f"array<{STEP}>").alias("path"), F.lit(0).alias("hops"),
+    )
+    found = front
+    for h in range(1, hops + 1):
+        add = F.array_append if ahead else F.array_prepend
+        grown = (
+            skew_join(front, step, ["database_id", "node"], "inner", ["root", "tables"])
+            .filter(~F.array_contains(F.col("tables"), F.col("next")))
+            .select(
+                "database_id", "root", F.col("next").alias("node"), add("tables", F.col("next")).alias("tables"),
+                add("path", F.col("step")).alias("path"), F.lit(h).alias("hops"),
+            )
+        )
+        close = reach.filter(F.col("steps") <= max_hops - h).select("database_id", "root", "node")
+        front = cut_lineage(
+            skew_join(grown, close, ["database_id", "root", "node"], "left_semi", ["tables"])
+        )
+        found = found.unionByName(front)
+    return found
+
+
+def path_halves(pairs: DataFrame, adj: DataFrame, max_hops: int) -> tuple[DataFrame, DataFrame]:
+    """First halves of paths by source, second halves by target; the first is never the
+    shorter one, and at most one hop longer."""
+    sources = pairs.select("database_id", F.col("src").alias("root")).distinct()
+    targets = pairs.select("database_id", F.col("tgt").alias("root")).distinct()
+    ends = adj.select("database_id", "from_table", "to_table").distinct()
+    onward = ends.select("database_id", F.col("from_table").alias("node"), F.col("to_table").alias("next"))
+    back = ends.select("database_id", F.col("to_table").alias("node"), F.col("from_table").alias("next"))
+
+    def other_end(rings: DataFrame, mine: str, theirs: str) -> DataFrame:
+        """How far each node is from the nearest of the other ends that a root is paired with."""
+        both = pairs.select("database_id", F.col(mine).alias("own"), F.col(theirs).alias("root"))
+        return cut_lineage(
+            rings.join(both, ["database_id", "root"])
+            .groupBy("database_id", F.col("own").alias("root"), "node")
+            .agg(F.min("steps").alias("steps"))
+        )
+
+    steps = [
+        adj.select("database_id", F.col(a).alias("node"), F.col(b).alias("next"), F.struct(*ENDS).alias("step"))
+        for a, b in (("from_table", "to_table"), ("to_table", "from_table"))
+    ]
+    to_target = other_end(_rings(targets, back, max_hops - 1), "src", "tgt")
+    to_source = other_end(_rings(sources, onward, max_hops - 1), "tgt", "src")
+    first = _halves(sources, steps[0], to_target, -(-max_hops // 2), max_hops, True)
+    second = _halves(targets, steps[1], to_source, max_hops // 2, max_hops, False)
+    return first, second
+
+
+def join_paths_both_ends(edges: DataFrame, starts: DataFrame, max_hops: int = 6) -> DataFrame:
+    """The rows of ``join_paths``, grown from both ends.
+
+    A path of L hops is the one first half of ceil(L / 2) hops from its source and the one
+    second half from its target that meet at a table and share no other, so none is found
+    twice.  Halves are found once per source or target, not per pair; around a hub they
+    are far fewer than the prefixes of all paths through it.
+    """
+    keys = [c for c in starts.columns if c != "start_tables"]
+    asked = start_pairs(starts)
+    pairs = cut_lineage(asked.select("database_id", "src", "tgt").distinct())
+    adj = cut_lineage(adjacency(edges).filter(F.col("from_table") != F.col("to_table")))
+    apart = pairs.filter(F.col("src") != F.col("tgt"))
+    first, second = path_halves(apart, adj, max_hops)
+    begun = first.filter("hops > 0").select(
+        "database_id", F.col("root").alias("src"), "node", F.col("tables").alias("begin"),
+        F.col("path").alias("begin_path"), F.col("hops").alias("n"),
+        F.explode(F.array(F.col("hops") - 1, F.col("hops"))).alias("rest"),
+    ).filter(F.col("n") + F.col("rest") <= max_hops)
+    begun = skew_join(begun, apart, ["database_id", "src"], "inner", ["begin"])
+    ended = second.select(
+        "database_id", F.col("root").alias("tgt"), "node", F.col("tables").alias("end"),
+        F.col("path").alias("end_path"), F.col("hops").alias("rest"),
+    )
+    met = skew_join(begun, ended, ["database_id", "tgt", "node", "rest"], "inner", ["src", "begin"]).filter(
+        F.size(F.array_intersect("begin", "end")) == 1
+    )
+    paths = met.select(
+        "database_id", "src", "tgt",
+        F.concat("begin", F.slice("end", F.lit(2), F.size("end"))).alias("tables"),
+        F.concat("begin_path", "end_path").alias("path"),
+        (F.col("n") + F.col("rest")).alias("hops"),
+    )
+    same = pairs.filter(F.col("src") == F.col("tgt")).select(
+        "database_id", "src", "tgt", F.array("src").alias("tables"),
+        F.array().cast(f"array<{STEP}>").alias("path"), F.lit(0).alias("hops"),
+    )
+    return asked.join(paths.unionByName(same), ["database_id", "src", "tgt"]).select(
+        *keys, "i", "j", "tables", "path", "hops"
+    )
+
+
 def path_pairs(paths: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct neighbouring tables of all paths, placed by first occurrence."""
     two = F.filter(

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemata.functions.vectors import hash_embedding, norm
-from skemata.operators import context, embed, graph, search
+from skemata.operators import context, embed, graph, search, vector_index
 from skemata.plans import tenants as T
 from skemata.plans.catalog_queries import enriched
 from skemata.plans.registry import query, read
+from skemata.session import work_folder
 
 # ------------------------------------------------------------------ H: objects
 
@@ -127,6 +128,16 @@ def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
     return search.recall(exact, near, "question_id", "object_key")
 
 
+@query
+def trained_index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """The trained index, and whether it finds 0.9 of the exact neighbours."""
+    asked, stored = _vectors(spark, sf)
+    index = vector_index.build_index(stored, work_folder(spark, "vector-index"))
+    near = vector_index.search_index(index, asked, stored, 10)
+    found = search.recall(search.nearest(asked, stored, 10), near, "question_id", "object_key")
+    return found.select("exact_pairs", (F.col("recall") >= 0.9).alias("reached"))
+
+
 # -------------------------------------------------------------------- I: graph
 
 
@@ -207,7 +218,16 @@ def _starts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def join_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Simple paths of at most 3 hops between four tables of every tenant."""
-    paths = graph.join_paths(fk_edges(spark, sf), _starts(spark, sf), 3)
+    return _path_texts(graph.join_paths(fk_edges(spark, sf), _starts(spark, sf), 3))
+
+
+@query
+def join_paths_both_ends(spark: SparkSession, sf: str) -> DataFrame:
+    """The same paths, grown from both ends."""
+    return _path_texts(graph.join_paths_both_ends(fk_edges(spark, sf), _starts(spark, sf), 3))
+
+
+def _path_texts(paths: DataFrame) -> DataFrame:
     step = lambda s: F.concat(s["from_table"], F.lit("."), s["from_column"], F.lit("="),
                               s["to_table"], F.lit("."), s["to_column"])
     return paths.select(

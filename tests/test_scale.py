@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skemata.operators import search, vector_index
+from skemata.operators import graph, search, vector_index
 from skemata.plans.graph_queries import ann_recall
 from skemata.scale import number_rows, skew_join, text_parts, top_rows, whole_text
 from skemata.streaming import flows
@@ -177,3 +177,25 @@ def test_trained_index_finds_its_share_and_scores_few(spark, tmp_path, centres,
     all_ = vector_index.search_index(index, few, vectors, 10, probes=len(index.centroids), candidates=6000)
     same = lambda df: sorted((r.question_id, r["rank"], r.object_key) for r in df.collect())
     assert same(all_) == same(search.nearest(few, vectors, 10))
+
+
+def test_paths_from_both_ends_are_the_same_and_carry_fewer_rows(spark):
+    """Two layers of eight tables on either side of a hub, and a few ways around it."""
+    pairs = [("s", f"a{i}") for i in range(8)] + [(f"a{i}", "hub") for i in range(8)]
+    pairs += [("hub", f"b{i}") for i in range(8)] + [(f"b{i}", "t") for i in range(8)]
+    pairs += [("a0", "a1"), ("b2", "b3"), ("a3", "b3"), ("t", "u"), ("u", "v"), ("a0", "a1")]
+    rows = [(1, a, f"c{n % 2}", b, "id") for n, (a, b) in enumerate(pairs)]
+    edges = spark.createDataFrame(rows, "database_id long, from_table string, from_column string, to_table string, to_column string")
+    starts = spark.createDataFrame([(1, 7, ["s", "t", "v", "s", "nowhere"])], "database_id long, question_id int, start_tables array<string>")
+    for hops in (1, 4, 5, 6):
+        one, both = (
+            sorted((r.i, r.j, r.hops, tuple(r.tables), tuple(map(tuple, r.path))) for r in f(edges, starts, hops).collect())
+            for f in (graph.join_paths, graph.join_paths_both_ends)
+        )
+        assert one == both and len(set(one)) == len(one)
+    # rows carried to 6 hops: prefixes of the paths there, halves here
+    carried = {(p[0], p[1], p[3][:n], p[4][: n - 1]) for p in one for n in range(1, len(p[3]) + 1)}
+    asked = graph.start_pairs(starts).select("database_id", "src", "tgt").distinct().filter("src <> tgt")
+    halves = sum(h.count() for h in graph.path_halves(asked, graph.adjacency(edges), 6))
+    print("prefixes", len(carried), "halves", halves)
+    assert halves < 0.6 * len(carried)
