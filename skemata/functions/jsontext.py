@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skemata.functions.text import strip
 
+# The shapes of an answer that holds JSON.
 FENCED = r"(?s)```(?:json)?\s*\n?(\{.*?\})\n?\s*```"
 BRACED = r"(?s)(\{.*\})"
 

@@ -475,6 +475,7 @@ def context_rows(context: SchemaContext) -> DataFrame:
 
 # ---------------------------------------------------- retrieval for a domain
 
+# How many objects of each type a topic asks for, unless told otherwise.
 TOPIC_LIMITS = {"table": 10, "relationship": 5}
 
 
@@ -488,9 +489,16 @@ def topic_questions(requests: DataFrame) -> DataFrame:
     return requests.select(*QUESTION, text.alias("text"), hash_embedding(text).alias("embedding"))
 
 
-def topic_context(requests: DataFrame, objects: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
-    """Text block per request: similar tables, entity relations, neighbours on join paths."""
-    hits = cut_lineage(question_hits(topic_questions(requests), objects, TOPIC_LIMITS))
+def topic_context(
+    requests: DataFrame,
+    objects: DataFrame,
+    edges: DataFrame,
+    hops: int = 2,
+    limits: Mapping[str, int] = TOPIC_LIMITS,
+) -> DataFrame:
+    """Text block per request: similar tables, entity relations, neighbours on join paths.
+    ``limits``: how many objects of each type are looked for."""
+    hits = cut_lineage(question_hits(topic_questions(requests), objects, limits))
     tables = hits.filter((F.col("object_type") == "table") & (_meta("table_name") != "")).select(
         *QUESTION, "rank", _meta("table_name").alias("table_name")
     )

@@ -294,7 +294,3 @@ def capture_failures(texts: DataFrame, text: str = "document") -> DataFrame:
         F.when(F.col("error_message").isNull(), F.lit("active")).otherwise(F.lit("error")).alias("status"),
         "error_message",
     )
-
-
-def canonical_text(fields: Sequence[str]) -> Column:
-    return canonical_json({f: F.col(f) for f in fields})
