@@ -163,8 +163,11 @@ def domain_scope(requests: DataFrame, tables: DataFrame, entity_relationships: D
     return (
         asked.withColumn("low", F.lower("domain"))
         .join(by_domain, ["database_id", "low"], "left")
-        .join(everything, "database_id", "left")
-        .join(domains, "database_id", "left")
+        # the whole listing goes to requests that use it only
+        .withColumn("listed", F.when(F.col("domain_tables").isNull(), F.col("database_id")))
+        .join(everything.withColumnRenamed("database_id", "listed"), "listed", "left")
+        .withColumn("listed", F.when(d.isNull(), F.col("database_id")))
+        .join(domains.withColumnRenamed("database_id", "listed"), "listed", "left")
         .join(notes, key, "left")
         .select(
             *key,

@@ -7,9 +7,10 @@ or a dump of it), and the catalog is put together with joins.  A dump carries a
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemata.scale import number_rows
@@ -93,8 +94,8 @@ def read_vendor(
 
 def extract(
     vendor: str, relations: Mapping[str, DataFrame], schema: str | None = None
-) -> Catalog:
-    """Catalog of every database in the dumps of one vendor."""
+) -> Extract:
+    """The relations of every database in the dumps of one vendor; nothing runs yet."""
     wanted = vendor_relations(vendor)
     missing = sorted(set(wanted) - set(relations))
     if missing:
@@ -366,96 +367,98 @@ _EXTRACTS = {
 }
 
 
-def _finish(tables, columns, constraints, rels, views, vendor, schema) -> Catalog:
-    """Shared tail: key flags and dense ordinals.  Tables come in name order."""
-    tables = number_rows(tables.distinct(), ["database_id"], ["table_name"], "table_ordinal")
-    views = number_rows(
-        views.dropDuplicates(["database_id", "view_name"]),
-        ["database_id"],
-        ["view_name"],
-        "view_ordinal",
-    )
+@dataclass(frozen=True)
+class Extract:
+    """The relations of a dump, keyed by names.  Making one runs no job.
+
+    Rows carry what orders them as a struct ``order`` (tables come in name order);
+    ``catalog`` turns that into dense ordinals, for those who read them.
+    """
+
+    vendor: str
+    schema: str | None
+    tables: DataFrame
+    columns: DataFrame
+    constraints: DataFrame
+    relationships: DataFrame
+    views: DataFrame
+    view_columns: DataFrame
+
+    @property
+    def databases(self) -> DataFrame:
+        return self.tables.select("database_id").distinct().select(
+            "database_id",
+            F.lit(self.vendor).alias("vendor"),
+            F.lit(self.schema).cast("string").alias("name"),
+            F.lit(None).cast("string").alias("version"),
+        )
+
+    def catalog(self) -> Catalog:
+        """The same with dense ordinals per database, each relation sorted and checkpointed."""
+
+        def numbered(df: DataFrame, name: str) -> DataFrame:
+            rows = number_rows(df, ["database_id"], ["order"], name)
+            return rows.select("database_id", name, *[c for c in df.columns if c not in ("database_id", "order")])
+
+        tables = numbered(self.tables, "table_ordinal")
+        places = tables.select("database_id", "table_name", "table_ordinal")
+        columns = numbered(self.columns, "column_ordinal").join(places, ["database_id", "table_name"])
+        return Catalog(
+            databases=self.databases,
+            tables=tables,
+            columns=columns.select("database_id", "column_ordinal", "table_ordinal", *COLUMN_FIELDS),
+            constraints=numbered(self.constraints, "constraint_ordinal"),
+            relationships=numbered(self.relationships, "rel_ordinal"),
+            views=numbered(self.views, "view_ordinal"),
+            view_columns=numbered(self.view_columns, "view_column_ordinal"),
+        )
+
+
+COLUMN_FIELDS = ["table_name", "position", "column_name", "data_type", "is_nullable", "is_primary_key"]
+
+
+def _ordered(df: DataFrame, order: Sequence[str], *fields: str | Column) -> DataFrame:
+    return df.select("database_id", F.struct(*order).alias("order"), *fields)
+
+
+def _finish(tables, columns, constraints, rels, views, vendor, schema) -> Extract:
+    """Shared tail: key flags, and columns apart by tables and views."""
+    tables = tables.distinct()
+    views = views.dropDuplicates(["database_id", "view_name"])
     keys = (
         constraints.filter(F.col("constraint_type") == "PRIMARY KEY")
         .select("database_id", "table_name", "column_name", F.lit(True).alias("pk"))
         .distinct()
     )
-    named = ["database_id", "table_name", "column_name"]
-    of_tables = number_rows(
-        columns.join(tables, ["database_id", "table_name"]).join(keys, named, "left"),
-        ["database_id"],
-        ["table_ordinal", "place", "column_name"],
-        "column_ordinal",
-    ).select(
-        "database_id",
-        "column_ordinal",
-        "table_ordinal",
-        "table_name",
-        F.col("place").alias("position"),
-        "column_name",
-        "data_type",
-        "is_nullable",
-        F.coalesce("pk", F.lit(False)).alias("is_primary_key"),
+    of_tables = columns.join(tables.select("database_id", "table_name"), ["database_id", "table_name"], "left_semi").join(
+        keys, ["database_id", "table_name", "column_name"], "left"
     )
-    in_views = number_rows(
-        columns.withColumnRenamed("table_name", "view_name").join(
-            views.select("database_id", "view_name"), ["database_id", "view_name"], "left_semi"
-        ),
-        ["database_id"],
-        ["view_name", "place", "column_name"],
-        "view_column_ordinal",
-    ).select(
-        "database_id",
-        "view_column_ordinal",
-        "view_name",
-        F.col("place").alias("position"),
-        "column_name",
-        "data_type",
-        "is_nullable",
+    of_views = columns.withColumnRenamed("table_name", "view_name").join(
+        views.select("database_id", "view_name"), ["database_id", "view_name"], "left_semi"
     )
-    return Catalog(
-        databases=tables.select("database_id").distinct().select(
-            "database_id",
-            F.lit(vendor).alias("vendor"),
-            F.lit(schema).cast("string").alias("name"),
-            F.lit(None).cast("string").alias("version"),
+    position = F.col("place").alias("position")
+    return Extract(
+        vendor,
+        schema,
+        tables=_ordered(tables, ["table_name"], "table_name", F.lit("TABLE").alias("table_type")),
+        columns=_ordered(
+            of_tables, ["table_name", "place", "column_name"],
+            "table_name", position, "column_name", "data_type", "is_nullable",
+            F.coalesce("pk", F.lit(False)).alias("is_primary_key"),
         ),
-        tables=tables.select(
-            "database_id", "table_ordinal", "table_name", F.lit("TABLE").alias("table_type")
+        constraints=_ordered(
+            constraints, ["table_name", "constraint_name", "place", "column_name"],
+            "table_name", "constraint_name", "constraint_type", "column_name",
         ),
-        columns=of_tables,
-        constraints=number_rows(
-            constraints,
-            ["database_id"],
-            ["table_name", "constraint_name", "place", "column_name"],
-            "constraint_ordinal",
-        ).select(
-            "database_id",
-            "constraint_ordinal",
-            "table_name",
-            "constraint_name",
-            "constraint_type",
-            "column_name",
+        relationships=_ordered(
+            rels, ["from_table", "from_column", "to_table", "to_column"],
+            "from_table", "from_column", "to_table", "to_column", "constraint_name",
         ),
-        relationships=number_rows(
-            rels,
-            ["database_id"],
-            ["from_table", "from_column", "to_table", "to_column"],
-            "rel_ordinal",
-        ).select(
-            "database_id",
-            "rel_ordinal",
-            "from_table",
-            "from_column",
-            "to_table",
-            "to_column",
-            "constraint_name",
+        views=_ordered(
+            views, ["view_name"], "view_name", F.coalesce("definition", F.lit("")).alias("definition")
         ),
-        views=views.select(
-            "database_id",
-            "view_ordinal",
-            "view_name",
-            F.coalesce("definition", F.lit("")).alias("definition"),
+        view_columns=_ordered(
+            of_views, ["view_name", "place", "column_name"],
+            "view_name", position, "column_name", "data_type", "is_nullable",
         ),
-        view_columns=in_views,
-    )
+    )

@@ -226,3 +226,18 @@ def test_ddl_pieces_give_what_the_whole_script_gives(spark):
         assert len(got) == len(expected)
         for a, b in zip(got, expected, strict=True):
             assert a == b, cut[a[0]]
+
+
+def test_an_extract_runs_no_job_and_numbers_on_request(spark, sf):
+    from skemata.plans.source_queries import vendor_dumps
+
+    relations = vendor_dumps(spark, sf, "postgres")
+    spark.sparkContext.setJobGroup("extract", "nothing runs here")
+    found = dumps.extract("postgres", relations)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("extract") == []
+    spark.sparkContext.setJobGroup("other", "")
+    catalog = found.catalog()
+    for df, name in ((catalog.tables, "table_ordinal"), (catalog.columns, "column_ordinal"), (catalog.relationships, "rel_ordinal")):
+        bad = df.groupBy("database_id").agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("low"), F.max(name).alias("high"))
+        assert bad.filter("low <> 0 or high <> n - 1").count() == 0
+    assert catalog.columns.count() == found.columns.count() > 0
