@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skemata.operators import browse, canonical, snapshots
+from skemata.operators import browse, canonical, snapshot_store, snapshots
 from skemata.plans import tenants as T
 from skemata.plans import workload
 from skemata.plans.registry import query, read
@@ -173,6 +173,25 @@ def changed_sections(spark: SparkSession, sf: str) -> DataFrame:
     return snapshots.changed_sections(old, new, ["connection_id", "category"])
 
 
+def _stored_items(spark: SparkSession, sf: str) -> list[str]:
+    paths = [work_folder(spark, name) for name in ("snapshot-old", "snapshot-new")]
+    for items, path in zip(_items(spark, sf), paths, strict=True):
+        snapshot_store.write_snapshot(items, path, ITEM_KEY)
+    return paths
+
+
+@query
+def snapshot_delta_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from stored snapshots, which opens only folders that differ."""
+    return snapshot_store.delta_counts(spark, *_stored_items(spark, sf), ITEM_KEY)
+
+
+@query
+def changed_sections_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the digests of stored snapshots."""
+    return snapshot_store.changed_sections(spark, *_stored_items(spark, sf), ["connection_id", "category"])
+
+
 @query
 def merged_categories(spark: SparkSession, sf: str) -> DataFrame:
     """Categories not generated again keep their items."""

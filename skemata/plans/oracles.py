@@ -937,6 +937,8 @@ SQL["changed_sections"] = ITEMS + (
     " bool_or(x.name IS DISTINCT FROM y.name OR x.size IS DISTINCT FROM y.size) AS differs FROM o x FULL JOIN n y USING (connection_id, category, section, ordinal)"
     " GROUP BY 1, 2, 3) GROUP BY 1, 2"
 )
+SQL["snapshot_delta_stored"] = SQL["snapshot_delta"]
+SQL["changed_sections_stored"] = SQL["changed_sections"]
 SQL["merged_categories"] = ITEMS + (
     ", s AS (SELECT * FROM n WHERE category IN ('ECONOMY', 'PROMO')) SELECT * FROM s UNION ALL SELECT * FROM o WHERE NOT EXISTS"
     " (SELECT 1 FROM s WHERE s.connection_id = o.connection_id AND s.category = o.category)"

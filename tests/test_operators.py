@@ -169,3 +169,28 @@ def test_batches_are_bounded(spark):
     tables = spark.range(25).select(F.lit(1).cast("bigint").alias("database_id"), F.col("id").alias("table_ordinal"), F.col("id").cast("string").alias("table_name"))
     sizes = labels.column_batches(tables).groupBy("batch_no").count().collect()
     assert sorted(r["count"] for r in sizes) == [5, 10, 10]
+
+
+def test_stored_snapshots_open_only_what_differs(spark, tmp_path):
+    from skemata.operators import snapshot_store as store
+
+    key = ["connection_id", "section"]
+    items = spark.range(4000).select(
+        (F.col("id") % 200).alias("connection_id"), F.lit("kpis").alias("section"),
+        F.sha2((F.col("id") % 900).cast("string"), 256).alias("item_hash"), F.col("id").alias("ordinal"),
+    )
+    edited = items.withColumn("item_hash", F.when(F.col("ordinal") == 7, F.lit("new")).otherwise(F.col("item_hash")))
+    edited = edited.filter("connection_id <> 11").unionByName(items.filter("ordinal = 5").withColumn("ordinal", F.lit(4005).cast("long")))
+    old, new = str(tmp_path / "old"), str(tmp_path / "new")
+    store.write_snapshot(items, old, key), store.write_snapshot(edited, new, key)
+    folders = store.differing_folders(spark, old, new)
+    assert 1 <= len(folders) <= 3  # connections 7, 11 and 5
+    opened = store.items_of(spark, new, folders)
+    files = {f.rsplit("folder=", 1)[1].split("/")[0] for f in opened.select(F.input_file_name().alias("f")).distinct().toPandas()["f"]}
+    assert files <= set(map(str, folders))
+    assert "PartitionFilters: []" not in opened._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = snapshots.item_delta(items, edited, key).groupBy(*key, "change").agg(F.count(F.lit(1)).alias("n"), F.sum("ordinal").alias("ordinals"))
+    assert rows(store.delta_counts(spark, old, new, key)) == rows(want)
+    assert rows(store.changed_sections(spark, old, new, ["connection_id"])) == rows(snapshots.changed_sections(items, edited, ["connection_id"]))
+    assert store.differing_folders(spark, old, old) == []

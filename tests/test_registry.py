@@ -16,7 +16,8 @@ QUICK = [
     "column_batches", "catalog_counts", "relationship_names", "validation_status", "orphan_fk_rows",
     "hash_embeddings", "upsert_latest", "knn_topk", "neighbourhood", "grounded_items", "sql_audit",
     "insight_rows", "snapshot_delta", "changed_payloads", "browse_stats", "view_line_details",
-    "ask_kpis", "stream_upsert", "stream_changes", "ddl_columns", "extract_sqlserver",
+    "ask_kpis", "stream_upsert", "stream_changes", "ddl_columns", "extract_sqlserver", "ddl_pieces_columns",
+    "sql_audit_scoped", "table_listing", "business_processes", "schema_context", "join_paths_both_ends",
 ]
 
 
