@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skemata.session import name_folder, work_folder
+from skemata.session import broadcast_by_guess, name_folder, work_folder
 
 # Rows handed to Python at once; texts are cut further by their bytes there.
 ARROW_ROWS = 1000
@@ -19,6 +19,7 @@ ROWS_PER_FILE = 50_000
 
 def tune(spark: SparkSession) -> SparkSession:
     name_folder(spark)
+    broadcast_by_guess(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skemata import session
 from skemata.operators import graph, search, vector_index
 from skemata.plans.graph_queries import ann_recall
 from skemata.scale import number_rows, skew_join, text_parts, top_rows, whole_text
@@ -199,3 +200,27 @@ def test_paths_from_both_ends_are_the_same_and_carry_fewer_rows(spark):
     halves = sum(h.count() for h in graph.path_halves(asked, graph.adjacency(edges), 6))
     print("prefixes", len(carried), "halves", halves)
     assert halves < 0.6 * len(carried)
+
+
+def test_relations_larger_than_they_look_are_not_broadcast(spark):
+    """An exploded relation looks as small as its keys; the measured bytes decide."""
+    own = session._threshold(spark)
+    session.broadcast_by_measure(spark)
+    try:
+        keys = spark.range(2000).select(F.col("id").alias("k"))
+        wide = keys.select("k", F.explode(F.sequence(F.lit(1), F.lit(300))).alias("i"))
+        wide = wide.withColumn("pad", F.sha2(F.col("i").cast("string"), 256))
+        joined = wide.alias("a").join(wide.withColumnRenamed("pad", "other"), ["k", "i"])
+        assert joined.count() == 600_000
+        joined.write.format("noop").mode("overwrite").save()
+        counted = joined.groupBy("k").agg(F.max("pad"), F.max("other"))
+        assert len(counted.collect()) == 2000
+        assert "BroadcastHashJoin" not in counted._jdf.queryExecution().executedPlan().toString()
+        few = wide.filter("i = 1 and k < 10").withColumnRenamed("pad", "other")
+        small = wide.join(few, ["k", "i"]).groupBy("k").agg(F.max("pad"), F.max("other"))
+        assert len(small.collect()) == 10
+        assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+        session.broadcast_by_guess(spark)
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == own
+    finally:
+        session.broadcast_by_measure(spark)
