@@ -44,8 +44,7 @@ def schema_context(
     use_cases: DataFrame,
     sample_queries: DataFrame,
 ) -> DataFrame:
-    """Context text, one row per item in the order of section and line; empty sections have
-    no row, the head of a section is line -1.
+    """Context text by section, each whole under its head; empty sections have no row.
 
     Sections are separated by an empty line, items by a line end.  ``processes``: the
     texts of ``assemble.process_texts``.
@@ -65,30 +64,29 @@ def schema_context(
     ends = [_t(F.col(f"{s}_table"), ".", F.col(f"{s}_column")) for s in ("from", "to")]
     sections = [
         (tables.join(listed, TABLE_KEY, "left"), "table_ordinal", "", block),
-        (relationships, "rel_ordinal", "### Foreign Key Relationships", _t("  ", ends[0], "  ->  ", ends[1])),
+        (relationships, "rel_ordinal", "### Foreign Key Relationships\n", _t("  ", ends[0], "  ->  ", ends[1])),
         (
-            entity_relationships, "ordinal", "### Entity Relationships",
+            entity_relationships, "ordinal", "### Entity Relationships\n",
             _t("  ", _text("entity"), "  ->  ", _text("related_entities"), _given("  :  ", "business_meaning")),
         ),
-        (processes, "ordinal", "### Business Processes", _t("  ", _text("domain"), ":  ", _text("tables"))),
+        (processes, "ordinal", "### Business Processes\n", _t("  ", _text("domain"), ":  ", _text("tables"))),
         (
-            use_cases, "ordinal", "### Use Cases",
+            use_cases, "ordinal", "### Use Cases\n",
             _t("  ", _text("name"), ":  ", _text("description"), "\n    Tables: ", _text("involved_tables")),
         ),
         (
-            sample_queries, "ordinal", "### Sample Queries",
+            sample_queries, "ordinal", "### Sample Queries\n",
             _t("  Question: ", _text("question"), "\n  SQL: ", _text("sql")),
         ),
     ]
     out = None
     for number, (df, ordinal, head, line) in enumerate(sections, 1):
-        place = ["database_id", F.lit(number).alias("section_no")]
-        rows = df.select(*place, F.col(ordinal).cast("bigint").alias("line_no"), line.alias("text"))
-        if head:
-            heads = df.select("database_id").distinct()
-            rows = rows.unionAll(
-                heads.select(*place, F.lit(-1).cast("bigint").alias("line_no"), F.lit(head).alias("text"))
-            )
+        rows = whole_text(df, ["database_id"], ordinal, line).select(
+            "database_id",
+            F.lit(number).alias("section_no"),
+            F.lit(0).cast("bigint").alias("part_no"),
+            _t(head, F.col("text")).alias("text"),
+        )
         out = rows if out is None else out.unionAll(rows)
     return out
 

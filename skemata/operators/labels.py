@@ -22,7 +22,7 @@ from skemata.functions.rules import (
     classify_semantic,
 )
 from skemata.functions.text import blank_to
-from skemata.scale import joined_lines, part_of
+from skemata.scale import joined_lines, part_of, whole_text
 
 COLUMN_KEY = ["database_id", "table_name", "column_name"]
 
@@ -144,9 +144,11 @@ def table_lines(tables: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def table_listing(databases: DataFrame, tables: DataFrame, columns: DataFrame) -> DataFrame:
-    """The listing of every database, one line per table; "(no tables)" where there is none."""
-    lines = table_lines(tables, columns)
-    return _or_default(databases, lines, "table_ordinal", "(no tables)")
+    """Listing text of every database, whole; "(no tables)" where there is none."""
+    text = whole_text(
+        table_lines(tables, columns), ["database_id"], "table_ordinal", F.col("line")
+    )
+    return _or_default(databases, text, "(no tables)")
 
 
 def relationship_listing(databases: DataFrame, relationships: DataFrame) -> DataFrame:
@@ -154,17 +156,15 @@ def relationship_listing(databases: DataFrame, relationships: DataFrame) -> Data
         F.lit("  - "), "from_table", F.lit("."), "from_column",
         F.lit(" → "), "to_table", F.lit("."), "to_column",
     )
-    lines = relationships.withColumn("line", line)
-    return _or_default(databases, lines, "rel_ordinal", "(no relationships)")
+    text = whole_text(relationships, ["database_id"], "rel_ordinal", line)
+    return _or_default(databases, text, "(no relationships)")
 
 
-def _or_default(databases: DataFrame, lines: DataFrame, ordinal: str, default: str) -> DataFrame:
-    lines = lines.select("database_id", F.col(ordinal).cast("bigint").alias("line_no"), "line")
-    without = databases.select("database_id").join(
-        lines.select("database_id").distinct(), "database_id", "left_anti"
-    )
-    return lines.unionAll(
-        without.select("database_id", F.lit(0).cast("bigint").alias("line_no"), F.lit(default).alias("line"))
+def _or_default(databases: DataFrame, texts: DataFrame, default: str) -> DataFrame:
+    return databases.select("database_id").join(texts, "database_id", "left").select(
+        "database_id",
+        F.lit(0).cast("bigint").alias("part_no"),
+        F.coalesce("text", F.lit(default)).alias("text"),
     )
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skemata import session
-from skemata.operators import graph, search, vector_index
+from skemata.operators import graph, insights, labels, search, vector_index
 from skemata.plans.graph_queries import ann_recall
 from skemata.scale import number_rows, skew_join, text_parts, top_rows, whole_text
 from skemata.streaming import flows
@@ -202,6 +202,40 @@ def test_paths_from_both_ends_are_the_same_and_carry_fewer_rows(spark):
     assert halves < 0.6 * len(carried)
 
 
+def test_listings_and_context_are_whole_texts(spark):
+    """One text per database, also beyond the lines that are joined in one step."""
+    n = 4500
+    dbs = spark.createDataFrame([(1,), (2,)], "database_id long")
+    tables = spark.range(n).select(
+        F.lit(1).cast("long").alias("database_id"), F.col("id").alias("table_ordinal"),
+        F.format_string("t%04d", "id").alias("table_name"), F.lit("TABLE").alias("table_type"),
+        *[F.lit(None).cast("string").alias(c) for c in ("description", "business_role", "domain")],
+    )
+    columns = tables.select(
+        "database_id", "table_ordinal", "table_name", F.col("table_ordinal").alias("column_ordinal"),
+        F.lit(0).cast("long").alias("position"), F.lit("c").alias("column_name"), F.lit("int").alias("data_type"),
+        F.lit(False).alias("is_primary_key"),
+        *[F.lit(None).cast("string").alias(c) for c in ("description", "semantic_type")],
+    )
+    rels = tables.select(
+        "database_id", F.col("table_ordinal").alias("rel_ordinal"), F.col("table_name").alias("from_table"),
+        F.lit("c").alias("from_column"), F.lit("t0000").alias("to_table"), F.lit("c").alias("to_column"),
+    )
+    found = {r.database_id: r for r in labels.table_listing(dbs, tables, columns).collect()}
+    assert found[1].text == "\n".join(f"  - t{i:04d}: [c (int)]" for i in range(n))
+    assert (found[2].part_no, found[2].text) == (0, "(no tables)")
+    found = {r.database_id: r.text for r in labels.relationship_listing(dbs, rels).collect()}
+    assert found == {1: "\n".join(f"  - t{i:04d}.c → t0000.c" for i in range(n)), 2: "(no relationships)"}
+    none = lambda *fields: spark.createDataFrame([], "database_id long, ordinal long, " + ", ".join(f + " string" for f in fields))
+    rows = insights.schema_context(
+        tables, columns, rels, none("entity", "related_entities", "business_meaning"), none("domain", "tables"),
+        none("name", "description", "involved_tables"), none("question", "sql"),
+    ).collect()
+    texts = {r.section_no: r.text for r in rows}
+    assert len(rows) == 2 and set(texts) == {1, 2}
+    assert texts[2] == "### Foreign Key Relationships\n" + "\n".join(f"  t{i:04d}.c  ->  t0000.c" for i in range(n))
+
+
 def test_relations_larger_than_they_look_are_not_broadcast(spark):
     """An exploded relation looks as small as its keys; the measured bytes decide."""
     own = session._threshold(spark)
