@@ -7,18 +7,25 @@ each question, so pairs never become rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skemata.scale import skew_join, top_rows
 
-# Vectors, and questions, of one group that meet in one task.
+# Vectors of one group that are scored at once, and scores that a task holds.
 SHARD_ROWS = 20_000
-BLOCK_ROWS = 1_000
+SCORES = 2_000_000
+# Vectors of lanes whose scores are gathered before the best are picked.
+BUFFER = 2_000
+# Vectors, and questions, of one group that meet in one task.
+TASK_ROWS = 100_000
+TASK_QUESTIONS = 10_000
 # Vectors that a bucket of the approximate search is to hold, about.
 BUCKET_ROWS = 1_000
 # Questions whose exact neighbours tell how far the approximate search must look, and
@@ -31,44 +38,103 @@ DIGITS = 9
 def _matrix(vectors: Sequence) -> np.ndarray:
     """Unit rows; a zero vector stays zero."""
     m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors], dtype=np.float64)
+    return _unit(m)
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
     lengths = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, lengths, out=np.zeros_like(m), where=lengths > 0)
 
 
-def _best(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best k by rounded score, then key."""
-    scores = np.round(scores, DIGITS)
-    if len(scores) > k:
-        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-        kept = np.nonzero(scores >= bar)[0]
-        scores, keys = scores[kept], keys[kept]
-    order = np.lexsort((keys, -scores))[:k]
-    return scores[order], keys[order]
+def _unit_rows(column: pa.Array) -> np.ndarray:
+    lengths = pc.list_value_length(column)
+    if column.null_count or len(pc.unique(lengths)) != 1 or not lengths[0].as_py():
+        return _matrix(column.to_pylist())
+    flat = column.flatten()
+    if flat.null_count:
+        return _matrix(column.to_pylist())
+    return _unit(flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
 
 
 class _Board:
-    """Best k candidates per question seen so far by one task."""
+    """Best k rows per question seen so far, by rounded score; equal ones as they came."""
 
-    def __init__(self, k: int) -> None:
+    def __init__(self, questions: int, k: int) -> None:
         self.k = k
-        self.rows: dict = {}
-
-    def offer(self, question, scores: np.ndarray, keys: np.ndarray) -> None:
-        old = self.rows.get(question)
-        scores, keys = _best(scores, keys, self.k)
-        if old is not None:
-            scores, keys = _best(
-                np.concatenate([old[0], scores]), np.concatenate([old[1], keys]), self.k
-            )
-        self.rows[question] = (scores, keys)
-
+        self.scores = np.full((questions, k), -np.inf)
+        self.rows = np.zeros((questions, k), dtype=np.int64)
+        # what a score must reach to count; a little less, as scores are rounded later
+        self.bars = np.full(questions, -np.inf)
+        self.keys: list[pa.Array] = []
+        self.size = 0
+
+    def add(self, keys: pa.Array) -> int:
+        """The number of the first of these keys."""
+        self.keys.append(keys)
+        self.size += len(keys)
+        return self.size - len(keys)
+
+    def offer(self, which: np.ndarray, scores: np.ndarray, first: int) -> None:
+        """``scores`` of the questions ``which`` with the rows from ``first`` on; -inf: none."""
+        bars, n = self.bars[which], scores.shape[1]
+        fresh = np.flatnonzero(np.isneginf(bars))
+        if n > self.k and len(fresh):
+            part = np.partition(scores[fresh], n - self.k, axis=1)
+            bars[fresh] = part[:, n - self.k] - 10.0**-DIGITS
+        hit = scores >= bars[:, None]
+        if np.isneginf(bars).any():
+            hit &= ~np.isneginf(scores)
+        i, j = np.nonzero(hit)
+        if not len(i):
+            return
+        at, begins, counts = np.unique(i, return_index=True, return_counts=True)
+        touched, width = which[at], int(counts.max())
+        found = np.full((len(at), self.k + width), -np.inf)
+        rows = np.zeros(found.shape, dtype=np.int64)
+        found[:, : self.k], rows[:, : self.k] = self.scores[touched], self.rows[touched]
+        line = np.repeat(np.arange(len(at)), counts)
+        place = self.k + np.arange(len(i)) - np.repeat(begins, counts)
+        found[line, place], rows[line, place] = np.round(scores[i, j], DIGITS), first + j
+        self._take(touched, found, rows)
+
+    def _take(self, touched: np.ndarray, found: np.ndarray, rows: np.ndarray) -> None:
+        bar = np.partition(found, found.shape[1] - self.k, axis=1)[:, found.shape[1] - self.k]
+        more, tie = found > bar[:, None], found == bar[:, None]
+        picked = more | (tie & (np.cumsum(tie, axis=1) <= (self.k - more.sum(axis=1))[:, None]))
+        self.scores[touched] = found[picked].reshape(-1, self.k)
+        self.rows[touched] = rows[picked].reshape(-1, self.k)
+        self.bars[touched] = bar - 10.0**-DIGITS
+
+    def ranked(self, unit: np.ndarray, whole: np.ndarray, k: int) -> "_Board":
+        """The best k of the rows kept, by the scores of the whole vectors."""
+        out = _Board(len(unit), min(k, self.k))
+        out.keys, out.size = self.keys, self.size
+        step = max(1, SCORES // (self.k * unit.shape[1]))
+        for begin in range(0, len(unit), step):
+            which = np.arange(begin, min(begin + step, len(unit)))
+            order = np.argsort(self.rows[which], axis=1, kind="stable")
+            rows = np.take_along_axis(self.rows[which], order, axis=1)
+            none = np.isneginf(np.take_along_axis(self.scores[which], order, axis=1))
+            scores = np.round(np.einsum("qd,qkd->qk", unit[which], whole[rows]), DIGITS)
+            out._take(which, np.where(none, -np.inf, scores), rows)
+        return out
+
+
+@dataclass
+class Lanes:
+    """Parts of the vectors that a question may pass by.
+
+    ``visits`` takes the questions of a task and gives a function from a value of
+    ``column`` to the numbers of the questions that look there.  With ``decode`` (from
+    rows and the value to vectors), the best ``candidates`` by the decoded vectors are
+    ranked by the whole ones.
+    """
 
-def _by_value(columns: list) -> dict[tuple, list[int]]:
-    """Row numbers by the values of some columns."""
-    found: dict[tuple, list[int]] = {}
-    for i, value in enumerate(zip(*columns)):
-        found.setdefault(value, []).append(i)
-    return found
+    column: str
+    visits: Callable[[np.ndarray], Callable[[int], np.ndarray]]
+    decode: Callable[[pa.RecordBatch, int], np.ndarray] | None = None
+    candidates: int = 0
+    more: Sequence[str] = ()
 
 
 def nearest(
@@ -81,100 +147,146 @@ def nearest(
     key: str = "object_key",
     vector: str = "embedding",
     shard_rows: int = SHARD_ROWS,
+    lanes: Lanes | None = None,
 ) -> DataFrame:
     """The k nearest vectors of every question, with ``similarity`` and ``rank``.
 
     ``within`` columns exist on both sides and must be equal; ``per`` columns of
     the vectors split the ranking (k per question and value).  Ties go to the
-    smaller key.
-
-    Groups are cut into shards of about ``shard_rows`` vectors and blocks of bounded
-    numbers of questions; each block visits each shard of its group.  A task reads
-    its pairs of block and shard one after the other, questions first, and holds one
-    block and the best rows of its questions.
+    smaller key.  With ``lanes``, a question meets only the vectors it visits, and ties of
+    one task go to the first lane.
+
+    Groups are cut into blocks of questions and runs of vectors; each block visits each
+    run of its group in one task, which reads the questions first and then the run in
+    shards of at most ``shard_rows`` vectors.  It holds one block, the best rows of its
+    questions and SCORES scores; only scores that reach a question's kth best are looked
+    at.  A vector is shuffled once per TASK_QUESTIONS questions, a question once per
+    TASK_ROWS vectors.
     """
     within, per = list(within), list(per)
+    lane, more = ([lanes.column], list(lanes.more)) if lanes else ([], [])
     asked = questions.select(question_id, *within, vector)
-    stored = vectors.select(*within, *per, key, vector)
+    stored = vectors.select(*within, *per, *lane, *more, key, vector)
     kinds = {f.name: f.dataType for f in [*stored.schema.fields, *asked.schema.fields]}
-    pair = [*within, "__shard", "__block"]
+    pair = [*within, "__run", "__block"]
     columns = [question_id, *per, key, "similarity"]
     schema = ", ".join(
         [f"{c} {kinds[c].simpleString()}" for c in columns[:-1]] + ["similarity double"]
     )
 
-    shards = _pieces(stored, within, shard_rows, "__shards")
-    blocks = _pieces(asked, within, BLOCK_ROWS, "__blocks")
+    runs = _pieces(stored, within, max(shard_rows, TASK_ROWS), "__runs")
+    blocks = _pieces(asked, within, TASK_QUESTIONS, "__blocks")
     if within:
-        plan = shards.join(blocks, within)
+        plan = runs.join(blocks, within)
         asked = skew_join(asked, plan, within, "inner", [question_id])
         stored = skew_join(stored, plan, within, "inner", [key])
     else:
-        numbers = {"__shards": shards, "__blocks": blocks}
+        numbers = {"__runs": runs, "__blocks": blocks}
         asked, stored = asked.withColumns(numbers), stored.withColumns(numbers)
     pick = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1))
     missing = lambda names: [F.lit(None).cast(kinds[c]).alias(c) for c in names]
     both = (
         asked.withColumn("__block", pick(question_id, "__blocks"))
-        .withColumn("__shard", every_of("__shards"))
-        .select(*pair, F.lit(0).alias("__side"), question_id, *missing([*per, key]), vector)
+        .withColumn("__run", every_of("__runs"))
+        .select(*pair, F.lit(0).alias("__side"), question_id, *missing([*per, *lane, *more, key]), vector)
     ).unionAll(
-        stored.withColumn("__shard", pick(key, "__shards"))
+        stored.withColumn("__run", pick(key, "__runs"))
         .withColumn("__block", every_of("__blocks"))
-        .select(*pair, F.lit(1).alias("__side"), *missing([question_id]), *per, key, vector)
+        .select(*pair, F.lit(1).alias("__side"), *missing([question_id]), *per, *lane, *more, key, vector)
     )
+    seen = [*pair, "__side", *per, *lane]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = split = board = unit = visits = buffer = None
+        ids, held, whole, waiting = [], [], [], 0
+
+        def flush() -> None:
+            nonlocal waiting
+            step = max(1, SCORES // max(1, waiting))
+            for q in range(0, len(unit) if waiting else 0, step):
+                some = np.arange(q, min(q + step, len(unit)))
+                board.offer(some, buffer[some, :waiting], board.size - waiting)
+            buffer[:, :waiting] = -np.inf
+            waiting = 0
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            if board is not None and board.size:
+                if lanes:
+                    flush()
+                best = board
+                if lanes and lanes.decode:
+                    best = board.ranked(unit, np.concatenate(whole), k)
+                i, j = np.nonzero(~np.isneginf(best.scores))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids[0].take(pa.array(i)),
+                        *[pa.array([v] * len(i), t) for v, t in zip(split, per_types)],
+                        pa.concat_arrays(best.keys).take(pa.array(best.rows[i, j])),
+                        pa.array(best.scores[i, j]),
+                    ],
+                    names=columns,
+                )
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, ids, held, matrix, board = None, [], [], None, _Board(k)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in columns}
-            values = list(zip(*[batch[c].tolist() for c in [*pair, "__side"]]))
+            per_types = [batch.schema.field(c).type for c in per]
+            values = list(zip(*[batch.column(c).to_pylist() for c in seen]))
             bounds = [0, *[i for i in range(1, len(values)) if values[i] != values[i - 1]], len(values)]
             for begin, end in zip(bounds[:-1], bounds[1:]):
                 if begin == end:
                     continue
-                *here, side = values[begin]
+                here, side = values[begin][: len(pair)], values[begin][len(pair)]
+                rows = batch.slice(begin, end - begin)
                 if here != group:
-                    _settle(board, out, columns, question_id, per, key)
-                    group, ids, held, matrix, board = here, [], [], None, _Board(k)
-                rows = batch.iloc[begin:end]
+                    yield from settled()
+                    group, split, board, unit, ids, held = here, None, None, None, [], []
                 if side == 0:
-                    ids += rows[question_id].tolist()
-                    held += rows[vector].tolist()
-                elif ids:
-                    matrix = _matrix(held) if matrix is None else matrix
-                    scores = matrix @ _matrix(rows[vector].tolist()).T
-                    keys = rows[key].to_numpy()
-                    splits = (
-                        _by_value([rows[c].tolist() for c in per]) if per else {(): slice(None)}
-                    )
-                    for split, which in splits.items():
-                        for question, line in zip(ids, scores[:, which]):
-                            board.offer((question, split), line, keys[which])
-            yield pd.DataFrame(out, columns=columns)
-        out = {c: [] for c in columns}
-        _settle(board, out, columns, question_id, per, key)
-        yield pd.DataFrame(out, columns=columns)
-
-    candidates = (
-        both.repartition(*pair).sortWithinPartitions(*pair, "__side").mapInPandas(score, schema)
-    )
+                    ids.append(rows.column(question_id))
+                    held.append(_unit_rows(rows.column(vector)))
+                    continue
+                if not ids:
+                    continue
+                if unit is None:
+                    ids, unit = [pa.concat_arrays(ids)], np.concatenate(held)
+                    held, everyone = [], np.arange(len(unit))
+                    if lanes:
+                        visits = lanes.visits(unit)
+                        buffer = np.full((len(unit), max(1, min(BUFFER, 10 * SCORES // len(unit)))), -np.inf)
+                mine, at = values[begin][len(pair) + 1 :][: len(per)], values[begin][-1]
+                if board is None or mine != split:
+                    yield from settled()
+                    keep = lanes.candidates if lanes and lanes.decode else k
+                    split, board, whole = mine, _Board(len(unit), keep), []
+                which = visits(at) if lanes else everyone
+                low = 0
+                while low < len(rows) and len(which):
+                    shard = rows.slice(low, min(shard_rows, buffer.shape[1] - waiting) if lanes else shard_rows)
+                    low += len(shard)
+                    theirs = _unit_rows(shard.column(vector))
+                    first = board.add(shard.column(key))
+                    if lanes and lanes.decode:
+                        whole.append(theirs)
+                        theirs = lanes.decode(shard, at)
+                    step = max(1, SCORES // len(theirs))
+                    for q in range(0, len(which), step):
+                        some = which[q : q + step]
+                        scores = unit[some] @ theirs.T
+                        if lanes:
+                            buffer[some, waiting : waiting + len(theirs)] = scores
+                        else:
+                            board.offer(some, scores, first)
+                    if lanes:
+                        waiting += len(theirs)
+                        if waiting == buffer.shape[1]:
+                            flush()
+        yield from settled()
+
+    candidates = both.repartition(*pair).sortWithinPartitions(*seen, key).mapInArrow(score, schema)
     return top_rows(
         candidates, [question_id, *per], [F.col("similarity").desc(), F.col(key)], k
     )
 
 
-def _settle(board: _Board, out: dict[str, list], columns, question_id: str, per, key: str) -> None:
-    for (question, split), (scores, keys) in board.rows.items():
-        n = len(scores)
-        out[question_id].extend([question] * n)
-        for name, value in zip(per, split):
-            out[name].extend([value] * n)
-        out[key].extend(keys.tolist())
-        out["similarity"].extend(scores.tolist())
-
-
 def _pieces(df: DataFrame, within: list[str], rows: int, name: str) -> DataFrame | Column:
     """Number of pieces of about ``rows`` rows: per group, or one number for all."""
     size = F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias(name)
@@ -263,24 +375,25 @@ def nearest_approximate(
             code = code + F.when(side >= 0, F.lit(1 << i)).otherwise(F.lit(0))
         return df.withColumn("bucket", code)
 
+    normal = np.array(normals)
+    radius = 0.0
     if probes is None:
-        names = (question_id, key, vector)
-        radius = _probe_radius(questions, vectors, k, np.array(normals), share, *names)
+        radius = _probe_radius(questions, vectors, k, normal, share, question_id, key, vector)
 
-        @F.pandas_udf("array<int>")
-        def visited(column: pd.Series) -> pd.Series:
-            sides = _matrix(column.tolist()) @ np.array(normals).T
-            return pd.Series([_near_buckets(line, radius) for line in sides])
+    def visits(unit: np.ndarray) -> Callable[[int], np.ndarray]:
+        sides = unit @ normal.T
+
+        def looking(code: int) -> np.ndarray:
+            other = (sides >= 0) != ((code >> np.arange(planes)) & 1).astype(bool)
+            if probes is not None:
+                return np.flatnonzero(other.sum(axis=1) <= min(probes, 1))
+            return np.flatnonzero(np.where(other, sides * sides, 0.0).sum(axis=1) <= radius)
+
+        return looking
 
-        asked = questions.select(question_id, vector).withColumn("bucket", F.explode(visited(vector)))
-    else:
-        flips = [0] + ([1 << i for i in range(planes)] if probes else [])
-        asked = bucket(questions.select(question_id, vector)).withColumn(
-            "bucket", F.explode(F.array(*[F.col("bucket").bitwiseXOR(F.lit(f)) for f in flips]))
-        )
     return nearest(
-        asked, bucket(vectors.select(key, vector)), k, ["bucket"], (), question_id, key, vector,
-        **options,
+        questions, bucket(vectors.select(key, vector)), k, (), (), question_id, key, vector,
+        lanes=Lanes("bucket", visits), **options,
     )
 
 
@@ -310,17 +423,6 @@ def _probe_radius(
     return float(np.quantile(apart, wanted, method="higher")) + 1e-9
 
 
-def _near_buckets(sides: np.ndarray, radius: float) -> list[int]:
-    """Buckets whose flipped planes have squared distances of at most ``radius`` in all."""
-    codes = np.array([sum(1 << i for i, x in enumerate(sides.tolist()) if x >= 0)])
-    far = np.zeros(1)
-    for i, x in enumerate(sides.tolist()):
-        near = far + x * x <= radius
-        codes = np.concatenate([codes, codes[near] ^ (1 << i)])
-        far = np.concatenate([far, far[near] + x * x])
-    return codes.tolist()
-
-
 def recall(exact: DataFrame, approximate: DataFrame, question_id: str, key: str) -> DataFrame:
     """Share of exact neighbours that the approximate search found."""
     found = approximate.select(question_id, key, F.lit(1).alias("hit"))

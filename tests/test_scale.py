@@ -93,6 +93,56 @@ def test_nearest_both_plans(spark):
         assert {(r.question_id, r.object_key, r["rank"]) for r in hits} == want
 
 
+def shuffled_rows(df):
+    """Rows written by the exchanges of a query, as the plan that ran counts them."""
+    df.collect()
+
+    def of(plan):
+        if "AdaptiveSparkPlan" in plan.nodeName():
+            return of(plan.executedPlan())
+        if "QueryStage" in plan.nodeName():
+            return of(plan.plan())
+        found = plan.metrics().get("shuffleRecordsWritten")
+        below = plan.children()
+        return (found.get().value() if found.isDefined() else 0) + sum(of(below.apply(i)) for i in range(below.size()))
+
+    return of(df._jdf.queryExecution().executedPlan())
+
+
+def test_questions_are_not_shuffled_per_shard_bucket_or_cell(spark, tmp_path):
+    v = clustered(spark, n=2000, centres=0, spread=1.0)
+    asked = v.withColumnRenamed("object_key", "question_id")
+    index = vector_index.build_index(v, str(tmp_path / "index"))
+    assert index.probes > 4
+    for hits in (
+        search.nearest(asked, v, 5, shard_rows=50),
+        search.nearest_approximate(asked, v, 5, dimensions=32, planes=6),
+        vector_index.search_index(index, asked, v, 5),
+    ):
+        # both sides once, and the best rows of each question
+        assert 4000 < shuffled_rows(hits) <= 2000 + 2000 + 5 * 2000 + 100
+
+
+def test_nearest_of_blocks_runs_and_splits(spark, monkeypatch):
+    """Several tasks, shards, splits and groups, copies, and ties that go to the smaller key."""
+    monkeypatch.setattr(search, "TASK_ROWS", 70)
+    monkeypatch.setattr(search, "TASK_QUESTIONS", 30)
+    rng = np.random.default_rng(5)
+    rows = [(i, int(i % 2), "xyz"[i % 3], rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(300)]
+    v = spark.createDataFrame(rows, "object_key long, g int, kind string, embedding array<double>")
+    asked = v.select(F.col("object_key").alias("question_id"), "g", "embedding")
+    want = set()
+    unit = search._matrix([r[3] for r in rows])
+    scores = np.round(unit @ unit.T, 9)
+    for i, g, _, _ in rows:
+        for kind in "xyz":
+            mine = [j for j, h, c, _ in rows if h == g and c == kind]
+            mine.sort(key=lambda j: (-scores[i, j], j))
+            want |= {(i, kind, j, r + 1) for r, j in enumerate(mine[:4])}
+    hits = search.nearest(asked, v, 4, ["g"], ["kind"], shard_rows=40)
+    assert sorted((r.question_id, r.kind, r.object_key, r["rank"]) for r in hits.collect()) == sorted(want)
+
+
 def test_approximate_search_finds_most(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("object_key"), "embedding")
     asked = v.withColumnRenamed("object_key", "question_id")
