@@ -115,6 +115,32 @@ def test_every_language_with_positives_gets_a_threshold(spark):
     assert set(net.thresholds) == {"en", "es"}
 
 
+def test_all_labelled_rows_are_learned_from_in_tasks(spark, monkeypatch):
+    """One sign of toxicity stands only in texts beyond 3,000 words; tasks are small."""
+    monkeypatch.setattr(toxicity, "FIRST", 100)
+    monkeypatch.setattr(toxicity, "SHARE", 100)
+    rows, labels = [], []
+    for i in range(600):
+        toxic, long = i % 2, i % 4 >= 2
+        text = invented("en", i % 40, 3050 if long else 30) + (" krumpf" if long else " zorgl") * toxic
+        rows.append((i, text, "en", "s", 1))
+        labels.append((i, 1, toxic))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity_scores(frame(spark, rows), table, steps=150).collect()
+    tested = [r for r in got if r.held_out]
+    for long in (False, True):
+        some = [r for r in tested if (r.doc_id % 4 >= 2) == long]
+        assert sum(r.predicted == r.doc_id % 2 for r in some) >= 0.95 * len(some) > 40
+
+
+def test_calibration_settles_on_far_logits():
+    net = toxicity.Network(None, None, None, None, 0.0)
+    labels = np.array([0, 0, 0, 1] * 75)
+    toxicity.calibrate(net, np.where(labels == 1, 9.0, 5.0), labels, ["en"] * 300)
+    scores = 1 / (1 + np.exp(-(net.slope * np.array([9.0, 5.0]) + net.shift)))
+    assert scores[0] > 0.9 and scores[1] < 0.1
+
+
 def test_weights_stand_for_rows():
     """A row of weight three does what three rows do."""
     rng = np.random.default_rng(5)
