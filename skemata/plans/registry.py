@@ -28,6 +28,18 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
+# rows by session and path, read from a table's footers
+_ROWS: dict[tuple[str, str], int] = {}
+
+
+def row_count(spark: SparkSession, sf: str, name: str) -> int:
+    """About how many rows a table has, to deal them to tasks by; a path is counted once."""
+    key = (spark.sparkContext.applicationId, f"{sf}/{name}.parquet")
+    if key not in _ROWS:
+        _ROWS[key] = read(spark, sf, name).count()
+    return _ROWS[key]
+
+
 def load() -> dict[str, Query]:
     """All queries; importing the modules registers them."""
     from skemata.plans import (  # noqa: F401

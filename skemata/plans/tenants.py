@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skemata.functions.rules import classify
-from skemata.plans.registry import read
+from skemata.plans.registry import read, row_count
 
 # table, then columns as name:type, a star for a primary key, plus for a foreign key
 BASE = """
@@ -59,6 +59,8 @@ ROLES = [
 ]
 EXTRA_TABLE, EXTRA_COLUMNS = 13, 15
 STUB_TABLE = "audit_stub"
+# some 80 column rows each, and all of a tenant's rows may be grouped in one task
+CUSTOMERS_PER_TASK = 10_000
 
 
 def base_tables() -> list[tuple[int, str, list[tuple[str, str, bool, bool]]]]:
@@ -221,14 +223,18 @@ def _none_of(rows: Column) -> Column:
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per tenant, of which some 80 rows will be made.
 
-    A table held in fewer pieces than there are cores is spread first, as two short
-    columns; a table of many pieces is not shuffled.
+    A table held in fewer pieces than there are cores, or in pieces of more than
+    ``CUSTOMERS_PER_TASK`` rows, is spread first, as two short columns; a table of many
+    pieces is not shuffled.
     """
     cust = read(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("database_id"), F.col("c_mktsegment").alias("segment")
     )
-    cores = spark.sparkContext.defaultParallelism
-    return cust.repartition(cores, "database_id") if cust.rdd.getNumPartitions() < cores else cust
+    wanted = max(
+        spark.sparkContext.defaultParallelism,
+        -(-row_count(spark, sf_dir, "customer") // CUSTOMERS_PER_TASK),
+    )
+    return cust.repartition(wanted, "database_id") if cust.rdd.getNumPartitions() < wanted else cust
 
 
 def _rows(cust: DataFrame, literals: Column, made, keep=None, *more: str) -> DataFrame:

@@ -317,3 +317,17 @@ def test_relations_larger_than_they_look_are_not_broadcast(spark):
         assert "BroadcastHashJoin" in plan()
     finally:
         session.shuffle_joins(spark)
+
+
+def test_tenants_are_dealt_by_rows(spark, monkeypatch, tmp_path):
+    """A few bytes of customers make many rows: tasks follow rows, not cores."""
+    from skemata.plans import tenants
+
+    monkeypatch.setattr(tenants, "CUSTOMERS_PER_TASK", 10)
+    rows = [(i if i % 7 else None, "s") for i in range(400)] + [(5, "s")] * 3
+    spark.createDataFrame(rows, "c_custkey long, c_mktsegment string").coalesce(1).write.parquet(
+        f"{tmp_path}/customer.parquet"
+    )
+    dealt = tenants.customers(spark, str(tmp_path))
+    assert dealt.rdd.getNumPartitions() == 41
+    assert sorted(map(tuple, dealt.collect()), key=str) == sorted(rows, key=str)
