@@ -331,3 +331,12 @@ def test_tenants_are_dealt_by_rows(spark, monkeypatch, tmp_path):
     dealt = tenants.customers(spark, str(tmp_path))
     assert dealt.rdd.getNumPartitions() == 41
     assert sorted(map(tuple, dealt.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_shuffled_joins_stay_small(spark):
+    """Compressed sizes decide on tasks and hash joins; in a task the rows take far more."""
+    from skemata.session import configure
+
+    configure(spark)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8MB"
+    assert spark.conf.get("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold") == "16MB"
