@@ -334,9 +334,14 @@ def test_tenants_are_dealt_by_rows(spark, monkeypatch, tmp_path):
 
 
 def test_shuffled_joins_stay_small(spark):
-    """Compressed sizes decide on tasks and hash joins; in a task the rows take far more."""
-    from skemata.session import configure
-
-    configure(spark)
-    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8MB"
-    assert spark.conf.get("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold") == "16MB"
+    """Compressed sizes decide on tasks and hash joins; in a task the rows take far more.
+    Joins of written tables keep what the session came with."""
+    from skemata import session
+
+    session.configure(spark)
+    assert spark.conf.get(session.PARTITION) == "8MB"
+    assert spark.conf.get(session.HASH_JOIN) == "16MB"
+    session.broadcast_by_guess(spark)
+    assert spark.conf.get(session.PARTITION) == session._given(spark, session.PARTITION) != "8MB"
+    assert spark.conf.get(session.HASH_JOIN) == "64MB"
+    session.configure(spark)
