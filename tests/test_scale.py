@@ -345,3 +345,29 @@ def test_shuffled_joins_stay_small(spark):
     assert spark.conf.get(session.PARTITION) == session._given(spark, session.PARTITION) != "8MB"
     assert spark.conf.get(session.HASH_JOIN) == "64MB"
     session.configure(spark)
+
+
+def written_tenants(spark, folder, asked=()):
+    customers = [(i, f"c{i}", 1, 1.0, "s") for i in range(60)] + [(7, "c7", 1, 1.0, "s"), (None, "c", 1, 1.0, "s")]
+    spark.createDataFrame(
+        customers, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ).coalesce(1).write.parquet(f"{folder}/customer.parquet")
+    turns = [(c, 1, "user", f"orders of {c}") for c in asked] + [(None, 1, "user", "x"), (50, 2, "other", "y")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(
+        f"{folder}/conversations.parquet"
+    )
+    return str(folder)
+
+
+def test_relations_of_a_tenant_meet_where_they_are(spark, tmp_path):
+    """Only customers, one row per tenant, are shuffled; rows made of them are not."""
+    from skemata.plans.catalog_queries import quality_issues, quality_scores_judged
+    from skemata.plans.graph_queries import embedding_texts
+    from skemata.plans.text_queries import schema_context
+
+    session.configure(spark)
+    sf = written_tenants(spark, tmp_path)
+    for found in (embedding_texts, schema_context, quality_issues, quality_scores_judged):
+        plan = found(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.splitlines() if "Exchange" in x]
+        assert exchanges and all("REPARTITION_BY_NUM" in x for x in exchanges)
