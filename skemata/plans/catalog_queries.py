@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skemata.operators import assemble, canonical, enrich, labels, quality, validate
 from skemata.plans import tenants as T
 from skemata.plans.registry import query, read
+from skemata.schemas import Catalog, Labels
 
 # ---------------------------------------------------------------- B: canonical
 
@@ -264,7 +265,10 @@ def section_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    cat, lab = T.catalog(spark, sf), T.labels(spark, sf)
+    return enriched_of(T.catalog(spark, sf), T.labels(spark, sf))
+
+
+def enriched_of(cat: Catalog, lab: Labels) -> tuple[DataFrame, DataFrame]:
     return (
         assemble.enrich_tables(cat.tables, lab.table_labels),
         assemble.enrich_columns(cat.columns, lab.column_labels),

@@ -8,21 +8,21 @@ from pyspark.sql import functions as F
 from skemata.functions.vectors import hash_embedding, norm
 from skemata.operators import context, embed, graph, search, vector_index
 from skemata.plans import tenants as T
-from skemata.plans.catalog_queries import enriched
+from skemata.plans.catalog_queries import enriched, enriched_of
 from skemata.plans.registry import query, read
+from skemata.schemas import Catalog, Labels
 from skemata.session import work_folder
 
 # ------------------------------------------------------------------ H: objects
 
 
 def objects(spark: SparkSession, sf: str) -> DataFrame:
-    tables, columns = enriched(spark, sf)
-    return embed.schema_objects(
-        tables,
-        columns,
-        T.catalog(spark, sf).relationships,
-        T.labels(spark, sf).entity_relationships,
-    )
+    return _objects_of(T.catalog(spark, sf), T.labels(spark, sf))
+
+
+def _objects_of(cat: Catalog, lab: Labels) -> DataFrame:
+    tables, columns = enriched_of(cat, lab)
+    return embed.schema_objects(tables, columns, cat.relationships, lab.entity_relationships)
 
 
 @query
@@ -285,28 +285,33 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """Embedded objects of the databases that are asked about."""
-    asked = questions(spark, sf).select("database_id").distinct()
-    return embed.embed(objects(spark, sf).join(asked, "database_id", "left_semi"))
+def asked_about(spark: SparkSession, sf: str) -> tuple[T.TenantCatalog, T.TenantLabels]:
+    """Catalog and labels of the databases that are asked about; rows of others meet nothing."""
+    asked = questions(spark, sf).select("database_id")
+    return T.catalog(spark, sf, asked), T.labels(spark, sf, asked)
+
+
+def vectors(cat: Catalog, lab: Labels) -> DataFrame:
+    """Embedded objects of these databases."""
+    return embed.embed(_objects_of(cat, lab))
 
 
 HITS = {"table": 3, "column": 6, "relationship": 3}
 
 
 def _context(spark: SparkSession, sf: str) -> context.SchemaContext:
-    tables, columns = enriched(spark, sf)
-    cat, lab = T.catalog(spark, sf), T.labels(spark, sf)
+    cat, lab = asked_about(spark, sf)
+    tables, columns = enriched_of(cat, lab)
     return context.build_context(
-        questions(spark, sf), vectors(spark, sf), tables, columns, cat.relationships,
-        lab.entity_relationships, fk_edges(spark, sf), HITS,
+        questions(spark, sf), vectors(cat, lab), tables, columns, cat.relationships,
+        lab.entity_relationships, graph.foreign_key_edges(cat.relationships, cat.columns), HITS,
     )
 
 
 @query
 def question_hits(spark: SparkSession, sf: str) -> DataFrame:
     """Best tables, columns and relationships per question."""
-    hits = context.question_hits(questions(spark, sf), vectors(spark, sf), HITS)
+    hits = context.question_hits(questions(spark, sf), vectors(*asked_about(spark, sf)), HITS)
     return _rounded(hits.drop("metadata"))
 
 
@@ -320,14 +325,15 @@ def question_context(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def context_prompt(spark: SparkSession, sf: str) -> DataFrame:
     """Full prompt text."""
-    return context.full_prompt(questions(spark, sf), _context(spark, sf), enriched(spark, sf)[1])
+    columns = enriched_of(*asked_about(spark, sf))[1]
+    return context.full_prompt(questions(spark, sf), _context(spark, sf), columns)
 
 
 @query
 def compact_prompt(spark: SparkSession, sf: str) -> DataFrame:
     """Compact prompt text."""
     return context.compact_prompt(
-        questions(spark, sf), _context(spark, sf), T.catalog(spark, sf).columns
+        questions(spark, sf), _context(spark, sf), asked_about(spark, sf)[0].columns
     )
 
 
@@ -348,4 +354,6 @@ def topic_context(spark: SparkSession, sf: str) -> DataFrame:
         F.when(turn < 2, F.lit("Reference Data")).alias("domain"),
         F.when(turn % 2 == 0, F.lit("Order")).alias("entity"),
     )
-    return context.topic_context(asked, vectors(spark, sf), fk_edges(spark, sf))
+    cat, lab = asked_about(spark, sf)
+    edges = graph.foreign_key_edges(cat.relationships, cat.columns)
+    return context.topic_context(asked, vectors(cat, lab), edges)

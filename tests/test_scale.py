@@ -371,3 +371,18 @@ def test_relations_of_a_tenant_meet_where_they_are(spark, tmp_path):
         plan = found(spark, sf)._jdf.queryExecution().executedPlan().toString()
         exchanges = [x for x in plan.splitlines() if "Exchange" in x]
         assert exchanges and all("REPARTITION_BY_NUM" in x for x in exchanges)
+
+
+def test_only_tenants_that_are_asked_about_make_rows(spark, tmp_path):
+    from skemata.plans import graph_queries, tenants
+
+    session.configure(spark)
+    sf = written_tenants(spark, tmp_path, [3, 7, 7, 900])
+    cat, lab = graph_queries.asked_about(spark, sf)
+    whole = tenants.catalog(spark, sf)
+    for mine, every in ((cat.columns, whole.columns), (cat.relationships, whole.relationships)):
+        want = every.filter(F.col("database_id").isin(3, 7))
+        assert sorted(map(tuple, mine.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    # rows of 60 tenants' columns were 3,800 and were shuffled for a join with their labels
+    assert shuffled_rows(graph_queries.vectors(cat, lab)) < 500
+    assert {r.database_id for r in graph_queries.question_hits(spark, sf).collect()} == {3, 7}
