@@ -386,3 +386,49 @@ def test_only_tenants_that_are_asked_about_make_rows(spark, tmp_path):
     # rows of 60 tenants' columns were 3,800 and were shuffled for a join with their labels
     assert shuffled_rows(graph_queries.vectors(cat, lab)) < 500
     assert {r.database_id for r in graph_queries.question_hits(spark, sf).collect()} == {3, 7}
+
+
+def files_of(folder):
+    return sorted(str(f) for f in folder.rglob("part-*"))
+
+
+def test_documents_are_written_compressed(spark, tmp_path):
+    from skemata.sources import documents
+
+    items = spark.range(2000).select(
+        F.col("id").alias("database_id"), F.lit("tables").alias("section"),
+        F.lit(0).cast("long").alias("lead"), F.col("id").alias("ordinal"),
+        F.struct(F.col("id").alias("ordinal"), F.lit("orders").alias("table_name")).alias("tables"),
+    )
+    documents.write_items(items, str(tmp_path / "items"))
+    documents.write_enriched(items.select("database_id", "tables"), str(tmp_path / "documents"))
+    found = files_of(tmp_path)
+    assert found and all(f.endswith(".json.gz") for f in found)
+    back = documents.read_items(spark, str(tmp_path / "items"))
+    assert back.filter("tables.table_name = 'orders' AND ordinal = database_id").count() == 2000
+
+
+def test_numbered_rows_are_written_by_columns(spark):
+    """Checkpoints of the rows took most of the disk."""
+    plan = number_rows(hot_rows(spark), ["k"], ["v"], "n")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "Scan ExistingRDD" not in plan
+
+
+def test_documents_are_taken_apart_once(spark, monkeypatch, tmp_path):
+    """Sections that read the same relation take it from where it is kept."""
+    from skemata.operators import canonical, enrich
+    from skemata.plans import tenants
+
+    session.configure(spark)
+    raw = tenants.raw_documents(spark, written_tenants(spark, tmp_path))
+    monkeypatch.setattr(enrich, "enriched_documents", lambda catalog, answers: catalog)
+    catalog, plain = enrich.enrich_raw(raw, None), canonical.canonicalise(raw)
+    try:
+        for name in ("tables", "columns", "relationships"):
+            mine, want = getattr(catalog, name), getattr(plain, name)
+            assert mine.storageLevel.useDisk
+            plan = mine.groupBy("database_id").count()._jdf.queryExecution().executedPlan().toString()
+            assert "InMemoryTableScan" in plan
+            assert sorted(map(tuple, mine.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    finally:
+        spark.catalog.clearCache()
